@@ -62,4 +62,180 @@ def registered_queries() -> dict[str, Query]:
     q["over_budget_keys"] = _over_budget_keys
     q["budget_resolved"] = _budget_resolved
     q["identity"] = _identity
+    _register_more(q)
     return q
+
+
+# ---------------------------------------------------------------- ad hoc, keys
+from costlens.functions import display as D  # noqa: E402
+from costlens.operators import adhoc, auth, quality, reshape  # noqa: E402
+from costlens.sources import load as S3  # noqa: E402
+from costlens.sources.sinks import nested  # noqa: E402
+from costlens.sources.testdata import load_auth_attempts  # noqa: E402
+from costlens.functions.models import all_keys_model, per_key_model  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from datetime import timedelta  # noqa: E402
+
+# Fixed parameters of the registered queries: the shared alias used by the
+# operator's SQL, and one presented key for the single-key report.
+ALIAS = "engineering"
+ONE_KEY = "Bearer sk-user-7"
+
+
+def _alias(fn):
+    def run(spark, sf_dir):
+        t = load_tables(spark, sf_dir)
+        return fn(t, AS_OF, ALIAS) if fn is not adhoc.alias_keys else fn(t.keys, ALIAS)
+    run.__name__ = fn.__name__
+    return run
+
+
+def _key_auth_valid(spark, sf_dir):
+    return auth.authenticated(load_auth_attempts(spark, sf_dir), load_tables(spark, sf_dir).keys)
+
+
+def _key_auth_rejected(spark, sf_dir):
+    return auth.rejected(load_auth_attempts(spark, sf_dir), load_tables(spark, sf_dir).keys)
+
+
+def _one_key_by_model(spark, sf_dir):
+    t = breakdowns.one_key(load_tables(spark, sf_dir), ONE_KEY)
+    return breakdowns.by_model(t, AS_OF, Period.MONTH)
+
+
+def _load_batches(spark, sf_dir):
+    """Existing table = logs before the clock; a replayed incoming batch
+    overlaps it by two days and repeats one day within itself."""
+    logs = load_tables(spark, sf_dir).logs
+    st = F.col("startTime")
+    cut = F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz")
+    existing = logs.where(st < cut)
+    incoming = (logs.where(st >= cut - F.expr("INTERVAL 2 DAYS"))
+                .unionByName(logs.where((st >= cut - F.expr("INTERVAL 1 DAYS"))
+                                        & (st < cut + F.expr("INTERVAL 1 DAYS")))))
+    return existing, incoming
+
+
+def _idempotent_load(spark, sf_dir):
+    existing, incoming = _load_batches(spark, sf_dir)
+    return S3.merged(existing, incoming)
+
+
+def _duplicate_request_ids(spark, sf_dir):
+    _, incoming = _load_batches(spark, sf_dir)
+    return quality.duplicate_keys(incoming, "request_id")
+
+
+def _model_names(spark, sf_dir):
+    m = F.col("model")
+    return (load_tables(spark, sf_dir).logs.select("model").distinct()
+            .select(m.alias("model"), per_key_model(m).alias("per_key_model"),
+                    all_keys_model(m).alias("all_keys_model")))
+
+
+def _admin_cube(spark, sf_dir):
+    return admin.admin_rollup(load_tables(spark, sf_dir), AS_OF)
+
+
+def _admin_pivot(spark, sf_dir):
+    return admin.admin_pivot(load_tables(spark, sf_dir), AS_OF)
+
+
+def _token_breakdown(spark, sf_dir):
+    t = load_tables(spark, sf_dir)
+    m = reshape.token_breakdown(breakdowns.by_model(t, AS_OF, Period.MONTH), "model", "model")
+    p = reshape.token_breakdown(breakdowns.by_project(t, AS_OF, Period.MONTH), "project", "project")
+    return m.unionByName(p)
+
+
+def _summary_lines(spark, sf_dir):
+    t = load_tables(spark, sf_dir)
+    return reshape.summary_lines(budgets.summary(t, AS_OF, Period.MONTH),
+                                 budgets.budget_report(t, AS_OF))
+
+
+def _status_text(spark, sf_dir):
+    t = load_tables(spark, sf_dir)
+    s = budgets.summary(t, AS_OF, Period.MONTH)
+    b = budgets.budget_report(t, AS_OF).select("api_key", "state", "spent", "used_percent",
+                                               "monthly_budget")
+    j = s.join(b, "api_key", "left")
+    # The monthly budget figures when present, else the summary's.
+    spend = F.coalesce(F.col("spent"), F.col("spend"))
+    percent = F.coalesce(F.col("used_percent"), F.col("budget_used_percent"))
+    cap = F.coalesce(F.col("monthly_budget"), F.col("budget"))
+    st = F.col("state")
+    return j.select(
+        "api_key", st.alias("state"),
+        D.status_text(st, D.status_display(spend, percent, D.FORMAT_AMOUNT)).alias("text_amount"),
+        D.status_text(st, D.status_display(spend, percent, D.FORMAT_PERCENTAGE)).alias("text_percentage"),
+        D.status_text(st, D.status_display(spend, percent, D.FORMAT_BOTH)).alias("text_both"),
+        D.state_message(st, spend, cap, percent).alias("tooltip"))
+
+
+def _breakdown_label(spark, sf_dir):
+    rows = breakdowns.by_model(load_tables(spark, sf_dir), AS_OF, Period.MONTH)
+    return rows.select(
+        "api_key", "model",
+        D.breakdown_description(F.col("spend"), F.col("percentage"), F.col("tokens")).alias("description"),
+        D.breakdown_tooltip(F.col("requests"), F.col("tokens"), F.col("prompt_tokens"),
+                            F.col("completion_tokens")).alias("tooltip"))
+
+
+def _currency_text(spark, sf_dir):
+    b = budgets.budget_report(load_tables(spark, sf_dir), AS_OF)
+    return b.select("api_key", "currency",
+                    D.currency_text(F.col("spent"), F.col("currency")).alias("spent_text"),
+                    D.currency_text(F.col("remaining"), F.lit("USD")).alias("remaining_usd_text"),
+                    D.currency_text(F.col("monthly_budget"), F.lit("CHF")).alias("budget_chf_text"))
+
+
+def _daily_label(spark, sf_dir):
+    d = breakdowns.daily(load_tables(spark, sf_dir), AS_OF, Period.MONTH)
+    return d.select("api_key", "date", D.daily_label(F.col("date"), F.col("spend")).alias("label"))
+
+
+def _report_violations(spark, sf_dir):
+    t = load_tables(spark, sf_dir)
+    parts = [
+        quality.violations(budgets.summary(t, AS_OF, Period.MONTH), "summary", quality.SUMMARY_RULES),
+        quality.violations(breakdowns.by_model(t, AS_OF, Period.MONTH), "by_model", quality.SHARE_RULES),
+        quality.violations(breakdowns.daily(t, AS_OF, Period.MONTH), "daily", quality.DAILY_RULES),
+        quality.violations(budgets.budget_report(t, AS_OF), "budget", quality.BUDGET_RULES),
+        quality.violations(admin.key_day_model(t, AS_OF), "admin", quality.ADMIN_RULES),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _nested_report(spark, sf_dir):
+    rows = breakdowns.by_model(load_tables(spark, sf_dir), AS_OF, Period.MONTH)
+    rows = rows.withColumn("currency", F.lit(DEFAULT_CONFIG.currency))
+    return nested(rows, ["api_key", "period", "currency"], "models",
+                  ["model", "spend", "percentage", "requests", "tokens", "prompt_tokens",
+                   "completion_tokens"])
+
+
+def _register_more(q: dict[str, Query]) -> None:
+    q["alias_keys"] = _alias(adhoc.alias_keys)
+    q["alias_month_summary"] = _alias(adhoc.alias_month_summary)
+    q["alias_by_model"] = _alias(adhoc.alias_by_model)
+    q["alias_daily"] = _alias(adhoc.alias_daily)
+    q["key_auth_valid"] = _key_auth_valid
+    q["key_auth_rejected"] = _key_auth_rejected
+    q["one_key_by_model"] = _one_key_by_model
+    q["idempotent_load"] = _idempotent_load
+    q["duplicate_request_ids"] = _duplicate_request_ids
+    q["model_names"] = _model_names
+    q["admin_cube"] = _admin_cube
+    q["admin_pivot"] = _admin_pivot
+    q["token_breakdown"] = _token_breakdown
+    q["summary_lines"] = _summary_lines
+    q["status_text"] = _status_text
+    q["breakdown_label"] = _breakdown_label
+    q["currency_text"] = _currency_text
+    q["daily_label"] = _daily_label
+    q["report_violations"] = _report_violations
+    q["nested_report"] = _nested_report

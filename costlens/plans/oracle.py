@@ -22,7 +22,7 @@ spend_logs AS (
          CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'openai/'
               WHEN 3 THEN 'azure/openai/' || event_type WHEN 4 THEN 'openai/' || event_type
               WHEN 5 THEN 'anthropic/' || event_type ELSE event_type END AS model,
-         CASE WHEN user_id % 13 = 0 THEN 0.0 ELSE value END AS spend,
+         CAST(CASE WHEN user_id % 13 = 0 THEN 0.0 ELSE value END AS DOUBLE) AS spend,
          CAST(COALESCE(TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?\d+)', 1) AS INTEGER), 0)
               + event_id % 50 AS INTEGER) AS total_tokens,
          CAST(COALESCE(TRY_CAST(regexp_extract(props, '"k"\s*:\s*(-?\d+)', 1) AS INTEGER), 0)
@@ -39,9 +39,9 @@ spend_logs AS (
 virtual_keys AS (
   SELECT sha256('sk-user-' || CAST(c_custkey AS VARCHAR)) AS token,
          CASE WHEN c_custkey % 4 = 0 THEN 'engineering' ELSE c_name END AS key_alias,
-         0.0 AS spend,
-         CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 0.0
-              ELSE 40.0 * (c_custkey % 150 + 1) END AS max_budget,
+         CAST(0.0 AS DOUBLE) AS spend,
+         CAST(CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 0.0
+              ELSE 40.0 * (c_custkey % 150 + 1) END AS DOUBLE) AS max_budget,
          CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'user-' || CAST(c_custkey AS VARCHAR) END AS user_id,
          CASE c_custkey % 5
               WHEN 0 THEN '{"email": "e' || CAST(c_custkey AS VARCHAR) || '@x.io"}'
@@ -118,12 +118,13 @@ SELECT api_key, user_id, period, currency, spend, budget, budget - spend AS rema
 FROM summ"""
 
 
-def by_model(period: Period) -> str:
+def by_model(period: Period, key_hash: str | None = None) -> str:
+    only = f" AND s.api_key = '{key_hash}'" if key_hash else ""
     return _with(f"""agg AS (
   SELECT s.api_key, {PER_KEY_MODEL} AS model, SUM(CAST(s.spend AS DECIMAL(20,10))) AS spend_dec,
          COUNT(s.request_id) AS requests, {TOKS}
   FROM spend_logs s
-  WHERE {_period_range(period)} AND {HAS_MODEL}
+  WHERE {_period_range(period)} AND {HAS_MODEL}{only}
     AND s.api_key IN (SELECT token FROM virtual_keys)
   GROUP BY 1, 2)""") + f"""
 SELECT api_key, '{period.value}' AS period, model, CAST(spend_dec AS DOUBLE) AS spend,
@@ -205,6 +206,242 @@ SELECT k.token AS api_key, {IDENT} AS user_id, COALESCE({EMAIL}, {IDENT} || '@un
 FROM virtual_keys k"""
 
 
+from costlens.functions.keys import stored_key_text  # noqa: E402
+from costlens.operators import quality  # noqa: E402
+from costlens.plans.catalog import ALIAS, ONE_KEY  # noqa: E402
+
+
+def fx(expr: str, places: int) -> str:
+    """Same text as functions.money.fixed_text."""
+    return (f"CAST(CAST(round(CAST({expr} AS DECIMAL(38,10)), {places}) AS DECIMAL(38,{places}))"
+            " AS VARCHAR)")
+
+
+def grp(expr: str) -> str:
+    return f"format('{{:,}}', CAST({expr} AS BIGINT))"
+
+
+def _sql_month() -> str:
+    return _range(month_sql_window(AS_OF))
+
+
+def alias_keys() -> str:
+    return _with() + f"""
+SELECT token, user_id, key_alias, max_budget, spend FROM virtual_keys WHERE key_alias = '{ALIAS}'"""
+
+
+def alias_month_summary() -> str:
+    return _with(f"""m AS (
+  SELECT s.api_key, SUM(CAST(s.spend AS DECIMAL(20,10))) AS spend_dec
+  FROM spend_logs s WHERE {_sql_month()} GROUP BY 1)""") + f"""
+SELECT k.token, k.key_alias, k.max_budget, k.spend AS litellm_counter,
+       CAST(round(CAST(COALESCE(m.spend_dec, 0) AS DECIMAL(38,10)), 4) AS DOUBLE) AS month_spend,
+       CAST(round(CAST(k.max_budget AS DECIMAL(38,10)) - COALESCE(m.spend_dec, 0), 4) AS DOUBLE) AS remaining,
+       CAST(round(CAST(CAST(COALESCE(m.spend_dec, 0) AS DOUBLE) / NULLIF(k.max_budget, 0) * 100.0
+                       AS DECIMAL(38,10)), 2) AS DOUBLE) AS used_percent
+FROM virtual_keys k LEFT JOIN m ON m.api_key = k.token
+WHERE k.key_alias = '{ALIAS}'"""
+
+
+def alias_by_model() -> str:
+    return _with() + f"""
+SELECT s.model, CAST(round(CAST(SUM(CAST(s.spend AS DECIMAL(20,10))) AS DECIMAL(38,10)), 4) AS DOUBLE) AS spend,
+       COUNT(*) AS requests, CAST(COALESCE(SUM(s.total_tokens), 0) AS BIGINT) AS tokens
+FROM spend_logs s JOIN virtual_keys k ON s.api_key = k.token
+WHERE k.key_alias = '{ALIAS}' AND {_sql_month()} AND {HAS_MODEL}
+GROUP BY s.model"""
+
+
+def alias_daily() -> str:
+    return _with() + f"""
+SELECT CAST(s."startTime" AS DATE) AS "date",
+       CAST(round(CAST(SUM(CAST(s.spend AS DECIMAL(20,10))) AS DECIMAL(38,10)), 4) AS DOUBLE) AS spend,
+       COUNT(*) AS requests, CAST(COALESCE(SUM(s.total_tokens), 0) AS BIGINT) AS tokens
+FROM spend_logs s JOIN virtual_keys k ON s.api_key = k.token
+WHERE k.key_alias = '{ALIAS}' AND {_sql_month()}
+GROUP BY 1"""
+
+
+AUTH_CTES = (r"""attempts AS (
+  SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id,
+         CASE event_type
+              WHEN 'click' THEN 'Bearer sk-user-' || CAST(user_id AS VARCHAR)
+              WHEN 'view' THEN 'sk-user-' || CAST(user_id AS VARCHAR)
+              WHEN 'purchase' THEN sha256('sk-user-' || CAST(user_id AS VARCHAR))
+              WHEN 'signup' THEN 'Bearer ' || sha256('sk-user-' || CAST(user_id AS VARCHAR))
+              ELSE 'sk-revoked-' || CAST(user_id AS VARCHAR) END AS presented_key
+  FROM events)""", """norm AS (
+  SELECT request_id, k0 AS _key,
+         CASE WHEN starts_with(k0, 'sk-') THEN sha256(k0) ELSE k0 END AS api_key
+  FROM (SELECT request_id,
+               CASE WHEN starts_with(presented_key, 'Bearer ') THEN substr(presented_key, 8)
+                    ELSE presented_key END AS k0
+        FROM attempts) a)""")
+
+
+def key_auth_valid() -> str:
+    return _with(*AUTH_CTES) + f"""
+SELECT n.request_id, n.api_key, {IDENT} AS user_id, COALESCE({EMAIL}, {IDENT} || '@unknown') AS email
+FROM norm n JOIN virtual_keys k ON k.token = n.api_key"""
+
+
+def key_auth_rejected() -> str:
+    return _with(*AUTH_CTES) + """
+SELECT n.request_id, substr(n._key, 1, 10) || '...' AS key_prefix
+FROM norm n WHERE NOT EXISTS (SELECT 1 FROM virtual_keys k WHERE k.token = n.api_key)"""
+
+
+def one_key_by_model() -> str:
+    return by_model(Period.MONTH, stored_key_text(ONE_KEY))
+
+
+def _cut() -> str:
+    return f"TIMESTAMP '{AS_OF.isoformat(sep=' ')}'"
+
+
+def idempotent_load() -> str:
+    return _with() + "SELECT * FROM spend_logs"
+
+
+def duplicate_request_ids() -> str:
+    c = _cut()
+    return _with() + f"""
+SELECT request_id, COUNT(*) AS copies FROM (
+  SELECT request_id FROM spend_logs WHERE "startTime" >= {c} - INTERVAL 2 DAY
+  UNION ALL
+  SELECT request_id FROM spend_logs WHERE "startTime" >= {c} - INTERVAL 1 DAY
+                                       AND "startTime" < {c} + INTERVAL 1 DAY) x
+GROUP BY request_id HAVING COUNT(*) > 1"""
+
+
+def model_names() -> str:
+    return _with() + f"""
+SELECT s.model, {PER_KEY_MODEL} AS per_key_model, {ALL_KEYS_MODEL} AS all_keys_model
+FROM (SELECT DISTINCT model FROM spend_logs) s"""
+
+
+def _admin_rows_cte() -> str:
+    return f"""arows AS (
+  SELECT s.api_key, CAST(s."startTime" AS DATE) AS day, {ALL_KEYS_MODEL} AS model,
+         SUM(CAST(s.spend AS DECIMAL(20,10))) AS spend_dec, COUNT(s.request_id) AS requests,
+         SUM(s.total_tokens) AS tokens, SUM(s.prompt_tokens) AS prompt_tokens,
+         SUM(s.completion_tokens) AS completion_tokens
+  FROM spend_logs s WHERE {_range(admin_range(AS_OF))} AND {HAS_MODEL}
+  GROUP BY 1, 2, 3)"""
+
+
+def admin_cube() -> str:
+    return _with(_admin_rows_cte()) + """
+SELECT CAST(GROUPING(api_key, day, model) AS INTEGER) AS grouping_id, api_key, day, model,
+       CAST(SUM(spend_dec) AS DOUBLE) AS spend, CAST(SUM(requests) AS BIGINT) AS requests,
+       CAST(SUM(tokens) AS BIGINT) AS tokens, CAST(SUM(prompt_tokens) AS BIGINT) AS prompt_tokens,
+       CAST(SUM(completion_tokens) AS BIGINT) AS completion_tokens
+FROM arows GROUP BY GROUPING SETS ((api_key), (day), (model), ())"""
+
+
+def admin_pivot() -> str:
+    return _with(_admin_rows_cte()) + """
+PIVOT arows ON model USING CAST(SUM(spend_dec) AS DOUBLE) GROUP BY api_key, day"""
+
+
+def token_breakdown() -> str:
+    labels = (("Requests", "requests"), ("Total Tokens", "tokens"),
+              ("Prompt (In)", "prompt_tokens"), ("Completion (Out)", "completion_tokens"))
+    parts = []
+    for kind, name, sub in (("model", "model", by_model(Period.MONTH)),
+                            ("project", "project", by_project(Period.MONTH))):
+        for label, col in labels:
+            parts.append(f"SELECT api_key, '{kind}' AS kind, {name} AS name, '{label}' AS label, "
+                         f"CAST({col} AS BIGINT) AS value FROM ({sub}) r")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _state_label(col: str) -> str:
+    return (f"CASE WHEN {col} = 'exceeded' THEN '⚠️' WHEN {col} = 'warning' THEN '⚡' ELSE '✓' END"
+            f" || ' ' || {col}")
+
+
+def summary_lines() -> str:
+    s = f"({summary(Period.MONTH)}) s"
+    b = f"({budget_month()}) b"
+    parts = [
+        f"SELECT api_key, 'Total Spend' AS label, '$' || {fx('spend', 2)} AS value FROM {s}",
+        f"SELECT api_key, 'Budget' AS label, '$' || {fx('budget', 2)} AS value FROM {s}",
+        f"SELECT api_key, 'Remaining' AS label, '$' || {fx('remaining', 2)} AS value FROM {s}",
+        f"SELECT api_key, 'Usage' AS label, {fx('budget_used_percent', 1)} || '%' AS value FROM {s}",
+        f"SELECT api_key, 'Budget State' AS label, {_state_label('state')} AS value FROM {b}",
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+def status_text() -> str:
+    def money(c):
+        return f"'$' || {fx(c, 2)}"
+
+    def pc(c):
+        return f"{fx(c, 1)} || '%'"
+    prefix = ("CASE WHEN state = 'exceeded' THEN '$(warning) ' WHEN state = 'warning' THEN '$(alert) '"
+              " ELSE '$(coin) ' END")
+    tip = ("CASE WHEN state = 'exceeded' THEN 'Budget exceeded! Spent ' || " + money("sp")
+           + " || ' of ' || " + money("cap") + " || ' (' || " + pc("pc") + " || ' of monthly budget)'"
+           " WHEN state = 'warning' THEN 'Budget warning: ' || " + pc("pc")
+           + " || ' of monthly budget used (' || " + money("sp") + " || ' of ' || " + money("cap")
+           + " || ')' ELSE 'LLM Spend (this month): ' || " + money("sp") + " || ' of ' || "
+           + money("cap") + " || ' (' || " + pc("pc") + " || ')' END")
+    return f"""
+SELECT api_key, state,
+       {prefix} || {money('sp')} AS text_amount,
+       {prefix} || {pc('pc')} AS text_percentage,
+       {prefix} || {money('sp')} || ' / ' || {pc('pc')} AS text_both,
+       {tip} AS tooltip
+FROM (SELECT s.api_key, b.state, COALESCE(b.spent, s.spend) AS sp,
+             COALESCE(b.used_percent, s.budget_used_percent) AS pc,
+             COALESCE(b.monthly_budget, s.budget) AS cap
+      FROM ({summary(Period.MONTH)}) s LEFT JOIN ({budget_month()}) b ON b.api_key = s.api_key) j"""
+
+
+def breakdown_label() -> str:
+    return f"""
+SELECT api_key, model,
+       '$' || {fx('spend', 2)} || ' (' || {fx('percentage', 1)} || '%) · ' || {grp('tokens')} || ' tok'
+         AS description,
+       CAST(requests AS VARCHAR) || ' requests, ' || {grp('tokens')} || ' tokens (in: '
+         || {grp('prompt_tokens')} || ', out: ' || {grp('completion_tokens')} || ')' AS tooltip
+FROM ({by_model(Period.MONTH)}) m"""
+
+
+def currency_text() -> str:
+    return f"""
+SELECT api_key, currency,
+       CASE currency WHEN 'EUR' THEN '€' WHEN 'USD' THEN '$' WHEN 'GBP' THEN '£' ELSE currency END
+         || {fx('spent', 2)} AS spent_text,
+       '$' || {fx('remaining', 2)} AS remaining_usd_text,
+       'CHF' || {fx('monthly_budget', 2)} AS budget_chf_text
+FROM ({budget_month()}) b"""
+
+
+def daily_label() -> str:
+    return f"""
+SELECT api_key, "date", strftime("date", '%Y-%m-%d') || ' $' || {fx('spend', 2)} AS label
+FROM ({daily(Period.MONTH)}) d"""
+
+
+def report_violations() -> str:
+    parts = []
+    for name, sub, rules in (("summary", summary(Period.MONTH), quality.SUMMARY_RULES),
+                             ("by_model", by_model(Period.MONTH), quality.SHARE_RULES),
+                             ("daily", daily(Period.MONTH), quality.DAILY_RULES),
+                             ("budget", budget_month(), quality.BUDGET_RULES),
+                             ("admin", admin_key_day_model(), quality.ADMIN_RULES)):
+        for field, (lo, hi) in rules.items():
+            cond = " OR ".join(([f"{field} < {lo}"] if lo is not None else [])
+                               + ([f"{field} > {hi}"] if hi is not None else []))
+            parts.append(f"SELECT '{name}' AS report, CAST(api_key AS VARCHAR) AS row_id, "
+                         f"'{field}' AS field, CAST({field} AS DOUBLE) AS value "
+                         f"FROM ({sub}) r WHERE {cond}")
+    return "\nUNION ALL\n".join(parts)
+
+
 def oracle_queries() -> dict[str, str]:
     q = {"admin_key_day_model": admin_key_day_model()}
     for p in Period:
@@ -219,4 +456,25 @@ def oracle_queries() -> dict[str, str]:
     q["over_budget_keys"] = over_budget_keys()
     q["budget_resolved"] = budget_resolved()
     q["identity"] = identity()
+    q.update({
+        "alias_keys": alias_keys(),
+        "alias_month_summary": alias_month_summary(),
+        "alias_by_model": alias_by_model(),
+        "alias_daily": alias_daily(),
+        "key_auth_valid": key_auth_valid(),
+        "key_auth_rejected": key_auth_rejected(),
+        "one_key_by_model": one_key_by_model(),
+        "idempotent_load": idempotent_load(),
+        "duplicate_request_ids": duplicate_request_ids(),
+        "model_names": model_names(),
+        "admin_cube": admin_cube(),
+        "admin_pivot": admin_pivot(),
+        "token_breakdown": token_breakdown(),
+        "summary_lines": summary_lines(),
+        "status_text": status_text(),
+        "breakdown_label": breakdown_label(),
+        "currency_text": currency_text(),
+        "daily_label": daily_label(),
+        "report_violations": report_violations(),
+    })
     return q
