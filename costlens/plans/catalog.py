@@ -63,6 +63,7 @@ def registered_queries() -> dict[str, Query]:
     q["budget_resolved"] = _budget_resolved
     q["identity"] = _identity
     _register_more(q)
+    _register_streaming(q)
     return q
 
 
@@ -239,3 +240,59 @@ def _register_more(q: dict[str, Query]) -> None:
     q["daily_label"] = _daily_label
     q["report_violations"] = _report_violations
     q["nested_report"] = _nested_report
+
+
+# ---------------------------------------------------------------- streaming
+from costlens.session import work_dir  # noqa: E402
+from costlens.streaming import bundle  # noqa: E402
+from costlens.streaming.feed import replay  # noqa: E402
+from costlens.streaming.reconcile import reconcile_days, reconcile_mismatched  # noqa: E402
+from costlens.streaming.rollup import watermark_day  # noqa: E402
+from costlens.streaming.store import Store  # noqa: E402
+
+# Fixed stream parameters for the registered queries.
+CHUNK_DAYS = 6
+LATENESS = "1 day"
+
+
+def _rollup_out(df: DataFrame) -> DataFrame:
+    return df.select("day", "api_key", "model", F.col("spend").cast("double").alias("spend"),
+                     "requests", "tokens", "prompt_tokens", "completion_tokens")
+
+
+def _run_stream(spark, sf_dir, late_first_chunk: bool):
+    t = load_tables(spark, sf_dir)
+    work = work_dir(spark, "stream")
+    store = Store(f"{work}/store")
+    lo, hi, progress = replay(spark, t.logs, t.keys, store, work, CHUNK_DAYS, LATENESS,
+                              late_first_chunk)
+    if lo is not None:
+        if late_first_chunk:
+            reconcile_mismatched(spark, store, t.logs, t.keys, lo, hi)
+        # Days the watermark has not passed yet are still open in the stream.
+        reconcile_days(spark, store, t.logs, t.keys, watermark_day(progress) or lo, hi)
+    return store
+
+
+def _stream_daily(spark, sf_dir):
+    return _rollup_out(_run_stream(spark, sf_dir, False).rollup(spark))
+
+
+def _stream_reconcile(spark, sf_dir):
+    return _rollup_out(_run_stream(spark, sf_dir, True).rollup(spark))
+
+
+def _stream_budget_alerts(spark, sf_dir):
+    return _run_stream(spark, sf_dir, False).alerts(spark)
+
+
+def _refresh_bundle(spark, sf_dir):
+    return bundle.refresh(spark, load_tables(spark, sf_dir), AS_OF, Period.WEEK,
+                          work_dir(spark, "bundle"))
+
+
+def _register_streaming(q: dict[str, Query]) -> None:
+    q["stream_daily"] = _stream_daily
+    q["stream_reconcile"] = _stream_reconcile
+    q["stream_budget_alerts"] = _stream_budget_alerts
+    q["refresh_bundle"] = _refresh_bundle

@@ -442,6 +442,51 @@ def report_violations() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+DEDUPED = """dl AS (
+  SELECT * FROM spend_logs
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY "startTime") = 1)"""
+
+
+def stream_rollup() -> str:
+    return _with(DEDUPED) + f"""
+SELECT CAST(s."startTime" AS DATE) AS day, s.api_key, s.model, {MONEY} AS spend,
+       COUNT(s.request_id) AS requests, {TOKS}
+FROM dl s GROUP BY 1, 2, 3"""
+
+
+def stream_budget_alerts() -> str:
+    return _with(DEDUPED, """daily AS (
+  SELECT api_key, CAST("startTime" AS DATE) AS day, SUM(CAST(spend AS DECIMAL(20,10))) AS spend
+  FROM dl GROUP BY 1, 2)""", """mtd AS (
+  SELECT api_key, day,
+         CAST(SUM(spend) OVER (PARTITION BY api_key, date_trunc('month', day) ORDER BY day
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+           AS spent_to_date
+  FROM daily)""", f"""st AS (
+  SELECT m.api_key, m.day, m.spent_to_date, {RESOLVED_BUDGET} AS budget
+  FROM mtd m LEFT JOIN virtual_keys k ON k.token = m.api_key)""", """pc AS (
+  SELECT *, CASE WHEN budget > 0 THEN spent_to_date / budget * 100.0 ELSE 0.0 END AS used_percent
+  FROM st)""", """sx AS (
+  SELECT *, CASE WHEN used_percent >= 100.0 THEN 'exceeded' WHEN used_percent >= 80.0 THEN 'warning'
+                 ELSE 'normal' END AS state
+  FROM pc)""", """lg AS (
+  SELECT *, COALESCE(LAG(state) OVER (PARTITION BY api_key, date_trunc('month', day) ORDER BY day),
+                     'normal') AS previous_state
+  FROM sx)""") + """
+SELECT api_key, day, previous_state, state, spent_to_date, budget, used_percent
+FROM lg WHERE state <> previous_state"""
+
+
+def refresh_bundle() -> str:
+    parts = []
+    for name, sub in (("summary", summary(Period.WEEK)), ("by_model", by_model(Period.WEEK)),
+                      ("by_project", by_project(Period.WEEK)), ("daily", daily(Period.WEEK)),
+                      ("budget", budget_month())):
+        parts.append(f"SELECT '{name}' AS report, true AS ok, CAST(NULL AS VARCHAR) AS error, "
+                     f"COUNT(*) AS \"rows\" FROM ({sub}) r")
+    return "\nUNION ALL\n".join(parts)
+
+
 def oracle_queries() -> dict[str, str]:
     q = {"admin_key_day_model": admin_key_day_model()}
     for p in Period:
@@ -476,5 +521,9 @@ def oracle_queries() -> dict[str, str]:
         "currency_text": currency_text(),
         "daily_label": daily_label(),
         "report_violations": report_violations(),
+        "stream_daily": stream_rollup(),
+        "stream_reconcile": stream_rollup(),
+        "stream_budget_alerts": stream_budget_alerts(),
+        "refresh_bundle": refresh_bundle(),
     })
     return q
