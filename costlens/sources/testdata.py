@@ -25,8 +25,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _typed(df: DataFrame, schema) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+def _typed(columns: dict, schema) -> list:
+    """One typed column per schema field (missing ones are typed NULLs)."""
+    return [(columns[f.name] if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields]
 
 
 def raw_key(user_col: Column) -> Column:
@@ -47,25 +49,24 @@ def spend_logs_from_events(events: DataFrame) -> DataFrame:
     user = (F.when(u == 0, F.lit(None).cast("string"))
             .when(u == 1, F.lit("default_user_id"))
             .otherwise(F.concat(F.lit("user-"), uid.cast("string"))))
-    prompt = F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0))
+    # The integer ``k`` of ``props`` (e.g. {"k": 69}); a regex is ~3x cheaper per
+    # row than a JSON parse and reads the same value.
+    prompt = F.coalesce(F.regexp_extract("props", r'"k"\s*:\s*(-?\d+)', 1).try_cast("int"),
+                        F.lit(0))
     completion = (eid % 50).cast("int")
-    df = events.select(
-        F.concat(F.lit("req-"), eid.cast("string")).alias("request_id"),
-        F.sha2(raw_key(uid), 256).alias("api_key"),
-        user.alias("user"),
-        model.alias("model"),
-        F.when(uid % 13 == 0, F.lit(0.0)).otherwise(F.col("value")).alias("spend"),
-        (prompt + completion).alias("total_tokens"),
-        prompt.alias("prompt_tokens"),
-        completion.alias("completion_tokens"),
-        F.lit(None).cast("string").alias("call_type"),
-        F.lit(None).cast("string").alias("cache_hit"),
-        F.lit(None).cast("string").alias("cache_key"),
-        F.col("props").alias("metadata"),
-        F.col("ts").alias("startTime"),
-        (F.col("ts") + F.expr("INTERVAL 5 SECONDS")).alias("endTime"),
-    )
-    return _typed(df, SPEND_LOGS_SCHEMA)
+    return events.select(*_typed({
+        "request_id": F.concat(F.lit("req-"), eid.cast("string")),
+        "api_key": F.sha2(raw_key(uid), 256),
+        "user": user,
+        "model": model,
+        "spend": F.when(uid % 13 == 0, F.lit(0.0)).otherwise(F.col("value")),
+        "total_tokens": prompt + completion,
+        "prompt_tokens": prompt,
+        "completion_tokens": completion,
+        "metadata": F.col("props"),
+        "startTime": F.col("ts"),
+        "endTime": F.col("ts") + F.expr("INTERVAL 5 SECONDS"),
+    }, SPEND_LOGS_SCHEMA))
 
 
 def virtual_keys_from_customer(customer: DataFrame) -> DataFrame:
@@ -79,22 +80,15 @@ def virtual_keys_from_customer(customer: DataFrame) -> DataFrame:
     budget = (F.when(k % 10 == 0, F.lit(None).cast("double"))
               .when(k % 10 == 1, F.lit(0.0))
               .otherwise(F.lit(40.0) * (k % 150 + 1)))
-    df = customer.where(k % 11 != 0).select(
-        F.sha2(raw_key(k), 256).alias("token"),
-        F.when(k % 4 == 0, F.lit("engineering")).otherwise(F.col("c_name")).alias("key_alias"),
-        F.lit(0.0).alias("spend"),
-        budget.alias("max_budget"),
-        F.when(k % 6 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("user-"), ks)).alias("user_id"),
-        F.lit(None).cast("string").alias("team_id"),
-        F.lit(None).cast("string").alias("models"),
-        meta.alias("metadata"),
-        F.lit("2023-12-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
-    )
-    for f in VIRTUAL_KEYS_SCHEMA.fields:
-        if f.name not in df.columns:
-            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return _typed(df, VIRTUAL_KEYS_SCHEMA)
+    return customer.where(k % 11 != 0).select(*_typed({
+        "token": F.sha2(raw_key(k), 256),
+        "key_alias": F.when(k % 4 == 0, F.lit("engineering")).otherwise(F.col("c_name")),
+        "spend": F.lit(0.0),
+        "max_budget": budget,
+        "user_id": F.when(k % 6 == 0, F.lit(None)).otherwise(F.concat(F.lit("user-"), ks)),
+        "metadata": meta,
+        "created_at": F.lit("2023-12-01 00:00:00"),
+    }, VIRTUAL_KEYS_SCHEMA))
 
 
 def auth_attempts_from_events(events: DataFrame) -> DataFrame:
@@ -117,11 +111,21 @@ def auth_attempts_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+_HANDLES: dict = {}
+
+
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(
+    """The two stand-in tables of ``sf_dir`` (lazy plans; reused per session)."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    hit = _HANDLES.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    t = Tables(
         logs=spend_logs_from_events(_read(spark, sf_dir, "events")),
         keys=virtual_keys_from_customer(_read(spark, sf_dir, "customer")),
     )
+    _HANDLES[key] = (spark, t)
+    return t
 
 
 def load_auth_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
