@@ -25,7 +25,13 @@ MEASURE_COLS = ("spend", "requests", "tokens", "prompt_tokens", "completion_toke
 
 
 def log_facts(logs: DataFrame, rng: TimeRange, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
-    """F2 (closed range on startTime, pushed to the scan) + per-row measures."""
+    """F2 (closed range on startTime, pushed to the scan) + per-row measures.
+
+    On the day-partitioned layout (a ``day`` column is present) the matching
+    day range is added as well, so only those partition folders are listed.
+    """
+    if "day" in logs.columns:
+        logs = logs.where(F.col("day").between(F.lit(rng.first_day), F.lit(rng.last_day)))
     return logs.where(rng.contains(F.col("startTime"))).select(
         "api_key",
         utc_day(F.col("startTime")).alias("day"),
