@@ -260,6 +260,14 @@ def _rollup_out(df: DataFrame) -> DataFrame:
                      "requests", "tokens", "prompt_tokens", "completion_tokens")
 
 
+def _job_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for a multi-job pipeline: shuffle (and state-store)
+    partitions follow the cluster's parallelism; the caller's session is untouched."""
+    job = spark.newSession()
+    job.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return job
+
+
 def _run_stream(spark, sf_dir, late_first_chunk: bool):
     t = load_tables(spark, sf_dir)
     work = work_dir(spark, "stream")
@@ -275,20 +283,24 @@ def _run_stream(spark, sf_dir, late_first_chunk: bool):
 
 
 def _stream_daily(spark, sf_dir):
-    return _rollup_out(_run_stream(spark, sf_dir, False).rollup(spark))
+    job = _job_session(spark)
+    return _rollup_out(_run_stream(job, sf_dir, False).rollup(job))
 
 
 def _stream_reconcile(spark, sf_dir):
-    return _rollup_out(_run_stream(spark, sf_dir, True).rollup(spark))
+    job = _job_session(spark)
+    return _rollup_out(_run_stream(job, sf_dir, True).rollup(job))
 
 
 def _stream_budget_alerts(spark, sf_dir):
-    return _run_stream(spark, sf_dir, False).alerts(spark)
+    job = _job_session(spark)
+    return _run_stream(job, sf_dir, False).alerts(job)
 
 
 def _refresh_bundle(spark, sf_dir):
-    return bundle.refresh(spark, load_tables(spark, sf_dir), AS_OF, Period.WEEK,
-                          work_dir(spark, "bundle"))
+    job = _job_session(spark)
+    return bundle.refresh(job, load_tables(job, sf_dir), AS_OF, Period.WEEK,
+                          work_dir(job, "bundle"))
 
 
 def _register_streaming(q: dict[str, Query]) -> None:

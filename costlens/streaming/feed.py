@@ -46,7 +46,7 @@ def land(logs: DataFrame, landing: str, lo: date, hi: date) -> None:
 
 def replay(spark: SparkSession, logs: DataFrame, keys: DataFrame, store: Store, work: str,
            chunk_days: int = 6, lateness: str = "1 day", late_first_chunk: bool = False,
-           cfg: ReportConfig = DEFAULT_CONFIG):
+           cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None):
     """Land the log chunk by chunk, running the stream after each; returns
     (first day, last day, last progress)."""
     bounds = day_bounds(logs)
@@ -59,5 +59,5 @@ def replay(spark: SparkSession, logs: DataFrame, keys: DataFrame, store: Store,
     for lo, hi in parts:
         land(logs, f"{work}/landing", lo, hi)
         progress = run_once(spark, f"{work}/landing", store, f"{work}/checkpoint", keys,
-                            lateness, cfg) or progress
+                            lateness, cfg, state_partitions) or progress
     return bounds[0], bounds[1], progress

@@ -50,13 +50,22 @@ def closed_days(stream: DataFrame, lateness: str, cfg: ReportConfig = DEFAULT_CO
 
 def run_once(spark: SparkSession, landing: str, store: Store, checkpoint: str,
              keys: DataFrame, lateness: str = "1 day",
-             cfg: ReportConfig = DEFAULT_CONFIG) -> dict | None:
+             cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None) -> dict | None:
     """Process everything landed so far (``availableNow``) and stop.
 
     Returns the last progress report (it carries the event-time watermark).
     A scheduler would instead keep one query running with
     ``trigger(processingTime='5 minutes')``; the plan is the same.
+
+    ``state_partitions`` sets how many state-store partitions the stateful
+    operators get on the query's first start (later restarts keep the number
+    recorded in the checkpoint).  It is applied on a cloned session, so the
+    caller's session settings are untouched; size it to the state (request ids
+    of one lateness span plus the open day groups), not to the input.
     """
+    if state_partitions:
+        spark = spark.newSession()
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     src = spark.readStream.schema(SPEND_LOGS_SCHEMA).parquet(landing)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
