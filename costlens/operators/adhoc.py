@@ -38,8 +38,7 @@ def alias_month_summary(tables: Tables, as_of: datetime, alias: str,
     month's logs by key once, then LEFT join from the alias' key rows.
     """
     rng = month_sql_window(as_of)
-    month = (log_facts(tables.logs, rng, cfg).join(_alias_tokens(tables.keys, alias), "api_key",
-                                                   "left_semi")
+    month = (log_facts(tables.logs, rng, cfg)
              .groupBy("api_key").agg(F.sum("spend").alias("month_spend")))
     k = tables.keys.where(F.col("key_alias") == F.lit(alias))
     j = k.join(month, k["token"] == month["api_key"], "left")

@@ -109,15 +109,23 @@ def order_days_asc(df: DataFrame) -> DataFrame:
 
 def section_counts(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
                    rollup: DataFrame | None = None) -> DataFrame:
-    """Number of models, projects and days per key (0 when a section is empty)."""
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("api_key").agg(F.count(F.lit(1)).alias(name))
-
-    base = key_tokens(tables.keys)
-    for df, name in ((by_model(tables, as_of, period, cfg, rollup), "models"),
-                     (by_project(tables, as_of, period, cfg, rollup), "projects"),
-                     (daily(tables, as_of, period, cfg, rollup), "days")):
-        base = base.join(counted(df, name), "api_key", "left")
+    """Number of models, projects and days per key (0 when a section is empty).
+
+    One scan: facts are aggregated once to (api_key, day, per-key model), and
+    the three counts are taken from that: distinct non-empty models among
+    rows with a model (as in ``by_model``), 1 project when the key's spend is
+    non-zero (``by_project``), distinct days (``daily``).
+    """
+    f = _period_facts(tables, as_of, period, cfg, rollup)
+    g = (f.groupBy("api_key", "day", per_key_model(F.col("model")).alias("name"),
+                   has_model(F.col("model")).alias("modelled"))
+         .agg(F.sum("spend").alias("spend")))
+    counted_model = F.when(F.col("modelled") & (F.col("name") != F.lit("")), F.col("name"))
+    per_key = g.groupBy("api_key").agg(
+        F.count_distinct(counted_model).alias("models"),
+        F.when(F.sum("spend") != 0, F.lit(1)).otherwise(F.lit(0)).alias("projects"),
+        F.count_distinct("day").alias("days"))
+    base = key_tokens(tables.keys).join(per_key, "api_key", "left")
     return base.select("api_key", F.lit(parse_period(period).value).alias("period"),
                        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
                          for c in ("models", "projects", "days")])
