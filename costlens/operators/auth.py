@@ -16,9 +16,12 @@ from costlens.operators.budgets import identities
 
 
 def _normalised(attempts: DataFrame) -> DataFrame:
+    # A missing key becomes '' (it matches no token).  Being provably non-NULL,
+    # the join key also gets no inferred IS NOT NULL filter, which Spark would
+    # push below this projection and so hash every key a second time.
     key = strip_bearer(F.col("presented_key"))
     return attempts.select("request_id", key.alias("_key"),
-                           stored_key(key).alias("api_key"))
+                           F.coalesce(stored_key(key), F.lit("")).alias("api_key"))
 
 
 def authenticated(attempts: DataFrame, keys: DataFrame) -> DataFrame:

@@ -41,11 +41,17 @@ def _period_facts(tables, as_of, period, cfg, rollup):
     return facts(tables.logs, period_range(period, as_of), cfg, rollup)
 
 
+def spend_by_key(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
+                 rollup: DataFrame | None = None) -> DataFrame:
+    """(api_key, spend) for keys with rows in the period; spend is an exact decimal."""
+    return (_period_facts(tables, as_of, period, cfg, rollup)
+            .groupBy("api_key").agg(F.sum("spend").alias("spend")))
+
+
 def total_spend(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
                 rollup: DataFrame | None = None) -> DataFrame:
     """A1 + X10: period spend per key; a key without rows gets 0.0."""
-    spend = (_period_facts(tables, as_of, period, cfg, rollup)
-             .groupBy("api_key").agg(F.sum("spend").alias("spend")))
+    spend = spend_by_key(tables, as_of, period, cfg, rollup)
     return (key_tokens(tables.keys).join(spend, "api_key", "left")
             .select("api_key",
                     F.lit(parse_period(period).value).alias("period"),

@@ -17,7 +17,8 @@ from costlens.config import (DEFAULT_CONFIG, STATE_EXCEEDED, STATE_NORMAL, STATE
                              ReportConfig)
 from costlens.functions.keys import email_from_metadata, identity_id
 from costlens.functions.money import percent_of
-from costlens.operators.breakdowns import total_spend
+from costlens.functions.money import to_double
+from costlens.operators.breakdowns import spend_by_key
 from costlens.periods import Period, parse_period
 from costlens.sources.tables import Tables
 
@@ -63,8 +64,9 @@ def budget_lookup(requested: DataFrame, keys: DataFrame,
 def summary(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
             rollup: DataFrame | None = None) -> DataFrame:
     """Period spend against the monthly cap (B2 remaining, B3 used %)."""
-    spend = total_spend(tables, as_of, period, cfg, rollup)
-    j = key_budgets(tables.keys, cfg).join(spend.select("api_key", "spend"), "api_key", "left")
+    spend = spend_by_key(tables, as_of, period, cfg, rollup)
+    j = (key_budgets(tables.keys, cfg).join(spend, "api_key", "left")
+         .withColumn("spend", F.coalesce(to_double(F.col("spend")), F.lit(0.0))))
     return j.select(
         "api_key", "user_id",
         F.lit(parse_period(period).value).alias("period"),

@@ -16,7 +16,7 @@ AS_OF = FIXED_AS_OF
 BASE = r"""
 spend_logs AS (
   SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id,
-         sha256('sk-user-' || CAST(user_id AS VARCHAR)) AS api_key,
+         COALESCE(sha256('sk-user-' || CAST(user_id AS VARCHAR)), '') AS api_key,
          CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'default_user_id'
               ELSE 'user-' || CAST(user_id AS VARCHAR) END AS "user",
          CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'openai/'
@@ -37,7 +37,7 @@ spend_logs AS (
   FROM events
 ),
 virtual_keys AS (
-  SELECT sha256('sk-user-' || CAST(c_custkey AS VARCHAR)) AS token,
+  SELECT COALESCE(sha256('sk-user-' || CAST(c_custkey AS VARCHAR)), '') AS token,
          CASE WHEN c_custkey % 4 = 0 THEN 'engineering' ELSE c_name END AS key_alias,
          CAST(0.0 AS DOUBLE) AS spend,
          CAST(CASE c_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 0.0
@@ -272,7 +272,7 @@ AUTH_CTES = (r"""attempts AS (
               ELSE 'sk-revoked-' || CAST(user_id AS VARCHAR) END AS presented_key
   FROM events)""", """norm AS (
   SELECT request_id, k0 AS _key,
-         CASE WHEN starts_with(k0, 'sk-') THEN sha256(k0) ELSE k0 END AS api_key
+         COALESCE(CASE WHEN starts_with(k0, 'sk-') THEN sha256(k0) ELSE k0 END, '') AS api_key
   FROM (SELECT request_id,
                CASE WHEN starts_with(presented_key, 'Bearer ') THEN substr(presented_key, 8)
                     ELSE presented_key END AS k0
