@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from costlens.config import (DEFAULT_CONFIG, STATE_EXCEEDED, STATE_NORMAL, STATE_WARNING,
                              ReportConfig)
-from costlens.functions.keys import email_from_metadata, identity_id
+from costlens.functions.keys import (email_from_metadata, identity_email, identity_id,
+                                     key_prefix_mask)
 from costlens.functions.money import percent_of
 from costlens.functions.money import to_double
 from costlens.operators.breakdowns import spend_by_key
@@ -106,7 +107,6 @@ def over_budget(budget: DataFrame) -> DataFrame:
 
 def identities(keys: DataFrame) -> DataFrame:
     """Identity of every key row (id, email, masked token)."""
-    from costlens.functions.keys import identity_email, key_prefix_mask
     ident = identity_id(F.col("user_id"), F.col("token"))
     return keys.select(
         F.col("token").alias("api_key"),

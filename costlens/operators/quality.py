@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costlens.config import DEFAULT_CONFIG
+from costlens.operators import admin, breakdowns, budgets
+
 # Fixed rules of the report models: field -> (min, max); None = unbounded.
 SUMMARY_RULES = {"spend": (0, None), "budget": (0, None), "budget_used_percent": (0, None)}
 SHARE_RULES = {"spend": (0, None), "percentage": (0, 100), "requests": (0, None),
@@ -51,3 +54,15 @@ def all_violations(parts: list[DataFrame]) -> DataFrame:
 def duplicate_keys(df: DataFrame, pk: str) -> DataFrame:
     """V3: primary-key values that occur more than once, with their count."""
     return df.groupBy(pk).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
+def report_violations(tables, as_of, cfg=None) -> DataFrame:
+    """V1 over the month's summary, by-model, daily, budget and all-keys reports."""
+    cfg = cfg or DEFAULT_CONFIG
+    return all_violations([
+        violations(budgets.summary(tables, as_of, "month", cfg), "summary", SUMMARY_RULES),
+        violations(breakdowns.by_model(tables, as_of, "month", cfg), "by_model", SHARE_RULES),
+        violations(breakdowns.daily(tables, as_of, "month", cfg), "daily", DAILY_RULES),
+        violations(budgets.budget_report(tables, as_of, cfg), "budget", BUDGET_RULES),
+        violations(admin.key_day_model(tables, as_of, cfg=cfg), "admin", ADMIN_RULES),
+    ])

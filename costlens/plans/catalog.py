@@ -1,7 +1,7 @@
 """Registered queries: ``name -> (spark, sf_dir) -> DataFrame``.
 
 Each runs one report over the whole stand-in tables of ``sf_dir`` with the
-fixed clock ``FIXED_AS_OF``.
+fixed clock ``FIXED_AS_OF``; this module only wires inputs to operators.
 """
 
 from __future__ import annotations
@@ -9,257 +9,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from costlens.config import DEFAULT_CONFIG, FIXED_AS_OF
-from costlens.operators import admin, breakdowns, budgets
+from costlens.functions.models import all_keys_model, per_key_model
+from costlens.operators import admin, adhoc, auth, breakdowns, budgets, quality, reshape, texts
 from costlens.periods import Period
-from costlens.sources.testdata import load_tables
+from costlens.session import work_dir
+from costlens.sources import load as idempotent
+from costlens.sources.sinks import nested
+from costlens.sources.testdata import load_auth_attempts, load_tables, replayed_batches
+from costlens.streaming import bundle
+from costlens.streaming.feed import replay
+from costlens.streaming.reconcile import reconcile_days, reconcile_mismatched
+from costlens.streaming.rollup import watermark_day
+from costlens.streaming.store import Store
 
-AS_OF = FIXED_AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
 
-
-def _admin_key_day_model(spark, sf_dir):
-    return admin.key_day_model(load_tables(spark, sf_dir), AS_OF)
-
-
-def _per_period(fn, period: Period) -> Query:
-    def run(spark, sf_dir):
-        return fn(load_tables(spark, sf_dir), AS_OF, period, DEFAULT_CONFIG)
-    run.__name__ = f"{fn.__name__}_{period.value}"
-    return run
-
-
-def _budget_month(spark, sf_dir):
-    return budgets.budget_report(load_tables(spark, sf_dir), AS_OF)
-
-
-def _over_budget_keys(spark, sf_dir):
-    return budgets.over_budget(budgets.budget_report(load_tables(spark, sf_dir), AS_OF))
-
-
-def _budget_resolved(spark, sf_dir):
-    t = load_tables(spark, sf_dir)
-    requested = t.logs.select("api_key").distinct()
-    return budgets.budget_lookup(requested, t.keys)
-
-
-def _identity(spark, sf_dir):
-    return budgets.identities(load_tables(spark, sf_dir).keys)
-
-
-def registered_queries() -> dict[str, Query]:
-    q: dict[str, Query] = {"admin_key_day_model": _admin_key_day_model}
-    for p in Period:
-        q[f"total_spend_{p.value}"] = _per_period(breakdowns.total_spend, p)
-        q[f"summary_{p.value}"] = _per_period(budgets.summary, p)
-    for p in (Period.WEEK, Period.MONTH):
-        q[f"by_model_{p.value}"] = _per_period(breakdowns.by_model, p)
-        q[f"daily_{p.value}"] = _per_period(breakdowns.daily, p)
-    q["by_project_month"] = _per_period(breakdowns.by_project, Period.MONTH)
-    q["section_counts"] = _per_period(breakdowns.section_counts, Period.MONTH)
-    q["budget_month"] = _budget_month
-    q["over_budget_keys"] = _over_budget_keys
-    q["budget_resolved"] = _budget_resolved
-    q["identity"] = _identity
-    _register_more(q)
-    _register_streaming(q)
-    return q
-
-
-# ---------------------------------------------------------------- ad hoc, keys
-from costlens.functions import display as D  # noqa: E402
-from costlens.operators import adhoc, auth, quality, reshape  # noqa: E402
-from costlens.sources import load as S3  # noqa: E402
-from costlens.sources.sinks import nested  # noqa: E402
-from costlens.sources.testdata import load_auth_attempts  # noqa: E402
-from costlens.functions.models import all_keys_model, per_key_model  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-from datetime import timedelta  # noqa: E402
-
-# Fixed parameters of the registered queries: the shared alias used by the
-# operator's SQL, and one presented key for the single-key report.
+# Fixed parameters of the registered queries: the clock, the shared alias used
+# by the operator's SQL, one presented key for the single-key report, and the
+# stream's landing chunk size and allowed lateness.
+AS_OF = FIXED_AS_OF
 ALIAS = "engineering"
 ONE_KEY = "Bearer sk-user-7"
+CHUNK_DAYS = 6
+LATENESS = "1 day"
 
 
-def _alias(fn):
+def _tables_query(fn) -> Query:
     def run(spark, sf_dir):
-        t = load_tables(spark, sf_dir)
-        return fn(t, AS_OF, ALIAS) if fn is not adhoc.alias_keys else fn(t.keys, ALIAS)
-    run.__name__ = fn.__name__
+        return fn(load_tables(spark, sf_dir))
     return run
 
 
-def _key_auth_valid(spark, sf_dir):
-    return auth.authenticated(load_auth_attempts(spark, sf_dir), load_tables(spark, sf_dir).keys)
-
-
-def _key_auth_rejected(spark, sf_dir):
-    return auth.rejected(load_auth_attempts(spark, sf_dir), load_tables(spark, sf_dir).keys)
-
-
-def _one_key_by_model(spark, sf_dir):
-    t = breakdowns.one_key(load_tables(spark, sf_dir), ONE_KEY)
-    return breakdowns.by_model(t, AS_OF, Period.MONTH)
-
-
-def _load_batches(spark, sf_dir):
-    """Existing table = logs before the clock; a replayed incoming batch
-    overlaps it by two days and repeats one day within itself."""
-    logs = load_tables(spark, sf_dir).logs
-    st = F.col("startTime")
-    cut = F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz")
-    existing = logs.where(st < cut)
-    incoming = (logs.where(st >= cut - F.expr("INTERVAL 2 DAYS"))
-                .unionByName(logs.where((st >= cut - F.expr("INTERVAL 1 DAYS"))
-                                        & (st < cut + F.expr("INTERVAL 1 DAYS")))))
-    return existing, incoming
-
-
-def _idempotent_load(spark, sf_dir):
-    existing, incoming = _load_batches(spark, sf_dir)
-    return S3.merged(existing, incoming)
+def _per_period(fn, period: Period) -> Query:
+    return _tables_query(lambda t: fn(t, AS_OF, period, DEFAULT_CONFIG))
 
 
-def _duplicate_request_ids(spark, sf_dir):
-    _, incoming = _load_batches(spark, sf_dir)
-    return quality.duplicate_keys(incoming, "request_id")
+# ------------------------------------------------------------------- batch reports
+def _budget_resolved(t):
+    return budgets.budget_lookup(t.logs.select("api_key").distinct(), t.keys)
 
 
-def _model_names(spark, sf_dir):
+def _model_names(t):
     m = F.col("model")
-    return (load_tables(spark, sf_dir).logs.select("model").distinct()
+    return (t.logs.select("model").distinct()
             .select(m.alias("model"), per_key_model(m).alias("per_key_model"),
                     all_keys_model(m).alias("all_keys_model")))
 
 
-def _admin_cube(spark, sf_dir):
-    return admin.admin_rollup(load_tables(spark, sf_dir), AS_OF)
-
-
-def _admin_pivot(spark, sf_dir):
-    return admin.admin_pivot(load_tables(spark, sf_dir), AS_OF)
-
-
-def _token_breakdown(spark, sf_dir):
-    t = load_tables(spark, sf_dir)
-    m = reshape.token_breakdown(breakdowns.by_model(t, AS_OF, Period.MONTH), "model", "model")
-    p = reshape.token_breakdown(breakdowns.by_project(t, AS_OF, Period.MONTH), "project", "project")
-    return m.unionByName(p)
-
-
-def _summary_lines(spark, sf_dir):
-    t = load_tables(spark, sf_dir)
-    return reshape.summary_lines(budgets.summary(t, AS_OF, Period.MONTH),
-                                 budgets.budget_report(t, AS_OF))
-
-
-def _status_text(spark, sf_dir):
-    t = load_tables(spark, sf_dir)
-    s = budgets.summary(t, AS_OF, Period.MONTH)
-    b = budgets.budget_report(t, AS_OF).select("api_key", "state", "spent", "used_percent",
-                                               "monthly_budget")
-    j = s.join(b, "api_key", "left")
-    # The monthly budget figures when present, else the summary's.
-    spend = F.coalesce(F.col("spent"), F.col("spend"))
-    percent = F.coalesce(F.col("used_percent"), F.col("budget_used_percent"))
-    cap = F.coalesce(F.col("monthly_budget"), F.col("budget"))
-    st = F.col("state")
-    return j.select(
-        "api_key", st.alias("state"),
-        D.status_text(st, D.status_display(spend, percent, D.FORMAT_AMOUNT)).alias("text_amount"),
-        D.status_text(st, D.status_display(spend, percent, D.FORMAT_PERCENTAGE)).alias("text_percentage"),
-        D.status_text(st, D.status_display(spend, percent, D.FORMAT_BOTH)).alias("text_both"),
-        D.state_message(st, spend, cap, percent).alias("tooltip"))
-
-
-def _breakdown_label(spark, sf_dir):
-    rows = breakdowns.by_model(load_tables(spark, sf_dir), AS_OF, Period.MONTH)
-    return rows.select(
-        "api_key", "model",
-        D.breakdown_description(F.col("spend"), F.col("percentage"), F.col("tokens")).alias("description"),
-        D.breakdown_tooltip(F.col("requests"), F.col("tokens"), F.col("prompt_tokens"),
-                            F.col("completion_tokens")).alias("tooltip"))
-
-
-def _currency_text(spark, sf_dir):
-    b = budgets.budget_report(load_tables(spark, sf_dir), AS_OF)
-    return b.select("api_key", "currency",
-                    D.currency_text(F.col("spent"), F.col("currency")).alias("spent_text"),
-                    D.currency_text(F.col("remaining"), F.lit("USD")).alias("remaining_usd_text"),
-                    D.currency_text(F.col("monthly_budget"), F.lit("CHF")).alias("budget_chf_text"))
-
-
-def _daily_label(spark, sf_dir):
-    d = breakdowns.daily(load_tables(spark, sf_dir), AS_OF, Period.MONTH)
-    return d.select("api_key", "date", D.daily_label(F.col("date"), F.col("spend")).alias("label"))
-
-
-def _report_violations(spark, sf_dir):
-    t = load_tables(spark, sf_dir)
-    parts = [
-        quality.violations(budgets.summary(t, AS_OF, Period.MONTH), "summary", quality.SUMMARY_RULES),
-        quality.violations(breakdowns.by_model(t, AS_OF, Period.MONTH), "by_model", quality.SHARE_RULES),
-        quality.violations(breakdowns.daily(t, AS_OF, Period.MONTH), "daily", quality.DAILY_RULES),
-        quality.violations(budgets.budget_report(t, AS_OF), "budget", quality.BUDGET_RULES),
-        quality.violations(admin.key_day_model(t, AS_OF), "admin", quality.ADMIN_RULES),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _nested_report(spark, sf_dir):
-    rows = breakdowns.by_model(load_tables(spark, sf_dir), AS_OF, Period.MONTH)
-    rows = rows.withColumn("currency", F.lit(DEFAULT_CONFIG.currency))
+def _nested_report(t):
+    rows = breakdowns.by_model(t, AS_OF, Period.MONTH).withColumn(
+        "currency", F.lit(DEFAULT_CONFIG.currency))
     return nested(rows, ["api_key", "period", "currency"], "models",
                   ["model", "spend", "percentage", "requests", "tokens", "prompt_tokens",
                    "completion_tokens"])
 
 
-def _register_more(q: dict[str, Query]) -> None:
-    q["alias_keys"] = _alias(adhoc.alias_keys)
-    q["alias_month_summary"] = _alias(adhoc.alias_month_summary)
-    q["alias_by_model"] = _alias(adhoc.alias_by_model)
-    q["alias_daily"] = _alias(adhoc.alias_daily)
-    q["key_auth_valid"] = _key_auth_valid
-    q["key_auth_rejected"] = _key_auth_rejected
-    q["one_key_by_model"] = _one_key_by_model
-    q["idempotent_load"] = _idempotent_load
-    q["duplicate_request_ids"] = _duplicate_request_ids
-    q["model_names"] = _model_names
-    q["admin_cube"] = _admin_cube
-    q["admin_pivot"] = _admin_pivot
-    q["token_breakdown"] = _token_breakdown
-    q["summary_lines"] = _summary_lines
-    q["status_text"] = _status_text
-    q["breakdown_label"] = _breakdown_label
-    q["currency_text"] = _currency_text
-    q["daily_label"] = _daily_label
-    q["report_violations"] = _report_violations
-    q["nested_report"] = _nested_report
-
-
-# ---------------------------------------------------------------- streaming
-from costlens.session import work_dir  # noqa: E402
-from costlens.streaming import bundle  # noqa: E402
-from costlens.streaming.feed import replay  # noqa: E402
-from costlens.streaming.reconcile import reconcile_days, reconcile_mismatched  # noqa: E402
-from costlens.streaming.rollup import watermark_day  # noqa: E402
-from costlens.streaming.store import Store  # noqa: E402
-
-# Fixed stream parameters for the registered queries.
-CHUNK_DAYS = 6
-LATENESS = "1 day"
-
-
-def _rollup_out(df: DataFrame) -> DataFrame:
-    return df.select("day", "api_key", "model", F.col("spend").cast("double").alias("spend"),
-                     "requests", "tokens", "prompt_tokens", "completion_tokens")
+def _key_auth(fn) -> Query:
+    def run(spark, sf_dir):
+        return fn(load_auth_attempts(spark, sf_dir), load_tables(spark, sf_dir).keys)
+    return run
 
 
+# ------------------------------------------------------------------- streaming
 def _job_session(spark: SparkSession) -> SparkSession:
     """A session of its own for a multi-job pipeline: shuffle (and state-store)
     partitions follow the cluster's parallelism; the caller's session is untouched."""
@@ -268,7 +82,7 @@ def _job_session(spark: SparkSession) -> SparkSession:
     return job
 
 
-def _run_stream(spark, sf_dir, late_first_chunk: bool):
+def _run_stream(spark, sf_dir, late_first_chunk: bool) -> Store:
     t = load_tables(spark, sf_dir)
     work = work_dir(spark, "stream")
     store = Store(f"{work}/store")
@@ -282,14 +96,16 @@ def _run_stream(spark, sf_dir, late_first_chunk: bool):
     return store
 
 
-def _stream_daily(spark, sf_dir):
-    job = _job_session(spark)
-    return _rollup_out(_run_stream(job, sf_dir, False).rollup(job))
+def _rollup_out(df: DataFrame) -> DataFrame:
+    return df.select("day", "api_key", "model", F.col("spend").cast("double").alias("spend"),
+                     "requests", "tokens", "prompt_tokens", "completion_tokens")
 
 
-def _stream_reconcile(spark, sf_dir):
-    job = _job_session(spark)
-    return _rollup_out(_run_stream(job, sf_dir, True).rollup(job))
+def _stream_rollup(late_first_chunk: bool) -> Query:
+    def run(spark, sf_dir):
+        job = _job_session(spark)
+        return _rollup_out(_run_stream(job, sf_dir, late_first_chunk).rollup(job))
+    return run
 
 
 def _stream_budget_alerts(spark, sf_dir):
@@ -303,8 +119,52 @@ def _refresh_bundle(spark, sf_dir):
                           work_dir(job, "bundle"))
 
 
-def _register_streaming(q: dict[str, Query]) -> None:
-    q["stream_daily"] = _stream_daily
-    q["stream_reconcile"] = _stream_reconcile
+def registered_queries() -> dict[str, Query]:
+    q: dict[str, Query] = {
+        "admin_key_day_model": _tables_query(lambda t: admin.key_day_model(t, AS_OF)),
+    }
+    for p in Period:
+        q[f"total_spend_{p.value}"] = _per_period(breakdowns.total_spend, p)
+        q[f"summary_{p.value}"] = _per_period(budgets.summary, p)
+    for p in (Period.WEEK, Period.MONTH):
+        q[f"by_model_{p.value}"] = _per_period(breakdowns.by_model, p)
+        q[f"daily_{p.value}"] = _per_period(breakdowns.daily, p)
+    q["by_project_month"] = _per_period(breakdowns.by_project, Period.MONTH)
+    q["section_counts"] = _per_period(breakdowns.section_counts, Period.MONTH)
+    q["budget_month"] = _tables_query(lambda t: budgets.budget_report(t, AS_OF))
+    q["over_budget_keys"] = _tables_query(
+        lambda t: budgets.over_budget(budgets.budget_report(t, AS_OF)))
+    q["budget_resolved"] = _tables_query(_budget_resolved)
+    q["identity"] = _tables_query(lambda t: budgets.identities(t.keys))
+    q["alias_keys"] = _tables_query(lambda t: adhoc.alias_keys(t.keys, ALIAS))
+    q["alias_month_summary"] = _tables_query(lambda t: adhoc.alias_month_summary(t, AS_OF, ALIAS))
+    q["alias_by_model"] = _tables_query(lambda t: adhoc.alias_by_model(t, AS_OF, ALIAS))
+    q["alias_daily"] = _tables_query(lambda t: adhoc.alias_daily(t, AS_OF, ALIAS))
+    q["key_auth_valid"] = _key_auth(auth.authenticated)
+    q["key_auth_rejected"] = _key_auth(auth.rejected)
+    q["one_key_by_model"] = _tables_query(
+        lambda t: breakdowns.by_model(breakdowns.one_key(t, ONE_KEY), AS_OF, Period.MONTH))
+    q["idempotent_load"] = _tables_query(
+        lambda t: idempotent.merged(*replayed_batches(t.logs, AS_OF)))
+    q["duplicate_request_ids"] = _tables_query(
+        lambda t: quality.duplicate_keys(replayed_batches(t.logs, AS_OF)[1], "request_id"))
+    q["model_names"] = _tables_query(_model_names)
+    q["admin_cube"] = _tables_query(lambda t: admin.admin_rollup(t, AS_OF))
+    q["admin_pivot"] = _tables_query(lambda t: admin.admin_pivot(t, AS_OF))
+    q["token_breakdown"] = _tables_query(lambda t: texts.token_breakdowns(t, AS_OF))
+    q["summary_lines"] = _tables_query(lambda t: reshape.summary_lines(
+        budgets.summary(t, AS_OF, Period.MONTH), budgets.budget_report(t, AS_OF)))
+    q["status_text"] = _tables_query(lambda t: texts.status_report(t, AS_OF))
+    q["breakdown_label"] = _tables_query(
+        lambda t: texts.model_labels(breakdowns.by_model(t, AS_OF, Period.MONTH)))
+    q["currency_text"] = _tables_query(
+        lambda t: texts.budget_money_texts(budgets.budget_report(t, AS_OF)))
+    q["daily_label"] = _tables_query(
+        lambda t: texts.daily_labels(breakdowns.daily(t, AS_OF, Period.MONTH)))
+    q["report_violations"] = _tables_query(lambda t: quality.report_violations(t, AS_OF))
+    q["nested_report"] = _tables_query(_nested_report)
+    q["stream_daily"] = _stream_rollup(False)
+    q["stream_reconcile"] = _stream_rollup(True)
     q["stream_budget_alerts"] = _stream_budget_alerts
     q["refresh_bundle"] = _refresh_bundle
+    return q

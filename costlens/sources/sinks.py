@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def nested(rows: DataFrame, header: list[str], list_name: str, item_cols: list[str],
-           sort_first: str | None = None) -> DataFrame:
-    """One row per key with the report's items as a sorted array of structs.
+def nested(rows: DataFrame, header: list[str], list_name: str, item_cols: list[str]) -> DataFrame:
+    """One row per header with the report's items as an array of structs,
+    sorted by the item fields in the given order.
 
     The list per key is bounded by the report's grain (models, projects or
     days of one period), so it never gathers an unbounded group.
     """
-    items = F.struct(*[F.col(c) for c in ([sort_first] if sort_first else []) + item_cols
-                       if c is not None])
+    items = F.struct(*[F.col(c) for c in item_cols])
     return rows.groupBy(*header).agg(F.sort_array(F.collect_list(items)).alias(list_name))
 
 

@@ -132,3 +132,16 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 def load_auth_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auth_attempts_from_events(_read(spark, sf_dir, "events"))
+
+
+def replayed_batches(logs: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
+    """(existing, incoming) for the idempotent load: the table holds the rows
+    before ``cut``; a replayed incoming batch overlaps it by two days and
+    repeats one day within itself."""
+    st = F.col("startTime")
+    c = F.lit(cut.isoformat(sep=" ")).cast("timestamp_ntz")
+    existing = logs.where(st < c)
+    incoming = (logs.where(st >= c - F.expr("INTERVAL 2 DAYS"))
+                .unionByName(logs.where((st >= c - F.expr("INTERVAL 1 DAYS"))
+                                        & (st < c + F.expr("INTERVAL 1 DAYS")))))
+    return existing, incoming
