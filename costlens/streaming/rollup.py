@@ -8,7 +8,9 @@ watermark passes its end -> ``foreachBatch`` publishes the closed days
 (``store.publish_days``), idempotently.
 
 Days still open when the stream stops, and rows dropped as too late, are
-handled by the reconcile job (``reconcile.py``).
+handled by the reconcile job (``reconcile.py``).  ``run_once`` processes what
+has landed and stops (tests, scheduled jobs); ``start`` keeps one query running
+with a processing-time trigger.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from costlens.config import DEFAULT_CONFIG, ReportConfig
 from costlens.functions.time import event_instant, instant_utc_day
@@ -48,14 +51,28 @@ def closed_days(stream: DataFrame, lateness: str, cfg: ReportConfig = DEFAULT_CO
                       "spend", "requests", "tokens", "prompt_tokens", "completion_tokens")
 
 
+def _writer(spark: SparkSession, landing: str, store: Store, checkpoint: str, keys: DataFrame,
+            lateness: str, cfg: ReportConfig, state_partitions: int | None):
+    if state_partitions:
+        spark = spark.newSession()
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    src = spark.readStream.schema(SPEND_LOGS_SCHEMA).parquet(landing)
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        publish_days(batch.sparkSession, store, batch, keys, cfg)
+
+    return (closed_days(src, lateness, cfg).writeStream
+            .outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(publish))
+
+
 def run_once(spark: SparkSession, landing: str, store: Store, checkpoint: str,
              keys: DataFrame, lateness: str = "1 day",
              cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None) -> dict | None:
     """Process everything landed so far (``availableNow``) and stop.
 
     Returns the last progress report (it carries the event-time watermark).
-    A scheduler would instead keep one query running with
-    ``trigger(processingTime='5 minutes')``; the plan is the same.
 
     ``state_partitions`` sets how many state-store partitions the stateful
     operators get on the query's first start (later restarts keep the number
@@ -63,24 +80,21 @@ def run_once(spark: SparkSession, landing: str, store: Store, checkpoint: str,
     caller's session settings are untouched; size it to the state (request ids
     of one lateness span plus the open day groups), not to the input.
     """
-    if state_partitions:
-        spark = spark.newSession()
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    src = spark.readStream.schema(SPEND_LOGS_SCHEMA).parquet(landing)
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        publish_days(batch.sparkSession, store, batch, keys, cfg)
-
-    q = (closed_days(src, lateness, cfg).writeStream
-         .outputMode("append")
-         .option("checkpointLocation", checkpoint)
-         .foreachBatch(publish)
-         .trigger(availableNow=True)
-         .start())
+    q = _writer(spark, landing, store, checkpoint, keys, lateness, cfg, state_partitions) \
+        .trigger(availableNow=True).start()
     q.awaitTermination()
     return q.lastProgress
 
 
+def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, keys: DataFrame,
+          lateness: str = "1 day", every: str = "5 minutes",
+          cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None) -> StreamingQuery:
+    """The long-running form: one micro-batch every ``every`` (the client's
+    300 s refresh), same plan and checkpoint layout as ``run_once``."""
+    return _writer(spark, landing, store, checkpoint, keys, lateness, cfg, state_partitions) \
+        .trigger(processingTime=every).start()
+
+
 def watermark_day(progress: dict | None) -> date | None:
     """UTC day of the stream's event-time watermark, from its progress report."""
     if not progress:

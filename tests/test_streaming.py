@@ -110,3 +110,22 @@ def test_land_copies_whole_days(spark):
     n = spark.read.parquet(f"{work}/l").count()
     assert n == t.logs.where(F.to_date("startTime").between(F.lit(date(2024, 1, 3)),
                                                              F.lit(date(2024, 1, 4)))).count()
+
+
+def test_long_running_query_publishes_closed_days(spark):
+    from costlens.streaming.rollup import start
+    keys = [key_row(K1, 100.0)]
+    work = work_dir(spark, "t-start")
+    store, landing = Store(f"{work}/store"), f"{work}/landing"
+    batch = [log_row(K1, "2024-01-01 10:00:00", 1.0, request_id="x1"),
+             log_row(K1, "2024-01-03 10:00:00", 2.0, request_id="x2")]
+    t = make_tables(spark, batch, keys)
+    t.logs.write.parquet(landing)
+    q = start(spark, landing, store, f"{work}/ckpt", t.keys, "1 day", every="1 second",
+              state_partitions=2)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = rows(store.rollup(spark), "day", "requests")
+    assert got == [(date(2024, 1, 1), 1)]          # Jan 3 is still open
