@@ -16,6 +16,7 @@ from costlens.config import DEFAULT_CONFIG, ReportConfig
 from costlens.functions.models import has_model
 from costlens.functions.money import round_half_up, safe_div, to_double
 from costlens.operators.facts import log_facts, sum_measures
+from costlens.operators.keyspace import key_side
 from costlens.periods import month_sql_window
 from costlens.sources.tables import Tables
 
@@ -26,8 +27,9 @@ def alias_keys(keys: DataFrame, alias: str) -> DataFrame:
         .select("token", "user_id", "key_alias", "max_budget", "spend")
 
 
-def _alias_tokens(keys: DataFrame, alias: str) -> DataFrame:
-    return keys.where(F.col("key_alias") == F.lit(alias)).select(F.col("token").alias("api_key"))
+def _alias_tokens(keys: DataFrame, alias: str, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
+    side = keys.where(F.col("key_alias") == F.lit(alias)).select(F.col("token").alias("api_key"))
+    return key_side(side, keys, cfg)
 
 
 def alias_month_summary(tables: Tables, as_of: datetime, alias: str,
@@ -60,7 +62,7 @@ def alias_by_model(tables: Tables, as_of: datetime, alias: str,
     f = (log_facts(tables.logs, month_sql_window(as_of), cfg)
          .where(has_model(F.col("model"))))
     per_key = f.groupBy("api_key", "model").agg(*sum_measures("spend", "requests", "tokens"))
-    j = per_key.join(_alias_tokens(tables.keys, alias), "api_key", "inner")
+    j = per_key.join(_alias_tokens(tables.keys, alias, cfg), "api_key", "inner")
     g = j.groupBy("model").agg(*sum_measures("spend", "requests", "tokens"))
     return g.select("model", to_double(round_half_up(F.col("spend"), 4)).alias("spend"),
                     "requests", F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint").alias("tokens"))
@@ -71,7 +73,7 @@ def alias_daily(tables: Tables, as_of: datetime, alias: str,
     """Month spend of the alias' keys per UTC day (all models)."""
     f = log_facts(tables.logs, month_sql_window(as_of), cfg)
     per_key = f.groupBy("api_key", "day").agg(*sum_measures("spend", "requests", "tokens"))
-    j = per_key.join(_alias_tokens(tables.keys, alias), "api_key", "inner")
+    j = per_key.join(_alias_tokens(tables.keys, alias, cfg), "api_key", "inner")
     g = j.groupBy("day").agg(*sum_measures("spend", "requests", "tokens"))
     return g.select(F.col("day").alias("date"),
                     to_double(round_half_up(F.col("spend"), 4)).alias("spend"),

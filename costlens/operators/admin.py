@@ -32,7 +32,7 @@ def key_day_model_exact(tables: Tables, rng: TimeRange, cfg: ReportConfig = DEFA
     f = facts(tables.logs, rng, cfg, rollup).where(has_model(F.col("model")))
     agg = (f.groupBy("api_key", "day", all_keys_model(F.col("model")).alias("model"))
            .agg(*sum_measures()))
-    return with_alias(agg, tables.keys).select(*ADMIN_COLS)
+    return with_alias(agg, tables.keys, cfg).select(*ADMIN_COLS)
 
 
 def key_day_model(tables: Tables, as_of: datetime, start: datetime | None = None,

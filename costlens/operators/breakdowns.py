@@ -63,7 +63,7 @@ def by_model(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAUL
     f = _period_facts(tables, as_of, period, cfg, rollup).where(has_model(F.col("model")))
     agg = (f.groupBy("api_key", per_key_model(F.col("model")).alias("model"))
            .agg(*sum_measures()))
-    agg = only_valid_keys(agg, tables.keys)
+    agg = only_valid_keys(agg, tables.keys, cfg)
     key_total = to_double(F.sum("spend").over(Window.partitionBy("api_key")))
     out = (agg.withColumn("key_total", key_total)
            .withColumn("spend", to_double(F.col("spend")))
@@ -78,7 +78,7 @@ def by_project(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFA
                rollup: DataFrame | None = None) -> DataFrame:
     agg = (_period_facts(tables, as_of, period, cfg, rollup)
            .groupBy("api_key").agg(*sum_measures()))
-    agg = only_valid_keys(agg, tables.keys)
+    agg = only_valid_keys(agg, tables.keys, cfg)
     agg = agg.where(F.col("spend").isNotNull() & (F.col("spend") != 0))
     agg = money_out(agg)
     # One bucket per key, so the key's total is its own spend.
@@ -92,7 +92,7 @@ def daily(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_C
           rollup: DataFrame | None = None) -> DataFrame:
     agg = (_period_facts(tables, as_of, period, cfg, rollup)
            .groupBy("api_key", "day").agg(*sum_measures("spend", "requests", "tokens")))
-    agg = money_out(only_valid_keys(agg, tables.keys))
+    agg = money_out(only_valid_keys(agg, tables.keys, cfg))
     return agg.select("api_key", F.lit(parse_period(period).value).alias("period"),
                       day_start(F.col("day")).alias("date"), "spend", "requests", "tokens")
 

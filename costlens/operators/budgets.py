@@ -20,6 +20,7 @@ from costlens.functions.keys import (email_from_metadata, identity_email, identi
 from costlens.functions.money import percent_of
 from costlens.functions.money import to_double
 from costlens.operators.breakdowns import spend_by_key
+from costlens.operators.keyspace import key_side
 from costlens.periods import Period, parse_period
 from costlens.sources.tables import Tables
 
@@ -54,7 +55,7 @@ def budget_lookup(requested: DataFrame, keys: DataFrame,
     """
     k = keys.select(F.col("token").alias("api_key"), F.col("max_budget"),
                     F.lit(True).alias("_found"))
-    j = requested.select("api_key").join(k, "api_key", "left")
+    j = requested.select("api_key").join(key_side(k, keys, cfg), "api_key", "left")
     source = (F.when(F.col("_found").isNull(), F.lit("default_missing_key"))
               .when(F.col("max_budget") > 0, F.lit("max_budget"))
               .otherwise(F.lit("default_unset")))

@@ -76,3 +76,25 @@ def test_hot_key_is_exact_and_partially_aggregated(spark):
     assert adm.where(F.col("api_key") == hot).agg(F.sum("requests")).first()[0] == 3000
     plan = _physical(adm)
     assert re.search(r"HashAggregate\(keys=\[api_key.*partial_sum", plan)
+
+
+def _analyzed(df) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(extended=True)
+    text = buf.getvalue()
+    return text[text.index("== Analyzed Logical Plan =="):text.index("== Optimized Logical Plan ==")]
+
+
+def test_key_table_broadcast_only_when_count_proves_it_small(spark):
+    from costlens.config import ReportConfig
+    from costlens.operators import admin
+    from costlens.operators.keyspace import has_at_most
+    keys = [key_row(sha(f"sk-{i}")) for i in range(5)]
+    t = make_tables(spark, [log_row(sha("sk-1"), "2024-01-05 10:00:00", 1.0)], keys)
+    assert has_at_most(t.keys, 5) and not has_at_most(t.keys, 4)
+    small = admin.key_day_model(t, AS_OF, cfg=ReportConfig(broadcast_key_rows=5))
+    big = admin.key_day_model(t, AS_OF, cfg=ReportConfig(broadcast_key_rows=4))
+    assert "strategy=broadcast" in _analyzed(small)
+    assert "strategy=broadcast" not in _analyzed(big)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
