@@ -58,7 +58,11 @@ def alias_month_summary(tables: Tables, as_of: datetime, alias: str,
 
 def alias_by_model(tables: Tables, as_of: datetime, alias: str,
                    cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Month spend of the alias' keys per **raw** model, COUNT(*)."""
+    """Month spend of the alias' keys per **raw** model.
+
+    ``requests`` counts request ids, which equals the SQL's COUNT(*) because
+    request_id is never NULL.
+    """
     f = (log_facts(tables.logs, month_sql_window(as_of), cfg)
          .where(has_model(F.col("model"))))
     per_key = f.groupBy("api_key", "model").agg(*sum_measures("spend", "requests", "tokens"))

@@ -101,6 +101,9 @@ def publish_days(spark: SparkSession, store: Store, closed: DataFrame, keys: Dat
     """Write closed (day, api_key, model) rows, then refresh the alerts of their months.
 
     ``closed`` must hold complete days (every group of each day it contains).
+    Alerts are rewritten per month partition; a month whose alerts all vanish
+    after a repair (only possible when a reconcile lowers spend) keeps its old
+    alert files until a later publish writes alerts for that month.
     """
     closed = closed.select(*GRAIN, *MEASURE_COLS).persist()
     try:
