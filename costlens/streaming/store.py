@@ -7,9 +7,10 @@ partitioned by ``day``.  NULL and empty models are kept so every report
 ``alerts``: budget-state changes per key at each closed UTC day, Parquet
 partitioned by ``month``.
 
-Both are written with dynamic partition overwrite, so re-running a micro-batch
-or a reconcile rewrites the same partitions with the same rows (idempotent,
-safe after an executor or driver restart).  The folders live under the shared
+The rollup is written with dynamic partition overwrite of its days, and each
+touched month of alerts is rewritten whole (an empty result clears it), so
+re-running a micro-batch or a reconcile rewrites the same partitions with the
+same rows (idempotent, safe after an executor or driver restart).  The folders live under the shared
 checkpoint folder, never on a machine-local disk.
 """
 
@@ -31,6 +32,8 @@ ROLLUP_SCHEMA = ("day date, api_key string, model string, spend decimal(30,10),
                  "requests bigint, tokens bigint, prompt_tokens bigint, completion_tokens bigint")
 ALERT_COLS = ("api_key", "day", "previous_state", "state", "spent_to_date", "budget",
               "used_percent")
+ALERT_SCHEMA = ("api_key string, day date, previous_state string, state string, "
+                "spent_to_date double, budget double, used_percent double")
 
 
 @dataclass(frozen=True)
@@ -53,11 +56,10 @@ class Store:
 
     def alerts(self, spark: SparkSession) -> DataFrame:
         try:
-            return spark.read.parquet(self.alerts_path).select(*ALERT_COLS)
+            return spark.read.schema(ALERT_SCHEMA + ", month string") \
+                .parquet(self.alerts_path).select(*ALERT_COLS)
         except AnalysisException:
-            return spark.createDataFrame(
-                [], "api_key string, day date, previous_state string, state string, "
-                    "spent_to_date double, budget double, used_percent double")
+            return spark.createDataFrame([], ALERT_SCHEMA)
 
 
 def _overwrite_partitions(df: DataFrame, path: str, col: str) -> None:
@@ -101,9 +103,8 @@ def publish_days(spark: SparkSession, store: Store, closed: DataFrame, keys: Dat
     """Write closed (day, api_key, model) rows, then refresh the alerts of their months.
 
     ``closed`` must hold complete days (every group of each day it contains).
-    Alerts are rewritten per month partition; a month whose alerts all vanish
-    after a repair (only possible when a reconcile lowers spend) keeps its old
-    alert files until a later publish writes alerts for that month.
+    The alerts of every month the batch touches are recomputed from the rollup
+    and replace that month's folder (usually one month, two at a month end).
     """
     closed = closed.select(*GRAIN, *MEASURE_COLS).persist()
     try:
@@ -113,8 +114,14 @@ def publish_days(spark: SparkSession, store: Store, closed: DataFrame, keys: Dat
         _overwrite_partitions(closed, store.rollup_path, "day")
         lo, hi = month_start(bounds["lo"]), month_end(bounds["hi"])
         months = store.rollup(spark).where(F.col("day").between(F.lit(lo), F.lit(hi)))
-        alerts = day_alerts(months, keys, cfg).withColumn(
-            "month", F.date_format("day", "yyyy-MM"))
-        _overwrite_partitions(alerts, store.alerts_path, "month")
+        alerts = day_alerts(months, keys, cfg).persist()
+        try:
+            m = lo
+            while m <= hi:
+                (alerts.where(F.trunc("day", "month") == F.lit(m)).write.mode("overwrite")
+                 .parquet(f"{store.alerts_path}/month={m:%Y-%m}"))
+                m = month_end(m) + timedelta(days=1)
+        finally:
+            alerts.unpersist()
     finally:
         closed.unpersist()

@@ -129,3 +129,20 @@ def test_long_running_query_publishes_closed_days(spark):
         q.stop()
     got = rows(store.rollup(spark), "day", "requests")
     assert got == [(date(2024, 1, 1), 1)]          # Jan 3 is still open
+
+
+def test_republishing_a_day_replaces_its_alerts(spark):
+    from costlens.streaming.store import ROLLUP_SCHEMA, publish_days
+    keys = make_tables(spark, [], [key_row(K1, 10.0)]).keys
+    store = Store(work_dir(spark, "t-repub") + "/store")
+
+    def day_rows(spend):
+        return spark.createDataFrame([(date(2024, 1, 2), K1, "m", spend, 1, 1, 1, 0)],
+                                     ROLLUP_SCHEMA.replace("decimal(30,10)", "double")) \
+            .withColumn("spend", F.col("spend").cast("decimal(30,10)"))
+
+    publish_days(spark, store, day_rows(12.0), keys)
+    assert rows(store.alerts(spark), "api_key", "state") == [(K1, "exceeded")]
+    publish_days(spark, store, day_rows(1.0), keys)       # a repair lowered the spend
+    assert store.alerts(spark).count() == 0
+    assert rows(store.rollup(spark).select(F.col("spend").cast("double"))) == [(1.0,)]
