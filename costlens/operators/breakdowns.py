@@ -31,10 +31,13 @@ from costlens.sources.tables import Tables
 
 
 def one_key(tables: Tables, key_text: str) -> Tables:
-    """restrict the log scan to one key (hashed on the driver, X2/X3)."""
+    """restrict the log scan to one key (hashed on the driver, X2/X3).
+
+    Only the log is filtered; the reports' joins to the key table then keep
+    just that key.
+    """
     h = stored_key_text(key_text)
-    return Tables(tables.logs.where(F.col("api_key") == F.lit(h)),
-                  tables.keys.where(F.col("token") == F.lit(h)))
+    return Tables(tables.logs.where(F.col("api_key") == F.lit(h)), tables.keys)
 
 
 def _period_facts(tables, as_of, period, cfg, rollup):

@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "costlens") -> SparkSession:
+                  app: str = "costlens", extra: dict[str, str] | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.sql.adaptive.enabled", "true")
@@ -29,6 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                # costs several JVM round trips for every Column function call.
                .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.driver.memory", os.environ.get("COSTLENS_DRIVER_MEMORY", "8g")))
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
