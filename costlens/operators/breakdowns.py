@@ -63,22 +63,24 @@ def total_spend(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEF
 
 def by_model(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
              rollup: DataFrame | None = None) -> DataFrame:
+    """Spend, share and tokens per key and normalised model for a period."""
     f = _period_facts(tables, as_of, period, cfg, rollup).where(has_model(F.col("model")))
     agg = (f.groupBy("api_key", per_key_model(F.col("model")).alias("model"))
            .agg(*sum_measures()))
     agg = only_valid_keys(agg, tables.keys, cfg)
+    # The share's denominator includes names that normalise to '' (dropped after).
     key_total = to_double(F.sum("spend").over(Window.partitionBy("api_key")))
-    out = (agg.withColumn("key_total", key_total)
-           .withColumn("spend", to_double(F.col("spend")))
-           .withColumn("percentage", percent_of(F.col("spend"), F.col("key_total")))
-           .where(F.col("model") != F.lit("")))
-    return out.select("api_key", F.lit(parse_period(period).value).alias("period"), "model",
-                      "spend", "percentage", "requests", "tokens", "prompt_tokens",
-                      "completion_tokens")
+    spend = to_double(F.col("spend"))
+    shares = agg.select(
+        "api_key", F.lit(parse_period(period).value).alias("period"), "model",
+        spend.alias("spend"), percent_of(spend, key_total).alias("percentage"),
+        "requests", "tokens", "prompt_tokens", "completion_tokens")
+    return shares.where(F.col("model") != F.lit(""))
 
 
 def by_project(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
                rollup: DataFrame | None = None) -> DataFrame:
+    """One ``global`` project row per key with non-zero period spend."""
     agg = (_period_facts(tables, as_of, period, cfg, rollup)
            .groupBy("api_key").agg(*sum_measures()))
     agg = only_valid_keys(agg, tables.keys, cfg)
@@ -93,6 +95,7 @@ def by_project(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFA
 
 def daily(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
           rollup: DataFrame | None = None) -> DataFrame:
+    """Spend, requests and total tokens per key and UTC day (midnight timestamp)."""
     agg = (_period_facts(tables, as_of, period, cfg, rollup)
            .groupBy("api_key", "day").agg(*sum_measures("spend", "requests", "tokens")))
     agg = money_out(only_valid_keys(agg, tables.keys, cfg))

@@ -79,3 +79,13 @@ def test_status_texts(spark):
     assert out[0]["m"] == "Budget exceeded! Spent $30.50 of $25.00 (122.0% of monthly budget)"
     assert out[1]["m"] == "Budget warning: 80.0% of monthly budget used ($20.00 of $25.00)"
     assert [r["l"] for r in out] == ["⚠️ exceeded", "⚡ warning", "✓ normal"]
+
+
+def test_display_rounds_half_away_from_zero_on_decimals(spark):
+    # SURVEY 2.11 item 9: exact binary ties round up here (0.125 -> 0.13),
+    # while Python's format would give 0.12; fixtures avoid such ties.
+    df = spark.createDataFrame([(0.125,), (2.675,), (-0.125,), (12.25,)], "v double")
+    got = [r[0] for r in df.select(fixed_text(F.col("v"), 2)).collect()]
+    assert got == ["0.13", "2.68", "-0.13", "12.25"]
+    got1 = [r[0] for r in df.select(fixed_text(F.col("v"), 1)).collect()]
+    assert got1 == ["0.1", "2.7", "-0.1", "12.3"]
