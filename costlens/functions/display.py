@@ -7,18 +7,38 @@ binary ties).  Token counts use en-US digit grouping.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from costlens.functions.money import fixed_text
 
 # Currency symbols (others show the code), status-bar formats,
-# state icons and the status-bar prefixes per state.
+# state icons, status-bar prefixes and tooltip texts per state, token
+# breakdown labels and summary line labels.
 CURRENCY_SYMBOLS = {"EUR": "€", "USD": "$", "GBP": "£"}
 FORMAT_AMOUNT, FORMAT_PERCENTAGE, FORMAT_BOTH = "amount", "percentage", "both"
 STATE_ICONS = {"exceeded": "⚠️", "warning": "⚡", "normal": "✓"}
 STATUS_PREFIX = {"exceeded": "$(warning) ", "warning": "$(alert) ", "normal": "$(coin) "}
+STATE_MESSAGES = {
+    "exceeded": "Budget exceeded! Spent {spend} of {budget} ({percent} of monthly budget)",
+    "warning": "Budget warning: {percent} of monthly budget used ({spend} of {budget})",
+    "normal": "LLM Spend (this month): {spend} of {budget} ({percent})",
+}
 TOKEN_LABELS = ("Requests", "Total Tokens", "Prompt (In)", "Completion (Out)")
+SUMMARY_LABELS = ("Total Spend", "Budget", "Remaining", "Usage", "Budget State")
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A ``{name}`` template as a concat of literal text and columns."""
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2:
+            parts.append(values[piece])
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
 
 
 def dollars(c: Column) -> Column:
@@ -61,16 +81,11 @@ def status_text(state: Column, display: Column) -> Column:
 
 
 def state_message(state: Column, spend: Column, budget: Column, percent: Column) -> Column:
-    """Tooltip text per state."""
-    s, b, p = dollars(spend), dollars(budget), pct(percent)
-    return (F.when(state == "exceeded",
-                   F.concat(F.lit("Budget exceeded! Spent "), s, F.lit(" of "), b, F.lit(" ("), p,
-                            F.lit(" of monthly budget)")))
-            .when(state == "warning",
-                  F.concat(F.lit("Budget warning: "), p, F.lit(" of monthly budget used ("), s,
-                           F.lit(" of "), b, F.lit(")")))
-            .otherwise(F.concat(F.lit("LLM Spend (this month): "), s, F.lit(" of "), b,
-                                F.lit(" ("), p, F.lit(")"))))
+    """Tooltip text per state (``normal`` for anything else)."""
+    v = {"spend": dollars(spend), "budget": dollars(budget), "percent": pct(percent)}
+    return (F.when(state == "exceeded", fill(STATE_MESSAGES["exceeded"], **v))
+            .when(state == "warning", fill(STATE_MESSAGES["warning"], **v))
+            .otherwise(fill(STATE_MESSAGES["normal"], **v)))
 
 
 def state_label(state: Column) -> Column:

@@ -48,7 +48,7 @@ def alias_month_summary(tables: Tables, as_of: datetime, alias: str,
     cap = F.col("max_budget").cast("decimal(38,10)")
     return j.select(
         "token", "key_alias", "max_budget",
-        F.col("spend").alias("litellm_counter"),
+        F.col("spend").alias("proxy_counter"),
         to_double(round_half_up(spent, 4)).alias("month_spend"),
         to_double(round_half_up(cap - spent, 4)).alias("remaining"),
         to_double(round_half_up(safe_div(spent.cast("double"), F.col("max_budget")) * 100.0, 2))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.functions.display import TOKEN_LABELS, dollars, pct, state_label
+from costlens.functions.display import SUMMARY_LABELS, TOKEN_LABELS, dollars, pct, state_label
 
 _TOKEN_COLS = ("requests", "tokens", "prompt_tokens", "completion_tokens")
 
@@ -21,14 +21,15 @@ def token_breakdown(rows: DataFrame, name_col: str, kind: str) -> DataFrame:
 
 def summary_lines(summary: DataFrame, budget: DataFrame) -> DataFrame:
     """The summary as label/value text rows, plus the budget state line."""
+    spend_l, budget_l, remaining_l, usage_l, state_l = SUMMARY_LABELS
     s = summary.select(
         "api_key",
-        dollars(F.col("spend")).alias("Total Spend"),
-        dollars(F.col("budget")).alias("Budget"),
-        dollars(F.col("remaining")).alias("Remaining"),
-        pct(F.col("budget_used_percent")).alias("Usage"),
+        dollars(F.col("spend")).alias(spend_l),
+        dollars(F.col("budget")).alias(budget_l),
+        dollars(F.col("remaining")).alias(remaining_l),
+        pct(F.col("budget_used_percent")).alias(usage_l),
     )
-    b = budget.select("api_key", state_label(F.col("state")).alias("Budget State"))
+    b = budget.select("api_key", state_label(F.col("state")).alias(state_l))
     wide = s.join(b, "api_key", "left")
-    labels = ["Total Spend", "Budget", "Remaining", "Usage", "Budget State"]
-    return wide.unpivot(["api_key"], labels, "label", "value").where(F.col("value").isNotNull())
+    return wide.unpivot(["api_key"], list(SUMMARY_LABELS), "label", "value") \
+        .where(F.col("value").isNotNull())

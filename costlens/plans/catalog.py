@@ -75,7 +75,7 @@ def _key_auth(fn) -> Query:
 
 # ------------------------------------------------------------------- streaming
 def _job_session(spark: SparkSession) -> SparkSession:
-    """A session of its own for a multi-job pipeline: shuffle (and state-store)
+    """A session of its own for a multi-step job: shuffle (and state-store)
     partitions follow the cluster's parallelism; the caller's session is untouched."""
     job = spark.newSession()
     job.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))

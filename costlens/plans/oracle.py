@@ -234,7 +234,7 @@ def alias_month_summary() -> str:
     return _with(f"""m AS (
   SELECT s.api_key, SUM(CAST(s.spend AS DECIMAL(20,10))) AS spend_dec
   FROM spend_logs s WHERE {_sql_month()} GROUP BY 1)""") + f"""
-SELECT k.token, k.key_alias, k.max_budget, k.spend AS litellm_counter,
+SELECT k.token, k.key_alias, k.max_budget, k.spend AS proxy_counter,
        CAST(round(CAST(COALESCE(m.spend_dec, 0) AS DECIMAL(38,10)), 4) AS DOUBLE) AS month_spend,
        CAST(round(CAST(k.max_budget AS DECIMAL(38,10)) - COALESCE(m.spend_dec, 0), 4) AS DOUBLE) AS remaining,
        CAST(round(CAST(CAST(COALESCE(m.spend_dec, 0) AS DOUBLE) / NULLIF(k.max_budget, 0) * 100.0

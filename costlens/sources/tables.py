@@ -36,7 +36,7 @@ def read_tables(spark: SparkSession, logs_path: str, keys_path: str) -> Tables:
     return Tables(read_spend_logs(spark, logs_path), read_virtual_keys(spark, keys_path))
 
 
-def read_spend_logs_jdbc(spark: SparkSession, url: str, *, table: str = '"LiteLLM_SpendLogs"',
+def read_spend_logs_jdbc(spark: SparkSession, url: str, *, table: str,
                          lower: datetime, upper: datetime, num_partitions: int,
                          properties: dict | None = None) -> DataFrame:
     """Parallel JDBC scan: ``num_partitions`` range queries on ``startTime``.
