@@ -25,7 +25,8 @@ def _physical(df) -> str:
 
 
 def _exchange_children(plan: str) -> list[str]:
-    """Operator directly below each hash-partitioning Exchange."""
+    """First operator below each hash-partitioning Exchange that is not a mere
+    Project/Filter (those keep the row count of what they sit on)."""
     lines = plan.splitlines()
     out = []
     for i, line in enumerate(lines):
@@ -34,7 +35,11 @@ def _exchange_children(plan: str) -> list[str]:
             for nxt in lines[i + 1:]:
                 d = len(nxt) - len(nxt.lstrip(" :+-"))
                 if d > depth:
-                    out.append(nxt.strip(" :+-*()0123456789"))
+                    op = nxt.strip(" :+-*()0123456789")
+                    if op.startswith(("Project", "Filter")):
+                        depth = d
+                        continue
+                    out.append(op)
                     break
     return out
 
