@@ -33,7 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = FIXED_AS_OF
 ALIAS = "engineering"
 ONE_KEY = "Bearer sk-user-7"
-CHUNK_DAYS = 6
+CHUNK_DAYS = 10
 LATENESS = "1 day"
 
 

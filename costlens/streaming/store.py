@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from costlens.config import DEFAULT_CONFIG, ReportConfig
-from costlens.operators.budgets import budget_lookup, budget_state
+from costlens.operators.budgets import budget_state, resolve_budget
+from costlens.operators.keyspace import key_side
 from costlens.operators.facts import GRAIN, MEASURE_COLS
 from costlens.functions.money import percent_of, to_double
 
@@ -63,8 +64,10 @@ class Store:
 
 
 def _overwrite_partitions(df: DataFrame, path: str, col: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(col).parquet(path))
+    # REBALANCE lets AQE size the output files per partition value: few files
+    # for small days, even splits of a large day, no single-task hot day.
+    (df.hint("rebalance", col).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path))
 
 
 def month_start(d: date) -> date:
@@ -85,12 +88,13 @@ def day_alerts(rollup: DataFrame, keys: DataFrame, cfg: ReportConfig = DEFAULT_C
     cannot make a large window partition.
     """
     daily = rollup.groupBy("api_key", "day").agg(F.sum("spend").alias("spend"))
+    caps = keys.select(F.col("token").alias("api_key"),
+                       resolve_budget(F.col("max_budget"), cfg).alias("budget"))
+    j = (daily.join(key_side(caps, keys, cfg), "api_key", "left")
+         .withColumn("budget", F.coalesce(F.col("budget"), F.lit(cfg.default_budget))))
     w = Window.partitionBy("api_key", F.trunc("day", "month")).orderBy("day")
-    mtd = daily.withColumn("spent_to_date", to_double(F.sum("spend").over(
+    j = j.withColumn("spent_to_date", to_double(F.sum("spend").over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    budgets = budget_lookup(mtd.select("api_key").distinct(), keys, cfg) \
-        .select("api_key", F.col("max_budget").alias("budget"))
-    j = mtd.join(budgets, "api_key", "left")
     used = percent_of(F.col("spent_to_date"), F.col("budget"))
     st = j.withColumn("used_percent", used).withColumn("state", budget_state(used, cfg))
     st = st.withColumn("previous_state",
