@@ -2,9 +2,12 @@
 
 Equivalent of ``INSERT .. ON CONFLICT (request_id) DO NOTHING``: incoming rows
 are de-duplicated on the key, rows whose key already exists are skipped, the
-rest are appended.  Both steps are shuffles on ``request_id`` (uniformly
-spread, so no hot partition), and only the key column of the existing table is
-read for the anti join.
+rest are appended.  Both steps are shuffles on ``request_id``.  The
+de-duplication combines copies map-side first, so even a request replayed
+millions of times reaches the shuffle as one row per task.  Only the key column
+of the existing table is read for the anti join.  Re-running a load after a
+failure appends nothing twice: rows already committed are found by the anti
+join.
 """
 
 from __future__ import annotations
