@@ -7,6 +7,7 @@ fixed clock ``FIXED_AS_OF``; this module only wires inputs to operators.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from costlens.operators import admin, adhoc, auth, breakdowns, budgets, quality,
 from costlens.periods import Period
 from costlens.session import work_dir
 from costlens.sources import load as idempotent
+from costlens.sources.layout import read_log_layout, write_log_layout
 from costlens.sources.sinks import nested
+from costlens.sources.tables import Tables
 from costlens.sources.testdata import load_auth_attempts, load_tables, replayed_batches
 from costlens.streaming import bundle
 from costlens.streaming.feed import replay
@@ -35,6 +38,7 @@ ALIAS = "engineering"
 ONE_KEY = "Bearer sk-user-7"
 CHUNK_DAYS = 10
 LATENESS = "1 day"
+CUSTOM_START = datetime(2024, 1, 10)
 
 
 def _tables_query(fn) -> Query:
@@ -119,6 +123,17 @@ def _refresh_bundle(spark, sf_dir):
                           work_dir(job, "bundle"))
 
 
+def _layout_one_key_week(spark, sf_dir):
+    """Write the day-partitioned, key-sorted layout, then answer one
+    key's weekly by-model report from it (day pruning + key skipping)."""
+    job = _job_session(spark)
+    t = load_tables(job, sf_dir)
+    path = work_dir(job, "layout") + "/logs"
+    write_log_layout(t.logs, path)
+    laid = Tables(read_log_layout(job, path), t.keys)
+    return breakdowns.by_model(breakdowns.one_key(laid, ONE_KEY), AS_OF, Period.WEEK)
+
+
 def registered_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "admin_key_day_model": _tables_query(lambda t: admin.key_day_model(t, AS_OF)),
@@ -163,6 +178,9 @@ def registered_queries() -> dict[str, Query]:
         lambda t: texts.daily_labels(breakdowns.daily(t, AS_OF, Period.MONTH)))
     q["report_violations"] = _tables_query(lambda t: quality.report_violations(t, AS_OF))
     q["nested_report"] = _tables_query(_nested_report)
+    q["admin_custom_range"] = _tables_query(
+        lambda t: admin.key_day_model(t, AS_OF, start=CUSTOM_START))
+    q["layout_one_key_week"] = _layout_one_key_week
     q["stream_daily"] = _stream_rollup(False)
     q["stream_reconcile"] = _stream_rollup(True)
     q["stream_budget_alerts"] = _stream_budget_alerts

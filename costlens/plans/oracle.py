@@ -81,8 +81,8 @@ EMAIL = ("CASE WHEN json_valid(k.metadata) AND json_type(k.metadata) = 'OBJECT'
          "NULLIF(json_extract_string(k.metadata, '$.user_email'), '')) END")
 
 
-def admin_key_day_model() -> str:
-    rng = admin_range(AS_OF)
+def admin_key_day_model(start=None) -> str:
+    rng = admin_range(AS_OF, start=start)
     return _with() + f"""
 SELECT s.api_key, k.key_alias, CAST(s."startTime" AS DATE) AS day, {ALL_KEYS_MODEL} AS model,
        {MONEY} AS spend, COUNT(s.request_id) AS requests, {TOKS}
@@ -208,7 +208,7 @@ FROM virtual_keys k"""
 
 from costlens.functions.keys import stored_key_text  # noqa: E402
 from costlens.operators import quality  # noqa: E402
-from costlens.plans.catalog import ALIAS, ONE_KEY  # noqa: E402
+from costlens.plans.catalog import ALIAS, CUSTOM_START, ONE_KEY  # noqa: E402
 
 
 def fx(expr: str, places: int) -> str:
@@ -525,5 +525,7 @@ def oracle_queries() -> dict[str, str]:
         "stream_reconcile": stream_rollup(),
         "stream_budget_alerts": stream_budget_alerts(),
         "refresh_bundle": refresh_bundle(),
+        "admin_custom_range": admin_key_day_model(start=CUSTOM_START),
+        "layout_one_key_week": by_model(Period.WEEK, stored_key_text(ONE_KEY)),
     })
     return q
