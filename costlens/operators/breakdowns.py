@@ -31,13 +31,12 @@ from costlens.sources.tables import Tables
 
 
 def one_key(tables: Tables, key_text: str) -> Tables:
-    """restrict the log scan to one key (hashed on the driver, X2/X3).
-
-    Only the log is filtered; the reports' joins to the key table then keep
-    just that key.
-    """
+    """restrict both tables to one key (hashed on the driver, X2/X3), so
+    log-driven and key-driven reports alike answer for that key only; the
+    equality reaches the Parquet scan as a pushed filter."""
     h = stored_key_text(key_text)
-    return Tables(tables.logs.where(F.col("api_key") == F.lit(h)), tables.keys)
+    return Tables(tables.logs.where(F.col("api_key") == F.lit(h)),
+                  tables.keys.where(F.col("token") == F.lit(h)))
 
 
 def _period_facts(tables, as_of, period, cfg, rollup):
