@@ -4,8 +4,9 @@ Each query is executed in full through the ``noop`` sink (no driver collect).
 After one warm-up pass over all queries, each runs five times; the median is
 reported.  Spark's event log (written to a fresh scratch folder) gives, per
 query and run, the shuffle bytes written and the input rows read.  A one-key
-weekly report is also run on the raw log and on the day-partitioned,
-key-sorted layout (S5/S6) to show the rows the layout lets Spark skip.
+weekly by-model report and one key's monthly summary (the reference's one
+timed query) also run on the raw log and on the day-partitioned, key-sorted
+layout (S5/S6), to show the rows the layout lets Spark skip.
 
 Prints one JSON line: {"metric", "value" (sum of medians), "unit", "queries",
 "sf", "shuffle_bytes", "input_rows", "layout", ...}.
@@ -26,7 +27,7 @@ from collections import defaultdict
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from costlens.config import FIXED_AS_OF  # noqa: E402
-from costlens.operators import breakdowns  # noqa: E402
+from costlens.operators import breakdowns, budgets  # noqa: E402
 from costlens.periods import Period  # noqa: E402
 from costlens.plans.catalog import registered_queries  # noqa: E402
 from costlens.session import local_session, work_dir  # noqa: E402
@@ -109,9 +110,14 @@ def main() -> None:
     write_log_layout(tables.logs, layout_path)
     laid = Tables(read_log_layout(spark, layout_path), tables.keys)
     layout_times = {}
-    for label, t in (("one_key_week_raw", tables), ("one_key_week_layout", laid)):
-        def make(t=t):
-            return breakdowns.by_model(breakdowns.one_key(t, ONE_KEY), FIXED_AS_OF, Period.WEEK)
+    cases = [("one_key_week_raw", tables, breakdowns.by_model, Period.WEEK),
+             ("one_key_week_layout", laid, breakdowns.by_model, Period.WEEK),
+             # the reference's one timed query: one key's monthly summary
+             ("one_key_summary_month_raw", tables, budgets.summary, Period.MONTH),
+             ("one_key_summary_month_layout", laid, budgets.summary, Period.MONTH)]
+    for label, t, fn, period in cases:
+        def make(t=t, fn=fn, period=period):
+            return fn(breakdowns.one_key(t, ONE_KEY), FIXED_AS_OF, period)
         run(label, make)
         layout_times[label] = round(statistics.median(run(label, make, label) for _ in range(RUNS)), 4)
 
