@@ -68,11 +68,11 @@ def by_model(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAUL
            .agg(*sum_measures()))
     agg = only_valid_keys(agg, tables.keys, cfg)
     # The share's denominator includes names that normalise to '' (dropped after).
-    key_total = to_double(F.sum("spend").over(Window.partitionBy("api_key")))
+    totals = agg.withColumn("key_total", to_double(F.sum("spend").over(Window.partitionBy("api_key"))))
     spend = to_double(F.col("spend"))
-    shares = agg.select(
+    shares = totals.select(
         "api_key", F.lit(parse_period(period).value).alias("period"), "model",
-        spend.alias("spend"), percent_of(spend, key_total).alias("percentage"),
+        spend.alias("spend"), percent_of(spend, F.col("key_total")).alias("percentage"),
         "requests", "tokens", "prompt_tokens", "completion_tokens")
     return shares.where(F.col("model") != F.lit(""))
 
