@@ -26,12 +26,18 @@ ADMIN_COLS = ("api_key", "key_alias", "day", "model", "spend", "requests", "toke
               "prompt_tokens", "completion_tokens")
 
 
+def key_day_model_sums(tables: Tables, rng: TimeRange, cfg: ReportConfig = DEFAULT_CONFIG,
+                       rollup: DataFrame | None = None) -> DataFrame:
+    """(api_key, day, normalised model) sums, spend an exact decimal; no alias."""
+    f = facts(tables.logs, rng, cfg, rollup).where(has_model(F.col("model")))
+    return (f.groupBy("api_key", "day", all_keys_model(F.col("model")).alias("model"))
+            .agg(*sum_measures()))
+
+
 def key_day_model_exact(tables: Tables, rng: TimeRange, cfg: ReportConfig = DEFAULT_CONFIG,
                         rollup: DataFrame | None = None) -> DataFrame:
     """A6 with spend still an exact decimal (for further re-aggregation)."""
-    f = facts(tables.logs, rng, cfg, rollup).where(has_model(F.col("model")))
-    agg = (f.groupBy("api_key", "day", all_keys_model(F.col("model")).alias("model"))
-           .agg(*sum_measures()))
+    agg = key_day_model_sums(tables, rng, cfg, rollup)
     return with_alias(agg, tables.keys, cfg).select(*ADMIN_COLS)
 
 
@@ -49,7 +55,7 @@ def admin_rollup(tables: Tables, as_of: datetime, cfg: ReportConfig = DEFAULT_CO
     Runs on the aggregated rows (not the log), as GROUPING SETS; ``grouping_id``
     has one bit per column (api_key, day, model), set when rolled up.
     """
-    rows = key_day_model_exact(tables, admin_range(as_of), cfg)
+    rows = key_day_model_sums(tables, admin_range(as_of), cfg)
     g = rows.groupingSets([["api_key"], ["day"], ["model"], []], "api_key", "day", "model").agg(
         F.grouping_id("api_key", "day", "model").cast("int").alias("grouping_id"),
         *sum_measures())
@@ -63,7 +69,7 @@ def admin_pivot(tables: Tables, as_of: datetime, cfg: ReportConfig = DEFAULT_CON
 
     Pass ``models`` when the names are known to skip the job that finds them.
     """
-    rows = key_day_model_exact(tables, admin_range(as_of), cfg)
+    rows = key_day_model_sums(tables, admin_range(as_of), cfg)
     return (rows.groupBy("api_key", "day")
             .pivot("model", models)
             .agg(F.sum("spend").cast("double")))
