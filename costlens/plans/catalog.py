@@ -163,6 +163,7 @@ def registered_queries() -> dict[str, Query]:
         lambda t: idempotent.merged(*replayed_batches(t.logs, AS_OF)))
     q["duplicate_request_ids"] = _tables_query(
         lambda t: quality.duplicate_keys(replayed_batches(t.logs, AS_OF)[1], "request_id"))
+    q["duplicate_key_tokens"] = _tables_query(lambda t: quality.duplicate_keys(t.keys, "token"))
     q["model_names"] = _tables_query(_model_names)
     q["admin_cube"] = _tables_query(lambda t: admin.admin_rollup(t, AS_OF))
     q["admin_pivot"] = _tables_query(lambda t: admin.admin_pivot(t, AS_OF))

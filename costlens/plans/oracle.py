@@ -314,6 +314,11 @@ SELECT request_id, COUNT(*) AS copies FROM (
 GROUP BY request_id HAVING COUNT(*) > 1"""
 
 
+def duplicate_key_tokens() -> str:
+    return _with() + """
+SELECT token, COUNT(*) AS copies FROM virtual_keys GROUP BY token HAVING COUNT(*) > 1"""
+
+
 def model_names() -> str:
     return _with() + f"""
 SELECT s.model, {PER_KEY_MODEL} AS per_key_model, {ALL_KEYS_MODEL} AS all_keys_model
@@ -511,6 +516,7 @@ def oracle_queries() -> dict[str, str]:
         "one_key_by_model": one_key_by_model(),
         "idempotent_load": idempotent_load(),
         "duplicate_request_ids": duplicate_request_ids(),
+        "duplicate_key_tokens": duplicate_key_tokens(),
         "model_names": model_names(),
         "admin_cube": admin_cube(),
         "admin_pivot": admin_pivot(),
