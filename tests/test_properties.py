@@ -45,3 +45,18 @@ def test_union_of_day_splits_is_the_whole(spark):
     month = breakdowns.daily(t, AS_OF, "month").where(F.col("date") >= F.lit("2024-01-15").cast("timestamp_ntz")) \
         .where(F.col("date") <= F.lit("2024-01-17").cast("timestamp_ntz"))
     assert rows(week.drop("period")) == rows(month.drop("period"))
+
+
+def test_reports_do_not_depend_on_session_time_zone(spark):
+    t = load_tables(spark, SF0001)
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    results = []
+    try:
+        for tz in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            results.append((rows(breakdowns.daily(t, AS_OF, "week")),
+                            rows(admin.key_day_model(t, AS_OF)),
+                            rows(budgets.summary(t, AS_OF, "today"))))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert results[0] == results[1] == results[2]
