@@ -39,10 +39,15 @@ def one_key(tables: Tables, key_text: str) -> Tables:
                   tables.keys.where(F.col("token") == F.lit(h)))
 
 
-def _period_facts(tables, as_of, period, cfg, rollup):
+def period_facts(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
+                 rollup: DataFrame | None = None) -> DataFrame:
+    """Fact rows of the period (from the rollup when given and exact)."""
     return facts(tables.logs, period_range(period, as_of), cfg, rollup)
 
 
+_period_facts = period_facts
+
+
 def spend_by_key(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
                  rollup: DataFrame | None = None) -> DataFrame:
     """(api_key, spend) for keys with rows in the period; spend is an exact decimal."""

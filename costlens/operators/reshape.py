@@ -10,13 +10,18 @@ from costlens.functions.display import SUMMARY_LABELS, TOKEN_LABELS, dollars, pc
 _TOKEN_COLS = ("requests", "tokens", "prompt_tokens", "completion_tokens")
 
 
-def token_breakdown(rows: DataFrame, name_col: str, kind: str) -> DataFrame:
-    """One model/project row -> four (label, value) rows."""
-    renamed = rows.select("api_key", F.col(name_col).alias("name"),
+def token_breakdown(rows: DataFrame, name_col: str, kind: str | None) -> DataFrame:
+    """One model/project row -> four (label, value) rows.
+
+    ``kind`` labels every row; pass None when ``rows`` already has a ``kind``
+    column.
+    """
+    kind_col = F.col("kind") if kind is None else F.lit(kind)
+    renamed = rows.select("api_key", kind_col.alias("kind"), F.col(name_col).alias("name"),
                           *[F.col(c).cast("bigint").alias(lbl)
                             for c, lbl in zip(_TOKEN_COLS, TOKEN_LABELS)])
-    long = renamed.unpivot(["api_key", "name"], list(TOKEN_LABELS), "label", "value")
-    return long.select("api_key", F.lit(kind).alias("kind"), "name", "label", "value")
+    long = renamed.unpivot(["api_key", "kind", "name"], list(TOKEN_LABELS), "label", "value")
+    return long.select("api_key", "kind", "name", "label", "value")
 
 
 def summary_lines(summary: DataFrame, budget: DataFrame) -> DataFrame:

@@ -7,9 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.config import DEFAULT_CONFIG, ReportConfig
+from costlens.config import DEFAULT_CONFIG, GLOBAL_PROJECT, ReportConfig
 from costlens.functions import display as D
+from costlens.functions.models import has_model, per_key_model
 from costlens.operators import breakdowns, budgets
+from costlens.operators.facts import sum_measures
+from costlens.operators.keyspace import only_valid_keys
 from costlens.operators.reshape import token_breakdown
 from costlens.periods import Period
 from costlens.sources.tables import Tables
@@ -66,7 +69,27 @@ def daily_labels(daily: DataFrame) -> DataFrame:
 
 def token_breakdowns(tables: Tables, as_of: datetime, period=Period.MONTH,
                      cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
-    """R1 for both model and project rows of a period."""
-    m = token_breakdown(breakdowns.by_model(tables, as_of, period, cfg), "model", "model")
-    p = token_breakdown(breakdowns.by_project(tables, as_of, period, cfg), "project", "project")
-    return m.unionByName(p)
+    """R1 for both the model rows and the project row of each key, in one pass.
+
+    The rows are the same as ``by_model`` + ``by_project`` give (their token
+    columns do not need the share).  One scan feeds one GROUPING SETS
+    aggregate: (api_key, model name) for the model rows, with the name NULL
+    when F3 excludes the row, and (api_key) for the single ``global`` project.
+    The per-kind rules then apply as one filter: F4 drops empty names, F7
+    hides a project at zero spend.
+    """
+    f = breakdowns.period_facts(tables, as_of, period, cfg)
+    name = F.when(has_model(F.col("model")), per_key_model(F.col("model")))
+    g = (f.withColumn("name", name)
+         .groupingSets([["api_key", "name"], ["api_key"]], "api_key", "name")
+         .agg(F.grouping("name").cast("int").alias("gid"), *sum_measures()))
+    g = only_valid_keys(g, tables.keys, cfg)
+    is_model = F.col("gid") == 0
+    keep = ((is_model & F.col("name").isNotNull() & (F.col("name") != F.lit("")))
+            | (~is_model & F.col("spend").isNotNull() & (F.col("spend") != 0)))
+    rows = g.where(keep).select(
+        "api_key",
+        F.when(is_model, F.lit("model")).otherwise(F.lit("project")).alias("kind"),
+        F.when(is_model, F.col("name")).otherwise(F.lit(GLOBAL_PROJECT)).alias("name"),
+        "requests", "tokens", "prompt_tokens", "completion_tokens")
+    return token_breakdown(rows.withColumnRenamed("name", "_name"), "_name", None)
