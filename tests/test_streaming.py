@@ -151,3 +151,14 @@ def test_republishing_a_day_replaces_its_alerts(spark):
     publish_days(spark, store, day_rows(1.0), keys)       # a repair lowered the spend
     assert store.alerts(spark).count() == 0
     assert rows(store.rollup(spark).select(F.col("spend").cast("double"))) == [(1.0,)]
+
+
+def test_stream_equals_batch_in_a_non_utc_session(spark):
+    la = spark.newSession()
+    la.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    t = load_tables(la, SF0001)
+    work = work_dir(la, "t-stream-tz")
+    store = Store(f"{work}/store")
+    lo, hi, progress = replay(la, t.logs, t.keys, store, work, chunk_days=15)
+    reconcile_days(la, store, t.logs, t.keys, watermark_day(progress) or lo, hi)
+    assert _cmp(store.rollup(la)) == _cmp(daily_rollup(load_tables(spark, SF0001).logs, ALL))
