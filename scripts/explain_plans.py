@@ -17,7 +17,8 @@ from costlens.plans.catalog import registered_queries  # noqa: E402
 from costlens.session import local_session  # noqa: E402
 
 SHOWN = ["admin_key_day_model", "summary_month", "by_model_month", "budget_month",
-         "alias_by_model", "key_auth_valid", "idempotent_load", "admin_cube", "section_counts"]
+         "alias_by_model", "key_auth_valid", "idempotent_load", "admin_cube", "section_counts",
+         "token_breakdown"]
 
 
 def plan_text(df) -> str:
