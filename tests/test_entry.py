@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from costlens.plans.catalog import registered_queries
+from costlens.plans.oracle import oracle_queries
 from tests.conftest import SF0001
 
 CHECKED = ["admin_key_day_model", "by_model_week", "summary_today", "budget_month",
@@ -20,9 +22,10 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_but_nested():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = registered_queries(), oracle_queries()
     assert set(q) - set(o) == {"nested_report"}
     assert set(o) <= set(q)
+    assert set(q) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def _norm(v):
