@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, simhash_vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vptree.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_simhash_vptree": op3_simhash_vptree,
     }
