@@ -40,5 +40,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+WORDS6 = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+SHINGLES6 = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"""
+
+OP6 = f"""
+WITH b AS (SELECT item_id, {SHINGLES6} AS s FROM (SELECT item_id, {WORDS6} AS w FROM benchmark)),
+d AS (SELECT doc_id, {SHINGLES6} AS s FROM (SELECT doc_id, {WORDS6} AS w FROM documents)),
+bs AS (SELECT item_id, len(s) AS item_shingles, unnest(s) AS g FROM b),
+ds AS (SELECT doc_id, unnest(s) AS g FROM d)
+SELECT doc_id, item_id, item_shingles::BIGINT AS item_shingles, count(*)::BIGINT AS shared, count(*) / item_shingles AS containment
+FROM ds JOIN bs USING (g) GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= 80 * item_shingles
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_quality_rules": OP1}
+    return {"op1_quality_rules": OP1, "op6_decontamination": OP6}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash_vptree
+from . import decontam, quality_rules, simhash_vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,13 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_simhash_vptree": op3_simhash_vptree,
+        "op6_decontamination": op6_decontamination,
     }
