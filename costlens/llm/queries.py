@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality_rules, simhash_vptree
+from . import decontam, quality_rules, secret_scan, simhash_vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +27,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_simhash_vptree": op3_simhash_vptree,
         "op6_decontamination": op6_decontamination,
+        "op9_secret_scan": op9_secret_scan,
     }

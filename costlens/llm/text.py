@@ -56,29 +56,6 @@ def shingles(ws: Column, k: int) -> Column:
     return F.transform(indices(count), lambda i: F.concat_ws(" ", *[F.get(ws, i + j) for j in range(k)]))
 
 
-def running_sums(xs: Column, block: int = 256) -> Column:
-    """Sum of all earlier elements for each element of an array of int.
-
-    Two levels of blocks: the work is n * block at most, not n * n.
-    """
-    empty = F.array().cast("array<int>")
-
-    def inner(part: Column) -> Column:
-        return F.aggregate(
-            part, F.struct(F.lit(0).alias("sum"), empty.alias("out")),
-            lambda acc, x: F.struct((acc["sum"] + x).alias("sum"),
-                                    F.concat(acc["out"], F.array(acc["sum"])).alias("out")))
-
-    def outer(parts: Column) -> Column:
-        sums = F.transform(parts, lambda p: p["sum"])
-        return let(inner(sums)["out"], lambda starts: F.flatten(
-            F.zip_with(parts, starts, lambda p, s: F.transform(p["out"], lambda x: x + s))))
-
-    blocks = F.transform(indices(F.ceil(F.size(xs) / block).cast("int")),
-                         lambda b: inner(F.slice(xs, b * block + 1, F.lit(block))))
-    return let(blocks, outer)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet (names compare without case)."""
     taken = {c.lower() for c in df.columns}
