@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality_rules, secret_scan, simhash_vptree
+from . import decontam, pii, quality_rules, secret_scan, simhash_vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(_table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,6 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": op1_quality_rules,
         "op3_simhash_vptree": op3_simhash_vptree,
         "op6_decontamination": op6_decontamination,
+        "op8_pii": op8_pii,
         "op9_secret_scan": op9_secret_scan,
     }
