@@ -54,5 +54,14 @@ FROM ds JOIN bs USING (g) GROUP BY doc_id, item_id, item_shingles HAVING 100 * c
 """
 
 
+OP10 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op6_decontamination": OP6}
+    return {"op1_quality_rules": OP1, "op6_decontamination": OP6, "op10_warc_bundles": OP10}
