@@ -63,5 +63,32 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+OP2 = """
+WITH c AS (SELECT conv_id AS pair_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT pair_id, 'chosen' AS side, turn, role, replace(text, '<|', '< |') AS text FROM c
+      UNION ALL SELECT pair_id, 'rejected', turn, role, replace(CASE WHEN role = 'assistant' AND turn >= 2
+                       THEN substr(text, 1, (length(text) // 2)::INT) ELSE text END, '<|', '< |') FROM c),
+p AS (SELECT pair_id, list(struct_pack(turn, role, text) ORDER BY turn NULLS FIRST, role, text) FILTER (side = 'chosen') AS c,
+             list(struct_pack(turn, role, text) ORDER BY turn NULLS FIRST, role, text) FILTER (side = 'rejected') AS r FROM s GROUP BY pair_id),
+k AS (SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i:
+             c[i].role IS DISTINCT FROM r[i].role OR c[i].text IS DISTINCT FROM r[i].text)) - 1, len(c))::INT AS n FROM p),
+t AS (SELECT pair_id, n, side, unnest(list_transform(range(1, len(l) + 1), lambda i: struct_pack(i := i, role := l[i].role,
+             text := '<|im_start|>' || l[i].role || chr(10) || l[i].text || '<|im_end|>' || chr(10)))) AS u
+      FROM (SELECT pair_id, n, 'prompt' AS side, c[1:n] AS l FROM k UNION ALL SELECT pair_id, n, 'chosen', c[n + 1:] FROM k
+            UNION ALL SELECT pair_id, n, 'rejected', r[n + 1:] FROM k)),
+o AS (SELECT *, sum(length(u.text)) OVER (PARTITION BY pair_id, side ORDER BY u.i) AS e FROM t),
+j AS (SELECT pair_id, side, string_agg(u.text, '' ORDER BY u.i) AS text,
+        string_agg((e - length(u.text) + 13 + length(u.role))::BIGINT || '-' || (e - 1)::BIGINT, ',' ORDER BY u.i) FILTER (u.role = 'assistant') AS mask
+      FROM o GROUP BY pair_id, side)
+SELECT pair_id, n AS n_prompt_turns,
+  coalesce((SELECT text FROM j WHERE j.pair_id = k.pair_id AND side = 'prompt'), '') AS prompt,
+  coalesce((SELECT text FROM j WHERE j.pair_id = k.pair_id AND side = 'chosen'), '') AS chosen,
+  coalesce((SELECT mask FROM j WHERE j.pair_id = k.pair_id AND side = 'chosen'), '') AS chosen_mask,
+  coalesce((SELECT text FROM j WHERE j.pair_id = k.pair_id AND side = 'rejected'), '') AS rejected,
+  coalesce((SELECT mask FROM j WHERE j.pair_id = k.pair_id AND side = 'rejected'), '') AS rejected_mask
+FROM k
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op6_decontamination": OP6, "op10_warc_bundles": OP10}
+    return {"op1_quality_rules": OP1, "op2_chat_pairs": OP2, "op6_decontamination": OP6, "op10_warc_bundles": OP10}

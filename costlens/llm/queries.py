@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, pii, quality_rules, secret_scan, simhash_vptree, warc
+import corpus_pipeline
+
+from . import bpe, chat_pairs, decontam, pii, quality_rules, secret_scan, simhash_vptree, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -22,6 +25,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def preference_turns(conversations: DataFrame) -> DataFrame:
+    """Stand-in preference pairs: each conversation, and itself with the assistant's
+    answers from the third turn on broken off half way."""
+    half = F.col("text").substr(F.lit(1), (F.length("text") / 2).cast("int"))
+    cut = (F.col("role") == "assistant") & (F.col("turn") >= 2)
+    row = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    return row.withColumn("side", F.lit("chosen")).unionByName(
+        row.withColumn("text", F.when(cut, half).otherwise(F.col("text"))).withColumn("side", F.lit("rejected")))
+
+
+def op2_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat_pairs.preference_pairs(preference_turns(_table(spark, sf_dir, "conversations")))
+    return pairs.withColumns({c: chat_pairs.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,10 +67,12 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_chat_pairs": op2_chat_pairs,
         "op3_simhash_vptree": op3_simhash_vptree,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_decontamination": op6_decontamination,
         "op8_pii": op8_pii,
         "op9_secret_scan": op9_secret_scan,
         "op10_warc_bundles": op10_warc_bundles,
+        "pipeline": corpus_pipeline.run,
     }
