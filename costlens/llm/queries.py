@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat_pairs, decontam, pii, quality_rules, secret_scan, simhash_vptree, warc
+from . import bpe, chat_pairs, decontam, pii, quality_rules, secret_scan, simhash_vptree, template, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -44,6 +44,10 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": op1_quality_rules,
         "op2_chat_pairs": op2_chat_pairs,
         "op3_simhash_vptree": op3_simhash_vptree,
+        "op4_html_template": op4_html_template,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_decontamination": op6_decontamination,
         "op8_pii": op8_pii,
