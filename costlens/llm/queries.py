@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat_pairs, decontam, pii, quality_rules, secret_scan, simhash_vptree, template, warc
+from . import bpe, bwt_dedup, chat_pairs, decontam, pii, quality_rules, secret_scan, simhash_vptree, template, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -56,6 +56,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.without_repeats(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op4_html_template": op4_html_template,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_decontamination": op6_decontamination,
+        "op7_bwt_dedup": op7_bwt_dedup,
         "op8_pii": op8_pii,
         "op9_secret_scan": op9_secret_scan,
         "op10_warc_bundles": op10_warc_bundles,

@@ -7,6 +7,7 @@ a local session without that setting (tests) gets a temporary folder.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Free the disk of finished shuffles now.
+
+    Spark deletes shuffle files once the driver's JVM has collected the objects
+    that stand for them, which can be long after the job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results not yet written are lost with them."""
     root = f"{shared_folder(spark)}/costlens-llm/{spark.sparkContext.applicationId}"
