@@ -108,33 +108,41 @@ def _runs(length: int):
 
 # -- step 3: shard transforms and their merge --------------------------------
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Places in a sorted array where a new value begins."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32)
+
+
 def _refine(rank: np.ndarray, other: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Split equal ranks among ``active`` by ``other``; the members of blocks that stay larger than one.
+    """Split equal ranks among ``active`` by their ``other``; the members of blocks that stay larger than one.
 
     A rank is the number of elements before its block, so blocks keep their
     room and splitting one touches no other.
     """
-    key = rank[active].astype(np.uint64) << np.uint64(32) | other[active].astype(np.uint64)
+    if not len(active):
+        return active
+    key = rank[active].astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= other.astype(np.uint64)
     order = np.argsort(key)
     key, active = key[order], active[order]
-    old = (key >> np.uint64(32)).astype(np.int64)
-    place = np.arange(len(key))
-    start = np.concatenate([[True], key[1:] != key[:-1]])
-    old_start = np.concatenate([[True], old[1:] != old[:-1]])
-    begin = np.maximum.accumulate(np.where(start, place, 0))
-    rank[active] = old + begin - np.maximum.accumulate(np.where(old_start, place, 0))
-    alone = start & np.append(start[1:], True)
-    return active[~alone]
+    start = _starts(key)
+    size = np.diff(start, append=np.int32(len(key)))
+    old = (key[start] >> np.uint64(32)).astype(np.int32)
+    first = _starts(old)  # of each old block, among the new ones
+    new = old + start - np.repeat(start[first], np.diff(first, append=np.int32(len(old))))
+    rank[active] = np.repeat(new, size)
+    return active[np.repeat(size > 1, size)]
 
 
 def _blocks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of the keys and the members of blocks larger than one."""
-    order = np.argsort(key)
-    sorted_key = key[order]
-    start = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
-    return rank, order[~(start & np.append(start[1:], True))]
+    order = np.argsort(key).astype(np.int32)
+    start = _starts(key[order])
+    size = np.diff(start, append=np.int32(len(key)))
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.repeat(start, size)
+    return rank, order[np.repeat(size > 1, size)]
 
 
 class Shard:
@@ -146,68 +154,64 @@ class Shard:
 
     def __init__(self, segments: list[bytes]):
         ends = np.cumsum([len(s) + 1 for s in segments]) - 1
-        text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
-        symbols = text.astype(np.uint16) + 1
+        text = np.frombuffer(b"\0".join(segments) + b"\0" * (PACKED + 1), np.uint8)
+        n = int(ends[-1]) + 1
+        symbols = text[:n].astype(np.uint16) + np.uint16(1)
         symbols[ends] = 0
-        n = len(text)
-        lengths = np.diff(np.concatenate([[-1], ends]))
-        left = np.repeat(ends, lengths) - np.arange(n)  # symbols before the end mark
-        key = np.zeros(n, np.uint64)
-        for i in range(PACKED):
-            byte = np.zeros(n, np.uint64)
-            byte[:n - i] = text[i:]
-            key = key << np.uint64(8) | np.where(left > i, byte, 0).astype(np.uint64)
-        key = key << np.uint64(8) | np.minimum(left, PACKED).astype(np.uint64)
+        left = np.repeat(ends, np.diff(ends, prepend=-1)).astype(np.int32) - np.arange(n, dtype=np.int32)
+        # Seven bytes, then how many of them come before the end mark.
+        key = np.lib.stride_tricks.sliding_window_view(text, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
+        short = np.minimum(left, PACKED).astype(np.uint64)
+        keep = np.array([0, *(((1 << 8 * i) - 1) << 8 * (8 - i) for i in range(1, PACKED + 1))], np.uint64)
+        key &= keep[short]
+        key |= short
         rank, active = _blocks(key)
-        # What reaches its end mark is told apart by the mark: by place.
-        active = np.sort(active)
+        # What reaches its end mark is told apart by the mark, and so by place.
         near = active[left[active] < PACKED]
-        _refine(rank, np.arange(n), near)
+        _refine(rank, near, near)
         active, h = active[left[active] >= PACKED], PACKED
         while len(active):
-            following = np.minimum(np.arange(n) + h, n - 1)
-            active = _refine(rank, rank[following], active)
+            active = _refine(rank, rank[active + h], active)
             h *= 2
-        self.order = np.empty(n, np.int64)
-        self.order[rank] = np.arange(n)
+        self.order = np.empty(n, np.int32)
+        self.order[rank] = np.arange(n, dtype=np.int32)
         self.transform = symbols[self.order - 1]  # the symbol before each suffix, round the end
-        self.mark_of = np.cumsum(symbols == 0) - (symbols == 0)  # segment of each place
+        self.mark_of = np.cumsum(symbols == 0, dtype=np.int32) - (symbols == 0)  # segment of each place
         self.marks = self.mark_of[self.order - 1]
 
     def successors(self) -> np.ndarray:
         """For each rank the rank of the suffix one symbol shorter, from the transform alone."""
-        # End marks sort by segment: the transform's 0 symbols carry their segment.
-        by = self.transform.astype(np.int64) << 32 | np.where(self.transform == 0, self.marks, 0)
-        return np.argsort(by, kind="stable")
+        # A stable sort of the symbols; end marks go by their segment.
+        by = np.argsort(self.transform, kind="stable").astype(np.int32)
+        ends = by[:np.count_nonzero(self.transform == 0)]
+        ends[:] = ends[np.argsort(self.marks[ends])]
+        return by
 
 
 def merged_blocks(shards: list[Shard], length: int = LENGTH) -> np.ndarray:
     """Block of each merged rank (shard after shard): equal where ``length`` symbols are equal."""
-    offset = np.cumsum([0, *(len(s.order) for s in shards)])
+    offset = np.cumsum([0, *(len(s.order) for s in shards)]).astype(np.int32)
     step = np.concatenate([s.successors() + o for s, o in zip(shards, offset, strict=False)])
-    first = np.concatenate([np.sort(s.transform) for s in shards])  # first symbols, in rank order
-    key, at = np.zeros(len(step), np.uint64), np.arange(len(step))
-    packed = min(PACKED, length)
-    for _ in range(packed):
-        key = key << np.uint64(9) | first[at].astype(np.uint64)
-        at = step[at]
+    first = np.concatenate([np.sort(s.transform) for s in shards]).astype(np.uint64)  # first symbols, in rank order
+    key, jump = np.zeros(len(step), np.uint64), np.arange(len(step), dtype=np.int32)
+    h = min(PACKED, length)
+    for _ in range(h):
+        key <<= np.uint64(9)
+        key |= first[jump]
+        jump = step[jump]
     rank, active = _blocks(key)
-    # at = successor after ``packed`` symbols; powers of it bring in doubled contexts.
-    h, jump = packed, at
-    powers = {1: step, packed: jump}
+    powers = {1: step, h: jump}  # successors after so many symbols
     while len(active) and 2 * h <= length:
-        active = _refine(rank, rank[jump], active)
+        active = _refine(rank, rank[jump[active]], active)
         h *= 2
-        jump = jump[jump]
-        powers[h] = jump
+        if 2 * h <= length:
+            jump = powers[h] = jump[jump]
     if len(active) and h < length:
         reach, at = length - h, active
         for size in sorted(powers, reverse=True):
             while reach >= size:
                 at, reach = powers[size][at], reach - size
-        other = np.zeros(len(rank), np.int64)
-        other[active] = rank[at]
-        _refine(rank, other, active)
+        _refine(rank, rank[at], active)
     return rank
 
 
