@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens remembered per worker, and the longest that is remembered.
 CACHE, LONGEST = 400_000, 64
+CHUNK = 1_000_000
 NORMAL, UNKNOWN, BPE_MODEL = 1, 2, 2
 
 
@@ -104,29 +105,39 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes[i] for i in ids])
 
-    def parts(self, tokens: list[str]) -> dict[str, tuple[str, int, bytes]]:
+    def parts(self, tokens: set[str]) -> dict[str, tuple[str, int, bytes]]:
         """For each pre-token its ids as text, their number and the bytes they decode to."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set(tokens) - self.known.keys())
-        if not new:
-            return self.known
+        known = self.known
+        new = [t for t in tokens if t not in known]
         made = {t: (" ".join(map(str, i)), len(i), self.decode(i)) for t, i in zip(new, self.ids(new), strict=True)}
-        if max(map(len, new)) > LONGEST:
-            return {t: made.get(t) or self.known[t] for t in set(tokens)}
-        self.known.update(made)
-        return self.known
+        if len(known) + len(made) > CACHE or any(len(t) > LONGEST for t in new):
+            made |= {t: known[t] for t in tokens if t in known}
+            self.known = {} if len(known) + len(made) > CACHE else known
+            return made
+        known.update(made)
+        return known
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.ids(self.pattern.findall(text)) for i in ids]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        tokens = self.pattern.findall(text)
-        parts = self.parts(tokens)
-        found = [parts[t] for t in tokens]
-        ids = " ".join([p[0] for p in found]).encode()
-        back = b"".join([p[2] for p in found])
-        return sum([p[1] for p in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, hash of the ids and hash of the decoded bytes of each text.
+
+        New pre-tokens of about ``CHUNK`` characters are encoded in one call.
+        """
+        at = 0
+        while at < len(texts):
+            begin, size = at, 0
+            while at < len(texts) and (size < CHUNK or at == begin):
+                size += len(texts[at])
+                at += 1
+            cut = [self.pattern.findall(t) for t in texts[begin:at]]
+            parts = self.parts(set().union(*cut))
+            for tokens in cut:
+                found = [parts[t] for t in tokens]
+                ids = " ".join([p[0] for p in found]).encode()
+                back = b"".join([p[2] for p in found])
+                yield sum([p[1] for p in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -170,7 +181,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = codec(model, pattern)
-            rows = [made.digest(t.as_py() or "") for t in batch.column(1)]
+            rows = list(made.digests([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()),
                  pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
