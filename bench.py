@@ -107,7 +107,7 @@ def main() -> None:
     tables = load_tables(spark, sf_dir)
     layout_path = work_dir(spark, "bench-layout") + "/logs"
     sc.setJobGroup("layout-write", "layout-write")
-    write_log_layout(tables.logs, layout_path)
+    write_log_layout(tables.logs, layout_path, num_partitions=124, row_group_bytes=16 << 10)
     laid = Tables(read_log_layout(spark, layout_path), tables.keys)
     layout_times = {}
     cases = [("one_key_week_raw", tables, breakdowns.by_model, Period.WEEK),

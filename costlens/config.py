@@ -28,12 +28,9 @@ class ReportConfig:
     warning_threshold: float = WARNING_THRESHOLD
     exceeded_threshold: float = EXCEEDED_THRESHOLD
     # Money is summed as an exact decimal and turned into double once at the end,
-    # so totals do not depend on the order rows reach the aggregate.
-    money_type: str = "decimal(20,10)"
-    # The key table is broadcast to joins only when a bounded count proves it
-    # has at most this many rows (token + alias + cap: a few MB); beyond that
-    # Spark's own size rules and AQE choose the join.
-    broadcast_key_rows: int = 100_000
+    # so totals do not depend on the order rows reach the aggregate.  18 places
+    # keep the smallest per-token prices; sums have 20 digits before the point.
+    money_type: str = "decimal(28,18)"
 
 
 DEFAULT_CONFIG = ReportConfig()

@@ -96,6 +96,11 @@ def state_label(state: Column) -> Column:
     return F.concat(icon, F.lit(" "), state)
 
 
+def state_label_upper(state: Column) -> Column:
+    """The state name in capitals (panel view)."""
+    return F.upper(state)
+
+
 def breakdown_description(spend: Column, percentage: Column, tokens: Column) -> Column:
     """``$spend (pct%) · tokens tok``."""
     return F.concat(dollars(spend), F.lit(" ("), pct(percentage), F.lit(") · "), grouped(tokens),

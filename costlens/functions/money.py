@@ -34,7 +34,7 @@ def percent_of(part: Column, whole: Column) -> Column:
 
 def round_half_up(c: Column, places: int) -> Column:
     """X11: ROUND(x::numeric, n) - half away from zero on a decimal value."""
-    return F.round(c.cast("decimal(38,10)"), places)
+    return F.round(c.cast("decimal(38,18)"), places)
 
 
 def fixed_text(c: Column, places: int) -> Column:

@@ -16,7 +16,6 @@ from costlens.config import DEFAULT_CONFIG, ReportConfig
 from costlens.functions.models import has_model
 from costlens.functions.money import round_half_up, safe_div, to_double
 from costlens.operators.facts import log_facts, sum_measures
-from costlens.operators.keyspace import key_side
 from costlens.periods import month_sql_window
 from costlens.sources.tables import Tables
 
@@ -27,9 +26,10 @@ def alias_keys(keys: DataFrame, alias: str) -> DataFrame:
         .select("token", "user_id", "key_alias", "max_budget", "spend")
 
 
-def _alias_tokens(keys: DataFrame, alias: str, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
-    side = keys.where(F.col("key_alias") == F.lit(alias)).select(F.col("token").alias("api_key"))
-    return key_side(side, keys, cfg)
+def _alias_facts(tables: Tables, as_of: datetime, alias: str, cfg: ReportConfig) -> DataFrame:
+    """The month's fact rows of the alias' keys only: they are picked before any aggregate."""
+    tokens = tables.keys.where(F.col("key_alias") == F.lit(alias)).select(F.col("token").alias("api_key"))
+    return log_facts(tables.logs, month_sql_window(as_of), cfg).join(tokens, "api_key", "left_semi")
 
 
 def alias_month_summary(tables: Tables, as_of: datetime, alias: str,
@@ -37,15 +37,14 @@ def alias_month_summary(tables: Tables, as_of: datetime, alias: str,
     """Per key of the alias, month spend beside the proxy's own counter.
 
     The correlated LATERAL sub-query is written decorrelated: aggregate the
-    month's logs by key once, then LEFT join from the alias' key rows.
+    alias' month by key once, then LEFT join from the alias' key rows.
     """
-    rng = month_sql_window(as_of)
-    month = (log_facts(tables.logs, rng, cfg)
+    month = (_alias_facts(tables, as_of, alias, cfg)
              .groupBy("api_key").agg(F.sum("spend").alias("month_spend")))
     k = tables.keys.where(F.col("key_alias") == F.lit(alias))
     j = k.join(month, k["token"] == month["api_key"], "left")
     spent = F.coalesce(F.col("month_spend"), F.lit(0).cast(cfg.money_type))
-    cap = F.col("max_budget").cast("decimal(38,10)")
+    cap = F.col("max_budget").cast(cfg.money_type)
     return j.select(
         "token", "key_alias", "max_budget",
         F.col("spend").alias("proxy_counter"),
@@ -63,11 +62,8 @@ def alias_by_model(tables: Tables, as_of: datetime, alias: str,
     ``requests`` counts request ids, which equals the SQL's COUNT(*) because
     request_id is never NULL.
     """
-    f = (log_facts(tables.logs, month_sql_window(as_of), cfg)
-         .where(has_model(F.col("model"))))
-    per_key = f.groupBy("api_key", "model").agg(*sum_measures("spend", "requests", "tokens"))
-    j = per_key.join(_alias_tokens(tables.keys, alias, cfg), "api_key", "inner")
-    g = j.groupBy("model").agg(*sum_measures("spend", "requests", "tokens"))
+    g = (_alias_facts(tables, as_of, alias, cfg).where(has_model(F.col("model")))
+         .groupBy("model").agg(*sum_measures("spend", "requests", "tokens")))
     return g.select("model", to_double(round_half_up(F.col("spend"), 4)).alias("spend"),
                     "requests", F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint").alias("tokens"))
 
@@ -75,15 +71,18 @@ def alias_by_model(tables: Tables, as_of: datetime, alias: str,
 def alias_daily(tables: Tables, as_of: datetime, alias: str,
                 cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
     """Month spend of the alias' keys per UTC day (all models)."""
-    f = log_facts(tables.logs, month_sql_window(as_of), cfg)
-    per_key = f.groupBy("api_key", "day").agg(*sum_measures("spend", "requests", "tokens"))
-    j = per_key.join(_alias_tokens(tables.keys, alias, cfg), "api_key", "inner")
-    g = j.groupBy("day").agg(*sum_measures("spend", "requests", "tokens"))
+    g = (_alias_facts(tables, as_of, alias, cfg)
+         .groupBy("day").agg(*sum_measures("spend", "requests", "tokens")))
     return g.select(F.col("day").alias("date"),
                     to_double(round_half_up(F.col("spend"), 4)).alias("spend"),
                     "requests", F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint").alias("tokens"))
 
 
+def order_by_date(df: DataFrame) -> DataFrame:
+    """The alias' days, oldest first."""
+    return df.orderBy("date")
+
+
 def order_by_spend_desc(df: DataFrame) -> DataFrame:
     """Sorted on the rounded spend, as the SQL does."""
     return df.orderBy(F.desc("spend"), "model")

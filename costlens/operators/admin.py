@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from costlens.config import DEFAULT_CONFIG, ReportConfig
 from costlens.functions.models import all_keys_model, has_model
-from costlens.operators.facts import facts, money_out, sum_measures
+from costlens.operators.facts import Rollup, facts, money_out, sum_measures
 from costlens.operators.keyspace import with_alias
 from costlens.periods import TimeRange, admin_range
 from costlens.sources.tables import Tables
@@ -27,7 +27,7 @@ ADMIN_COLS = ("api_key", "key_alias", "day", "model", "spend", "requests", "toke
 
 
 def key_day_model_sums(tables: Tables, rng: TimeRange, cfg: ReportConfig = DEFAULT_CONFIG,
-                       rollup: DataFrame | None = None) -> DataFrame:
+                       rollup: Rollup | None = None) -> DataFrame:
     """(api_key, day, normalised model) sums, spend an exact decimal; no alias."""
     f = facts(tables.logs, rng, cfg, rollup).where(has_model(F.col("model")))
     return (f.groupBy("api_key", "day", all_keys_model(F.col("model")).alias("model"))
@@ -35,41 +35,44 @@ def key_day_model_sums(tables: Tables, rng: TimeRange, cfg: ReportConfig = DEFAU
 
 
 def key_day_model_exact(tables: Tables, rng: TimeRange, cfg: ReportConfig = DEFAULT_CONFIG,
-                        rollup: DataFrame | None = None) -> DataFrame:
+                        rollup: Rollup | None = None) -> DataFrame:
     """A6 with spend still an exact decimal (for further re-aggregation)."""
     agg = key_day_model_sums(tables, rng, cfg, rollup)
-    return with_alias(agg, tables.keys, cfg).select(*ADMIN_COLS)
+    return with_alias(agg, tables.keys).select(*ADMIN_COLS)
 
 
 def key_day_model(tables: Tables, as_of: datetime, start: datetime | None = None,
                   end: datetime | None = None, cfg: ReportConfig = DEFAULT_CONFIG,
-                  rollup: DataFrame | None = None) -> DataFrame:
+                  rollup: Rollup | None = None) -> DataFrame:
     """One row per (api_key, day, model); X9 range defaults to the month."""
     rng = admin_range(as_of, start, end)
     return money_out(key_day_model_exact(tables, rng, cfg, rollup))
 
 
 def admin_rollup(tables: Tables, as_of: datetime, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
-    """R2: the all-keys rows re-aggregated by key, by day, by model and overall.
+    """R2: the all-keys rows re-aggregated by each pair, each column and overall.
 
     Runs on the aggregated rows (not the log), as GROUPING SETS; ``grouping_id``
     has one bit per column (api_key, day, model), set when rolled up.
     """
     rows = key_day_model_sums(tables, admin_range(as_of), cfg)
-    g = rows.groupingSets([["api_key"], ["day"], ["model"], []], "api_key", "day", "model").agg(
+    g = rows.groupingSets([["api_key", "day"], ["api_key", "model"], ["day", "model"],
+                           ["api_key"], ["day"], ["model"], []], "api_key", "day", "model").agg(
         F.grouping_id("api_key", "day", "model").cast("int").alias("grouping_id"),
         *sum_measures())
     return money_out(g).select("grouping_id", "api_key", "day", "model", "spend", "requests",
                                "tokens", "prompt_tokens", "completion_tokens")
 
 
-def admin_pivot(tables: Tables, as_of: datetime, cfg: ReportConfig = DEFAULT_CONFIG,
-                models: list[str] | None = None) -> DataFrame:
-    """Per (api_key, day), one spend column per normalised model.
+def admin_pivot(tables: Tables, as_of: datetime, models: list[str],
+                cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Per (api_key, day), one spend column per declared model name.
 
-    Pass ``models`` when the names are known to skip the job that finds them.
+    The columns are declared, so the schema does not follow the data;
+    ``other_models`` holds the spend of all further names, so none is lost.
     """
     rows = key_day_model_sums(tables, admin_range(as_of), cfg)
-    return (rows.groupBy("api_key", "day")
-            .pivot("model", models)
-            .agg(F.sum("spend").cast("double")))
+    other = ~F.col("model").isin(*models) if models else F.lit(True)
+    return rows.groupBy("api_key", "day").agg(
+        *[F.sum(F.when(F.col("model") == F.lit(m), F.col("spend"))).cast("double").alias(m) for m in models],
+        F.sum(F.when(other, F.col("spend"))).cast("double").alias("other_models"))

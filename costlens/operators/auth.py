@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.config import DEFAULT_CONFIG, ReportConfig
 from costlens.functions.keys import key_prefix_mask, stored_key, strip_bearer
 from costlens.operators.budgets import identities
-from costlens.operators.keyspace import key_side
+from costlens.operators.keyspace import key_tokens
 
 
 def _normalised(attempts: DataFrame) -> DataFrame:
@@ -26,17 +25,15 @@ def _normalised(attempts: DataFrame) -> DataFrame:
                            F.coalesce(stored_key(key), F.lit("")).alias("api_key"))
 
 
-def authenticated(attempts: DataFrame, keys: DataFrame,
-                  cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
+def authenticated(attempts: DataFrame, keys: DataFrame) -> DataFrame:
     """Requests whose key matches a key row, with user id and email."""
     n = _normalised(attempts)
-    return n.join(key_side(identities(keys), keys, cfg), "api_key", "inner").select(
+    return n.join(identities(keys), "api_key", "inner").select(
         "request_id", "api_key", "user_id", "email")
 
 
-def rejected(attempts: DataFrame, keys: DataFrame, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
+def rejected(attempts: DataFrame, keys: DataFrame) -> DataFrame:
     """Requests whose key has no key row; only a masked prefix is kept."""
     n = _normalised(attempts)
-    tokens = key_side(keys.select(F.col("token").alias("api_key")), keys, cfg)
-    return n.join(tokens, "api_key", "left_anti").select(
+    return n.join(key_tokens(keys), "api_key", "left_anti").select(
         "request_id", key_prefix_mask(F.col("_key")).alias("key_prefix"))

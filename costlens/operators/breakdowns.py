@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from costlens.config import DEFAULT_CONFIG, GLOBAL_PROJECT, ReportConfig
 from costlens.functions.keys import stored_key_text
 from costlens.functions.models import has_model, per_key_model
-from costlens.functions.money import percent_of, to_double
+from costlens.functions.money import percent_of, to_double, zero_if_null
 from costlens.functions.time import day_start
-from costlens.operators.facts import facts, money_out, sum_measures
+from costlens.operators.facts import Rollup, facts, money_out, sum_measures
 from costlens.operators.keyspace import key_tokens, only_valid_keys
 from costlens.periods import period_range, parse_period
 from costlens.sources.tables import Tables
@@ -40,7 +40,7 @@ def one_key(tables: Tables, key_text: str) -> Tables:
 
 
 def period_facts(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
-                 rollup: DataFrame | None = None) -> DataFrame:
+                 rollup: Rollup | None = None) -> DataFrame:
     """Fact rows of the period (from the rollup when given and exact)."""
     return facts(tables.logs, period_range(period, as_of), cfg, rollup)
 
@@ -49,14 +49,14 @@ _period_facts = period_facts
 
 
 def spend_by_key(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
-                 rollup: DataFrame | None = None) -> DataFrame:
+                 rollup: Rollup | None = None) -> DataFrame:
     """(api_key, spend) for keys with rows in the period; spend is an exact decimal."""
     return (_period_facts(tables, as_of, period, cfg, rollup)
             .groupBy("api_key").agg(F.sum("spend").alias("spend")))
 
 
 def total_spend(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
-                rollup: DataFrame | None = None) -> DataFrame:
+                rollup: Rollup | None = None) -> DataFrame:
     """A1 + X10: period spend per key; a key without rows gets 0.0."""
     spend = spend_by_key(tables, as_of, period, cfg, rollup)
     return (key_tokens(tables.keys).join(spend, "api_key", "left")
@@ -66,15 +66,15 @@ def total_spend(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEF
 
 
 def by_model(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
-             rollup: DataFrame | None = None) -> DataFrame:
+             rollup: Rollup | None = None) -> DataFrame:
     """Spend, share and tokens per key and normalised model for a period."""
     f = _period_facts(tables, as_of, period, cfg, rollup).where(has_model(F.col("model")))
     agg = (f.groupBy("api_key", per_key_model(F.col("model")).alias("model"))
            .agg(*sum_measures()))
-    agg = only_valid_keys(agg, tables.keys, cfg)
+    agg = only_valid_keys(agg, tables.keys)
     # The share's denominator includes names that normalise to '' (dropped after).
     totals = agg.withColumn("key_total", to_double(F.sum("spend").over(Window.partitionBy("api_key"))))
-    spend = to_double(F.col("spend"))
+    spend = zero_if_null(F.col("spend"))
     shares = totals.select(
         "api_key", F.lit(parse_period(period).value).alias("period"), "model",
         spend.alias("spend"), percent_of(spend, F.col("key_total")).alias("percentage"),
@@ -83,11 +83,11 @@ def by_model(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAUL
 
 
 def by_project(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
-               rollup: DataFrame | None = None) -> DataFrame:
+               rollup: Rollup | None = None) -> DataFrame:
     """One ``global`` project row per key with non-zero period spend."""
     agg = (_period_facts(tables, as_of, period, cfg, rollup)
            .groupBy("api_key").agg(*sum_measures()))
-    agg = only_valid_keys(agg, tables.keys, cfg)
+    agg = only_valid_keys(agg, tables.keys)
     agg = agg.where(F.col("spend").isNotNull() & (F.col("spend") != 0))
     agg = money_out(agg)
     # One bucket per key, so the key's total is its own spend.
@@ -98,11 +98,11 @@ def by_project(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFA
 
 
 def daily(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
-          rollup: DataFrame | None = None) -> DataFrame:
+          rollup: Rollup | None = None) -> DataFrame:
     """Spend, requests and total tokens per key and UTC day (midnight timestamp)."""
     agg = (_period_facts(tables, as_of, period, cfg, rollup)
            .groupBy("api_key", "day").agg(*sum_measures("spend", "requests", "tokens")))
-    agg = money_out(only_valid_keys(agg, tables.keys, cfg))
+    agg = money_out(only_valid_keys(agg, tables.keys))
     return agg.select("api_key", F.lit(parse_period(period).value).alias("period"),
                       day_start(F.col("day")).alias("date"), "spend", "requests", "tokens")
 
@@ -124,7 +124,7 @@ def order_days_asc(df: DataFrame) -> DataFrame:
 
 
 def section_counts(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
-                   rollup: DataFrame | None = None) -> DataFrame:
+                   rollup: Rollup | None = None) -> DataFrame:
     """Number of models, projects and days per key (0 when a section is empty).
 
     One scan: facts are aggregated once to (api_key, day, per-key model), and

@@ -19,7 +19,7 @@ from costlens.functions.keys import (email_from_metadata, identity_email, identi
                                      key_prefix_mask)
 from costlens.functions.money import percent_of, to_double
 from costlens.operators.breakdowns import spend_by_key
-from costlens.operators.keyspace import key_side
+from costlens.operators.facts import Rollup
 from costlens.periods import Period, parse_period
 from costlens.sources.tables import Tables
 
@@ -54,7 +54,7 @@ def budget_lookup(requested: DataFrame, keys: DataFrame,
     """
     k = keys.select(F.col("token").alias("api_key"), F.col("max_budget"),
                     F.lit(True).alias("_found"))
-    j = requested.select("api_key").join(key_side(k, keys, cfg), "api_key", "left")
+    j = requested.select("api_key").join(k, "api_key", "left")
     source = (F.when(F.col("_found").isNull(), F.lit("default_missing_key"))
               .when(F.col("max_budget") > 0, F.lit("max_budget"))
               .otherwise(F.lit("default_unset")))
@@ -63,7 +63,7 @@ def budget_lookup(requested: DataFrame, keys: DataFrame,
 
 
 def summary(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT_CONFIG,
-            rollup: DataFrame | None = None) -> DataFrame:
+            rollup: Rollup | None = None) -> DataFrame:
     """Period spend against the monthly cap (B2 remaining, B3 used %)."""
     spend = spend_by_key(tables, as_of, period, cfg, rollup)
     j = (key_budgets(tables.keys, cfg).join(spend, "api_key", "left")
@@ -79,7 +79,7 @@ def summary(tables: Tables, as_of: datetime, period, cfg: ReportConfig = DEFAULT
 
 
 def budget_report(tables: Tables, as_of: datetime, cfg: ReportConfig = DEFAULT_CONFIG,
-                  rollup: DataFrame | None = None) -> DataFrame:
+                  rollup: Rollup | None = None) -> DataFrame:
     """Month-to-date spend, cap, remaining, used %, state and both thresholds."""
     s = summary(tables, as_of, Period.MONTH, cfg, rollup)
     used = F.col("budget_used_percent")

@@ -10,17 +10,20 @@ and a whole-day range can be served from the much smaller rollup.
 
 from __future__ import annotations
 
-from datetime import time
+from dataclasses import dataclass
+from datetime import date, time, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costlens.config import DEFAULT_CONFIG, ReportConfig
-from costlens.functions.money import exact_money, to_double
+from costlens.functions.money import exact_money, zero_if_null
 from costlens.functions.time import utc_day
-from costlens.periods import TimeRange
+from costlens.periods import TimeRange, day_range
 
 GRAIN = ("api_key", "day", "model")
+ROLLUP_SCHEMA = ("day date, api_key string, model string, spend decimal(38,18), "
+                 "requests bigint, tokens bigint, prompt_tokens bigint, completion_tokens bigint")
 MEASURE_COLS = ("spend", "requests", "tokens", "prompt_tokens", "completion_tokens")
 
 
@@ -50,21 +53,35 @@ def is_whole_days(rng: TimeRange) -> bool:
     return rng.start.time() == time(0, 0) and rng.end.time() == time(23, 59, 59, 999999)
 
 
-def rollup_facts(rollup: DataFrame, rng: TimeRange) -> DataFrame:
-    """Facts from a daily rollup; exact only when the range is whole days."""
+@dataclass(frozen=True)
+class Rollup:
+    """Rows at (day, api_key, raw model) grain, and the days they cover in full."""
+
+    rows: DataFrame
+    first_day: date
+    last_day: date
+
+
+def rollup_facts(rollup: Rollup, rng: TimeRange) -> DataFrame:
+    """Facts of the range's days that the rollup covers; the range must be whole days."""
     if not is_whole_days(rng):
         raise ValueError("a daily rollup can only answer whole-day ranges")
-    day = F.col("day")
-    return rollup.where((day >= F.lit(rng.first_day)) & (day <= F.lit(rng.last_day))) \
-        .select(*GRAIN, *MEASURE_COLS)
+    first, last = max(rng.first_day, rollup.first_day), min(rng.last_day, rollup.last_day)
+    return rollup.rows.where(F.col("day").between(F.lit(first), F.lit(last))).select(*GRAIN, *MEASURE_COLS)
 
 
 def facts(logs: DataFrame, rng: TimeRange, cfg: ReportConfig = DEFAULT_CONFIG,
-          rollup: DataFrame | None = None) -> DataFrame:
-    """Facts for ``rng``: from the rollup when given and exact, else from raw logs."""
-    if rollup is not None and is_whole_days(rng):
-        return rollup_facts(rollup, rng)
-    return log_facts(logs, rng, cfg)
+          rollup: Rollup | None = None) -> DataFrame:
+    """Facts for ``rng``: covered whole days from the rollup, the rest from the raw log."""
+    if rollup is None or not is_whole_days(rng) or rng.last_day < rollup.first_day or rng.first_day > rollup.last_day:
+        return log_facts(logs, rng, cfg)
+    out = rollup_facts(rollup, rng)
+    one = timedelta(days=1)
+    if rng.first_day < rollup.first_day:
+        out = out.unionByName(log_facts(logs, day_range(rng.first_day, rollup.first_day - one), cfg))
+    if rng.last_day > rollup.last_day:
+        out = out.unionByName(log_facts(logs, day_range(rollup.last_day + one, rng.last_day), cfg))
+    return out
 
 
 def sum_measures(*names: str) -> list[Column]:
@@ -79,7 +96,7 @@ def daily_rollup(logs: DataFrame, rng: TimeRange, cfg: ReportConfig = DEFAULT_CO
 
 
 def money_out(df: DataFrame, *names: str) -> DataFrame:
-    """Exact decimal money -> double, once, at the end of a report."""
+    """Exact decimal money -> double, once, at the end of a report; no amount is 0."""
     for n in names or ("spend",):
-        df = df.withColumn(n, to_double(F.col(n)))
+        df = df.withColumn(n, zero_if_null(F.col(n)))
     return df

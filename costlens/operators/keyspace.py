@@ -4,11 +4,9 @@ Reports aggregate log rows first and join the (much smaller) aggregate to the
 key table; because ``token`` is the key table's primary key this is exact
 (SURVEY J1).
 
-Broadcast policy: where the key table is the build side, it is broadcast only
-after a bounded count (``limit(n + 1).count()``, run once per key-table
-handle) proves it has at most ``cfg.broadcast_key_rows`` rows.  Otherwise no
-hint is given: Spark keeps its own size threshold and AQE re-plans from the
-measured shuffle sizes, falling back to a sort-merge join on aggregated rows.
+No hint is given: Spark broadcasts the key side when its size is below
+``spark.sql.autoBroadcastJoinThreshold`` and AQE re-plans from measured sizes;
+a large key table gets a sort-merge join on aggregated rows.
 """
 
 from __future__ import annotations
@@ -16,40 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costlens.config import DEFAULT_CONFIG, ReportConfig
-
-_PROVEN: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; stops reading after max_rows + 1."""
-    key = (id(df), max_rows)
-    hit = _PROVEN.get(key)
-    if hit is not None and hit[0] is df:
-        return hit[1]
-    ok = df.limit(max_rows + 1).count() <= max_rows
-    _PROVEN[key] = (df, ok)
-    return ok
-
-
-def key_side(side: DataFrame, keys: DataFrame, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
-    """``side`` (a projection/filter of ``keys``) as a join's build side: broadcast
-    when the whole key table is proven small, else left to Spark's planner."""
-    if has_at_most(keys, cfg.broadcast_key_rows):
-        return F.broadcast(side)
-    return side
-
 
 def key_tokens(keys: DataFrame) -> DataFrame:
     return keys.select(F.col("token").alias("api_key"))
 
 
-def only_valid_keys(df: DataFrame, keys: DataFrame, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
+def only_valid_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Keep rows whose api_key has a key row (the keys a client can present)."""
-    return df.join(key_side(key_tokens(keys), keys, cfg), "api_key", "left_semi")
+    return df.join(key_tokens(keys), "api_key", "left_semi")
 
 
-def with_alias(df: DataFrame, keys: DataFrame, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
+def with_alias(df: DataFrame, keys: DataFrame) -> DataFrame:
     """LEFT join; rows of deleted/unknown keys keep a NULL alias."""
     side = keys.select(F.col("token").alias("api_key"), "key_alias")
-    return df.join(key_side(side, keys, cfg), "api_key", "left")
+    return df.join(side, "api_key", "left")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from costlens.config import DEFAULT_CONFIG
 from costlens.operators import admin, breakdowns, budgets
-from costlens.operators.facts import daily_rollup
+from costlens.operators.facts import ROLLUP_SCHEMA, Rollup, daily_rollup
 from costlens.periods import period_range
-from costlens.session import checkpoint_root
 
 # Fixed rules of the report models: field -> (min, max); None = unbounded.
+LOG_RULES = {"spend": (0, None)}
 SUMMARY_RULES = {"spend": (0, None), "budget": (0, None), "budget_used_percent": (0, None)}
 SHARE_RULES = {"spend": (0, None), "percentage": (0, 100), "requests": (0, None),
                "tokens": (0, None), "prompt_tokens": (0, None), "completion_tokens": (0, None)}
@@ -24,7 +24,8 @@ ADMIN_RULES = DAILY_RULES | {"prompt_tokens": (0, None), "completion_tokens": (0
 
 
 def _fails(c: Column, lo, hi) -> Column:
-    cond = F.lit(False)
+    """A missing value and NaN break every rule."""
+    cond = c.isNull() | F.isnan(c.cast("double"))
     if lo is not None:
         cond = cond | (c < F.lit(lo))
     if hi is not None:
@@ -59,20 +60,23 @@ def duplicate_keys(df: DataFrame, pk: str) -> DataFrame:
     return df.groupBy(pk).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
 
 
-def report_violations(tables, as_of, cfg=None) -> DataFrame:
-    """V1 over the month's summary, by-model, daily, budget and all-keys reports.
+def report_violations(tables, as_of, rollup_path: str, cfg=None) -> DataFrame:
+    """V1 over the month's log rows and its six reports.
 
-    The five reports are answered from one (day, api_key, raw model) rollup of
-    the month, materialised with a reliable ``checkpoint()`` in the shared
-    checkpoint folder (this runs one job when called), so the log is scanned
-    once instead of five times.
+    The reports are answered from one (day, api_key, raw model) rollup of the
+    month, written to ``rollup_path``, so the log is aggregated once.  Amounts
+    that are missing or NaN count as 0 in reports; the log rows themselves are
+    checked so that they show.
     """
     cfg = cfg or DEFAULT_CONFIG
-    checkpoint_root(tables.logs.sparkSession)
-    roll = daily_rollup(tables.logs, period_range("month", as_of), cfg).checkpoint(eager=True)
+    rng = period_range("month", as_of)
+    daily_rollup(tables.logs, rng, cfg).write.mode("overwrite").parquet(rollup_path)
+    roll = Rollup(tables.logs.sparkSession.read.schema(ROLLUP_SCHEMA).parquet(rollup_path), rng.first_day, rng.last_day)
     return all_violations([
+        violations(tables.logs.where(rng.contains(F.col("startTime"))), "log", LOG_RULES, "request_id"),
         violations(budgets.summary(tables, as_of, "month", cfg, roll), "summary", SUMMARY_RULES),
         violations(breakdowns.by_model(tables, as_of, "month", cfg, roll), "by_model", SHARE_RULES),
+        violations(breakdowns.by_project(tables, as_of, "month", cfg, roll), "by_project", SHARE_RULES),
         violations(breakdowns.daily(tables, as_of, "month", cfg, roll), "daily", DAILY_RULES),
         violations(budgets.budget_report(tables, as_of, cfg, roll), "budget", BUDGET_RULES),
         violations(admin.key_day_model(tables, as_of, cfg=cfg, rollup=roll), "admin", ADMIN_RULES),

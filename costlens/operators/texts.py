@@ -52,6 +52,11 @@ def model_labels(by_model: DataFrame) -> DataFrame:
                             F.col("completion_tokens")).alias("tooltip"))
 
 
+def project_labels(by_project: DataFrame) -> DataFrame:
+    """Description and tooltip of each project row."""
+    return model_labels(by_project.withColumnRenamed("project", "model")).withColumnRenamed("model", "project")
+
+
 def budget_money_texts(budget: DataFrame, other_currencies: tuple[str, str] = ("USD", "CHF")) -> DataFrame:
     """Amounts of the budget report as currency text (configured and two others)."""
     a, b = other_currencies
@@ -83,7 +88,7 @@ def token_breakdowns(tables: Tables, as_of: datetime, period=Period.MONTH,
     g = (f.withColumn("name", name)
          .groupingSets([["api_key", "name"], ["api_key"]], "api_key", "name")
          .agg(F.grouping("name").cast("int").alias("gid"), *sum_measures()))
-    g = only_valid_keys(g, tables.keys, cfg)
+    g = only_valid_keys(g, tables.keys)
     is_model = F.col("gid") == 0
     keep = ((is_model & F.col("name").isNotNull() & (F.col("name") != F.lit("")))
             | (~is_model & F.col("spend").isNotNull() & (F.col("spend") != 0)))

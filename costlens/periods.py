@@ -14,7 +14,7 @@ The ad-hoc SQL month window ends at 23:59:59 flat (no fraction); see
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, time, timedelta
 from enum import Enum
 
 from pyspark.sql import Column
@@ -86,10 +86,16 @@ def _day_end(ts: datetime) -> datetime:
     return ts.replace(hour=23, minute=59, second=59, microsecond=999999)
 
 
-def _next_month_start(ts: datetime) -> datetime:
-    if ts.month == 12:
-        return ts.replace(year=ts.year + 1, month=1, day=1)
-    return ts.replace(month=ts.month + 1, day=1)
+def next_month_start(day):
+    """First of the following month, for a date or datetime."""
+    if day.month == 12:
+        return day.replace(year=day.year + 1, month=1, day=1)
+    return day.replace(month=day.month + 1, day=1)
+
+
+def day_range(first: date, last: date) -> TimeRange:
+    """The closed range of whole days."""
+    return TimeRange(datetime.combine(first, time(0)), _day_end(datetime.combine(last, time(0))))
 
 
 def period_range(period, as_of: datetime) -> TimeRange:
@@ -101,14 +107,14 @@ def period_range(period, as_of: datetime) -> TimeRange:
         monday = as_of - timedelta(days=as_of.weekday())
         return TimeRange(_day_start(monday), _day_end(as_of))
     first = _day_start(as_of.replace(day=1))
-    last_day = _next_month_start(first) - timedelta(days=1)
+    last_day = next_month_start(first) - timedelta(days=1)
     return TimeRange(first, _day_end(last_day))
 
 
 def month_sql_window(as_of: datetime) -> TimeRange:
     """Month start .. month start + 1 month - 1 second (ends at :59 flat)."""
     first = _day_start(as_of.replace(day=1))
-    return TimeRange(first, _next_month_start(first) - timedelta(seconds=1))
+    return TimeRange(first, next_month_start(first) - timedelta(seconds=1))
 
 
 def admin_range(as_of: datetime, start: datetime | None = None,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,17 +16,18 @@ from pyspark.sql import functions as F
 from costlens.config import DEFAULT_CONFIG, FIXED_AS_OF
 from costlens.functions.models import all_keys_model, per_key_model
 from costlens.operators import admin, adhoc, auth, breakdowns, budgets, quality, reshape, texts
-from costlens.periods import Period
-from costlens.session import work_dir
+from costlens.functions import display
+from costlens.periods import Period, parse_period
+from costlens.schemas import SPEND_LOGS_SCHEMA
+from costlens.session import remove, work_dir
 from costlens.sources import load as idempotent
 from costlens.sources.layout import read_log_layout, write_log_layout
-from costlens.sources.sinks import nested
+from costlens.sources.sinks import nested, write_parquet
 from costlens.sources.tables import Tables
-from costlens.sources.testdata import load_auth_attempts, load_tables, replayed_batches
+from costlens.sources.testdata import faulty_tables, load_auth_attempts, load_tables, replayed_batches
 from costlens.streaming import bundle
 from costlens.streaming.feed import replay
-from costlens.streaming.reconcile import reconcile_days, reconcile_mismatched
-from costlens.streaming.rollup import watermark_day
+from costlens.streaming.reconcile import reconcile_mismatched
 from costlens.streaming.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,7 @@ ONE_KEY = "Bearer sk-user-7"
 CHUNK_DAYS = 10
 LATENESS = "1 day"
 CUSTOM_START = datetime(2024, 1, 10)
+PIVOT_MODELS = ["view", "click", "purchase"]
 
 
 def _tables_query(fn) -> Query:
@@ -63,12 +66,38 @@ def _model_names(t):
                     all_keys_model(m).alias("all_keys_model")))
 
 
+def nested_reports(t, as_of, period) -> dict[str, DataFrame]:
+    """By model, by project, daily (latest day first) and all keys, a list per valid key."""
+    p = parse_period(period).value
+    head = t.keys.select(F.col("token").alias("api_key"), F.lit(p).alias("period"))
+    spend = -F.col("spend")
+    shared = ["spend", "requests", "tokens"]
+    split = ["prompt_tokens", "completion_tokens"]
+    rows = {"by_model": breakdowns.by_model(t, as_of, period), "by_project": breakdowns.by_project(t, as_of, period),
+            "daily": breakdowns.daily(t, as_of, period),
+            "all_keys": admin.key_day_model(t, as_of).withColumn("period", F.lit(p))}
+    cols = {"by_model": ["model", "percentage", *shared, *split], "by_project": ["project", "percentage", *shared, *split],
+            "daily": ["date", *shared], "all_keys": ["day", "model", *shared, *split]}
+    order = {"by_model": [spend, F.col("model")], "by_project": [spend, F.col("project")],
+             "daily": [-F.unix_date(F.col("date").cast("date"))], "all_keys": [spend, F.col("day"), F.col("model")]}
+    return {name: nested(rows[name], ["api_key", "period"], "items", cols[name], order[name], head) for name in rows}
+
+
 def _nested_report(t):
-    rows = breakdowns.by_model(t, AS_OF, Period.MONTH).withColumn(
-        "currency", F.lit(DEFAULT_CONFIG.currency))
-    return nested(rows, ["api_key", "period", "currency"], "models",
-                  ["model", "spend", "percentage", "requests", "tokens", "prompt_tokens",
-                   "completion_tokens"])
+    return (nested_reports(t, AS_OF, Period.MONTH)["by_model"].withColumnRenamed("items", "models")
+            .withColumn("currency", F.lit(DEFAULT_CONFIG.currency)))
+
+
+def _nested_positions(t):
+    """Every list of the nested reports with the place of each item; an empty list gives one row at -1."""
+    def flat(name: str, df: DataFrame) -> DataFrame:
+        label = {"by_model": "item.model", "by_project": "item.project", "daily": "item.date", "all_keys": "item.model"}[name]
+        return (df.select("api_key", F.posexplode_outer("items").alias("pos", "item"))
+                .select(F.lit(name).alias("report"), "api_key", F.coalesce("pos", F.lit(-1)).alias("pos"),
+                        (F.date_format(label, "yyyy-MM-dd") if name == "daily" else F.col(label)).alias("name"),
+                        F.col("item.spend").alias("spend")))
+
+    return reduce(DataFrame.unionByName, [flat(n, df) for n, df in nested_reports(t, AS_OF, Period.MONTH).items()])
 
 
 def _key_auth(fn) -> Query:
@@ -78,25 +107,16 @@ def _key_auth(fn) -> Query:
 
 
 # ------------------------------------------------------------------- streaming
-def _job_session(spark: SparkSession) -> SparkSession:
-    """A session of its own for a multi-step job: shuffle (and state-store)
-    partitions follow the cluster's parallelism; the caller's session is untouched."""
-    job = spark.newSession()
-    job.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    return job
-
-
 def _run_stream(spark, sf_dir, late_first_chunk: bool) -> Store:
     t = load_tables(spark, sf_dir)
     work = work_dir(spark, "stream")
     store = Store(f"{work}/store")
-    lo, hi, progress = replay(spark, t.logs, t.keys, store, work, CHUNK_DAYS, LATENESS,
-                              late_first_chunk)
-    if lo is not None:
-        if late_first_chunk:
-            reconcile_mismatched(spark, store, t.logs, t.keys, lo, hi)
-        # Days the watermark has not passed yet are still open in the stream.
-        reconcile_days(spark, store, t.logs, t.keys, watermark_day(progress) or lo, hi)
+    lo, hi, _ = replay(spark, t.logs, lambda s: load_tables(s, sf_dir).keys, store, work, CHUNK_DAYS, LATENESS,
+                       late_first_chunk)
+    if lo is not None and late_first_chunk:
+        reconcile_mismatched(spark, store, t.logs, t.keys, lo, hi)
+    for used in ("landing", "checkpoint"):
+        remove(spark, f"{work}/{used}")
     return store
 
 
@@ -107,33 +127,44 @@ def _rollup_out(df: DataFrame) -> DataFrame:
 
 def _stream_rollup(late_first_chunk: bool) -> Query:
     def run(spark, sf_dir):
-        job = _job_session(spark)
-        return _rollup_out(_run_stream(job, sf_dir, late_first_chunk).rollup(job))
+        return _rollup_out(_run_stream(spark, sf_dir, late_first_chunk).rollup(spark))
     return run
 
 
 def _stream_budget_alerts(spark, sf_dir):
-    job = _job_session(spark)
-    return _run_stream(job, sf_dir, False).alerts(job)
+    return _run_stream(spark, sf_dir, False).alerts(spark)
 
 
 def _refresh_bundle(spark, sf_dir):
-    job = _job_session(spark)
-    return bundle.refresh(job, load_tables(job, sf_dir), AS_OF, Period.WEEK,
-                          work_dir(job, "bundle"))
+    return bundle.refresh(spark, load_tables(spark, sf_dir), AS_OF, Period.WEEK, work_dir(spark, "bundle"))
+
+
+def _report_violations(spark, sf_dir):
+    t = load_tables(spark, sf_dir)
+    return quality.report_violations(Tables(faulty_tables(t).logs, t.keys), AS_OF,
+                                     work_dir(spark, "violations") + "/rollup")
 
 
 def _layout_one_key_week(spark, sf_dir):
     """Write the day-partitioned, key-sorted layout, then answer one
     key's weekly by-model report from it (day pruning + key skipping)."""
-    job = _job_session(spark)
-    t = load_tables(job, sf_dir)
-    path = work_dir(job, "layout") + "/logs"
+    t = load_tables(spark, sf_dir)
+    path = work_dir(spark, "layout") + "/logs"
     write_log_layout(t.logs, path)
-    laid = Tables(read_log_layout(job, path), t.keys)
+    laid = Tables(read_log_layout(spark, path), t.keys)
     return breakdowns.by_model(breakdowns.one_key(laid, ONE_KEY), AS_OF, Period.WEEK)
 
 
+def _append_twice(spark, sf_dir):
+    """S3: store the log up to the clock, append the replayed batch, append it again, read back."""
+    existing, incoming = replayed_batches(load_tables(spark, sf_dir).logs, AS_OF)
+    path = work_dir(spark, "append") + "/logs"
+    write_parquet(existing, path)
+    for _ in range(2):
+        idempotent.append_new(path, spark.read.schema(SPEND_LOGS_SCHEMA).parquet(path), incoming)
+    return spark.read.schema(SPEND_LOGS_SCHEMA).parquet(path)
+
+
 def registered_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "admin_key_day_model": _tables_query(lambda t: admin.key_day_model(t, AS_OF)),
@@ -163,10 +194,10 @@ def registered_queries() -> dict[str, Query]:
         lambda t: idempotent.merged(*replayed_batches(t.logs, AS_OF)))
     q["duplicate_request_ids"] = _tables_query(
         lambda t: quality.duplicate_keys(replayed_batches(t.logs, AS_OF)[1], "request_id"))
-    q["duplicate_key_tokens"] = _tables_query(lambda t: quality.duplicate_keys(t.keys, "token"))
+    q["duplicate_key_tokens"] = _tables_query(lambda t: quality.duplicate_keys(faulty_tables(t).keys, "token"))
     q["model_names"] = _tables_query(_model_names)
     q["admin_cube"] = _tables_query(lambda t: admin.admin_rollup(t, AS_OF))
-    q["admin_pivot"] = _tables_query(lambda t: admin.admin_pivot(t, AS_OF))
+    q["admin_pivot"] = _tables_query(lambda t: admin.admin_pivot(t, AS_OF, PIVOT_MODELS))
     q["token_breakdown"] = _tables_query(lambda t: texts.token_breakdowns(t, AS_OF))
     q["summary_lines"] = _tables_query(lambda t: reshape.summary_lines(
         budgets.summary(t, AS_OF, Period.MONTH), budgets.budget_report(t, AS_OF)))
@@ -177,8 +208,15 @@ def registered_queries() -> dict[str, Query]:
         lambda t: texts.budget_money_texts(budgets.budget_report(t, AS_OF)))
     q["daily_label"] = _tables_query(
         lambda t: texts.daily_labels(breakdowns.daily(t, AS_OF, Period.MONTH)))
-    q["report_violations"] = _tables_query(lambda t: quality.report_violations(t, AS_OF))
+    q["project_label"] = _tables_query(
+        lambda t: texts.project_labels(breakdowns.by_project(t, AS_OF, Period.MONTH)))
+    q["state_label"] = _tables_query(lambda t: budgets.budget_report(t, AS_OF).select(
+        "api_key", display.state_label(F.col("state")).alias("label"),
+        display.state_label_upper(F.col("state")).alias("label_upper")))
+    q["report_violations"] = _report_violations
     q["nested_report"] = _tables_query(_nested_report)
+    q["nested_positions"] = _tables_query(_nested_positions)
+    q["append_twice"] = _append_twice
     q["admin_custom_range"] = _tables_query(
         lambda t: admin.key_day_model(t, AS_OF, start=CUSTOM_START))
     q["layout_one_key_week"] = _layout_one_key_week

@@ -2,17 +2,27 @@
 
 Every statement first rebuilds the two stand-in tables from the driver's
 ``events`` and ``customer`` views, exactly as ``sources/testdata.py`` does,
-then computes the report with plain SQL.  Money is summed as DECIMAL(20,10)
-and cast to DOUBLE once, as on the Spark side.
+then computes the report with plain SQL.  Money is summed as DECIMAL(28,18),
+read from and cast to DOUBLE by its shortest text, as on the Spark side.
 """
 
 from __future__ import annotations
 
 from costlens.config import FIXED_AS_OF
-from costlens.periods import Period, admin_range, month_sql_window, period_range
+from costlens.periods import Period
 
 AS_OF = FIXED_AS_OF
 
+# Fixed values, written out here so that the check does not use the code it
+# checks: for the clock 2024-01-17 15:30 (a Wednesday) the bounds of each range.
+BOUNDS = {
+    "today": ("2024-01-17 00:00:00", "2024-01-17 23:59:59.999999"),
+    "week": ("2024-01-15 00:00:00", "2024-01-17 23:59:59.999999"),
+    "month": ("2024-01-01 00:00:00", "2024-01-31 23:59:59.999999"),
+    "sql_month": ("2024-01-01 00:00:00", "2024-01-31 23:59:59"),
+    "from_10th": ("2024-01-10 00:00:00", "2024-01-31 23:59:59.999999"),
+}
+
 BASE = r"""
 spend_logs AS (
   SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id,
@@ -58,16 +68,24 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join((BASE,) + ctes) + "\n"
 
 
-def _range(rng) -> str:
-    lo, hi = rng.sql_bounds()
+# The stand-in for validation: some spends missing or negative.
+GOOD_SPEND = "CASE WHEN user_id % 13 = 0 THEN 0.0 ELSE value END"
+FAULTY_SPEND = (f"CASE WHEN CAST(event_id AS VARCHAR) LIKE '%013' THEN NULL "
+                f"WHEN event_id % 10 = 7 THEN -({GOOD_SPEND}) ELSE {GOOD_SPEND} END")
+
+
+def _range(name: str) -> str:
+    lo, hi = BOUNDS[name]
     return f"s.\"startTime\" >= TIMESTAMP '{lo}' AND s.\"startTime\" <= TIMESTAMP '{hi}'"
 
 
 def _period_range(period: Period) -> str:
-    return _range(period_range(period, AS_OF))
+    return _range(period.value)
 
 
-MONEY = "CAST(SUM(CAST(s.spend AS DECIMAL(20,10))) AS DOUBLE)"
+#: SHA-256 of the one key of the single-key reports (sk-user-7).
+ONE_KEY_HASH = "3b2bbfa0a31a36a35bdd54af9848abff8ade7e6e2defe27020ce5d59157af7d4"
+MONEY = "CAST(CAST(SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18))) AS VARCHAR) AS DOUBLE)"
 TOKS = ("CAST(SUM(s.total_tokens) AS BIGINT) AS tokens, "
         "CAST(SUM(s.prompt_tokens) AS BIGINT) AS prompt_tokens, "
         "CAST(SUM(s.completion_tokens) AS BIGINT) AS completion_tokens")
@@ -81,8 +99,7 @@ EMAIL = ("CASE WHEN json_valid(k.metadata) AND json_type(k.metadata) = 'OBJECT'
          "NULLIF(json_extract_string(k.metadata, '$.user_email'), '')) END")
 
 
-def admin_key_day_model(start=None) -> str:
-    rng = admin_range(AS_OF, start=start)
+def admin_key_day_model(rng: str = "month") -> str:
     return _with() + f"""
 SELECT s.api_key, k.key_alias, CAST(s."startTime" AS DATE) AS day, {ALL_KEYS_MODEL} AS model,
        {MONEY} AS spend, COUNT(s.request_id) AS requests, {TOKS}
@@ -93,21 +110,21 @@ GROUP BY 1, 2, 3, 4"""
 
 def _total_cte(period: Period, name: str = "tot") -> str:
     return f"""{name} AS (
-  SELECT s.api_key, SUM(CAST(s.spend AS DECIMAL(20,10))) AS spend_dec
+  SELECT s.api_key, SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18))) AS spend_dec
   FROM spend_logs s WHERE {_period_range(period)} GROUP BY s.api_key)"""
 
 
 def total_spend(period: Period) -> str:
     return _with(_total_cte(period)) + f"""
 SELECT k.token AS api_key, '{period.value}' AS period,
-       COALESCE(CAST(t.spend_dec AS DOUBLE), 0.0) AS spend
+       COALESCE(CAST(CAST(t.spend_dec AS VARCHAR) AS DOUBLE), 0.0) AS spend
 FROM virtual_keys k LEFT JOIN tot t ON t.api_key = k.token"""
 
 
 def _summary_cte(period: Period) -> str:
     return f"""summ AS (
   SELECT k.token AS api_key, {IDENT} AS user_id, '{period.value}' AS period, 'EUR' AS currency,
-         COALESCE(CAST(t.spend_dec AS DOUBLE), 0.0) AS spend, {RESOLVED_BUDGET} AS budget
+         COALESCE(CAST(CAST(t.spend_dec AS VARCHAR) AS DOUBLE), 0.0) AS spend, {RESOLVED_BUDGET} AS budget
   FROM virtual_keys k LEFT JOIN tot t ON t.api_key = k.token)"""
 
 
@@ -121,16 +138,16 @@ FROM summ"""
 def by_model(period: Period, key_hash: str | None = None) -> str:
     only = f" AND s.api_key = '{key_hash}'" if key_hash else ""
     return _with(f"""agg AS (
-  SELECT s.api_key, {PER_KEY_MODEL} AS model, SUM(CAST(s.spend AS DECIMAL(20,10))) AS spend_dec,
+  SELECT s.api_key, {PER_KEY_MODEL} AS model, SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18))) AS spend_dec,
          COUNT(s.request_id) AS requests, {TOKS}
   FROM spend_logs s
   WHERE {_period_range(period)} AND {HAS_MODEL}{only}
     AND s.api_key IN (SELECT token FROM virtual_keys)
   GROUP BY 1, 2)""") + f"""
-SELECT api_key, '{period.value}' AS period, model, CAST(spend_dec AS DOUBLE) AS spend,
-       CASE WHEN key_total > 0 THEN CAST(spend_dec AS DOUBLE) / key_total * 100.0 ELSE 0.0 END AS percentage,
+SELECT api_key, '{period.value}' AS period, model, CAST(CAST(spend_dec AS VARCHAR) AS DOUBLE) AS spend,
+       CASE WHEN key_total > 0 THEN CAST(CAST(spend_dec AS VARCHAR) AS DOUBLE) / key_total * 100.0 ELSE 0.0 END AS percentage,
        requests, tokens, prompt_tokens, completion_tokens
-FROM (SELECT *, CAST(SUM(spend_dec) OVER (PARTITION BY api_key) AS DOUBLE) AS key_total FROM agg) x
+FROM (SELECT *, CAST(CAST(SUM(spend_dec) OVER (PARTITION BY api_key) AS VARCHAR) AS DOUBLE) AS key_total FROM agg) x
 WHERE model <> ''"""
 
 
@@ -206,14 +223,12 @@ SELECT k.token AS api_key, {IDENT} AS user_id, COALESCE({EMAIL}, {IDENT} || '@un
 FROM virtual_keys k"""
 
 
-from costlens.functions.keys import stored_key_text  # noqa: E402
-from costlens.operators import quality  # noqa: E402
-from costlens.plans.catalog import ALIAS, CUSTOM_START, ONE_KEY  # noqa: E402
+from costlens.plans.catalog import ALIAS  # noqa: E402
 
 
 def fx(expr: str, places: int) -> str:
     """Same text as functions.money.fixed_text."""
-    return (f"CAST(CAST(round(CAST({expr} AS DECIMAL(38,10)), {places}) AS DECIMAL(38,{places}))"
+    return (f"CAST(CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), {places}) AS DECIMAL(38,{places}))"
             " AS VARCHAR)")
 
 
@@ -222,7 +237,7 @@ def grp(expr: str) -> str:
 
 
 def _sql_month() -> str:
-    return _range(month_sql_window(AS_OF))
+    return _range("sql_month")
 
 
 def alias_keys() -> str:
@@ -232,20 +247,20 @@ SELECT token, user_id, key_alias, max_budget, spend FROM virtual_keys WHERE key_
 
 def alias_month_summary() -> str:
     return _with(f"""m AS (
-  SELECT s.api_key, SUM(CAST(s.spend AS DECIMAL(20,10))) AS spend_dec
+  SELECT s.api_key, SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18))) AS spend_dec
   FROM spend_logs s WHERE {_sql_month()} GROUP BY 1)""") + f"""
 SELECT k.token, k.key_alias, k.max_budget, k.spend AS proxy_counter,
-       CAST(round(CAST(COALESCE(m.spend_dec, 0) AS DECIMAL(38,10)), 4) AS DOUBLE) AS month_spend,
-       CAST(round(CAST(k.max_budget AS DECIMAL(38,10)) - COALESCE(m.spend_dec, 0), 4) AS DOUBLE) AS remaining,
-       CAST(round(CAST(CAST(COALESCE(m.spend_dec, 0) AS DOUBLE) / NULLIF(k.max_budget, 0) * 100.0
-                       AS DECIMAL(38,10)), 2) AS DOUBLE) AS used_percent
+       CAST(round(CAST(COALESCE(m.spend_dec, 0) AS DECIMAL(38,18)), 4) AS DOUBLE) AS month_spend,
+       CAST(round(CAST(CAST(k.max_budget AS VARCHAR) AS DECIMAL(38,18)) - COALESCE(m.spend_dec, 0), 4) AS DOUBLE) AS remaining,
+       CAST(round(CAST(CAST(CAST(CAST(COALESCE(m.spend_dec, 0) AS VARCHAR) AS DOUBLE) / NULLIF(k.max_budget, 0) * 100.0
+                            AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS used_percent
 FROM virtual_keys k LEFT JOIN m ON m.api_key = k.token
 WHERE k.key_alias = '{ALIAS}'"""
 
 
 def alias_by_model() -> str:
     return _with() + f"""
-SELECT s.model, CAST(round(CAST(SUM(CAST(s.spend AS DECIMAL(20,10))) AS DECIMAL(38,10)), 4) AS DOUBLE) AS spend,
+SELECT s.model, CAST(round(CAST(SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18))) AS DECIMAL(38,18)), 4) AS DOUBLE) AS spend,
        COUNT(*) AS requests, CAST(COALESCE(SUM(s.total_tokens), 0) AS BIGINT) AS tokens
 FROM spend_logs s JOIN virtual_keys k ON s.api_key = k.token
 WHERE k.key_alias = '{ALIAS}' AND {_sql_month()} AND {HAS_MODEL}
@@ -255,7 +270,7 @@ GROUP BY s.model"""
 def alias_daily() -> str:
     return _with() + f"""
 SELECT CAST(s."startTime" AS DATE) AS "date",
-       CAST(round(CAST(SUM(CAST(s.spend AS DECIMAL(20,10))) AS DECIMAL(38,10)), 4) AS DOUBLE) AS spend,
+       CAST(round(CAST(SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18))) AS DECIMAL(38,18)), 4) AS DOUBLE) AS spend,
        COUNT(*) AS requests, CAST(COALESCE(SUM(s.total_tokens), 0) AS BIGINT) AS tokens
 FROM spend_logs s JOIN virtual_keys k ON s.api_key = k.token
 WHERE k.key_alias = '{ALIAS}' AND {_sql_month()}
@@ -292,7 +307,7 @@ FROM norm n WHERE NOT EXISTS (SELECT 1 FROM virtual_keys k WHERE k.token = n.api
 
 
 def one_key_by_model() -> str:
-    return by_model(Period.MONTH, stored_key_text(ONE_KEY))
+    return by_model(Period.MONTH, ONE_KEY_HASH)
 
 
 def _cut() -> str:
@@ -316,7 +331,9 @@ GROUP BY request_id HAVING COUNT(*) > 1"""
 
 def duplicate_key_tokens() -> str:
     return _with() + """
-SELECT token, COUNT(*) AS copies FROM virtual_keys GROUP BY token HAVING COUNT(*) > 1"""
+SELECT token, COUNT(*) AS copies FROM (
+  SELECT token FROM virtual_keys UNION ALL SELECT token FROM virtual_keys WHERE token LIKE '0%') k
+GROUP BY token HAVING COUNT(*) > 1"""
 
 
 def model_names() -> str:
@@ -328,25 +345,28 @@ FROM (SELECT DISTINCT model FROM spend_logs) s"""
 def _admin_rows_cte() -> str:
     return f"""arows AS (
   SELECT s.api_key, CAST(s."startTime" AS DATE) AS day, {ALL_KEYS_MODEL} AS model,
-         SUM(CAST(s.spend AS DECIMAL(20,10))) AS spend_dec, COUNT(s.request_id) AS requests,
+         SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18))) AS spend_dec, COUNT(s.request_id) AS requests,
          SUM(s.total_tokens) AS tokens, SUM(s.prompt_tokens) AS prompt_tokens,
          SUM(s.completion_tokens) AS completion_tokens
-  FROM spend_logs s WHERE {_range(admin_range(AS_OF))} AND {HAS_MODEL}
+  FROM spend_logs s WHERE {_range("month")} AND {HAS_MODEL}
   GROUP BY 1, 2, 3)"""
 
 
 def admin_cube() -> str:
     return _with(_admin_rows_cte()) + """
 SELECT CAST(GROUPING(api_key, day, model) AS INTEGER) AS grouping_id, api_key, day, model,
-       CAST(SUM(spend_dec) AS DOUBLE) AS spend, CAST(SUM(requests) AS BIGINT) AS requests,
+       CAST(CAST(SUM(spend_dec) AS VARCHAR) AS DOUBLE) AS spend, CAST(SUM(requests) AS BIGINT) AS requests,
        CAST(SUM(tokens) AS BIGINT) AS tokens, CAST(SUM(prompt_tokens) AS BIGINT) AS prompt_tokens,
        CAST(SUM(completion_tokens) AS BIGINT) AS completion_tokens
-FROM arows GROUP BY GROUPING SETS ((api_key), (day), (model), ())"""
+FROM arows GROUP BY GROUPING SETS ((api_key, day), (api_key, model), (day, model), (api_key), (day), (model), ())"""
 
 
 def admin_pivot() -> str:
-    return _with(_admin_rows_cte()) + """
-PIVOT arows ON model USING CAST(SUM(spend_dec) AS DOUBLE) GROUP BY api_key, day"""
+    dbl = "CAST(CAST(SUM(spend_dec) FILTER ({}) AS VARCHAR) AS DOUBLE) AS {}"
+    names = ("view", "click", "purchase")
+    cols = ", ".join([*(dbl.format(f"model = '{m}'", f'"{m}"') for m in names),
+                      dbl.format("model NOT IN ('view', 'click', 'purchase')", "other_models")])
+    return _with(_admin_rows_cte()) + f"\nSELECT api_key, day, {cols} FROM arows GROUP BY api_key, day"
 
 
 def token_breakdown() -> str:
@@ -431,20 +451,58 @@ SELECT api_key, "date", strftime("date", '%Y-%m-%d') || ' $' || {fx('spend', 2)}
 FROM ({daily(Period.MONTH)}) d"""
 
 
+#: Fixed rules: report -> fields that must be present and lie in [0, upper bound].
+RULES = {
+    "summary": {"spend": None, "budget": None, "budget_used_percent": None},
+    "by_model": {"spend": None, "percentage": 100, "requests": None, "tokens": None, "prompt_tokens": None,
+                 "completion_tokens": None},
+    "daily": {"spend": None, "requests": None, "tokens": None},
+    "budget": {"monthly_budget": None, "spent": None, "used_percent": None, "warning_threshold": 100,
+               "exceeded_threshold": 100},
+    "admin": {"spend": None, "requests": None, "tokens": None, "prompt_tokens": None, "completion_tokens": None},
+}
+RULES["by_project"] = RULES["by_model"]
+
+
 def report_violations() -> str:
+    reports = {"summary": summary(Period.MONTH), "by_model": by_model(Period.MONTH), "by_project": by_project(Period.MONTH),
+               "daily": daily(Period.MONTH), "budget": budget_month(), "admin": admin_key_day_model()}
+    parts = [_with() + f"SELECT 'log' AS report, request_id AS row_id, 'spend' AS field, spend AS value "
+             f"FROM spend_logs s WHERE {_range('month')} AND (spend IS NULL OR spend < 0)"]
+    for name, sub in reports.items():
+        for field, most in RULES[name].items():
+            over = f" OR {field} > {most}" if most is not None else ""
+            parts.append(f"SELECT '{name}' AS report, CAST(api_key AS VARCHAR) AS row_id, '{field}' AS field, "
+                         f"CAST({field} AS DOUBLE) AS value FROM ({sub}) r WHERE {field} IS NULL OR {field} < 0{over}")
+    sql = "\nUNION ALL\n".join(f"SELECT * FROM ({p}) p" for p in parts)
+    return sql.replace(GOOD_SPEND, FAULTY_SPEND).replace(MONEY, f"COALESCE({MONEY}, 0.0)").replace(
+        "CAST(CAST(spend_dec AS VARCHAR) AS DOUBLE) AS spend", "COALESCE(CAST(CAST(spend_dec AS VARCHAR) AS DOUBLE), 0.0) AS spend").replace(
+        "THEN CAST(CAST(spend_dec AS VARCHAR) AS DOUBLE) / key_total", "THEN COALESCE(CAST(CAST(spend_dec AS VARCHAR) AS DOUBLE), 0.0) / key_total")
+
+
+def project_label() -> str:
+    """The model labels' texts for the project rows."""
+    return breakdown_label().replace(by_model(Period.MONTH), by_project(Period.MONTH)).replace("api_key, model", "api_key, project")
+
+
+def state_label() -> str:
+    return f"""
+SELECT api_key, CASE state WHEN 'exceeded' THEN '⚠️' WHEN 'warning' THEN '⚡' ELSE '✓' END || ' ' || state AS label,
+       upper(state) AS label_upper FROM ({budget_month()}) b"""
+
+
+def nested_positions() -> str:
     parts = []
-    for name, sub, rules in (("summary", summary(Period.MONTH), quality.SUMMARY_RULES),
-                             ("by_model", by_model(Period.MONTH), quality.SHARE_RULES),
-                             ("daily", daily(Period.MONTH), quality.DAILY_RULES),
-                             ("budget", budget_month(), quality.BUDGET_RULES),
-                             ("admin", admin_key_day_model(), quality.ADMIN_RULES)):
-        for field, (lo, hi) in rules.items():
-            cond = " OR ".join(([f"{field} < {lo}"] if lo is not None else [])
-                               + ([f"{field} > {hi}"] if hi is not None else []))
-            parts.append(f"SELECT '{name}' AS report, CAST(api_key AS VARCHAR) AS row_id, "
-                         f"'{field}' AS field, CAST({field} AS DOUBLE) AS value "
-                         f"FROM ({sub}) r WHERE {cond}")
-    return "\nUNION ALL\n".join(parts)
+    for name, sub, label, order in (
+            ("by_model", by_model(Period.MONTH), "model", "spend DESC, model"),
+            ("by_project", by_project(Period.MONTH), "project", "spend DESC, project"),
+            ("daily", daily(Period.MONTH), "strftime(\"date\", '%Y-%m-%d')", "\"date\" DESC"),
+            ("all_keys", admin_key_day_model(), "model", "spend DESC, day, model")):
+        parts.append(f"""SELECT '{name}' AS report, token AS api_key,
+  CAST(CASE WHEN r.api_key IS NOT NULL THEN row_number() OVER (PARTITION BY token ORDER BY {order}) ELSE 0 END - 1 AS INTEGER) AS pos,
+  {label} AS name, r.spend AS spend
+FROM (SELECT DISTINCT token FROM ({_with()} SELECT token FROM virtual_keys) k) k LEFT JOIN ({sub}) r ON r.api_key = k.token""")
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({p}) p" for p in parts)
 
 
 DEDUPED = """dl AS (
@@ -461,11 +519,11 @@ FROM dl s GROUP BY 1, 2, 3"""
 
 def stream_budget_alerts() -> str:
     return _with(DEDUPED, """daily AS (
-  SELECT api_key, CAST("startTime" AS DATE) AS day, SUM(CAST(spend AS DECIMAL(20,10))) AS spend
+  SELECT api_key, CAST("startTime" AS DATE) AS day, SUM(CAST(CAST(spend AS VARCHAR) AS DECIMAL(28,18))) AS spend
   FROM dl GROUP BY 1, 2)""", """mtd AS (
   SELECT api_key, day,
-         CAST(SUM(spend) OVER (PARTITION BY api_key, date_trunc('month', day) ORDER BY day
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+         CAST(CAST(SUM(spend) OVER (PARTITION BY api_key, date_trunc('month', day) ORDER BY day
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS VARCHAR) AS DOUBLE)
            AS spent_to_date
   FROM daily)""", f"""st AS (
   SELECT m.api_key, m.day, m.spent_to_date, {RESOLVED_BUDGET} AS budget
@@ -487,8 +545,10 @@ def refresh_bundle() -> str:
     for name, sub in (("summary", summary(Period.WEEK)), ("by_model", by_model(Period.WEEK)),
                       ("by_project", by_project(Period.WEEK)), ("daily", daily(Period.WEEK)),
                       ("budget", budget_month())):
-        parts.append(f"SELECT '{name}' AS report, true AS ok, CAST(NULL AS VARCHAR) AS error, "
-                     f"COUNT(*) AS \"rows\" FROM ({sub}) r")
+        amount = "spent" if name == "budget" else "spend"
+        parts.append(f"SELECT '{name}' AS report, true AS ok, CAST(NULL AS VARCHAR) AS error, COUNT(*) AS \"rows\", "
+                     f"CAST(CAST(SUM(CAST(CAST({amount} AS VARCHAR) AS DECIMAL(28,18))) AS VARCHAR) AS DOUBLE) AS spend "
+                     f"FROM ({sub}) r")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -526,12 +586,16 @@ def oracle_queries() -> dict[str, str]:
         "breakdown_label": breakdown_label(),
         "currency_text": currency_text(),
         "daily_label": daily_label(),
+        "project_label": project_label(),
+        "state_label": state_label(),
         "report_violations": report_violations(),
+        "nested_positions": nested_positions(),
+        "append_twice": idempotent_load(),
         "stream_daily": stream_rollup(),
         "stream_reconcile": stream_rollup(),
         "stream_budget_alerts": stream_budget_alerts(),
         "refresh_bundle": refresh_bundle(),
-        "admin_custom_range": admin_key_day_model(start=CUSTOM_START),
-        "layout_one_key_week": by_model(Period.WEEK, stored_key_text(ONE_KEY)),
+        "admin_custom_range": admin_key_day_model("from_10th"),
+        "layout_one_key_week": by_model(Period.WEEK, ONE_KEY_HASH),
     })
     return q

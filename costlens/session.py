@@ -57,3 +57,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh, uniquely named folder under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/costlens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark reads; nothing happens if it is not there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nested(rows: DataFrame, header: list[str], list_name: str, item_cols: list[str]) -> DataFrame:
-    """One row per header with the report's items as an array of structs,
-    sorted by the item fields in the given order.
+def nested(rows: DataFrame, header: list[str], list_name: str, item_cols: list[str],
+           order: list[Column], universe: DataFrame | None = None) -> DataFrame:
+    """One row per header with the report's items as an array of structs.
 
-    The list per key is bounded by the report's grain (models, projects or
-    days of one period), so it never gathers an unbounded group.
+    ``order`` gives the sort values, ascending (negate a number for largest
+    first).  ``universe`` holds the headers that must appear; one without rows
+    gets an empty list.  The list per key is bounded by the report's grain
+    (models, projects or days of one period), so it never gathers an unbounded
+    group.
     """
-    items = F.struct(*[F.col(c) for c in item_cols])
-    return rows.groupBy(*header).agg(F.sort_array(F.collect_list(items)).alias(list_name))
+    keys = [k.alias(f"k{i}") for i, k in enumerate(order)]
+    items = F.struct(F.struct(*keys).alias("key"), F.struct(*item_cols).alias("item"))
+    out = rows.groupBy(*header).agg(F.sort_array(F.collect_list(items)).alias("sorted"))
+    if universe is not None:
+        out = universe.select(*header).distinct().join(out, header, "left")
+    listed = F.transform("sorted", lambda x: x["item"])
+    empty = F.array().cast(rows.select(F.array(F.struct(*item_cols)).alias("items")).schema["items"].dataType)
+    return out.select(*header, F.coalesce(listed, empty).alias(list_name))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,

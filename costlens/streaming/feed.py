@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from costlens.config import DEFAULT_CONFIG, ReportConfig
 from costlens.periods import ntz_literal
 from costlens.streaming.rollup import run_once
-from costlens.streaming.store import Store
+from costlens.streaming.store import Keys, Store
 
 
 def day_bounds(logs: DataFrame) -> tuple[date, date] | None:
@@ -44,7 +44,7 @@ def land(logs: DataFrame, landing: str, lo: date, hi: date) -> None:
     part.write.mode("append").parquet(landing)
 
 
-def replay(spark: SparkSession, logs: DataFrame, keys: DataFrame, store: Store, work: str,
+def replay(spark: SparkSession, logs: DataFrame, keys: Keys, store: Store, work: str,
            chunk_days: int = 6, lateness: str = "1 day", late_first_chunk: bool = False,
            cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None):
     """Land the log chunk by chunk, running the stream after each; returns

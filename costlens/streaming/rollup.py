@@ -3,14 +3,17 @@
 readStream (Parquet landing folder, declared schema) -> event time as a
 ``timestamp`` instant (watermarks reject timestamp_ntz) -> watermark ->
 ``dropDuplicatesWithinWatermark(request_id)`` -> tumbling 1-day window x
-api_key x raw model -> append mode, so each day is emitted once, when the
-watermark passes its end -> ``foreachBatch`` publishes the closed days
-(``store.publish_days``), idempotently.
-
-Days still open when the stream stops, and rows dropped as too late, are
-handled by the reconcile job (``reconcile.py``).  ``run_once`` processes what
-has landed and stops (tests, scheduled jobs); ``start`` keeps one query running
-with a processing-time trigger.
+api_key x raw model -> update mode: every micro-batch gives the new totals of
+the groups it changed, days still open included -> ``foreachBatch`` replaces
+these groups in the rollup and refreshes the alerts (``store.publish_groups``),
+idempotently.  Today's figures and a budget crossing therefore show after the
+next batch.  The key table is read anew in every batch.
+
+State (ids of one lateness span, totals of the open days) is kept in RocksDB,
+set on a session of the stream's own.  Rows dropped as too late are handled by
+the reconcile job (``reconcile.py``).  ``run_once`` processes what has landed
+and stops (tests, scheduled jobs); ``start`` keeps one query running with a
+processing-time trigger.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from costlens.config import DEFAULT_CONFIG, ReportConfig
 from costlens.functions.time import event_instant, instant_utc_day
 from costlens.operators.facts import sum_measures
 from costlens.schemas import SPEND_LOGS_SCHEMA
-from costlens.streaming.store import Store, publish_days
+from costlens.streaming.store import Keys, Store, publish_groups
 
 
 def stream_measures(logs: DataFrame, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -41,7 +44,10 @@ def stream_measures(logs: DataFrame, cfg: ReportConfig = DEFAULT_CONFIG) -> Data
     )
 
 
-def closed_days(stream: DataFrame, lateness: str, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def day_groups(stream: DataFrame, lateness: str, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
     """The streaming plan: dedupe within the watermark, then daily windows."""
     m = stream_measures(stream, cfg)
     deduped = m.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["request_id"])
@@ -51,24 +57,31 @@ def closed_days(stream: DataFrame, lateness: str, cfg: ReportConfig = DEFAULT_CO
                       "spend", "requests", "tokens", "prompt_tokens", "completion_tokens")
 
 
-def _writer(spark: SparkSession, landing: str, store: Store, checkpoint: str, keys: DataFrame,
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """The stream's own session: RocksDB state, the caller's other settings unchanged."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.conf.get("spark.sql.shuffle.partitions")))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
+
+def _writer(spark: SparkSession, landing: str, store: Store, checkpoint: str, keys: Keys,
             lateness: str, cfg: ReportConfig, state_partitions: int | None):
-    if state_partitions:
-        spark = spark.newSession()
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    src = spark.readStream.schema(SPEND_LOGS_SCHEMA).parquet(landing)
+    own = stream_session(spark, state_partitions)
+    src = own.readStream.schema(SPEND_LOGS_SCHEMA).parquet(landing)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        publish_days(batch.sparkSession, store, batch, keys, cfg)
+        publish_groups(batch.sparkSession, store, batch, keys(batch.sparkSession), cfg)
 
-    return (closed_days(src, lateness, cfg).writeStream
-            .outputMode("append")
+    return (day_groups(src, lateness, cfg).writeStream
+            .outputMode("update")
             .option("checkpointLocation", checkpoint)
             .foreachBatch(publish))
 
 
 def run_once(spark: SparkSession, landing: str, store: Store, checkpoint: str,
-             keys: DataFrame, lateness: str = "1 day",
+             keys: Keys, lateness: str = "1 day",
              cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None) -> dict | None:
     """Process everything landed so far (``availableNow``) and stop.
 
@@ -76,9 +89,9 @@ def run_once(spark: SparkSession, landing: str, store: Store, checkpoint: str,
 
     ``state_partitions`` sets how many state-store partitions the stateful
     operators get on the query's first start (later restarts keep the number
-    recorded in the checkpoint).  It is applied on a cloned session, so the
-    caller's session settings are untouched; size it to the state (request ids
-    of one lateness span plus the open day groups), not to the input.
+    recorded in the checkpoint); by default the caller's shuffle partitions.
+    Size it to the state (request ids of one lateness span plus the open day
+    groups), not to the input.
     """
     q = _writer(spark, landing, store, checkpoint, keys, lateness, cfg, state_partitions) \
         .trigger(availableNow=True).start()
@@ -86,7 +99,7 @@ def run_once(spark: SparkSession, landing: str, store: Store, checkpoint: str,
     return q.lastProgress
 
 
-def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, keys: DataFrame,
+def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, keys: Keys,
           lateness: str = "1 day", every: str = "5 minutes",
           cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None) -> StreamingQuery:
     """The long-running form: one micro-batch every ``every`` (the client's

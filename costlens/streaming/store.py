@@ -7,15 +7,18 @@ partitioned by ``day``.  NULL and empty models are kept so every report
 ``alerts``: budget-state changes per key at each closed UTC day, Parquet
 partitioned by ``month``.
 
-The rollup is written with dynamic partition overwrite of its days, and each
-touched month of alerts is rewritten whole (an empty result clears it), so
-re-running a micro-batch or a reconcile rewrites the same partitions with the
-same rows (idempotent, safe after an executor or driver restart).  The folders live under the shared
-checkpoint folder, never on a machine-local disk.
+The rollup is written with dynamic partition overwrite of its days, each
+touched month of alerts is rewritten whole, and days or months that end up
+without rows are removed, so re-running a micro-batch or a reconcile leaves the
+same partitions with the same rows (idempotent, safe after an executor or
+driver restart).  The folders live under the shared checkpoint folder, never on
+a machine-local disk.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -25,12 +28,14 @@ from pyspark.sql.utils import AnalysisException
 
 from costlens.config import DEFAULT_CONFIG, ReportConfig
 from costlens.operators.budgets import budget_state, resolve_budget
-from costlens.operators.keyspace import key_side
-from costlens.operators.facts import GRAIN, MEASURE_COLS
+from costlens.operators.facts import GRAIN, MEASURE_COLS, ROLLUP_SCHEMA, Rollup
 from costlens.functions.money import percent_of, to_double
+from costlens.periods import next_month_start
+from costlens.session import remove
+
+#: Gives the key table as it is now; the stream calls it in every batch.
+Keys = Callable[[SparkSession], DataFrame]
 
-ROLLUP_SCHEMA = ("day date, api_key string, model string, spend decimal(30,10), "
-                 "requests bigint, tokens bigint, prompt_tokens bigint, completion_tokens bigint")
 ALERT_COLS = ("api_key", "day", "previous_state", "state", "spent_to_date", "budget",
               "used_percent")
 ALERT_SCHEMA = ("api_key string, day date, previous_state string, state string, "
@@ -55,6 +60,13 @@ class Store:
         except AnalysisException:
             return spark.createDataFrame([], ROLLUP_SCHEMA)
 
+    def served(self, spark: SparkSession, open_from: date) -> Rollup | None:
+        """The rollup for reports: it answers days before ``open_from`` (the
+        watermark's day), which are complete; later days are read from the log."""
+        rows = self.rollup(spark)
+        first = rows.agg(F.min("day")).first()[0]
+        return None if first is None or first >= open_from else Rollup(rows, first, open_from - timedelta(days=1))
+
     def alerts(self, spark: SparkSession) -> DataFrame:
         try:
             return spark.read.schema(ALERT_SCHEMA + ", month string") \
@@ -70,15 +82,6 @@ def _overwrite_partitions(df: DataFrame, path: str, col: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path))
 
 
-def month_start(d: date) -> date:
-    return d.replace(day=1)
-
-
-def month_end(d: date) -> date:
-    nxt = d.replace(year=d.year + 1, month=1, day=1) if d.month == 12 else d.replace(month=d.month + 1, day=1)
-    return nxt - timedelta(days=1)
-
-
 def day_alerts(rollup: DataFrame, keys: DataFrame, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
     """State at the end of each day from month-to-date spend; rows where it changed.
 
@@ -90,7 +93,7 @@ def day_alerts(rollup: DataFrame, keys: DataFrame, cfg: ReportConfig = DEFAULT_C
     daily = rollup.groupBy("api_key", "day").agg(F.sum("spend").alias("spend"))
     caps = keys.select(F.col("token").alias("api_key"),
                        resolve_budget(F.col("max_budget"), cfg).alias("budget"))
-    j = (daily.join(key_side(caps, keys, cfg), "api_key", "left")
+    j = (daily.join(caps, "api_key", "left")
          .withColumn("budget", F.coalesce(F.col("budget"), F.lit(cfg.default_budget))))
     w = Window.partitionBy("api_key", F.trunc("day", "month")).orderBy("day")
     j = j.withColumn("spent_to_date", to_double(F.sum("spend").over(
@@ -102,30 +105,64 @@ def day_alerts(rollup: DataFrame, keys: DataFrame, cfg: ReportConfig = DEFAULT_C
     return st.where(F.col("state") != F.col("previous_state")).select(*ALERT_COLS)
 
 
-def publish_days(spark: SparkSession, store: Store, closed: DataFrame, keys: DataFrame,
+def publish_days(spark: SparkSession, store: Store, rows: DataFrame, days: Iterable[date], keys: DataFrame,
                  cfg: ReportConfig = DEFAULT_CONFIG) -> None:
-    """Write closed (day, api_key, model) rows, then refresh the alerts of their months.
+    """Make ``rows`` the whole content of ``days``, then refresh the alerts of their months.
 
-    ``closed`` must hold complete days (every group of each day it contains).
-    The alerts of every month the batch touches are recomputed from the rollup
-    and replace that month's folder (usually one month, two at a month end).
+    A day without rows loses its partition.  The alerts of every month touched
+    are recomputed from the rollup and replace that month's folder.  ``days``
+    is a bounded list: the days of one micro-batch or of one reconcile.
     """
-    closed = closed.select(*GRAIN, *MEASURE_COLS).persist()
+    days = sorted(set(days))
+    if not days:
+        return
+    rows = rows.where(F.col("day").isin(days)).select(*GRAIN, *MEASURE_COLS).persist()
+    try:
+        present = {r["day"] for r in rows.select("day").distinct().collect()}
+        if present:
+            _overwrite_partitions(rows, store.rollup_path, "day")
+        for day in days:
+            if day not in present:
+                remove(spark, f"{store.rollup_path}/day={day}")
+    finally:
+        rows.unpersist()
+    months = sorted({d.replace(day=1) for d in days})
+    in_months = F.lit(False)
+    for m in months:
+        in_months = in_months | ((F.col("day") >= F.lit(m)) & (F.col("day") < F.lit(next_month_start(m))))
+    alerts = (day_alerts(store.rollup(spark).where(in_months), keys, cfg)
+              .withColumn("month", F.date_format("day", "yyyy-MM")).persist())
     try:
-        bounds = closed.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
-        if bounds is None or bounds["lo"] is None:
+        kept = {r["month"] for r in alerts.select("month").distinct().collect()}
+        if kept:
+            _overwrite_partitions(alerts, store.alerts_path, "month")
+        for m in months:
+            if f"{m:%Y-%m}" not in kept:
+                remove(spark, f"{store.alerts_path}/month={m:%Y-%m}")
+    finally:
+        alerts.unpersist()
+
+
+def publish_groups(spark: SparkSession, store: Store, changed: DataFrame, keys: DataFrame,
+                   cfg: ReportConfig = DEFAULT_CONFIG) -> None:
+    """Replace single (day, api_key, model) groups of the rollup by their new totals.
+
+    ``changed`` holds one row per group with the group's whole total so far, so
+    a repeated batch changes nothing.  The other groups of the touched days are
+    kept; the new content of these days is written aside first, since it is
+    read from the partitions that it replaces.
+    """
+    changed = changed.select(*GRAIN, *MEASURE_COLS).persist()
+    aside = f"{store.root}/aside-{uuid.uuid4().hex[:12]}"
+    try:
+        days = [r["day"] for r in changed.select("day").distinct().collect()]
+        if not days:
             return
-        _overwrite_partitions(closed, store.rollup_path, "day")
-        lo, hi = month_start(bounds["lo"]), month_end(bounds["hi"])
-        months = store.rollup(spark).where(F.col("day").between(F.lit(lo), F.lit(hi)))
-        alerts = day_alerts(months, keys, cfg).persist()
-        try:
-            m = lo
-            while m <= hi:
-                (alerts.where(F.trunc("day", "month") == F.lit(m)).write.mode("overwrite")
-                 .parquet(f"{store.alerts_path}/month={m:%Y-%m}"))
-                m = month_end(m) + timedelta(days=1)
-        finally:
-            alerts.unpersist()
+        old, new = store.rollup(spark).where(F.col("day").isin(days)), changed.alias("new")
+        same = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in GRAIN]
+        kept = old.alias("old").join(new, same, "left_anti")
+        kept.select(*GRAIN, *MEASURE_COLS).unionByName(changed).write.parquet(aside)
+        publish_days(spark, store, spark.read.schema(ROLLUP_SCHEMA).parquet(aside), days, keys, cfg)
     finally:
-        closed.unpersist()
+        changed.unpersist()
+        remove(spark, aside)

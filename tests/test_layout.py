@@ -55,3 +55,37 @@ def test_layout_prunes_days_and_skips_keys(spark):
             if st.min <= key <= st.max:
                 hits += 1
     assert hits <= 2 < len(day_files)
+
+
+def _scanned(df) -> int:
+    """Rows that the file scans of ``df`` returned when it ran."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            if name.startswith("Scan parquet"):
+                total += node.metrics().apply("numOutputRows").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_one_key_month_reads_far_fewer_rows_than_the_log(spark):
+    from costlens.operators import breakdowns
+    from costlens.session import work_dir
+    from costlens.sources.layout import read_log_layout, write_log_layout
+    from tests.conftest import key_row, log_row, make_tables, sha
+    logs = [log_row(sha(f"sk-{k}"), f"2024-01-{1 + i % 28:02d} 10:00:00", 0.5) for k in range(60) for i in range(56)]
+    t = make_tables(spark, logs, [key_row(sha("sk-7"))])
+    path = work_dir(spark, "t-skip") + "/logs"
+    write_log_layout(t.logs, path, num_partitions=140, row_group_bytes=4096)
+    laid = read_log_layout(spark, path)
+    one = laid.where(laid["api_key"] == sha("sk-7")).groupBy("api_key").count()
+    assert one.first()["count"] == 56
+    assert _scanned(laid.groupBy("api_key").count()) == len(logs)
+    assert _scanned(one) < len(logs) / 2

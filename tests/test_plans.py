@@ -83,23 +83,31 @@ def test_hot_key_is_exact_and_partially_aggregated(spark):
     assert re.search(r"HashAggregate\(keys=\[api_key.*partial_sum", plan)
 
 
-def _analyzed(df) -> str:
+def test_no_report_forces_a_broadcast_or_counts_the_key_table(spark):
+    from costlens.operators import admin
+    t = make_tables(spark, [log_row(sha("sk-1"), "2024-01-05 10:00:00", 1.0)], [key_row(sha("sk-1"))])
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        df.explain(extended=True)
-    text = buf.getvalue()
-    return text[text.index("== Analyzed Logical Plan =="):text.index("== Optimized Logical Plan ==")]
+        admin.key_day_model(t, AS_OF).explain(extended=True)
+    assert "strategy=broadcast" not in buf.getvalue()
 
 
-def test_key_table_broadcast_only_when_count_proves_it_small(spark):
-    from costlens.config import ReportConfig
-    from costlens.operators import admin
-    from costlens.operators.keyspace import has_at_most
-    keys = [key_row(sha(f"sk-{i}")) for i in range(5)]
-    t = make_tables(spark, [log_row(sha("sk-1"), "2024-01-05 10:00:00", 1.0)], keys)
-    assert has_at_most(t.keys, 5) and not has_at_most(t.keys, 4)
-    small = admin.key_day_model(t, AS_OF, cfg=ReportConfig(broadcast_key_rows=5))
-    big = admin.key_day_model(t, AS_OF, cfg=ReportConfig(broadcast_key_rows=4))
-    assert "strategy=broadcast" in _analyzed(small)
-    assert "strategy=broadcast" not in _analyzed(big)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+@pytest.mark.parametrize("name", ["alias_month_summary", "alias_by_model", "alias_daily"])
+def test_alias_reports_pick_their_keys_before_aggregating(spark, name):
+    plan = _physical(registered_queries()[name](spark, SF0001))
+    partial = plan.index("partial_sum")
+    assert "LeftSemi" in plan[partial:], plan          # the semi join lies below the partial aggregate
+    assert plan.count("Exchange hashpartitioning") <= 1, plan
+
+
+def test_reconcile_reads_only_its_days_folders(spark):
+    from datetime import date
+
+    from costlens.session import work_dir
+    from costlens.sources.layout import read_log_layout, write_log_layout
+    from costlens.sources.testdata import load_tables
+    from costlens.streaming.reconcile import recompute
+    path = work_dir(spark, "t-recon") + "/logs"
+    write_log_layout(load_tables(spark, SF0001).logs, path)
+    plan = _physical(recompute(read_log_layout(spark, path), date(2024, 1, 5), date(2024, 1, 6)))
+    assert re.search(r"PartitionFilters: \[[^]]*day#", plan), plan

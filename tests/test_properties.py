@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from costlens.operators import admin, breakdowns, budgets
-from costlens.operators.facts import daily_rollup
+from costlens.operators.facts import Rollup, daily_rollup
 from costlens.periods import period_range
 from costlens.sources.testdata import load_tables
 from tests.conftest import AS_OF, SF0001, rows
@@ -33,7 +33,8 @@ def test_admin_rollup_by_key_equals_filtered_totals(spark):
 
 def test_reports_from_rollup_equal_reports_from_log(spark):
     t = load_tables(spark, SF0001)
-    roll = daily_rollup(t.logs, period_range("month", AS_OF))
+    rng = period_range("month", AS_OF)
+    roll = Rollup(daily_rollup(t.logs, rng), rng.first_day, rng.last_day)
     for fn in (breakdowns.by_model, breakdowns.by_project, breakdowns.daily, budgets.summary):
         assert rows(fn(t, AS_OF, "week", rollup=roll)) == rows(fn(t, AS_OF, "week"))
     assert rows(admin.key_day_model(t, AS_OF, rollup=roll)) == rows(admin.key_day_model(t, AS_OF))

@@ -179,3 +179,37 @@ def test_ordering_helpers(spark):
     assert [r["model"] for r in bm] == ["b", "c", "a"]
     d = breakdowns.order_days_desc(breakdowns.daily(t, AS_OF, "month")).collect()
     assert [r["date"].day for r in d] == [7, 6, 5]
+
+
+def test_tiny_and_missing_amounts(spark):
+    from costlens.operators import breakdowns, quality
+    from costlens.session import work_dir
+    from tests.conftest import key_row, log_row, make_tables, sha
+    k = sha("sk-tiny")
+    logs = [log_row(k, "2024-01-02 10:00:00", 4e-11) for _ in range(1000)]
+    logs += [log_row(k, "2024-01-03 10:00:00", float("nan"), request_id="nan"),
+             log_row(k, "2024-01-04 10:00:00", -2.0, request_id="minus")]
+    t = make_tables(spark, logs, [key_row(k)])
+    days = {r["date"].day: r["spend"] for r in breakdowns.daily(t, AS_OF, "month").collect()}
+    assert days == {2: 4e-8, 3: 0.0, 4: -2.0}
+    bad = quality.report_violations(t, AS_OF, work_dir(spark, "t-nan") + "/rollup").collect()
+    assert {r["row_id"] for r in bad if r["report"] == "log"} == {"nan", "minus"}
+    assert {r["report"] for r in bad} == {"log", "summary", "by_model", "by_project", "daily", "budget", "admin"}
+    missing = quality.violations(spark.createDataFrame([("a", None), ("b", float("nan")), ("c", 1.0)], "api_key string, spend double"),
+                                 "r", {"spend": (0, None)})
+    assert sorted(r["row_id"] for r in missing.collect()) == ["a", "b"]
+
+
+def test_pivot_keeps_spend_of_undeclared_models(spark):
+    from costlens.operators import admin
+    from tests.conftest import key_row, log_row, make_tables, sha
+    k = sha("sk-p")
+    t = make_tables(spark, [log_row(k, "2024-01-02 10:00:00", x, model=m) for m, x in (("a", 1.0), ("b", 2.0), ("c", 4.0))],
+                    [key_row(k)])
+    assert tuple(admin.admin_pivot(t, AS_OF, ["a", "z"]).first())[2:] == (1.0, None, 6.0)
+
+
+def test_alias_days_in_order(spark):
+    from costlens.operators import adhoc
+    df = spark.createDataFrame([("2024-01-03", 1.0), ("2024-01-01", 2.0)], "date string, spend double")
+    assert [r["date"] for r in adhoc.order_by_date(df).collect()] == ["2024-01-01", "2024-01-03"]
