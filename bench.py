@@ -38,7 +38,8 @@ from costlens.sources.testdata import load_tables  # noqa: E402
 HEADLINE = [
     "admin_key_day_model", "summary_month", "by_model_month", "by_project_month", "daily_month",
     "budget_month", "over_budget_keys", "alias_month_summary", "alias_by_model", "key_auth_valid",
-    "identity", "admin_cube", "token_breakdown", "status_text", "idempotent_load",
+    "identity", "admin_cube", "token_breakdown", "status_text", "idempotent_load", "section_counts",
+    "alias_daily", "refresh_bundle",
 ]
 RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 ONE_KEY = "sk-user-7"
