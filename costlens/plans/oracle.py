@@ -258,23 +258,24 @@ FROM virtual_keys k LEFT JOIN m ON m.api_key = k.token
 WHERE k.key_alias = '{ALIAS}'"""
 
 
+def _alias_sums(label: str, name: str, more: str = "") -> str:
+    """Rounded spend, rows and tokens of the alias' month rows, per ``label``."""
+    return _with(f"""picked AS (
+  SELECT {label} AS "{name}", CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18)) AS amount, s.total_tokens AS n
+  FROM spend_logs s
+  WHERE {_sql_month()}{more}
+    AND s.api_key IN (SELECT token FROM virtual_keys WHERE key_alias = '{ALIAS}'))""") + f"""
+SELECT "{name}", CAST(round(SUM(amount), 4) AS DOUBLE) AS spend, COUNT(*) AS requests,
+       CAST(COALESCE(SUM(n), 0) AS BIGINT) AS tokens
+FROM picked GROUP BY ALL"""
+
+
 def alias_by_model() -> str:
-    return _with() + f"""
-SELECT s.model, CAST(round(CAST(SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18))) AS DECIMAL(38,18)), 4) AS DOUBLE) AS spend,
-       COUNT(*) AS requests, CAST(COALESCE(SUM(s.total_tokens), 0) AS BIGINT) AS tokens
-FROM spend_logs s JOIN virtual_keys k ON s.api_key = k.token
-WHERE k.key_alias = '{ALIAS}' AND {_sql_month()} AND {HAS_MODEL}
-GROUP BY s.model"""
+    return _alias_sums("s.model", "model", f" AND {HAS_MODEL}")
 
 
 def alias_daily() -> str:
-    return _with() + f"""
-SELECT CAST(s."startTime" AS DATE) AS "date",
-       CAST(round(CAST(SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18))) AS DECIMAL(38,18)), 4) AS DOUBLE) AS spend,
-       COUNT(*) AS requests, CAST(COALESCE(SUM(s.total_tokens), 0) AS BIGINT) AS tokens
-FROM spend_logs s JOIN virtual_keys k ON s.api_key = k.token
-WHERE k.key_alias = '{ALIAS}' AND {_sql_month()}
-GROUP BY 1"""
+    return _alias_sums('CAST(s."startTime" AS DATE)', "date")
 
 
 AUTH_CTES = (r"""attempts AS (
