@@ -30,6 +30,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import importable
+
 #: Pre-tokens remembered per worker, and the longest that is remembered.
 CACHE, LONGEST = 400_000, 64
 CHUNK = 1_000_000
@@ -148,6 +150,7 @@ def codec(model: bytes, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``(doc_id, ids)`` of every document row."""
+    importable(docs.sparkSession)
     model = model_of(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +165,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``(doc_id, text)`` of every row of :func:`encode`; bytes that are not UTF-8 become U+FFFD."""
+    importable(encoded.sparkSession)
     model = model_of(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +180,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every document row."""
+    importable(docs.sparkSession)
     model = model_of(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import importable, written
 
 SUPPORT, LEAST_SIZE = 0.5, 2
 #: Pages on which a text node must stand before it may be cut as template text.
@@ -226,6 +226,7 @@ def frequent_tokens(pages: DataFrame) -> DataFrame:
 
     ``(host, token, path, parent, class, support, rank, chars)``; ``path`` is null for a text node.
     """
+    importable(pages.sparkSession)
     rows = pages.select(_host().alias("host"), F.xxhash64("page_id", F.coalesce("html", F.lit(""))).alias("page"),
                         F.coalesce("html", F.lit("")).alias("html"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
@@ -344,6 +345,7 @@ def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page row."""
+    importable(pages.sparkSession)
     found = written(slots(frequent_tokens(pages)), "slots")
     rows = pages.select("page_id", "url", "html", _host().alias("host"))
     rows = rows.join(found, "host", "left").select("page_id", "url", "html", "slot", "rank", "fixed")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh_folder, written
+from .scratch import fresh_folder, importable, written
 
 LEAST_SHARED = 100
 #: Content of a frame, and compressed bytes of a bundle, after which the next one begins.
@@ -133,6 +133,7 @@ class BundleReader:
 
 def write_bundles(planned_pages: DataFrame, folder: str, frame: int = FRAME, bundle: int = BUNDLE) -> DataFrame:
     """Write the archives; the index ``(record_id, page_id, bundle, frame, offset, length)`` as a written table."""
+    importable(planned_pages.sparkSession)
     kind = planned_pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +180,7 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     A payload whose hash is not the recorded one raises an error.  A revisit
     takes the payload's size from the response that it names.
     """
+    importable(index.sparkSession)
     kind = index.schema["page_id"].dataType.simpleString()
 
     def run(group: pa.Table) -> pa.Table:
