@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import importable, written
 from .text import let, lower_ascii, shingles, text_key, whole, words
 
 SHINGLE_WORDS, MAX_BITS = 3, 3
@@ -70,6 +70,7 @@ def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, key, fp)`` of every document row; ``key`` identifies id and text."""
+    importable(docs.sparkSession)
     hashes = let(words(lower_ascii(F.col("text"))), lambda ws: F.transform(
         shingles(ws, shingle_words), lambda s: F.xxhash64(s)))
     rows = docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("key"), hashes.alias("h"))
@@ -152,6 +153,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, shard: int = SHARD, chunk
     ``prints`` has distinct ``fp``.  The result is a forest per shard: it has
     the same components as all pairs, with at most one row per placed fingerprint.
     """
+    importable(prints.sparkSession)
     n = prints.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
     tree = _tree(prints, depth)
@@ -174,7 +176,8 @@ def grouped(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int =
     joined = components(links(prints.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     nodes = prints.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     nodes = written(nodes, "nodes")
-    ids = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that the join can split a component with very many fingerprints.
+    ids = written(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     return rows.join(nodes.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
