@@ -41,7 +41,7 @@ def main() -> None:
            "  and only the used columns in the scan's column list;",
            "* every `Exchange hashpartitioning` sits on a `HashAggregate(... partial_sum ...)`: only",
            "  partially aggregated rows are shuffled (asserted in `tests/test_plans.py`);",
-           "* the key table joins an **aggregate**, never raw log rows; which side is broadcast is",
+           "* the key table joins an **aggregate**, but for semi joins (Spark pushes them below the partial aggregate, the alias reports ask for that); which side is broadcast is",
            "  Spark's size-based choice (`autoBroadcastJoinThreshold`, re-planned by AQE at runtime);",
            "* the `Project` above the scan rebuilds the stand-in log from `events` (see",
            "  `sources/testdata.py`); on a real log table it is a plain column read.", ""]
