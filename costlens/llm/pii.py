@@ -93,46 +93,50 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(whole(text)), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(keyed: DataFrame, found: DataFrame, min_texts: int = MIN_TEXTS,
+def _disclosure(total: int, df_term: Column) -> Column:
+    """Share of the entity's information that the term reveals; grows as ``df_term`` shrinks."""
+    information = F.log2(F.lit(float(max(total, 1))) / F.col("df_entity"))
+    pmi = F.log2(F.lit(float(total)) * F.col("joint") / (F.col("df_entity").cast("double") * df_term))
+    return pmi / information
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = MIN_TEXTS,
                      generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``(entity, term, removed)`` of the terms that disclose an entity.
 
-    ``keyed`` has ``text`` and ``key``, ``found`` the base spans ``base`` under
-    the same ``key`` with ``text_hash``; both hold every document row.
+    ``docs`` has the ``text`` of every document row; ``found`` a row for each
+    with ``base``, ``text_hash`` and, where there is personal data, ``terms``.
     """
     total = found.count()
-    held = found.select("key", "text_hash", F.explode(_entities()).alias("entity"))
+    private = found.where("terms is not null")
+    held = private.select("text_hash", F.explode(_entities()).alias("entity"), "terms")
     known = (held.groupBy("entity").agg(F.count("*").alias("df_entity"), F.countDistinct("text_hash").alias("texts"))
-             .where(F.col("texts") >= min_texts).select("entity", "df_entity"))
+             .where((F.col("texts") >= min_texts) & (F.col("df_entity") < total)).select("entity", "df_entity"))
     known = written(known, "pii-entities")
-    # Rows of equal id and text are one key; their count weighs the key.
-    holders = held.join(known, "entity").groupBy("key", "text_hash").agg(
-        F.count("*").alias("n"), F.collect_set("entity").alias("entities"))
-    holders = written(holders.withColumn("rows", (F.col("n") / F.size("entities")).cast("long")), "pii-holders")
-    beside = keyed.join(holders, "key").dropDuplicates(["key"])
-    pairs = (beside.select("text_hash", "rows", F.explode("entities").alias("entity"), _terms(F.col("text")).alias("terms"))
-             .select("text_hash", "rows", "entity", F.explode("terms").alias("term"))
-             .groupBy("entity", "term").agg(F.sum("rows").alias("joint"), F.countDistinct("text_hash").alias("texts"))
-             .where(F.col("texts") >= min_texts).select("entity", "term", "joint"))
+    pairs = (held.join(known, "entity").select("text_hash", "entity", "df_entity", F.explode("terms").alias("term"))
+             .groupBy("entity", "df_entity", "term").agg(F.count("*").alias("joint"), F.countDistinct("text_hash").alias("texts"))
+             .where(F.col("texts") >= min_texts).drop("texts"))
+    # A term is at least as frequent as it is beside personal data; what falls
+    # short even so, common words above all, need not be counted in the corpus.
+    least = private.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    pairs = pairs.join(least, "term").where(_disclosure(total, F.col("least")) >= generalise).drop("least")
     pairs = written(pairs, "pii-pairs")
     wanted = written(pairs.select("term").distinct(), "pii-terms")
-    seen = (keyed.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+    seen = (docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
             .groupBy("term").agg(F.count("*").alias("df_term")))
-    scored = pairs.join(seen, "term").join(known, "entity")
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("df_entity"))
-    pmi = F.log2(F.lit(float(total)) * F.col("joint") / (F.col("df_entity").cast("double") * F.col("df_term")))
-    scored = scored.where(F.col("df_entity") < total).withColumn("disclosure", pmi / information)
+    scored = pairs.join(seen, "term").withColumn("disclosure", _disclosure(total, F.col("df_term")))
     return (scored.where(F.col("disclosure") >= generalise)
             .select("entity", "term", (F.col("disclosure") >= remove).alias("removed")))
 
 
-
 def scan(docs: DataFrame, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE,
          remove: float = REMOVE) -> DataFrame:
     """``(doc_id, key, base, general, removed)``: the spans of every document row."""
     keyed = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
+    some = F.exists(F.array(*[F.size(F.col("base")[kind]) for kind in KINDS]), lambda n: n > 0)
     found = written(once(keyed, "base", base_spans(F.col("text"))).select(
-        "doc_id", "key", F.xxhash64(whole(F.col("text"))).alias("text_hash"), "base"), "pii-base")
+        "doc_id", "key", F.xxhash64(whole(F.col("text"))).alias("text_hash"), "base",
+        F.when(some, _terms(F.col("text"))).alias("terms")), "pii-base")
     telling = written(disclosing_terms(keyed, found, min_texts, generalise, remove), "pii-disclosing")
     told = (found.select("key", F.explode(_entities()).alias("entity")).join(telling, "entity")
             .groupBy("key", "term").agg(F.max("removed").alias("removed"))
@@ -177,7 +181,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     spans = written(spans.where(dirty > 0), "pii-spans")
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-                       text_key(F.col("doc_id"), F.col("text")).alias("key")).join(spans, "key", "left")
+                       text_key(F.col("doc_id"), F.col("text")).alias("key")).join(spans.hint("merge"), "key", "left")
     marks = [*[(MARKS[kind], F.col("base")[kind]) for kind in KINDS],
              (GENERAL, F.col("general")), ("", F.col("removed"))]
     text = F.col("row")["text"]
