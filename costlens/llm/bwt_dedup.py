@@ -23,8 +23,8 @@ else too, in any text.  Four steps, all over whole texts:
    suffix is sorted again.
 4. *Removal.*  Repeated windows are united to byte ranges per text.
 
-A key whose segments exceed a bucket is dealt into chunks and every pair of
-chunks gets a bucket, so no task holds more than about ``2 * BUCKET`` bytes.
+A key whose segments exceed ``LARGE`` bytes is dealt into chunks and every pair
+of chunks gets a bucket, so no group holds more than about ``2 * LARGE`` bytes.
 
 Defined cases: a null or empty text has no bytes; texts shorter than
 ``LENGTH`` lose nothing; matches never cross texts; repeated rows are copies
@@ -43,13 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import release, written
+from .scratch import importable, release, written
 from .text import whole
 
 LENGTH, GRAM = 400, 16
-BUCKET, SHARD = 2 << 20, 1 << 20
-#: Bytes of one text whose windows are cut at once, and bits for a place among them.
-PIECE, PLACE_BITS = 4 << 20, 24
+BUCKET, SHARD = 1 << 20, 1 << 19
+#: Bytes of one key above which its segments are dealt into chunks of that size.
+LARGE = 2 << 20
+#: Bytes of text whose windows are cut at once, and bits for a place among them.
+PIECE, PLACE_BITS = 1 << 20, 24
 #: Symbols that one sort key takes.
 PACKED = 7
 
@@ -70,39 +72,62 @@ def _gram_hashes(a: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def window_runs(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(key, first window, number of windows)`` arrays; pieces of a long text one after another."""
-    grams = length - GRAM + 1  # in a window
-    for begin in range(0, max(0, len(data) - length + 1), PIECE):
-        a = np.frombuffer(data, np.uint8)[begin:begin + PIECE + length - 1]
-        n = len(a) - length + 1
-        h = _gram_hashes(a)
-        # The place in the low bits makes the leftmost of equal hashes the smallest.
-        low = np.uint64((1 << PLACE_BITS) - 1)
-        ranked = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        blocks = np.concatenate([ranked, np.full(-len(h) % grams, NONE)]).reshape(-1, grams)
-        before = np.minimum.accumulate(blocks, axis=1).ravel()
-        after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(after[:n], before[grams - 1:grams - 1 + n])
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        yield h[(least[first] & low).astype(np.int64)], begin + first, np.diff(np.append(first, n))
+def window_runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """``(text, key, first window, number of windows)`` arrays of some texts, looked at as one."""
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.concatenate([[0], ends[:-1]])
+    a = np.frombuffer(b"".join(texts), np.uint8)
+    n, grams = len(a) - length + 1, length - GRAM + 1
+    h = _gram_hashes(a)
+    # The place in the low bits makes the leftmost of equal hashes the smallest.
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    ranked = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    blocks = np.concatenate([ranked, np.full(-len(h) % grams, NONE)]).reshape(-1, grams)
+    before = np.minimum.accumulate(blocks, axis=1).ravel()
+    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(after[:n], before[grams - 1:grams - 1 + n])
+    # Runs end where the smallest changes, where a text begins, and behind its last window.
+    edge = np.concatenate([[True], least[1:] != least[:-1], [True]])
+    edge[starts[starts < n]] = True
+    behind = ends - length + 1
+    edge[behind[(behind >= starts) & (behind <= n)]] = True
+    first = np.flatnonzero(edge)
+    first, count = first[:-1], np.diff(first)
+    text = np.searchsorted(ends, first, side="right")
+    inside = first < behind[text]
+    first, count, text = first[inside], count[inside], text[inside]
+    return text, h[(least[first] & low).astype(np.int64)], first - starts[text], count
+
+
+def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[tuple[int, int, int]], list[bytes]]]:
+    """Groups of about ``PIECE`` bytes of texts; a longer text comes in overlapping pieces."""
+    marks, datas, size = [], [], 0
+    for did, th, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+        data = text.as_buffer().to_pybytes()
+        for at in range(0, len(data) - length + 1, PIECE):
+            marks.append((did.as_py(), th.as_py(), at))
+            datas.append(data[at:at + PIECE + length - 1])
+            size += len(datas[-1])
+            if size >= PIECE:
+                yield marks, datas
+                marks, datas, size = [], [], 0
+    if datas:
+        yield marks, datas
 
 
 def _runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "hi", "lo", "did", "th", "at", "n"]
         for batch in batches:
-            for did, th, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                data = text.as_buffer().to_pybytes()
-                for key, first, n in window_runs(data, length):
-                    marks = b"".join([xxhash.xxh3_128_digest(data[s:s + k + length - 1])
-                                      for s, k in zip(first.tolist(), n.tolist(), strict=True)])
-                    marks = np.frombuffer(marks, np.int64).reshape(-1, 2)
-                    many = len(key)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
-                         pa.array(np.full(many, did.as_py())), pa.array(np.full(many, th.as_py())),
-                         pa.array(first.astype(np.int64)), pa.array(n.astype(np.int32))], names)
+            for marks, datas in _pieces(batch, length):
+                text, key, first, n = window_runs(datas, length)
+                digests = b"".join([xxhash.xxh3_128_digest(datas[t][s:s + k + length - 1])
+                                    for t, s, k in zip(text.tolist(), first.tolist(), n.tolist(), strict=True)])
+                digests = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                did, th, at = np.array(marks, np.int64).T[:, text]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (key.view(np.int64), digests[:, 0], digests[:, 1], did, th, at + first, n.astype(np.int32))],
+                    names)
     return run
 
 
@@ -189,16 +214,24 @@ class Shard:
 
 
 def merged_blocks(shards: list[Shard], length: int = LENGTH) -> np.ndarray:
-    """Block of each merged rank (shard after shard): equal where ``length`` symbols are equal."""
+    """Block of each merged rank (shard after shard): equal where ``length`` symbols are equal.
+
+    ``length`` is at least ``PACKED``.
+    """
     offset = np.cumsum([0, *(len(s.order) for s in shards)]).astype(np.int32)
     step = np.concatenate([s.successors() + o for s, o in zip(shards, offset, strict=False)])
-    first = np.concatenate([np.sort(s.transform) for s in shards]).astype(np.uint64)  # first symbols, in rank order
-    key, jump = np.zeros(len(step), np.uint64), np.arange(len(step), dtype=np.int32)
-    h = min(PACKED, length)
-    for _ in range(h):
-        key <<= np.uint64(9)
-        key |= first[jump]
-        jump = step[jump]
+    one = np.concatenate([np.sort(s.transform) for s in shards])  # first symbols, in rank order
+    # Seven symbols of context for each rank: 4 + 2 + 1, by composing successors.
+    two = one.astype(np.uint32) << np.uint32(9) | one[step]
+    step2 = step[step]
+    key = two.astype(np.uint64) << np.uint64(18) | two[step2]
+    step4 = step2[step2]
+    key <<= np.uint64(18)
+    key |= two[step4]
+    step6 = step2[step4]
+    key <<= np.uint64(9)
+    key |= one[step6]
+    jump, h = step[step6], PACKED
     rank, active = _blocks(key)
     powers = {1: step, h: jump}  # successors after so many symbols
     while len(active) and 2 * h <= length:
@@ -326,13 +359,15 @@ def _removed(length: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, large: int = LARGE) -> DataFrame:
     """``(did, th, s, e)``: first and last-but-one starts of repeated windows, by hashes of a row's id and text."""
+    importable(docs.sparkSession)
     spark = docs.sparkSession
     runs = docs.select("did", "th", "data").where(F.octet_length("data") >= length).mapInArrow(
         _runs(length), "key bigint, hi bigint, lo bigint, did bigint, th bigint, at bigint, n int")
     runs = written(runs, "window-runs")
-    shared = runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # Written, so that the join deals both sides itself and can split a frequent key.
+    shared = written(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
     places = written(runs.join(shared, "key", "left_semi"), "shared-runs")
     release(spark)
     # One row per distinct segment, read from one of its places.
@@ -347,8 +382,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> Data
     sized = written(cut.groupBy("key").agg(F.sum(F.octet_length("data")).alias("size")), "key-sizes")
     total = sized.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // bucket))
-    large = written(sized.where(F.col("size") > bucket).select("key", F.ceil(F.col("size") / bucket).cast("int").alias("k")), "large-keys")
-    dealt = (cut.join(large, "key", "left")
+    split = written(sized.where(F.col("size") > large).select("key", F.ceil(F.col("size") / large).cast("int").alias("k")), "large-keys")
+    dealt = (cut.join(split, "key", "left")
              .withColumn("own", F.when(F.col("k") > 1, F.pmod(F.xxhash64("hi", "lo"), F.col("k"))).otherwise(0).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1)))
              .select(F.when(F.col("k").isNull(), F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(F.col("key")).alias("bucket"),
@@ -361,11 +396,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> Data
         "did", "th", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, large: int = LARGE) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed)`` of every document row."""
+    importable(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("doc_id").alias("did"), F.xxhash64(whole(F.col("text"))).alias("th"),
                         whole(F.col("text")).cast("binary").alias("data"))
-    spans = (repeats(keyed, length, bucket).distinct().groupBy("did", "th")
+    spans = (repeats(keyed, length, bucket, large).distinct().groupBy("did", "th")
              .agg(F.collect_list(F.struct("s", "e")).alias("spans")))
     spans = written(spans, "removed-spans")
     release(docs.sparkSession)

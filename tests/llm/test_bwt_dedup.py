@@ -43,25 +43,39 @@ def corpus(seed, length):
     return rows + [rows[5], rows[5]]
 
 
-@pytest.mark.parametrize("seed,length,bucket", [(1, 400, B.BUCKET), (2, 40, 3000), (3, 40, 1 << 20)])
-def test_matches_brute_force(spark, seed, length, bucket):
+@pytest.mark.parametrize("seed,length,bucket,large", [(1, 400, B.BUCKET, B.LARGE), (2, 40, 3000, 2000), (3, 40, 1 << 20, 1 << 20)])
+def test_matches_brute_force(spark, seed, length, bucket, large):
     rows = corpus(seed, length)
-    out = B.without_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), length, bucket)
+    out = B.without_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), length, bucket, large)
     assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
     assert sorted((tuple(r)[:5] for r in out.collect()), key=repr) == brute(rows, length)
 
 
-def test_long_text_and_empty_table(spark, monkeypatch):
+def test_long_text_and_empty_table(spark):
     rng = random.Random(7)
     text = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
     rows = [(1, text + text[:1000], ""), (2, "q" + text[500:2500], "")]
     assert sorted((tuple(r)[:5] for r in B.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows, 400)
     assert B.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
-    whole = [np.concatenate(x) for x in zip(*B.window_runs(rows[0][1].encode()))]
-    monkeypatch.setattr(B, "PIECE", 1500)
-    pieces = [np.concatenate(x) for x in zip(*B.window_runs(rows[0][1].encode()))]
-    assert pieces[2].sum() == whole[2].sum()
-    assert np.array_equal(np.repeat(whole[0], whole[2]), np.repeat(pieces[0], pieces[2]))
+
+
+def test_runs_of_pieces_and_of_single_texts_agree(monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=n)) for n in (5000, 0, 399, 400, 401, 900, 3, 2000, 400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([7] * 9), pa.array(texts)], ["did", "th", "data"])
+
+    def windows():
+        out = {}
+        for r in pa.Table.from_batches(B._runs(400)([batch])).to_pylist():
+            for w in range(r["at"], r["at"] + r["n"]):
+                out[r["did"], w] = r["key"]
+        return out
+    whole = windows()
+    assert len(whole) == sum(max(0, len(t) - 399) for t in texts)
+    for piece in (1, 700, 1500):
+        monkeypatch.setattr(B, "PIECE", piece)
+        assert windows() == whole
 
 
 @pytest.mark.parametrize("seed", range(6))
