@@ -88,7 +88,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS,
     found = written(items(benchmark, k, percent), "benchmark-items")
     keyed = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
     pairs = written(candidates(keyed, found, k), "contained-candidates")
-    texts = keyed.join(pairs.select("key").distinct(), "key", "left_semi")
+    # The same join at every size: the candidates grow with the corpus.
+    texts = keyed.join(pairs.select("key").distinct().hint("merge"), "key", "left_semi")
     texts = once(once(texts, "ws", _words(F.col("text"))).drop("text"), "own",
                  F.array_distinct(shingles(F.col("ws"), k))).drop("ws")
     wanted = found.select(F.col("item_id").alias("wanted"), "shingles", "needed")
@@ -113,4 +114,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
                         text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    return keyed.join(hit, "key", "left_anti").select(*[F.col("row")[c].alias(c) for c in names])
+    return keyed.join(hit.hint("merge"), "key", "left_anti").select(*[F.col("row")[c].alias(c) for c in names])

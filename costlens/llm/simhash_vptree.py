@@ -196,5 +196,5 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
                         text_key(F.col("doc_id"), whole(F.col("text"))).alias("kept_key"))
-    return (keyed.join(keepers, "kept_key", "left_semi").dropDuplicates(["kept_key"])
+    return (keyed.join(keepers.hint("merge"), "kept_key", "left_semi").dropDuplicates(["kept_key"])
             .select(*[F.col("row")[c].alias(c) for c in names]))
