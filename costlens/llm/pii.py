@@ -14,9 +14,12 @@ disclose a protected entity (Sanchez and Batet, "C-sanitized", 2016):
   ``GENERALISE`` or more are generalised (replaced by a class mark), and of
   ``REMOVE`` or more removed.
 
-Only pairs that co-occur in ``MIN_TEXTS`` different texts are estimated, so
-copies of one text reveal nothing about its words.  Documents that hold no
-protected entity are left as they are.
+Documents are counted as different texts, so copies of one text reveal nothing
+more about its words.  Every pair is estimated.  One that co-occurs in fewer
+than ``MIN_TEXTS`` texts is judged by the lower end of what its counts allow:
+the share of the term's documents that hold the entity, ``df(e, t) / df(t)``,
+is then replaced by the lower bound of its Wilson interval (``Z``, 95 %).
+Documents that hold no protected entity are left as they are.
 
 Defined cases: null and empty texts have no spans and stay null or empty;
 matches are leftmost and do not overlap within a kind, and one that fails its
@@ -34,6 +37,8 @@ from .spans import SPAN, digest, find, redacted
 from .text import let, once, text_key, whole
 
 MIN_TEXTS, GENERALISE, REMOVE = 5, 0.8, 0.95
+#: Normal quantile of the interval for pairs of thin support.
+Z = 1.96
 KINDS = ("email", "ip", "card", "phone")
 
 # The four expressions.  Possessive repeats and the look-behinds
@@ -93,10 +98,18 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(whole(text)), F.lit(TERM), F.lit(0)))
 
 
-def _disclosure(total: int, df_term: Column) -> Column:
+def _least_share(joint: Column, df_term: Column) -> Column:
+    """Lower bound of the Wilson interval of ``joint / df_term``."""
+    n, z2 = df_term.cast("double"), Z * Z
+    p = joint / n
+    return (p + z2 / (2 * n) - Z * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)
+
+
+def _disclosure(total: int, df_term: Column, min_texts: int) -> Column:
     """Share of the entity's information that the term reveals; grows as ``df_term`` shrinks."""
     information = F.log2(F.lit(float(max(total, 1))) / F.col("df_entity"))
-    pmi = F.log2(F.lit(float(total)) * F.col("joint") / (F.col("df_entity").cast("double") * df_term))
+    joint = F.when(F.col("joint") >= min_texts, F.col("joint")).otherwise(_least_share(F.col("joint"), df_term) * df_term)
+    pmi = F.log2(F.lit(float(total)) * joint / (F.col("df_entity").cast("double") * df_term))
     return pmi / information
 
 
@@ -107,24 +120,23 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = MIN_TEX
     ``docs`` has the ``text`` of every document row; ``found`` a row for each
     with ``base``, ``text_hash`` and, where there is personal data, ``terms``.
     """
-    total = found.count()
-    private = found.where("terms is not null")
-    held = private.select("text_hash", F.explode(_entities()).alias("entity"), "terms")
-    known = (held.groupBy("entity").agg(F.count("*").alias("df_entity"), F.countDistinct("text_hash").alias("texts"))
-             .where((F.col("texts") >= min_texts) & (F.col("df_entity") < total)).select("entity", "df_entity"))
+    total = found.select("text_hash").distinct().count()
+    private = written(found.where("terms is not null").select("text_hash", _entities().alias("entities"), "terms")
+                      .dropDuplicates(["text_hash"]), "pii-private")
+    held = private.select(F.explode("entities").alias("entity"), "terms")
+    known = held.groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") < total)
     known = written(known, "pii-entities")
-    pairs = (held.join(known, "entity").select("text_hash", "entity", "df_entity", F.explode("terms").alias("term"))
-             .groupBy("entity", "df_entity", "term").agg(F.count("*").alias("joint"), F.countDistinct("text_hash").alias("texts"))
-             .where(F.col("texts") >= min_texts).drop("texts"))
+    pairs = (held.join(known, "entity").select("entity", "df_entity", F.explode("terms").alias("term"))
+             .groupBy("entity", "df_entity", "term").agg(F.count("*").alias("joint")))
     # A term is at least as frequent as it is beside personal data; what falls
     # short even so, common words above all, need not be counted in the corpus.
     least = private.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    pairs = pairs.join(least, "term").where(_disclosure(total, F.col("least")) >= generalise).drop("least")
+    pairs = pairs.join(least, "term").where(_disclosure(total, F.col("least"), min_texts) >= generalise).drop("least")
     pairs = written(pairs, "pii-pairs")
     wanted = written(pairs.select("term").distinct(), "pii-terms")
-    seen = (docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-            .groupBy("term").agg(F.count("*").alias("df_term")))
-    scored = pairs.join(seen, "term").withColumn("disclosure", _disclosure(total, F.col("df_term")))
+    seen = (docs.select(F.xxhash64(whole(F.col("text"))).alias("text_hash"), F.explode(_terms(F.col("text"))).alias("term"))
+            .join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_term")))
+    scored = pairs.join(seen, "term").withColumn("disclosure", _disclosure(total, F.col("df_term"), min_texts))
     return (scored.where(F.col("disclosure") >= generalise)
             .select("entity", "term", (F.col("disclosure") >= remove).alias("removed")))
 

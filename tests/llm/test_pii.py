@@ -102,3 +102,19 @@ def test_sanitised_text(spark):
     assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([
         (1, "é mail [EMAIL], [PHONE]!", "x", 24), rows[1], rows[2], (4, "[CARD] end", "", 10), (None, "[IP]", "z", 4)], key=repr)
     assert P.sanitised(df.limit(0)).count() == 0 and P.personal_data(df.limit(0)).count() == 0
+
+
+def test_thin_support_is_judged_by_a_bound(spark):
+    rows = [(i, f"plain words of text number n{i}", "") for i in range(4_000)]
+    rows += [(i, "Thrice wrote to c@thin.example", f"{i}") for i in range(5_000, 5_009)]  # copies: one text
+    rows += [(6_000, "Hapax of a@thin.example", ""), (6_001, "plain number Common words d@thin.example", "")]
+    rows += [(i, f"Fourfold Loose b@thin.example n{i}", "") for i in range(4)] + [(i, f"Loose text {i}", "") for i in range(60)]
+    out = {r["doc_id"]: r["spans"] for r in P.personal_data(spark.createDataFrame(
+        [(9_000 + n, t, b) for n, (_, t, b) in enumerate(rows)], SCHEMA)).collect()}
+    spans = [out[9_000 + n] for n, r in enumerate(rows) if "@" in r[1]]
+    # One text each: 0.21 of 1 for a word found nowhere else leaves 0.81 of the entity's 12 bits.
+    assert spans[:9] == ["general_term:0:6,general_term:7:12,email:16:30"] * 9
+    assert spans[9] == "general_term:0:5,email:9:23"
+    assert spans[10] == "general_term:13:19,email:26:40"
+    # Four texts: 0.51 of 1 leaves 0.90; beside 60 other texts the word says little.
+    assert spans[11:] == ["general_term:0:8,email:15:29"] * 4
