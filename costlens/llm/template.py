@@ -12,12 +12,13 @@ data from web pages", 2003) over the pages of one host:
   path of each tag belongs to a valid class too.  The valid classes, nested by
   path, are the template;
 * what lies between template tokens are slots.  The slot with the article is
-  the ``article`` element, else ``main``, else an element named as content,
-  else the deepest template element that holds most of the data text (text
-  that is not itself template).  Inside it, menus, headers, footers, sidebars,
+  the ``article`` element, else ``main``, else an element named as content
+  (the outermost where they nest, each where they do not), else the deepest
+  template element that holds all data text (text that is not itself
+  template), or else the page.  Inside it, menus, headers, footers, sidebars,
   notices, adverts, forms, scripts, styles and reader comments are cut by
   element or by name, and everything else is kept.  Template text inside the
-  slot is cut only where the slot was found by its share of data text: an
+  slot is cut only where the slot was found by its data text: an
   ``article`` is kept whole, repeated paragraphs included.
 
 A page whose host has no frequent class (a single page, say), or that lacks
@@ -49,8 +50,6 @@ from .scratch import importable, written
 SUPPORT, LEAST_SIZE = 0.5, 2
 #: Pages on which a text node must stand before it may be cut as template text.
 LEAST_PAGES = 4
-#: Share of the host's data text that the slot must hold when no element is named for it.
-SHARE = 0.6
 
 # HTML element kinds and the names that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,30 +175,45 @@ def _token(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"), 7) - (1 << 63)
 
 
-def page_tokens(html: str) -> dict[int, list]:
-    """Tokens of one page: id -> [path of a tag or None, parent path, count, rank, characters of text inside]."""
-    found: dict[int, list] = {}
+def _shown(html: str) -> Iterator[tuple[str, int, str, object, bool, int]]:
+    """``nodes`` with whether furniture is open and the rank of an opened element (0 in furniture)."""
     cut = None  # depth of the furniture that is open
-    spans: list[list] = []
+    ranks: list[int] = []
     for kind, depth, path, value in nodes(html):
+        rank = 0
         if kind == "open":
-            tag, words, role = value
-            if cut is None and _furniture(tag, words, role, any(s[3] >= 2 for s in spans)):
+            if cut is None and _furniture(*value, any(r >= 2 for r in ranks)):
                 cut = depth
+            rank = _rank(*value) if cut is None else 0
+            ranks.append(rank)
+        elif kind == "close":
+            ranks.pop()
+            if cut is not None and depth < cut:
+                cut = None
+        yield kind, depth, path, value, cut is not None, rank
+
+
+def page_tokens(html: str) -> dict[int, list]:
+    """Tokens of one page: id -> [path of a tag or None, parent path, count, rank, characters of text inside].
+
+    The page itself is the tag of path ``""``; text in furniture has no characters.
+    """
+    root = ["", "", 1, 0, 0]
+    found: dict[int, list] = {_token("tag", ""): root}
+    spans: list[list] = [root]
+    for kind, _, path, value, cut, rank in _shown(html):
+        if kind == "open":
             entry = found.setdefault(_token("tag", path), [path, path.rpartition("/")[0], 0, 0, 0])
             entry[2] += 1
-            entry[3] = 0 if cut is not None else max(entry[3], _rank(*value))
+            entry[3] = 0 if cut else max(entry[3], rank)
             spans.append(entry)
         elif kind == "close":
-            if spans:
-                spans.pop()
-            if cut is not None and depth < cut:
-                cut = None
+            spans.pop()
         elif kind == "text" and (text := _clean(value)):
-            entry = found.setdefault(_token("text", path, text), [None, path, 0, 0, len(text)])
+            entry = found.setdefault(_token("text", path, text), [None, path, 0, 0, 0])
             entry[2] += 1
-            if cut is None:
-                for s in spans:
+            if not cut:
+                for s in (entry, *{id(s): s for s in spans}.values()):
                     s[4] += len(text)
     return found
 
@@ -246,17 +260,12 @@ def frequent_tokens(pages: DataFrame) -> DataFrame:
     return written(tokens.join(classes, ["host", "class"], "left_semi"), "template-tokens")
 
 
-def template(frequent: DataFrame) -> DataFrame:
-    """``(host, path, parent, class, rank, data_chars)``: the nested template elements of every host.
-
-    An element is nested if its parent is a template element too; the root has none.
-    ``data_chars`` counts the text inside it, over all pages, that is not template text.
-    """
+def _elements(frequent: DataFrame) -> DataFrame:
+    """``template`` and the page itself, of path ``""``."""
     tags = frequent.where("path is not null")
     steps = F.split("parent", "/")
-    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))),
-                        lambda i: F.concat_ws("/", F.slice(steps, F.lit(1), i)))
-    fixed = (frequent.where("path is null").select("host", "chars", "support", F.explode(above).alias("path"))
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat_ws("/", F.slice(steps, F.lit(1), i)))
+    fixed = (frequent.where(F.col("path").isNull() & (F.col("support") >= LEAST_PAGES)).select("host", "chars", "support", F.explode(above).alias("path"))
              .groupBy("host", "path").agg(F.sum(F.col("chars")).alias("fixed")))
     parents = tags.select("host", F.col("path").alias("parent"), F.lit(True).alias("known"))
     nested = tags.join(parents, ["host", "parent"], "left").where(F.col("known") | (F.col("parent") == ""))
@@ -264,37 +273,50 @@ def template(frequent: DataFrame) -> DataFrame:
         "host", "path", "parent", "class", "rank", (F.col("chars") - F.coalesce("fixed", F.lit(0))).alias("data_chars"))
 
 
+def template(frequent: DataFrame) -> DataFrame:
+    """``(host, path, parent, class, rank, data_chars)``: the nested template elements of every host.
+
+    An element is nested if its parent is a template element too; the root has none.
+    ``data_chars`` counts the text inside it, over all pages, that is not template text.
+    """
+    return _elements(frequent).where("path != ''")
+
+
 def slots(frequent: DataFrame) -> DataFrame:
-    """``(host, slot, rank, fixed)``: each host's article element, and the template text to cut in it."""
-    elements = written(template(frequent), "template")
-    most = elements.groupBy("host").agg(F.max("data_chars").alias("most"))
-    fits = (F.col("rank") > 0) | (F.col("data_chars") >= SHARE * F.col("most"))
-    best = (elements.join(most, "host").where(fits).groupBy("host")
-            .agg(F.max(F.struct("rank", F.size(F.split("path", "/")).alias("depth"), "data_chars", "path")).alias("best"))
-            .select("host", F.col("best.path").alias("slot"), F.col("best.rank").alias("rank")))
+    """``(host, slot, fixed)``: the paths of each host's article elements, and the template text to cut in them.
+
+    A host without named elements or data text has no row.
+    """
+    elements = written(_elements(frequent), "template")
+    most = elements.groupBy("host").agg(F.max("data_chars").alias("most"), F.max("rank").alias("top"))
+    # By name every element of the highest rank, by data text the smallest common ancestor.
+    fits = (F.col("rank") == F.col("top")) & ((F.col("top") > 0) | (F.col("data_chars") == F.col("most")) & (F.col("most") > 0))
+    best = (elements.join(most, "host").where(fits)
+            .groupBy("host", "top").agg(F.collect_set("path").alias("named"),
+                                        F.max(F.struct(F.length(F.regexp_replace("path", "[^/]", "")), "path")).alias("deepest"))
+            .select("host", F.col("top").alias("rank"), F.col("deepest.path").alias("deepest"),
+                    F.when(F.col("top") > 0, F.col("named")).otherwise(F.array("deepest.path")).alias("slot")))
     # Bounded by the text nodes of one page template.
     texts = (frequent.where(F.col("path").isNull() & (F.col("support") >= LEAST_PAGES))
-             .join(best.where("rank = 0").select("host", "slot"), "host")
-             .where(F.concat(F.col("parent"), F.lit("/")).startswith(F.concat(F.col("slot"), F.lit("/"))))
+             .join(best.where("rank = 0").select("host", "deepest"), "host")
+             .where(F.concat(F.col("parent"), F.lit("/")).startswith(F.concat(F.col("deepest"), F.lit("/"))))
              .groupBy("host").agg(F.collect_set("token").alias("fixed")))
-    return best.join(texts, "host", "left")
+    return best.select("host", "slot").join(texts, "host", "left")
 
 
 def _own_slot(html: str) -> tuple[str, int]:
-    """Slot of a page by its own elements."""
-    tags = [(e[3], e[0].count("/"), e[4], e[0]) for e in page_tokens(html).values() if e[0] is not None]
-    most = max((t[2] for t in tags), default=0)
-    fits = [t for t in tags if t[0] > 0 or t[2] >= SHARE * most and t[2] > 0]
-    best = max(fits, default=(0, 0, 0, ""))
-    return best[3], best[0]  # "" where no element has text
+    """Rank of a page's best named elements, or without one the smallest common ancestor of its text."""
+    tags = [e for e in page_tokens(html).values() if e[0] is not None]
+    rank, most = max(t[3] for t in tags), max(t[4] for t in tags)
+    return max((t[0] for t in tags if t[4] == most > 0), key=lambda p: p.count("/"), default=""), rank
 
 
-def extract(html: str, slot: str | None, rank: int, fixed: frozenset[int] = frozenset()) -> str | None:
-    """Text of the slot's elements, a line per block; None where the page has no such element."""
+def extract(html: str, slot: frozenset[str] = frozenset(), rank: int = 0, fixed: frozenset[int] = frozenset()) -> str | None:
+    """Text of the elements of a path in ``slot`` or of rank ``rank``, a line per block; None where the page has none."""
     blocks: list[str] = []
     parts: list[str] = []
-    inside = 0 if slot == "" else None  # "" is the page as a whole
-    cut, seen = None, slot == ""
+    seen = "" in slot  # the page as a whole
+    inside = 0 if seen else None
 
     def flush() -> None:
         text = _clean("".join(parts))
@@ -302,42 +324,43 @@ def extract(html: str, slot: str | None, rank: int, fixed: frozenset[int] = froz
         if text:
             blocks.append(text)
 
-    for kind, depth, path, value in nodes(html):
+    for kind, depth, path, value, cut, named in _shown(html):
         if kind == "open":
-            if inside is None and path == slot:
+            if inside is None and not cut and (path in slot or rank and named == rank):
                 inside, seen = depth, True
-            elif inside is not None and cut is None and _furniture(*value, rank >= 2):
-                cut = depth
             flush()
         elif kind == "close":
             flush()
-            if cut is not None and depth < cut:
-                cut = None
             if inside is not None and depth < inside:
                 inside = None
         elif kind == "break":
             flush()
-        elif inside is not None and cut is None:
+        elif inside is not None and not cut:
             if not fixed or _token("text", path, _clean(value)) not in fixed:
                 parts.append(value)
     flush()
     return "\n".join(blocks) if seen else None
 
 
-def main_text(html: str | None, slot: str | None, rank: int | None, fixed: frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, slot: frozenset[str], fixed: frozenset[int] = frozenset()) -> str:
     if not html:
         return ""
-    text = extract(html, slot, rank or 0, fixed) if slot else None
+    text = extract(html, slot, fixed=fixed) if slot and "" not in slot else None
     if text is None:
-        own, own_rank = _own_slot(html)
-        text = extract(html, own, own_rank)
+        path, rank = _own_slot(html)
+        if rank:
+            text = extract(html, rank=rank)
+        elif "" in slot:
+            text = extract(html, slot, fixed=fixed)
+        else:
+            text = extract(html, frozenset([path]))
     return text or ""
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h, s, r, frozenset(f or ())) for h, s, r, f in
-                 zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+        texts = [main_text(h, frozenset(s or ()), frozenset(f or ())) for h, s, f in
+                 zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"])
@@ -348,6 +371,6 @@ def extracted(pages: DataFrame) -> DataFrame:
     importable(pages.sparkSession)
     found = written(slots(frequent_tokens(pages)), "slots")
     rows = pages.select("page_id", "url", "html", _host().alias("host"))
-    rows = rows.join(found, "host", "left").select("page_id", "url", "html", "slot", "rank", "fixed")
+    rows = rows.join(found, "host", "left").select("page_id", "url", "html", "slot", "fixed")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extracting, f"page_id {kind}, url string, text string, n_chars bigint")

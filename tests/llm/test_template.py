@@ -71,3 +71,14 @@ def test_classes_of_equal_vectors_nest(spark):
     by = {r["path"]: r["class"] for r in found}
     assert set(by) == {"/html", "/html/body", "/html/body/nav", "/html/body/div.x", "/html/body/div.x/p"}
     assert len({by[p] for p in by if not p.endswith("/p")}) == 1 and by["/html/body/div.x/p"] != by["/html"]
+
+
+def test_slot_holds_the_whole_article(spark):
+    rows = [(i, "http://n/", f"<div class=post><div class=intro-text>intro {i}</div><p>rest {i}</p></div><footer>f</footer>") for i in range(6)]
+    rows += [(10 + i, "http://o/", f"<article>a{i}<article>b{i}</article><p>c{i}</p></article>") for i in range(6)]
+    rows += [(20 + i, "http://s/", f"<body><div><div class=x1>{'long ' * 7}{i}</div><div class=x2><p>short {i}</p></div></div><nav>n</nav>"
+              "<div>Contact</div></body>") for i in range(6)]
+    rows += [(30, "http://t/", "<div class=post><div class=text>own</div><p>rest</p></div>"), (31, "http://u/", "<div>one</div><p>two</p>")]
+    want = [(i, f"intro {i}\nrest {i}") for i in range(6)] + [(10 + i, f"a{i}\nb{i}\nc{i}") for i in range(6)]
+    want += [(20 + i, f"{'long ' * 7}{i}\nshort {i}") for i in range(6)] + [(30, "own\nrest"), (31, "one\ntwo")]
+    assert texts(spark, rows) == sorted(want, key=repr)
