@@ -4,8 +4,9 @@ Equivalence-class deduction (Arasu and Garcia-Molina, "Extracting structured
 data from web pages", 2003) over the pages of one host:
 
 * a token is a tag or a text node, told apart by its role: the path of open
-  structural tags with their class and id.  Its occurrence vector is the
-  number of times it occurs on each page of the host;
+  structural tags with the words of class and id that stand on ``SUPPORT`` of
+  the host's pages.  Its occurrence vector is the number of times it occurs on
+  each page of the host; copies of one page count once;
 * tokens with equal vectors form a class.  Classes that occur on
   ``SUPPORT`` of the host's pages and have ``LEAST_SIZE`` tokens or more are
   large and frequent; a class is valid if its tags nest, that is the parent
@@ -21,8 +22,9 @@ data from web pages", 2003) over the pages of one host:
   slot is cut only where the slot was found by its data text: an
   ``article`` is kept whole, repeated paragraphs included.
 
-A page whose host has no frequent class (a single page, say), or that lacks
-the host's element, is read by the same rules with its own elements.
+A page with an ``article`` or ``main`` of its own is read by it.  A page whose
+host has no frequent class (a single page, say), that lacks the host's element
+or would be left without text is read by the same rules with its own elements.
 
 Vectors are compared by an order-free hash sum that each task pre-aggregates,
 so a host with a third of all pages sends one row per token and task.
@@ -76,20 +78,25 @@ SPACE = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=4096)
-def _named(tag: str, attributes: str) -> tuple[str, str, frozenset[str], str]:
-    """Element name, its label in a path, the words of its class and id, and its role."""
+def _named(tag: str, attributes: str) -> tuple[str, list[str], frozenset[str], str]:
+    """Element name, the names in its class and id, their words, and its role."""
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     words = frozenset(w for w in re.split(r"[^a-z]+", names) if w)
-    label = tag + "".join(f".{w}" for w in sorted(set(names.split())))
     hidden = "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true"
-    return tag, label, words, "hidden" if hidden else found.get("role", "").lower()
+    return tag, sorted(set(names.split())), words, "hidden" if hidden else found.get("role", "").lower()
 
 
-def nodes(html: str) -> Iterator[tuple[str, int, str, object]]:
+def names(html: str) -> set[str]:
+    """The names in the classes and ids of a page."""
+    return {w for m in TAG.finditer(html) if m[3] for w in _named(m[2].lower(), m[3])[1]}
+
+
+def nodes(html: str, kept: frozenset[str] | None = None) -> Iterator[tuple[str, int, str, object]]:
     """Walk a page: ``("open" | "close", depth, path, (tag, words, role))``, ``("text", depth, path, text)``, ``("break", ..)``.
 
-    Paths name structural elements only; inline elements do not deepen them.
+    Paths name structural elements only, with those of their classes and ids that are ``kept`` (None: all);
+    inline elements do not deepen them.
     """
     stack: list[tuple[str, str]] = []  # tag, path
 
@@ -139,7 +146,7 @@ def nodes(html: str) -> Iterator[tuple[str, int, str, object]]:
                     yield from pop_to(i)
                     break
         named = _named(tag, m[3])
-        where = f"{path()}/{named[1]}"
+        where = f"{path()}/{tag}" + "".join(f".{w}" for w in named[1] if kept is None or w in kept)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else n
@@ -175,11 +182,11 @@ def _token(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"), 7) - (1 << 63)
 
 
-def _shown(html: str) -> Iterator[tuple[str, int, str, object, bool, int]]:
+def _shown(html: str, kept: frozenset[str] | None = None) -> Iterator[tuple[str, int, str, object, bool, int]]:
     """``nodes`` with whether furniture is open and the rank of an opened element (0 in furniture)."""
     cut = None  # depth of the furniture that is open
     ranks: list[int] = []
-    for kind, depth, path, value in nodes(html):
+    for kind, depth, path, value in nodes(html, kept):
         rank = 0
         if kind == "open":
             if cut is None and _furniture(*value, any(r >= 2 for r in ranks)):
@@ -193,7 +200,7 @@ def _shown(html: str) -> Iterator[tuple[str, int, str, object, bool, int]]:
         yield kind, depth, path, value, cut is not None, rank
 
 
-def page_tokens(html: str) -> dict[int, list]:
+def page_tokens(html: str, kept: frozenset[str] | None = None) -> dict[int, list]:
     """Tokens of one page: id -> [path of a tag or None, parent path, count, rank, characters of text inside].
 
     The page itself is the tag of path ``""``; text in furniture has no characters.
@@ -201,7 +208,7 @@ def page_tokens(html: str) -> dict[int, list]:
     root = ["", "", 1, 0, 0]
     found: dict[int, list] = {_token("tag", ""): root}
     spans: list[list] = [root]
-    for kind, _, path, value, cut, rank in _shown(html):
+    for kind, _, path, value, cut, rank in _shown(html, kept):
         if kind == "open":
             entry = found.setdefault(_token("tag", path), [path, path.rpartition("/")[0], 0, 0, 0])
             entry[2] += 1
@@ -218,11 +225,19 @@ def page_tokens(html: str) -> dict[int, list]:
     return found
 
 
+def _emit_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(h, key, w) for h, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in names(text)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()),
+             pa.array([f[2] for f in found], pa.string())], ["host", "page", "name"])
+
+
 def _emit_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         host, page, token, path, parent, count, rank, chars = ([] for _ in range(8))
-        for h, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for t, (p, up, n, r, c) in page_tokens(text).items():
+        for h, key, text, kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t, (p, up, n, r, c) in page_tokens(text, frozenset(kept or ())).items():
                 for out, value in zip((host, page, token, path, parent, count, rank, chars), (h, key, t, p, up, n, r, c), strict=True):
                     out.append(value)
         yield pa.RecordBatch.from_arrays(
@@ -235,19 +250,37 @@ def _host():
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
 
 
-def frequent_tokens(pages: DataFrame) -> DataFrame:
-    """Tokens of the large and frequent classes of every host (a written table).
+def _contents(pages: DataFrame) -> DataFrame:
+    """``(host, page, html)``; copies of one page share ``page``."""
+    html = F.coalesce("html", F.lit(""))
+    return pages.select(_host().alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
+
+
+def frequent_names(pages: DataFrame) -> DataFrame:
+    """``(host, pages, kept)``: different pages of every host, and the class and id names on ``SUPPORT`` of them (a written table)."""
+    importable(pages.sparkSession)
+    rows = _contents(pages)
+    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    found = rows.mapInArrow(_emit_names, "host string, page bigint, name string").distinct().groupBy("host", "name")
+    kept = (found.agg(F.count("*").alias("support")).join(sizes, "host").where(F.col("support") >= F.greatest(F.lit(2), F.col("pages") * SUPPORT))
+            .groupBy("host").agg(F.collect_set("name").alias("kept")))
+    return written(sizes.join(kept, "host", "left"), "names")
+
+
+def frequent_tokens(pages: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Tokens of the large and frequent classes of every host (a written table); ``hosts`` are its ``frequent_names``.
 
     ``(host, token, path, parent, class, support, rank, chars)``; ``path`` is null for a text node.
     """
     importable(pages.sparkSession)
-    rows = pages.select(_host().alias("host"), F.xxhash64("page_id", F.coalesce("html", F.lit(""))).alias("page"),
-                        F.coalesce("html", F.lit("")).alias("html"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = frequent_names(pages) if hosts is None else hosts
+    rows = _contents(pages).join(hosts, "host").select("host", "page", "html", "kept")
+    sizes = hosts.select("host", "pages")
     # Stands for the vector: a sum over pages of a hash of (page, count).
     vector = F.sum(F.pmod(F.xxhash64("page", "count"), F.lit(1 << 40)).cast("decimal(20,0)"))
     tokens = (rows.mapInArrow(_emit_tokens, "host string, page bigint, token bigint, path string, parent string, "
                               "count int, rank int, chars bigint")
+              .groupBy("host", "token", "page").agg(*[F.first(c).alias(c) for c in ("path", "parent", "count", "rank", "chars")])
               .groupBy("host", "token").agg(
                   vector.alias("vector"), F.count("*").alias("support"), F.first("path").alias("path"),
                   F.first("parent").alias("parent"), F.min("rank").alias("rank"), F.sum("chars").alias("chars")))
@@ -311,7 +344,8 @@ def _own_slot(html: str) -> tuple[str, int]:
     return max((t[0] for t in tags if t[4] == most > 0), key=lambda p: p.count("/"), default=""), rank
 
 
-def extract(html: str, slot: frozenset[str] = frozenset(), rank: int = 0, fixed: frozenset[int] = frozenset()) -> str | None:
+def extract(html: str, slot: frozenset[str] = frozenset(), rank: int = 0, fixed: frozenset[int] = frozenset(),
+            kept: frozenset[str] | None = None) -> str | None:
     """Text of the elements of a path in ``slot`` or of rank ``rank``, a line per block; None where the page has none."""
     blocks: list[str] = []
     parts: list[str] = []
@@ -324,7 +358,7 @@ def extract(html: str, slot: frozenset[str] = frozenset(), rank: int = 0, fixed:
         if text:
             blocks.append(text)
 
-    for kind, depth, path, value, cut, named in _shown(html):
+    for kind, depth, path, value, cut, named in _shown(html, kept):
         if kind == "open":
             if inside is None and not cut and (path in slot or rank and named == rank):
                 inside, seen = depth, True
@@ -342,25 +376,29 @@ def extract(html: str, slot: frozenset[str] = frozenset(), rank: int = 0, fixed:
     return "\n".join(blocks) if seen else None
 
 
-def main_text(html: str | None, slot: frozenset[str], fixed: frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, slot: frozenset[str], fixed: frozenset[int] = frozenset(), kept: frozenset[str] | None = None) -> str:
     if not html:
         return ""
-    text = extract(html, slot, fixed=fixed) if slot and "" not in slot else None
-    if text is None:
+    lower = html.lower()
+    text = extract(html, rank=3) if "<article" in lower else None
+    if not text and ("<main" in lower or "role" in lower):
+        text = extract(html, rank=2)
+    if not text and slot and "" not in slot:
+        text = extract(html, slot, fixed=fixed, kept=kept)
+    if not text:
         path, rank = _own_slot(html)
         if rank:
             text = extract(html, rank=rank)
         elif "" in slot:
-            text = extract(html, slot, fixed=fixed)
-        else:
-            text = extract(html, frozenset([path]))
+            text = extract(html, slot, fixed=fixed, kept=kept)
+        text = text or extract(html, frozenset([path]))
     return text or ""
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h, frozenset(s or ()), frozenset(f or ())) for h, s, f in
-                 zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True)]
+        texts = [main_text(h, frozenset(s or ()), frozenset(f or ()), frozenset(k or ())) for h, s, f, k in
+                 zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"])
@@ -369,8 +407,9 @@ def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extracted(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page row."""
     importable(pages.sparkSession)
-    found = written(slots(frequent_tokens(pages)), "slots")
+    hosts = frequent_names(pages)
+    found = written(hosts.join(slots(frequent_tokens(pages, hosts)), "host", "left"), "slots")
     rows = pages.select("page_id", "url", "html", _host().alias("host"))
-    rows = rows.join(found, "host", "left").select("page_id", "url", "html", "slot", "fixed")
+    rows = rows.join(found, "host", "left").select("page_id", "url", "html", "slot", "fixed", "kept")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extracting, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -82,3 +82,15 @@ def test_slot_holds_the_whole_article(spark):
     want = [(i, f"intro {i}\nrest {i}") for i in range(6)] + [(10 + i, f"a{i}\nb{i}\nc{i}") for i in range(6)]
     want += [(20 + i, f"{'long ' * 7}{i}\nshort {i}") for i in range(6)] + [(30, "own\nrest"), (31, "one\ntwo")]
     assert texts(spark, rows) == sorted(want, key=repr)
+
+
+def test_own_elements_and_copies(spark):
+    rows = [(i, "http://p/", f"<body><article id=post-{i}><header><h1>Title {i}</h1></header><p>text {i}</p></article><div>poll {i}</div></body>")
+            for i in range(6)]
+    rows += [(10 + i, "http://q/", f"<body><div id=n{i} class=c1><h2>Top {i}</h2><p>text {i}</p></div><div>Imprint</div></body>") for i in range(6)]
+    rows += [(20 + i, "http://r/", "<body><div><h2>Same</h2><p>text</p></div></body>") for i in range(6)]
+    rows += [(30 + i, "http://v/", f"<body><div><h2>Head {min(i, 4)}</h2><p>{'one' if i > 3 else i}</p></div><i>Home</i></body>") for i in range(10)]
+    want = [(i, f"Title {i}\ntext {i}") for i in range(6)] + [(10 + i, f"Top {i}\ntext {i}") for i in range(6)]
+    want += [(20 + i, "Same\ntext") for i in range(6)]
+    want += [(30 + i, f"Head {min(i, 4)}\n{'one' if i > 3 else i}") for i in range(10)]
+    assert texts(spark, rows) == sorted(want, key=repr)
