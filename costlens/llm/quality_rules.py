@@ -21,8 +21,10 @@ bad over good holdout rejections is used, the most lenient on ties, and none
 if no candidate has a surplus.  A stratum with too few labelled documents
 certifies nothing, and nothing is rejected there beyond the base rules.
 
-Strata are the named languages plus one for all other values and null, so the
-table of cutoffs has ``len(LANGUAGES) + 1`` rows whatever the data hold.
+Strata are the languages, each with its own guarantee; S counts those among the
+labelled documents that pass the base rules, and always ``other``.  A language without labels of its
+own, or with too few, has no cutoff, so the table of cutoffs has a row for some
+hundreds of labelled documents at most.
 
 Defined cases: a null or empty text has no words and fails the base rules;
 a null ``lang`` belongs to the stratum ``other``; a label row with a null
@@ -41,7 +43,6 @@ from pyspark.sql import functions as F
 from .scratch import written
 from .text import SPACES, indices, let, once, whole, words
 
-LANGUAGES = ("en", "de", "fr", "es")
 ALPHA, DELTA = 0.05, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 NOT_SYMBOLS, NOT_SPACE = r"[^#*$%&|<>]+", r"[^\x20\x09-\x0D]"
@@ -98,7 +99,7 @@ def measures(text: Column) -> Column:
 
 
 def stratum(lang: Column) -> Column:
-    return F.when(lang.isin(*LANGUAGES), lang).otherwise(F.lit("other"))
+    return F.coalesce(lang, F.lit("other"))
 
 
 def base_failed(m: Column) -> Column:
@@ -128,11 +129,10 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum: the chosen cutoff of each rule, null where none is certified.
+    """One row per stratum with a certified cutoff: the chosen cutoff of each rule, null where none is certified.
 
     ``measured`` has ``doc_id``, ``stratum`` and the struct ``m`` of :func:`measures`.
     """
-    level = delta / ((len(LANGUAGES) + 1) * len(RULES))
     marks = (labels.where("doc_id is not null and quality is not null")
              .groupBy("doc_id").agg((F.max("quality") == 1).alias("good")))
     held = measured.where(~base_failed(F.col("m"))).join(marks, "doc_id")
@@ -142,7 +142,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
             hit = _reaches(_measure(F.col("m"), measure), side, F.lit(cut))
             counted.append(F.sum((hit & F.col("good")).cast("long")).alias(f"{rule}_{i}_good"))
             counted.append(F.sum((hit & ~F.col("good")).cast("long")).alias(f"{rule}_{i}_bad"))
-    counts = held.groupBy("stratum").agg(*counted)
+    counts = written(held.groupBy("stratum").agg(*counted), "quality-counts")
+    level = delta / ((counts.where("stratum != 'other'").count() + 1) * len(RULES))
 
     chosen = []
     for rule, (_, _, grid) in RULES.items():
@@ -156,7 +157,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
         passed = F.filter(tests, lambda x: (x["p"] <= level) & (x["gain"] > 0))
         best = F.array_max(F.transform(passed, lambda x: F.struct(x["gain"], x["rank"], x["cut"])))
         chosen.append(best["cut"].alias(rule))
-    return counts.select("stratum", *chosen)
+    return counts.select("stratum", *chosen).where(F.coalesce(*RULES).isNotNull())
 
 
 def _rejected(m: Column, cuts: Column) -> Column:
@@ -170,7 +171,7 @@ def _rejected(m: Column, cuts: Column) -> Column:
 def judged(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``measured`` with the boolean columns ``base_failed`` and ``kept``.
 
-    The cutoffs are broadcast: they have at most ``len(LANGUAGES) + 1`` rows.
+    The cutoffs are broadcast: each row stands for hundreds of labelled documents.
     """
     cuts = cutoffs(measured, labels, alpha, delta).select(
         F.col("stratum").alias("_stratum"), F.struct(*RULES).alias("_cuts"))

@@ -77,3 +77,14 @@ def test_stage_keeps_columns_and_agrees_with_the_verdicts(spark):
     kept = [r["doc_id"] for r in Q.quality_rules(docs, good).collect() if r["kept"]]
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted(kept, key=repr)
     assert Q.keep_good(docs.limit(0), good).count() == 0
+
+
+def test_every_language_certifies_its_own_cutoffs(spark):
+    rows, labels = corpus(900)
+    small = [(10_000 + i, rows[0][1], "it", 1) for i in range(60)]    # good, though marked like the bad ones
+    docs = [(i, t, "pt", n) for i, t, _, n in rows] + small
+    good = labels + [(r[0], 1, 0) for r in small]
+    kept = {r["doc_id"]: (r["kept"], r["stratum"]) for r in Q.quality_rules(
+        spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(good, LABELS)).collect()}
+    assert all(kept[i] == (i % 6 != 0, "pt") for i in range(900))
+    assert all(kept[r[0]] == (True, "it") for r in small)
