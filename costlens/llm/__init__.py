@@ -1,5 +1,5 @@
 """Operators for preparing large text corpora (training data) on Spark.
 
-Ten operators, one module each, plus shared helpers (``text``, ``scratch``,
+One module per operator, plus shared helpers (``text``, ``scratch``,
 ``components``).  Nothing outside this package imports it.
 """

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, bwt_dedup, chat_pairs, decontam, pii, quality_rules, secret_scan, simhash_vptree, template, warc
+from . import (bpe, bwt_dedup, chat_pairs, decontam, pii, quality_rules, secret_scan, simhash_vptree, template,
+               token_counts, warc)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +74,10 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -84,5 +90,6 @@ def queries() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_secret_scan": op9_secret_scan,
         "op10_warc_bundles": op10_warc_bundles,
+        "op11_token_counts": op11_token_counts,
         "pipeline": corpus_pipeline.run,
     }
