@@ -90,5 +90,47 @@ FROM k
 """
 
 
+OP12 = """
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.uid AS auid, a.vec_id AS anchor_id, a.label = b.label AS same, b.uid, b.vec_id,
+             list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+      FROM v a JOIN v b ON a.uid <> b.uid WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY auid ORDER BY score DESC, vec_id, uid) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.auid, p.uid ORDER BY s.score DESC, s.vec_id, s.uid)::INT AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.auid = p.auid AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM g, (VALUES (1), (2), (3), (4), (5)) AS ks(k) WHERE i + k - 1 <= len(w))
+      GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k >= 2 AND f >= 100),
+o AS (SELECT lang, phrase, max(a) AS a FROM (
+        SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, a FROM c, (VALUES (2), (3), (4)) AS ms(m), (VALUES (1), (2), (3), (4)) AS xs(i)
+        WHERE m < k AND i + m - 1 <= k) GROUP BY ALL),
+u AS (SELECT lang, phrase, ws, a, unnest(range(1, k)) AS cut FROM c),
+x AS (SELECT u.lang, u.phrase, u.a, l.f AS l, r.f AS r, n.n,
+             ((1000::HUGEINT * u.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM u JOIN n USING (lang) JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(ws[:cut], ' ')
+        JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')
+      QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, cut) = 1),
+y AS (SELECT x.* FROM x LEFT JOIN o USING (lang, phrase) WHERE o.a IS NULL OR o.a < x.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM y QUALIFY rank <= 2000
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op2_chat_pairs": OP2, "op6_decontamination": OP6, "op10_warc_bundles": OP10}
+    return {"op1_quality_rules": OP1, "op2_chat_pairs": OP2, "op6_decontamination": OP6, "op10_warc_bundles": OP10,
+            "op12_hard_negatives": OP12, "op13_collocations": OP13}

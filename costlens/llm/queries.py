@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (bpe, bwt_dedup, chat_pairs, decontam, pii, quality_rules, secret_scan, simhash_vptree, template,
-               token_counts, warc)
+from . import (bpe, bwt_dedup, chat_pairs, collocations, decontam, hard_negatives, pii, quality_rules, secret_scan,
+               simhash_vptree, template, token_counts, warc)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -78,6 +78,15 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", wrong), F.col("vec_id") % 50 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -91,5 +100,7 @@ def queries() -> dict[str, Query]:
         "op9_secret_scan": op9_secret_scan,
         "op10_warc_bundles": op10_warc_bundles,
         "op11_token_counts": op11_token_counts,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
