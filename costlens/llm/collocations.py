@@ -47,8 +47,8 @@ from .scratch import importable, written
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Words counted at once in a task, rows of a sorted block, rows of an Arrow batch sent on.
 HELD, BLOCK, SENT = 1_500_000, 200_000, 20_000
-#: Texts and grams that the range bounds come from, and the bytes of a bound.
-SAMPLE_TEXTS, SAMPLE, BOUND = 2_000, 20_000, 96
+#: Texts and grams that the range bounds come from, tasks that count the sample, and the bytes of a bound.
+SAMPLE_TEXTS, SAMPLE, SAMPLE_TASKS, BOUND = 2_000, 10_000, 4, 96
 UNKNOWN = "und"
 #: A byte that UTF-8 never uses stands for the end of a piece.
 END = b"\xff"
@@ -143,7 +143,7 @@ def _bounds(texts: DataFrame, longest: int, partitions: int) -> list[bytes]:
     """Range bounds from a bounded sample of grams of a bounded sample of texts."""
     share = SAMPLE_TEXTS / max(1, texts.count())
     sample = texts if share >= 1 else texts.sample(share, seed=7)
-    some = (sample.mapInArrow(_counted(longest, HELD, []), "gram string, n bigint, bucket int")
+    some = (sample.repartition(SAMPLE_TASKS).mapInArrow(_counted(longest, HELD, []), "gram string, n bigint, bucket int")
             .select(F.col("gram").cast("binary").substr(1, BOUND).alias("gram"), F.xxhash64("gram").alias("h")).orderBy("h").limit(SAMPLE))
     grams = sorted(bytes(r["gram"]) for r in some.collect())
     return sorted({grams[i * len(grams) // partitions] for i in range(1, partitions)}) if grams else []
