@@ -43,7 +43,9 @@ from pyspark.sql import DataFrame
 from .scratch import importable
 
 #: Characters after which a text is split at the next safe boundary; bytes of one call of the library.
-LONG, BATCH_BYTES = 65_536, 1 << 20
+LONG, BATCH_BYTES = 4_096, 1 << 17
+#: Calls whose texts are held as Python strings at once.
+HELD_CALLS = 64
 LIMIT = 1024
 
 BEFORE_SPACE = re.compile(r"(?<=[A-Za-z0-9])(?= )|(?<=[ぁ-ゖァ-ヺ一-龥])(?=[、。！，？])")
@@ -147,7 +149,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, long: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, texts = counter(kind, content), batch.column(1)
-            for start, end in _held(texts, 16 * batch_bytes):
+            for start, end in _held(texts, HELD_CALLS * batch_bytes):
                 part = texts.slice(start, end - start)
                 tokens = pa.array(made.counts([t or "" for t in part.to_pylist()], long, batch_bytes), pa.int64())
                 n_bytes = pc.fill_null(pc.binary_length(part), 0).cast(pa.int64())
