@@ -26,7 +26,7 @@ from costlens.config import DEFAULT_CONFIG, ReportConfig
 from costlens.operators.facts import GRAIN, MEASURE_COLS, log_facts, sum_measures
 from costlens.periods import day_range
 from costlens.sources.load import first_copies
-from costlens.streaming.store import Store, publish_days
+from costlens.streaming.store import Store, mark_complete, publish_days
 
 LATENESS = timedelta(days=1)
 COUNTED = ("request_id", "startTime", "api_key", "model", "spend", "total_tokens", "prompt_tokens",
@@ -54,7 +54,7 @@ def _days(lo: date, hi: date) -> list[date]:
 def reconcile_days(spark: SparkSession, store: Store, logs: DataFrame, keys: DataFrame,
                    lo: date, hi: date, cfg: ReportConfig = DEFAULT_CONFIG,
                    lateness: timedelta = LATENESS) -> None:
-    publish_days(spark, store, recompute(logs, lo, hi, cfg, lateness), _days(lo, hi), keys, cfg)
+    publish_days(spark, store, recompute(logs, lo, hi, cfg, lateness), _days(lo, hi), keys, cfg, complete=True)
 
 
 def mismatched_days(spark: SparkSession, store: Store, logs: DataFrame, lo: date, hi: date,
@@ -72,8 +72,12 @@ def mismatched_days(spark: SparkSession, store: Store, logs: DataFrame, lo: date
 def reconcile_mismatched(spark: SparkSession, store: Store, logs: DataFrame, keys: DataFrame,
                          lo: date, hi: date, cfg: ReportConfig = DEFAULT_CONFIG,
                          lateness: timedelta = LATENESS) -> int:
-    """Rewrite only the days that differ (at most those of the look-back range); returns how many."""
+    """Rewrite only the days that differ (at most those of the look-back range); returns how many.
+
+    After that all days of the range are complete.
+    """
     bad = [r["day"] for r in mismatched_days(spark, store, logs, lo, hi, cfg, lateness).collect()]
     if bad:
         publish_days(spark, store, recompute(logs, min(bad), max(bad), cfg, lateness), bad, keys, cfg)
+    mark_complete(spark, store, _days(lo, hi))
     return len(bad)

@@ -1,35 +1,48 @@
 """T1 + T4: streaming daily rollup with at-most-once counting per request_id.
 
-readStream (Parquet landing folder, declared schema) -> event time as a
-``timestamp`` instant (watermarks reject timestamp_ntz) -> watermark ->
-``dropDuplicatesWithinWatermark(request_id)`` -> tumbling 1-day window x
-api_key x raw model -> update mode: every micro-batch gives the new totals of
-the groups it changed, days still open included -> ``foreachBatch`` replaces
-these groups in the rollup and refreshes the alerts (``store.publish_groups``),
-idempotently.  Today's figures and a budget crossing therefore show after the
-next batch.  The key table is read anew in every batch.
+readStream (Parquet landing folder, declared schema) -> rows dated ahead of
+their arrival to quarantine (``admission.py``) -> copies of one request id
+collapsed inside each task -> event time as a ``timestamp`` instant (watermarks
+reject timestamp_ntz) -> watermark -> ``dropDuplicatesWithinWatermark(request_id)``
+-> tumbling 1-day window x api_key x raw model -> update mode: every micro-batch
+gives the new totals of the groups it changed, days still open included ->
+``foreachBatch`` swaps in the next version of rollup and alerts with these
+groups replaced (``store.publish_groups``); a batch that is published already is
+skipped.  Today's figures and a budget crossing therefore show after the next
+batch.  The key table is read anew in every batch.
 
 State (ids of one lateness span, totals of the open days) is kept in RocksDB,
 set on a session of the stream's own.  Rows dropped as too late are handled by
 the reconcile job (``reconcile.py``).  ``run_once`` processes what has landed
-and stops (tests, scheduled jobs); ``start`` keeps one query running with a
+and stops (tests, scheduled jobs); ``start`` keeps the queries running with a
 processing-time trigger.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import date, datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from costlens.config import DEFAULT_CONFIG, ReportConfig
+from costlens.files import Files
 from costlens.functions.time import event_instant, instant_utc_day
 from costlens.operators.facts import sum_measures
 from costlens.schemas import SPEND_LOGS_SCHEMA
+from costlens.streaming import admission
 from costlens.streaming.store import Keys, Store, publish_groups
 
+#: Repeated request ids that a task remembers at a time.
+REMEMBERED = 50_000
+
 
 def stream_measures(logs: DataFrame, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
     return logs.select(
@@ -47,9 +60,43 @@ def stream_measures(logs: DataFrame, cfg: ReportConfig = DEFAULT_CONFIG) -> Data
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def collapsed(rows: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    """T4, first level: of the copies of a request id in a task the latest, before any shuffle.
+
+    A streaming aggregate has no map-side step for de-duplication: all copies
+    of an id would go to the one state task of its hash.  Here a storm of copies
+    stays in the tasks that read it, and each of these sends on about one row.
+    An Arrow batch keeps an id's latest row; ids that were repeated are
+    remembered, and later copies pass only if they are dated later still.  (The
+    latest copy is the one that is not behind the watermark if any is not.)
+    ``remembered`` bounds the memory; what is forgotten the keyed state drops.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, int] = {}
+        for batch in batches:
+            ids = batch.column(0).dictionary_encode(null_encoding="encode")
+            code = ids.indices.to_numpy(zero_copy_only=False)
+            time = batch.column(3).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            order = np.lexsort((-np.arange(len(code)), time, code))
+            last = np.flatnonzero(np.append(code[order][1:] != code[order][:-1], len(code) > 0))
+            kept, copies = order[last], np.diff(np.append(-1, last))
+            old = pc.is_in(ids.dictionary, value_set=pa.array(list(known), ids.dictionary.type)).to_numpy(zero_copy_only=False)
+            seen = (old[code[kept]] | (copies > 1)) if len(kept) else np.zeros(0, bool)
+            drop = np.zeros(len(kept), bool)
+            for i in np.flatnonzero(seen):
+                name = ids.dictionary[int(code[kept[i]])].as_py()
+                drop[i] = known.get(name, -(1 << 63)) >= time[kept[i]]
+                known[name] = max(known.get(name, -(1 << 63)), int(time[kept[i]]))
+            if len(known) > remembered:
+                known = {}
+            yield batch.take(pa.array(np.sort(kept[~drop])))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def day_groups(stream: DataFrame, lateness: str, cfg: ReportConfig = DEFAULT_CONFIG) -> DataFrame:
-    """The streaming plan: dedupe within the watermark, then daily windows."""
-    m = stream_measures(stream, cfg)
+    """The streaming plan: dedupe in tasks, then within the watermark, then daily windows."""
+    m = collapsed(stream_measures(stream, cfg))
     deduped = m.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["request_id"])
     agg = deduped.groupBy(F.window("event_time", "1 day").alias("w"), "api_key", "model") \
         .agg(*sum_measures())
@@ -66,23 +113,41 @@ def stream_session(spark: SparkSession, state_partitions: int | None = None) ->
     return own
 
 
-def _writer(spark: SparkSession, landing: str, store: Store, checkpoint: str, keys: Keys,
-            lateness: str, cfg: ReportConfig, state_partitions: int | None):
+@dataclass(frozen=True)
+class Input:
+    """Where the stream reads, and what it admits."""
+
+    landing: str
+    lateness: str = "1 day"
+    tolerance: str = admission.TOLERANCE
+    clock: datetime | None = None
+
+
+def _writers(spark: SparkSession, source: Input, store: Store, checkpoint: str, keys: Keys, cfg: ReportConfig,
+             state_partitions: int | None):
+    """The rollup query and the quarantine query."""
     own = stream_session(spark, state_partitions)
-    src = own.readStream.schema(SPEND_LOGS_SCHEMA).parquet(landing)
+
+    def landed() -> DataFrame:
+        return own.readStream.schema(SPEND_LOGS_SCHEMA).parquet(source.landing)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        publish_groups(batch.sparkSession, store, batch, keys(batch.sparkSession), cfg)
+        # The query's id is kept in its checkpoint: restarts go on counting, a new checkpoint is a new stream.
+        query = json.loads(Files(spark, checkpoint).text("metadata"))["id"]
+        publish_groups(batch.sparkSession, store, batch, keys(batch.sparkSession), cfg, (query, batch_id))
 
-    return (day_groups(src, lateness, cfg).writeStream
-            .outputMode("update")
-            .option("checkpointLocation", checkpoint)
-            .foreachBatch(publish))
+    rows = admission.admitted(landed(), source.tolerance, source.clock)
+    return ((day_groups(rows, source.lateness, cfg).writeStream
+             .outputMode("update")
+             .option("checkpointLocation", checkpoint)
+             .foreachBatch(publish)),
+            admission.quarantine_writer(landed(), store.root, checkpoint, source.tolerance, source.clock))
 
 
 def run_once(spark: SparkSession, landing: str, store: Store, checkpoint: str,
              keys: Keys, lateness: str = "1 day",
-             cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None) -> dict | None:
+             cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None,
+             tolerance: str = admission.TOLERANCE, clock: datetime | None = None) -> dict | None:
     """Process everything landed so far (``availableNow``) and stop.
 
     Returns the last progress report (it carries the event-time watermark).
@@ -91,21 +156,40 @@ def run_once(spark: SparkSession, landing: str, store: Store, checkpoint: str,
     operators get on the query's first start (later restarts keep the number
     recorded in the checkpoint); by default the caller's shuffle partitions.
     Size it to the state (request ids of one lateness span plus the open day
-    groups), not to the input.
+    groups), not to the input.  ``tolerance`` and ``clock`` are those of
+    ``admission.admitted``.
     """
-    q = _writer(spark, landing, store, checkpoint, keys, lateness, cfg, state_partitions) \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q.lastProgress
+    source = Input(landing, lateness, tolerance, clock)
+    queries = [w.trigger(availableNow=True).start() for w in _writers(spark, source, store, checkpoint, keys, cfg, state_partitions)]
+    for q in queries:
+        q.awaitTermination()
+    return queries[0].lastProgress
+
+
+@dataclass(frozen=True)
+class RollupStream:
+    """The two running queries."""
+
+    rollup: StreamingQuery
+    quarantine: StreamingQuery
+
+    def processAllAvailable(self) -> None:  # noqa: N802 - as on a StreamingQuery
+        self.rollup.processAllAvailable()
+        self.quarantine.processAllAvailable()
+
+    def stop(self) -> None:
+        self.rollup.stop()
+        self.quarantine.stop()
 
 
 def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, keys: Keys,
           lateness: str = "1 day", every: str = "5 minutes",
-          cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None) -> StreamingQuery:
+          cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None,
+          tolerance: str = admission.TOLERANCE) -> RollupStream:
     """The long-running form: one micro-batch every ``every`` (the client's
-    300 s refresh), same plan and checkpoint layout as ``run_once``."""
-    return _writer(spark, landing, store, checkpoint, keys, lateness, cfg, state_partitions) \
-        .trigger(processingTime=every).start()
+    300 s refresh), same plans and checkpoint layout as ``run_once``."""
+    writers = _writers(spark, Input(landing, lateness, tolerance), store, checkpoint, keys, cfg, state_partitions)
+    return RollupStream(*[w.trigger(processingTime=every).start() for w in writers])
 
 
 def watermark_day(progress: dict | None) -> date | None:

@@ -1,0 +1,125 @@
+"""Log table: loads open candidate files only, compaction restores key skipping, versions are whole."""
+
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from costlens import files as V
+from costlens.operators import breakdowns
+from costlens.session import work_dir
+from costlens.sources import log_table as L
+from costlens.sources.load import merged
+from costlens.sources.tables import Tables
+from costlens.sources.testdata import load_tables, replayed_batches
+from tests.conftest import AS_OF, SF0001, key_row, log_row, make_tables, rows, sha
+from tests.test_layout import _scanned
+
+
+def logs_of(spark, n, keys=40, day=lambda i: 1 + i % 3, name=lambda i: f"id-{i:06d}"):
+    made = [log_row(sha(f"sk-{i * 7 % keys}"), f"2024-01-{day(i):02d} 10:{i % 60:02d}:00", 0.5, request_id=name(i)) for i in range(n)]
+    return make_tables(spark, made, [key_row(sha("sk-7"))]).logs
+
+
+def test_loads_equal_the_plain_merge_and_repeat_safely(spark):
+    logs = load_tables(spark, SF0001).logs.where(F.col("startTime") >= F.lit("2024-01-13").cast("timestamp_ntz"))
+    existing, incoming = replayed_batches(logs.where(F.col("startTime") < F.lit("2024-01-20").cast("timestamp_ntz")), AS_OF)
+    table = L.LogTable(work_dir(spark, "t-table") + "/logs")
+    table.append(spark, existing)
+    for _ in range(2):
+        table.append(spark, incoming)
+    want = rows(merged(existing, incoming))
+    assert rows(table.read(spark).drop("day")) == want
+    assert len(V.versions(V.Files(spark, table.path))) == 2          # the second time there was nothing to add
+    table.compact(spark)
+    table.append(spark, incoming)
+    assert rows(table.read(spark).drop("day")) == want
+    t = Tables(table.read(spark), load_tables(spark, SF0001).keys)
+    assert rows(breakdowns.by_model(t, AS_OF, "week")) == rows(breakdowns.by_model(Tables(merged(existing, incoming), t.keys), AS_OF, "week"))
+
+
+def test_a_load_opens_only_files_that_may_hold_its_ids(spark):
+    table = L.LogTable(work_dir(spark, "t-cand") + "/logs", partitions=4)
+    whole = logs_of(spark, 1200, day=lambda i: 1 + i // 100)                 # ids follow time: 12 days, 100 ids each
+    table.append(spark, whole)
+    every = table.read(spark).inputFiles()
+    batch = whole.where(F.col("request_id").between("id-000300", "id-000309")).withColumn("day", F.to_date("startTime"))
+    opened = table.candidates(spark, table.runs(spark), batch.select("request_id", "day"))
+    assert opened and all("day=2024-01-04" in f for f in opened) and len(opened) < len(every) / 4
+    read = spark.read.parquet(*opened).select("request_id")
+    assert _scanned(read.groupBy("request_id").count()) <= 100
+    # ids inside every range that no file holds: the filters say so
+    absent = logs_of(spark, 20, name=lambda i: f"id-{i * 50:06d}x").withColumn("day", F.to_date("startTime"))
+    assert table.candidates(spark, table.runs(spark), absent.select("request_id", "day")) == []
+    # a stray old id among new ones opens its file, unless copies are known to lie close
+    stray = batch.limit(1).withColumn("day", F.lit(date(2024, 2, 1)))
+    assert len(table.candidates(spark, table.runs(spark), stray.select("request_id", "day"))) == 1
+    assert table.candidates(spark, table.runs(spark), stray.select("request_id", "day"), timedelta(days=1)) == []
+
+
+def test_every_stored_id_is_found_again(spark):
+    table = L.LogTable(work_dir(spark, "t-found") + "/logs", partitions=3)
+    some = logs_of(spark, 300, name=lambda i: sha(str(i)))                   # random ids
+    table.append(spark, some)
+    for i in (0, 17, 299):
+        one = some.where(F.col("request_id") == sha(str(i))).withColumn("day", F.to_date("startTime"))
+        opened = table.candidates(spark, table.runs(spark), one.select("request_id", "day"))
+        assert spark.read.parquet(*opened).where(F.col("request_id") == sha(str(i))).count() == 1
+
+
+def test_compaction_after_many_loads_reads_no_more_than_a_fresh_layout(spark):
+    whole = logs_of(spark, 2400, keys=60)
+    fresh = L.LogTable(work_dir(spark, "t-fresh") + "/logs", 4096, 12)
+    fresh.append(spark, whole)
+    table = L.LogTable(work_dir(spark, "t-many") + "/logs", 4096, 12)
+    for i in range(20):
+        L.LogTable(table.path, 4096, 1).append(spark, whole.where(F.pmod(F.xxhash64("request_id"), F.lit(20)) == i))
+
+    def month(t):
+        return t.read(spark).where(F.col("api_key") == sha("sk-7")).groupBy("api_key").agg(F.sum("spend").alias("s"), F.count("*").alias("n"))
+
+    spread = _scanned(month(table))
+    assert sorted(table.compact(spark)) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert rows(month(table)) == rows(month(fresh)) and rows(table.read(spark)) == rows(fresh.read(spark))
+    assert _scanned(month(table)) <= _scanned(month(fresh)) < spread
+    # only the day that a later load touches is rewritten
+    before = table.runs(spark)
+    L.LogTable(table.path, 4096, 1).append(spark, logs_of(spark, 30, keys=60, day=lambda i: 2, name=lambda i: f"new-{i}"))
+    assert table.compact(spark) == ["2024-01-02"] and table.compact(spark) == []
+    after = table.runs(spark)
+    assert {d for d in after if after[d] != before[d]} == {"2024-01-02"}
+    n = table.read(spark).count()
+    assert table.vacuum(spark, keep=1) > 0 and table.read(spark).count() == n == 2430
+
+
+def test_runs_of_other_keys_stay_and_a_few_runs_may_wait(spark):
+    table = L.LogTable(work_dir(spark, "t-keys") + "/logs", partitions=1)
+    made = sorted(sha(f"sk-{i}") for i in range(40))
+    for part in (made[:20], made[20:]):
+        table.append(spark, make_tables(spark, [log_row(k, "2024-01-02 10:00:00", 1.0) for k in part], []).logs)
+    assert table.overlapping(spark) == {} and table.compact(spark) == []
+    table.append(spark, make_tables(spark, [log_row(k, "2024-01-02 11:00:00", 1.0) for k in made[:5]], []).logs)
+    assert table.compact(spark, most=2) == []
+    assert len(table.overlapping(spark)["2024-01-02"]) == 2
+    assert table.compact(spark) == ["2024-01-02"] and len(table.runs(spark)["2024-01-02"]) == 2
+
+
+@pytest.mark.parametrize("dies", ["write.parquet", "commit"])
+def test_a_load_that_died_leaves_the_table_as_it_was(spark, monkeypatch, dies):
+    table = L.LogTable(work_dir(spark, "t-dead") + "/logs")
+    table.append(spark, logs_of(spark, 30))
+    with monkeypatch.context() as m:
+        def lost(*a, **b):
+            raise RuntimeError("lost")
+        m.setattr(V if dies == "commit" else L, "commit" if dies == "commit" else "_places", lost)
+        with pytest.raises(RuntimeError, match="lost"):
+            table.append(spark, logs_of(spark, 60))
+    assert table.read(spark).count() == 30
+    table.append(spark, logs_of(spark, 60))
+    assert table.read(spark).count() == 60 == table.read(spark).select("request_id").distinct().count()
+
+
+def test_empty_loads(spark):
+    table = L.LogTable(work_dir(spark, "t-none") + "/logs")
+    table.append(spark, logs_of(spark, 5).limit(0))
+    assert table.read(spark).count() == 0 and table.runs(spark) == {} and table.compact(spark) == []
