@@ -10,22 +10,26 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costlens.config import DEFAULT_CONFIG, FIXED_AS_OF
 from costlens.functions.models import all_keys_model, per_key_model
-from costlens.operators import admin, adhoc, auth, breakdowns, budgets, quality, reshape, texts
+from costlens.operators import (admin, adhoc, allocation, anomalies, auth, breakdowns, budgets, currencies, quality,
+                                reshape, texts, top)
 from costlens.functions import display
 from costlens.periods import Period, parse_period
 from costlens.schemas import SPEND_LOGS_SCHEMA
 from costlens.session import remove, work_dir
 from costlens.sources import load as idempotent
 from costlens.sources.layout import read_log_layout, write_log_layout
+from costlens.sources.log_table import LogTable
 from costlens.sources.sinks import nested, write_parquet
 from costlens.sources.tables import Tables
-from costlens.sources.testdata import faulty_tables, load_auth_attempts, load_tables, replayed_batches
+from costlens.sources.testdata import (faulty_tables, load_auth_attempts, load_rates, load_tables, misdated,
+                                       replayed_batches, spiked, with_teams)
 from costlens.streaming import bundle
+from costlens.streaming.admission import quarantined
 from costlens.streaming.feed import replay
 from costlens.streaming.reconcile import reconcile_mismatched
 from costlens.streaming.store import Store
@@ -42,6 +46,8 @@ CHUNK_DAYS = 10
 LATENESS = "1 day"
 CUSTOM_START = datetime(2024, 1, 10)
 PIVOT_MODELS = ["view", "click", "purchase"]
+CURRENCIES = ["USD", "GBP", "JPY", "CHF"]
+LOADS = 4
 
 
 def _tables_query(fn) -> Query:
@@ -107,12 +113,12 @@ def _key_auth(fn) -> Query:
 
 
 # ------------------------------------------------------------------- streaming
-def _run_stream(spark, sf_dir, late_first_chunk: bool) -> Store:
+def _run_stream(spark, sf_dir, late_first_chunk: bool, shape=lambda df: df) -> Store:
     t = load_tables(spark, sf_dir)
     work = work_dir(spark, "stream")
     store = Store(f"{work}/store")
     lo, hi, _ = replay(spark, t.logs, lambda s: load_tables(s, sf_dir).keys, store, work, CHUNK_DAYS, LATENESS,
-                       late_first_chunk)
+                       late_first_chunk, shape=shape)
     if lo is not None and late_first_chunk:
         reconcile_mismatched(spark, store, t.logs, t.keys, lo, hi)
     for used in ("landing", "checkpoint"):
@@ -135,6 +141,17 @@ def _stream_budget_alerts(spark, sf_dir):
     return _run_stream(spark, sf_dir, False).alerts(spark)
 
 
+def _stream_admission(spark, sf_dir):
+    """Some rows are dated years ahead: the rollup holds all the others."""
+    return _rollup_out(_run_stream(spark, sf_dir, False, misdated).rollup(spark))
+
+
+def _stream_quarantine(spark, sf_dir):
+    """The rows dated ahead, as they wait in quarantine."""
+    store = _run_stream(spark, sf_dir, False, misdated)
+    return quarantined(spark, store.root).select("request_id", "api_key", "model", "spend", "startTime")
+
+
 def _refresh_bundle(spark, sf_dir):
     return bundle.refresh(spark, load_tables(spark, sf_dir), AS_OF, Period.WEEK, work_dir(spark, "bundle"))
 
@@ -165,6 +182,50 @@ def _append_twice(spark, sf_dir):
     return spark.read.schema(SPEND_LOGS_SCHEMA).parquet(path)
 
 
+def _indexed_load(spark, sf_dir):
+    """S3: the loads of ``append_twice`` through the indexed log table."""
+    existing, incoming = replayed_batches(load_tables(spark, sf_dir).logs, AS_OF)
+    table = LogTable(work_dir(spark, "indexed") + "/logs")
+    for rows in (existing, incoming, incoming):
+        table.append(spark, rows)
+    return table.read(spark).drop("day")
+
+
+def _compacted_one_key_week(spark, sf_dir):
+    """Several loads that touch every day, merged, then one key's weekly report."""
+    t = load_tables(spark, sf_dir)
+    table = LogTable(work_dir(spark, "compacted") + "/logs")
+    for i in range(LOADS):
+        table.append(spark, t.logs.where(F.pmod(F.xxhash64("request_id"), F.lit(LOADS)) == i))
+    table.compact(spark)
+    return breakdowns.by_model(breakdowns.one_key(Tables(table.read(spark), t.keys), ONE_KEY), AS_OF, Period.WEEK)
+
+
+def _ordered_positions(t):
+    """The place of every row of the sorted reports (in its key's list for O3)."""
+    def placed(name: str, ordered: DataFrame, key, label) -> DataFrame:
+        at = ordered.select(key.alias("api_key"), label.alias("name"), "spend", F.monotonically_increasing_id().alias("at"))
+        return at.select(F.lit(name).alias("report"), "api_key",
+                         (F.row_number().over(Window.partitionBy("api_key").orderBy("at")) - 1).alias("pos"), "name", "spend")
+
+    alias, day = F.lit(ALIAS), F.date_format("date", "yyyy-MM-dd")
+    parts = [placed("days_asc", breakdowns.order_days_asc(breakdowns.daily(t, AS_OF, Period.MONTH)), F.col("api_key"), day),
+             placed("alias_by_date", adhoc.order_by_date(adhoc.alias_daily(t, AS_OF, ALIAS)), alias, day),
+             placed("alias_by_spend", adhoc.order_by_spend_desc(adhoc.alias_by_model(t, AS_OF, ALIAS)), alias, F.col("model"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _cost_allocation(spark, sf_dir):
+    t = with_teams(load_tables(spark, sf_dir))
+    out = allocation.cost_allocation(t, AS_OF, Period.MONTH, work_dir(spark, "allocation"))
+    shares = ("allocated", "user_allocated", "team_allocated")
+    return out.select("team", "user", "api_key", "spend", *[F.col(c).cast("double").alias(c) for c in shares])
+
+
+def _currencies(spark, sf_dir):
+    return currencies.spend_in_currencies(load_tables(spark, sf_dir), load_rates(spark, sf_dir), CURRENCIES, AS_OF)
+
+
 def registered_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "admin_key_day_model": _tables_query(lambda t: admin.key_day_model(t, AS_OF)),
@@ -224,4 +285,16 @@ def registered_queries() -> dict[str, Query]:
     q["stream_reconcile"] = _stream_rollup(True)
     q["stream_budget_alerts"] = _stream_budget_alerts
     q["refresh_bundle"] = _refresh_bundle
+    q["stream_admission"] = _stream_admission
+    q["stream_quarantine"] = _stream_quarantine
+    q["indexed_load"] = _indexed_load
+    q["compacted_one_key_week"] = _compacted_one_key_week
+    q["ordered_positions"] = _tables_query(_ordered_positions)
+    q["anomalies_month"] = _tables_query(lambda t: anomalies.anomalies(spiked(t), AS_OF))
+    q["anomalies_by_model"] = _tables_query(lambda t: anomalies.anomalies(spiked(t), AS_OF, by=["model"]))
+    q["top_spenders"] = _tables_query(lambda t: top.top_spenders(t, AS_OF))
+    q["top_by_model"] = _tables_query(lambda t: top.top_by_model(t, AS_OF))
+    q["team_totals"] = _tables_query(lambda t: allocation.team_totals(with_teams(t), AS_OF))
+    q["cost_allocation"] = _cost_allocation
+    q["spend_in_currencies"] = _currencies
     return q

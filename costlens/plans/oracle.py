@@ -553,6 +553,120 @@ def refresh_bundle() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+# ------------------------------------------------------------------- admission, new reports
+def stream_admission() -> str:
+    return stream_rollup().replace("FROM dl s GROUP BY", "FROM dl s WHERE s.request_id NOT LIKE '%13' GROUP BY")
+
+
+def stream_quarantine() -> str:
+    return _with() + """
+SELECT request_id, api_key, model, spend, "startTime" + INTERVAL 20 YEAR AS "startTime" FROM spend_logs WHERE request_id LIKE '%13'"""
+
+
+def ordered_positions() -> str:
+    day = "strftime(\"date\", '%Y-%m-%d')"
+    parts = [("days_asc", "api_key", day, daily(Period.MONTH), "PARTITION BY api_key ORDER BY \"date\""),
+             ("alias_by_date", "'engineering'", day, alias_daily(), "ORDER BY \"date\""),
+             ("alias_by_spend", "'engineering'", "model", alias_by_model(), "ORDER BY spend DESC, model")]
+    return "\nUNION ALL\n".join(f"""SELECT '{name}' AS report, {key} AS api_key,
+  CAST(row_number() OVER ({order}) - 1 AS INTEGER) AS pos, {label} AS name, spend FROM ({sub}) r""" for name, key, label, sub, order in parts)
+
+
+def _anomalies(by: str) -> str:
+    return _with(f"""spiked AS (
+  SELECT api_key, model, CAST("startTime" AS DATE) AS day,
+         CASE WHEN day("startTime") % 6 = 0 THEN 0.0 WHEN request_id LIKE '%77' THEN s.spend * 200 ELSE s.spend END AS spend
+  FROM spend_logs s WHERE {_range("month")})""", f"""sums AS (
+  SELECT {by}, day, CAST(CAST(SUM(CAST(CAST(spend AS VARCHAR) AS DECIMAL(28,18))) AS VARCHAR) AS DOUBLE) AS spend
+  FROM spiked GROUP BY 1, 2)""", f"""cal AS (
+  SELECT {by}, CAST(unnest(generate_series(min(day), DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day FROM sums GROUP BY 1)""",
+                 f"""filled AS (
+  SELECT c.{by}, c.day, COALESCE(s.spend, 0.0) AS spend
+  FROM cal c LEFT JOIN sums s ON s.{by} IS NOT DISTINCT FROM c.{by} AND s.day = c.day)""", f"""past AS (
+  SELECT {by}, day, spend, list(spend) OVER (PARTITION BY {by} ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS h
+  FROM filled)""", f"""med AS (
+  SELECT {by}, day, spend, h, list_sort(h)[4] AS expected FROM past WHERE len(h) = 7)""", f"""sp AS (
+  SELECT *, greatest(1.4826::DOUBLE * list_sort(list_transform(h, lambda x: abs(x - expected)))[4], 0.1::DOUBLE * expected, 1.0::DOUBLE)
+            AS spread FROM med)""") + f"""
+SELECT {by}, day, spend, expected, spread, (spend - expected) / spread AS deviation,
+       CASE WHEN spend > expected THEN 'spike' ELSE 'drop' END AS direction
+FROM sp WHERE abs((spend - expected) / spread) >= 4.0"""
+
+
+EXACT_SUM = 'SUM(CAST(CAST(s.spend AS VARCHAR) AS DECIMAL(28,18)))'
+
+
+def top_spenders() -> str:
+    return _with(f"""sums AS (
+  SELECT s.api_key, {EXACT_SUM} AS x FROM spend_logs s WHERE {_range("month")} GROUP BY 1 HAVING x <> 0)""") + """
+SELECT CAST(row_number() OVER (ORDER BY x DESC, api_key) AS INTEGER) AS rank, api_key, key_alias,
+       CAST(CAST(x AS VARCHAR) AS DOUBLE) AS spend
+FROM sums LEFT JOIN virtual_keys k ON k.token = api_key QUALIFY rank <= 20"""
+
+
+def top_by_model() -> str:
+    return _with(f"""sums AS (
+  SELECT {ALL_KEYS_MODEL} AS model, s.api_key, {EXACT_SUM} AS x FROM spend_logs s
+  WHERE {_range("month")} AND s.model IS NOT NULL AND s.model <> '' GROUP BY 1, 2 HAVING x <> 0)""") + """
+SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY x DESC, api_key) AS INTEGER) AS rank, api_key,
+       CAST(CAST(x AS VARCHAR) AS DOUBLE) AS spend
+FROM sums QUALIFY rank <= 3"""
+
+
+OWNED = ("""owners AS (
+  SELECT token, CASE WHEN substr(token, 1, 1) = '0' THEN 'unassigned' ELSE 'team-' || CAST(COALESCE(TRY_CAST(
+           regexp_extract(key_alias, '(\\d+)$', 1) AS INTEGER), length(COALESCE(user_id, ''))) % 17 AS VARCHAR) END AS team,
+         COALESCE(NULLIF(user_id, ''), 'unassigned') AS "user" FROM virtual_keys)""", f"""used AS (
+  SELECT COALESCE(o.team, 'unassigned') AS team, COALESCE(o."user", 'unassigned') AS "user", s.api_key, s.spend, s.request_id,
+         s.total_tokens FROM spend_logs s LEFT JOIN owners o ON o.token = s.api_key WHERE {_range("month")})""")
+
+
+def team_totals() -> str:
+    return _with(*OWNED) + f"""
+SELECT team, COUNT(DISTINCT "user") AS users, COUNT(DISTINCT api_key) AS keys, {MONEY} AS spend,
+       COUNT(request_id) AS requests, CAST(SUM(total_tokens) AS BIGINT) AS tokens
+FROM used s GROUP BY team"""
+
+
+def cost_allocation() -> str:
+    def level(name: str, group: str, whole: str) -> str:
+        cols = f"{group}, {name}" if group else name
+        on = " AND ".join(f"p.{c} = w.{c}" for c in group.split(", ")) if group else "true"
+        over = f"PARTITION BY {', '.join('p.' + c for c in group.split(', '))}" if group else ""
+        picked = ", ".join(f"p.{c}" for c in cols.split(", "))
+        return f"""{name.strip('"')}_share AS (
+  SELECT {cols}, base + CASE WHEN row_number() OVER ({over.replace('p.', '')} ORDER BY rest DESC, {name}) <= whole - SUM(base) OVER ({over.replace('p.', '')})
+         THEN 1 ELSE 0 END AS amount
+  FROM (SELECT {picked}, whole, (whole * weight) // greatest(total, 1) AS base, (whole * weight) % greatest(total, 1) AS rest
+        FROM (SELECT {picked}, w.amount::HUGEINT AS whole, p.weight,
+                     SUM(p.weight) OVER ({over})::HUGEINT AS total
+              FROM (SELECT {cols}, SUM(weight)::HUGEINT AS weight FROM k GROUP BY ALL) p JOIN {whole} w ON {on}) p) p)"""
+
+    return _with(*OWNED, f"""k AS (
+  SELECT team, "user", api_key, {EXACT_SUM} AS x, CAST(round({EXACT_SUM}, 8) * 100000000 AS HUGEINT) AS weight
+  FROM used s GROUP BY ALL)""", """book AS (SELECT CAST(round(SUM(x), 2) * 100 AS HUGEINT) AS amount FROM k)""",
+                 level("team", "", "book"), level('"user"', "team", "team_share"),
+                 level("api_key", 'team, "user"', "user_share")) + """
+SELECT k.team, k."user", k.api_key, CAST(CAST(k.x AS VARCHAR) AS DOUBLE) AS spend, CAST(a.amount AS DOUBLE) / 100 AS allocated,
+       CAST(u.amount AS DOUBLE) / 100 AS user_allocated, CAST(t.amount AS DOUBLE) / 100 AS team_allocated
+FROM k JOIN api_key_share a USING (team, "user", api_key) JOIN user_share u ON u.team = k.team AND u."user" = k."user"
+  JOIN team_share t ON t.team = k.team"""
+
+
+def spend_in_currencies() -> str:
+    return _with("""per_day AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1)""", """rates AS (
+  SELECT currency, day, CAST((500 + n % 1000) / 1000.0 AS DECIMAL(12,6)) AS rate
+  FROM per_day, (VALUES ('USD'), ('GBP'), ('JPY')) c(currency)
+  WHERE CASE currency WHEN 'USD' THEN day(day) % 3 = 1 WHEN 'GBP' THEN day(day) % 5 = 2 ELSE day(day) >= 9 AND day(day) % 2 = 1 END)""",
+                 f"""daily AS (
+  SELECT s.api_key, CAST(s."startTime" AS DATE) AS day, CAST({EXACT_SUM} AS DECIMAL(20,8)) AS spend
+  FROM spend_logs s WHERE {_range("month")} GROUP BY 1, 2)""", """asked AS (
+  SELECT * FROM daily, (VALUES ('USD'), ('GBP'), ('JPY'), ('CHF')) c(currency))""") + """
+SELECT a.api_key, a.currency, CAST(CAST(SUM(a.spend * r.rate) AS VARCHAR) AS DOUBLE) AS converted,
+       CAST(CAST(SUM(CASE WHEN r.rate IS NULL THEN a.spend ELSE 0 END) AS VARCHAR) AS DOUBLE) AS without_rate
+FROM asked a ASOF LEFT JOIN rates r ON r.currency = a.currency AND r.day <= a.day GROUP BY 1, 2"""
+
+
 def oracle_queries() -> dict[str, str]:
     q = {"admin_key_day_model": admin_key_day_model()}
     for p in Period:
@@ -598,5 +712,17 @@ def oracle_queries() -> dict[str, str]:
         "refresh_bundle": refresh_bundle(),
         "admin_custom_range": admin_key_day_model("from_10th"),
         "layout_one_key_week": by_model(Period.WEEK, ONE_KEY_HASH),
+        "stream_admission": stream_admission(),
+        "stream_quarantine": stream_quarantine(),
+        "indexed_load": idempotent_load(),
+        "compacted_one_key_week": by_model(Period.WEEK, ONE_KEY_HASH),
+        "ordered_positions": ordered_positions(),
+        "anomalies_month": _anomalies("api_key"),
+        "anomalies_by_model": _anomalies("model"),
+        "top_spenders": top_spenders(),
+        "top_by_model": top_by_model(),
+        "team_totals": team_totals(),
+        "cost_allocation": cost_allocation(),
+        "spend_in_currencies": spend_in_currencies(),
     })
     return q

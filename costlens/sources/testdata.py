@@ -131,6 +131,41 @@ def faulty_tables(t: Tables) -> Tables:
                   t.keys.unionByName(t.keys.where(F.col("token").startswith("0"))))
 
 
+def with_teams(t: Tables) -> Tables:
+    """Keys of 17 teams; every ninth key has none."""
+    n = F.coalesce(F.regexp_extract("key_alias", r"(\d+)$", 1).try_cast("int"), F.length(F.coalesce("user_id", F.lit("")))) % 17
+    team = F.when(F.substring("token", 1, 1) == "0", F.lit(None)).otherwise(F.concat(F.lit("team-"), n.cast("string")))
+    return Tables(t.logs, t.keys.withColumn("team_id", team))
+
+
+def spiked(t: Tables) -> Tables:
+    """Spend two hundred times as high in requests whose number ends in 77, and none on every sixth day."""
+    spend = (F.when(F.dayofmonth("startTime") % 6 == 0, F.lit(0.0))
+             .when(F.col("request_id").endswith("77"), F.col("spend") * 200).otherwise(F.col("spend")))
+    return Tables(t.logs.withColumn("spend", spend), t.keys)
+
+
+def load_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(currency, day, rate)``: dated rates made from each day's number of events.
+
+    USD on days 1, 4, 7.., GBP on days 2, 7, 12.., JPY from the ninth day on.
+    """
+    per_day = _read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    rate = ((F.lit(500) + F.col("n") % 1000).cast("decimal(12,6)") / F.lit(1000)).cast("decimal(12,6)")
+    d = F.dayofmonth("day")
+    given = [(d % 3 == 1, "USD"), (d % 5 == 2, "GBP"), ((d >= 9) & (d % 2 == 1), "JPY")]
+    named = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in given])))
+    return per_day.select(named.alias("currency"), "day", rate.alias("rate"))
+
+
+def misdated(logs: DataFrame) -> DataFrame:
+    """Requests whose number ends in 13 dated twenty years ahead, as by a wrong clock."""
+    def moved(c: str):
+        return F.when(F.col("request_id").endswith("13"), F.col(c) + F.expr("INTERVAL 20 YEARS")).otherwise(F.col(c))
+
+    return logs.withColumns({c: moved(c) for c in ("startTime", "endTime")})
+
+
 def load_auth_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auth_attempts_from_events(_read(spark, sf_dir, "events"))
 

@@ -10,6 +10,7 @@ the watermark.  Landing only copies rows; all the work is in the stream.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +38,18 @@ def chunks(lo: date, hi: date, chunk_days: int) -> list[tuple[date, date]]:
     return out
 
 
-def land(logs: DataFrame, landing: str, lo: date, hi: date) -> None:
+def land(logs: DataFrame, landing: str, lo: date, hi: date, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Copy the days' rows to the landing folder; ``shape`` changes them on the way."""
     st = F.col("startTime")
     part = logs.where((st >= ntz_literal(datetime.combine(lo, time(0))))
                       & (st < ntz_literal(datetime.combine(hi + timedelta(days=1), time(0)))))
-    part.write.mode("append").parquet(landing)
+    shape(part).write.mode("append").parquet(landing)
 
 
 def replay(spark: SparkSession, logs: DataFrame, keys: Keys, store: Store, work: str,
            chunk_days: int = 6, lateness: str = "1 day", late_first_chunk: bool = False,
-           cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None):
+           cfg: ReportConfig = DEFAULT_CONFIG, state_partitions: int | None = None,
+           shape: Callable[[DataFrame], DataFrame] = lambda df: df):
     """Land the log chunk by chunk, running the stream after each; returns
     (first day, last day, last progress)."""
     bounds = day_bounds(logs)
@@ -57,7 +60,7 @@ def replay(spark: SparkSession, logs: DataFrame, keys: Keys, store: Store, work:
         parts = parts[1:] + parts[:1]
     progress = None
     for lo, hi in parts:
-        land(logs, f"{work}/landing", lo, hi)
+        land(logs, f"{work}/landing", lo, hi, shape)
         progress = run_once(spark, f"{work}/landing", store, f"{work}/checkpoint", keys,
                             lateness, cfg, state_partitions) or progress
     return bounds[0], bounds[1], progress
