@@ -9,7 +9,8 @@ else too, in any text.  Four steps, all over whole texts:
    inside the runs of one key; a key with a single run holds no repeat (two
    equal windows of one text differ in where that string lies, hence in run).
 2. *Segments.*  The bytes of a run that may hold repeats, at most
-   ``2 * LENGTH``; equal segments become one segment with a weight.
+   ``2 * LENGTH``; equal segments become one segment with a weight.  If a key
+   has one segment only, all its windows repeat and nothing is left to find.
 3. *Shard transforms and their merge*, for each bucket of keys.  The segments
    of a bucket are dealt into shards of ``SHARD`` bytes; each gets its own
    suffix order and Burrows-Wheeler transform.  The transforms are merged as
@@ -19,8 +20,9 @@ else too, in any text.  Four steps, all over whole texts:
    from round to round (the permutation is composed with itself), and only
    blocks that still have several members are touched.  A boundary that
    appears in a round tells the common prefix there; blocks that still hold
-   two or more windows at ``LENGTH`` symbols are the repeated intervals.  No
-   suffix is sorted again.
+   two or more windows at ``LENGTH`` symbols are the repeated intervals.  The
+   shards' orders are merged, never sorted again: a round is a stable merge of
+   one ascending run per block and shard.
 4. *Removal.*  Repeated windows are united to byte ranges per text.
 
 A key whose segments exceed ``LARGE`` bytes is dealt into chunks and every pair
@@ -138,18 +140,19 @@ def _starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32)
 
 
-def _refine(rank: np.ndarray, other: np.ndarray, active: np.ndarray) -> np.ndarray:
+def _refine(rank: np.ndarray, other: np.ndarray, active: np.ndarray, kind: str = "quicksort") -> np.ndarray:
     """Split equal ranks among ``active`` by their ``other``; the members of blocks that stay larger than one.
 
     A rank is the number of elements before its block, so blocks keep their
-    room and splitting one touches no other.
+    room and splitting one touches no other.  ``stable`` merges what is in
+    order already (see :func:`merged_blocks`).
     """
     if not len(active):
         return active
     key = rank[active].astype(np.uint64)
     key <<= np.uint64(32)
     key |= other.astype(np.uint64)
-    order = np.argsort(key)
+    order = np.argsort(key, kind=kind)
     key, active = key[order], active[order]
     start = _starts(key)
     size = np.diff(start, append=np.int32(len(key)))
@@ -160,9 +163,9 @@ def _refine(rank: np.ndarray, other: np.ndarray, active: np.ndarray) -> np.ndarr
     return active[np.repeat(size > 1, size)]
 
 
-def _blocks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(key: np.ndarray, kind: str = "quicksort") -> tuple[np.ndarray, np.ndarray]:
     """Ranks of the keys and the members of blocks larger than one."""
-    order = np.argsort(key).astype(np.int32)
+    order = np.argsort(key, kind=kind).astype(np.int32)
     start = _starts(key[order])
     size = np.diff(start, append=np.int32(len(key)))
     rank = np.empty(len(key), np.int32)
@@ -216,7 +219,10 @@ class Shard:
 def merged_blocks(shards: list[Shard], length: int = LENGTH) -> np.ndarray:
     """Block of each merged rank (shard after shard): equal where ``length`` symbols are equal.
 
-    ``length`` is at least ``PACKED``.
+    The interleave starts from the shards' own orders and is refined round by
+    round.  A shard's ranks are in order of their context, however long, so in
+    every round a block is one ascending run per shard, and a stable merge of
+    these runs is all there is to do.  ``length`` is at least ``PACKED``.
     """
     offset = np.cumsum([0, *(len(s.order) for s in shards)]).astype(np.int32)
     step = np.concatenate([s.successors() + o for s, o in zip(shards, offset, strict=False)])
@@ -232,10 +238,10 @@ def merged_blocks(shards: list[Shard], length: int = LENGTH) -> np.ndarray:
     key <<= np.uint64(9)
     key |= one[step6]
     jump, h = step[step6], PACKED
-    rank, active = _blocks(key)
+    rank, active = _blocks(key, "stable")
     powers = {1: step, h: jump}  # successors after so many symbols
     while len(active) and 2 * h <= length:
-        active = _refine(rank, rank[jump[active]], active)
+        active = _refine(rank, rank[jump[active]], active, "stable")
         h *= 2
         if 2 * h <= length:
             jump = powers[h] = jump[jump]
@@ -244,7 +250,7 @@ def merged_blocks(shards: list[Shard], length: int = LENGTH) -> np.ndarray:
         for size in sorted(powers, reverse=True):
             while reach >= size:
                 at, reach = powers[size][at], reach - size
-        _refine(rank, rank[at], active)
+        _refine(rank, rank[at], active, "stable")
     return rank
 
 
@@ -371,9 +377,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, large:
     places = written(runs.join(shared, "key", "left_semi"), "shared-runs")
     release(spark)
     # One row per distinct segment, read from one of its places.
-    segments = places.groupBy("hi", "lo", "key", "n").agg(
-        F.count("*").alias("weight"), F.min(F.struct("did", "th", "at")).alias("rep"))
-    wanted = (segments.groupBy(F.col("rep.did").alias("did"), F.col("rep.th").alias("th"))
+    segments = written(places.groupBy("hi", "lo", "key", "n").agg(
+        F.count("*").alias("weight"), F.min(F.struct("did", "th", "at")).alias("rep")), "distinct-segments")
+    # All windows of a key's only segment are there as often as the segment: twice or more.
+    several = written(segments.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "merged-keys")
+    alone = (segments.join(several, "key", "left_anti")
+             .select("hi", "lo", F.lit(0).alias("s"), F.col("n").alias("e")))
+    wanted = (segments.join(several, "key", "left_semi").groupBy(F.col("rep.did").alias("did"), F.col("rep.th").alias("th"))
               .agg(F.collect_list(F.struct("hi", "lo", "key", "weight", F.col("rep.at").alias("at"), "n")).alias("wanted")))
     cut = (docs.select("did", "th", "data").join(wanted, ["did", "th"]).select("data", "wanted")
            .mapInArrow(_cut(length), "hi bigint, lo bigint, key bigint, weight bigint, data binary"))
@@ -392,7 +402,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, large:
     found = written(dealt.groupBy("bucket", "large", "i", "j").applyInArrow(_bucket(length), "hi bigint, lo bigint, s int, e int"),
                     "repeated-windows")
     release(spark)
-    return places.join(found, ["hi", "lo"]).select(
+    return places.join(found.unionByName(alone), ["hi", "lo"]).select(
         "did", "th", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
 
 
