@@ -6,24 +6,27 @@ disclose a protected entity (Sanchez and Batet, "C-sanitized", 2016):
 
 * a protected entity is one found value (kind and text), a term a word of
   three or more letters or digits, lower-cased;
-* with ``df(x)`` the documents that hold ``x`` among all ``N`` of the corpus,
-  an entity's information is ``IC(e) = log2(N / df(e))`` and a term reveals
+* with ``df(x)`` the texts that hold ``x`` among all ``N`` of the corpus, an
+  entity's information is ``IC(e) = log2(N / df(e))`` and a term reveals
   ``PMI(e, t) = log2(N * df(e, t) / (df(e) * df(t)))`` of it;
-* ``disclosure = PMI / IC`` is at most 1, where the term occurs only beside
-  the entity.  In the documents that hold the entity, terms of disclosure
-  ``GENERALISE`` or more are generalised (replaced by a class mark), and of
-  ``REMOVE`` or more removed.
-
-Documents are counted as different texts, so copies of one text reveal nothing
-more about its words.  Every pair is estimated.  One that co-occurs in fewer
-than ``MIN_TEXTS`` texts is judged by the lower end of what its counts allow:
-the share of the term's documents that hold the entity, ``df(e, t) / df(t)``,
-is then replaced by the lower bound of its Wilson interval (``Z``, 95 %).
-Documents that hold no protected entity are left as they are.
+* what a term leaves hidden is ``IC(e) - PMI(e, t) = -log2(df(e, t) / df(t))``
+  bits, in which ``N`` no longer stands: texts that hold neither change no
+  verdict.  The share ``df(e, t) / df(t)`` is taken at the lower end of its
+  Wilson interval (``Z``, 95 %), at every count, so a word seen once or twice
+  proves nothing and a certain sign needs some texts to show it;
+* in the texts that hold the entity, terms that leave ``GENERALISE`` bits or
+  fewer are generalised (replaced by a class mark), and those that leave
+  ``REMOVE`` bits or fewer removed.
+
+A word found only beside an entity is generalised from 4 texts on and removed
+from 15 on.  Texts are counted once each, so copies of one text reveal nothing
+more about its words.  An entity that every text holds has no information to
+reveal.  Documents that hold no protected entity are left as they are.
 
 Defined cases: null and empty texts have no spans and stay null or empty;
-matches are leftmost and do not overlap within a kind, and one that fails its
-check is dropped without a second try; equal rows get equal results, each its
+texts of any length are read whole; columns other than those named are only
+carried, so their names cannot clash; matches are leftmost and do not overlap
+within a kind, and one that fails its check is dropped without a second try; equal rows get equal results, each its
 own row; null ids keep their rows; an empty table gives an empty result.
 """
 
@@ -36,8 +39,9 @@ from .scratch import written
 from .spans import SPAN, digest, find, redacted
 from .text import let, once, text_key, whole
 
-MIN_TEXTS, GENERALISE, REMOVE = 5, 0.8, 0.95
-#: Normal quantile of the interval for pairs of thin support.
+#: Bits of an entity that a term leaves hidden at most.
+GENERALISE, REMOVE = 1.0, 1 / 3
+#: Normal quantile of the interval.
 Z = 1.96
 KINDS = ("email", "ip", "card", "phone")
 
@@ -105,51 +109,49 @@ def _least_share(joint: Column, df_term: Column) -> Column:
     return (p + z2 / (2 * n) - Z * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)
 
 
-def _disclosure(total: int, df_term: Column, min_texts: int) -> Column:
-    """Share of the entity's information that the term reveals; grows as ``df_term`` shrinks."""
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("df_entity"))
-    joint = F.when(F.col("joint") >= min_texts, F.col("joint")).otherwise(_least_share(F.col("joint"), df_term) * df_term)
-    pmi = F.log2(F.lit(float(total)) * joint / (F.col("df_entity").cast("double") * df_term))
-    return pmi / information
+def _hidden(joint: Column, df_term: Column) -> Column:
+    """Bits of the entity that the term leaves hidden; grows with ``df_term``."""
+    return -F.log2(_least_share(joint, df_term))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_texts: int = MIN_TEXTS,
-                     generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``(entity, term, removed)`` of the terms that disclose an entity.
 
-    ``docs`` has the ``text`` of every document row; ``found`` a row for each
-    with ``base``, ``text_hash`` and, where there is personal data, ``terms``.
+    ``docs`` has ``key`` and ``text`` of every document row; ``found`` a row for
+    each with ``key``, ``base``, ``text_hash`` and, where there is personal
+    data, ``terms``.
     """
-    total = found.select("text_hash").distinct().count()
+    single = written(found.groupBy("text_hash").agg(F.min("key").alias("key")), "pii-texts")
+    total = single.count()
     private = written(found.where("terms is not null").select("text_hash", _entities().alias("entities"), "terms")
                       .dropDuplicates(["text_hash"]), "pii-private")
     held = private.select(F.explode("entities").alias("entity"), "terms")
     known = held.groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") < total)
-    known = written(known, "pii-entities")
-    pairs = (held.join(known, "entity").select("entity", "df_entity", F.explode("terms").alias("term"))
-             .groupBy("entity", "df_entity", "term").agg(F.count("*").alias("joint")))
+    known = written(known.select("entity"), "pii-entities")
+    pairs = (held.join(known, "entity").select("entity", F.explode("terms").alias("term"))
+             .groupBy("entity", "term").agg(F.count("*").alias("joint")))
     # A term is at least as frequent as it is beside personal data; what falls
     # short even so, common words above all, need not be counted in the corpus.
     least = private.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    pairs = pairs.join(least, "term").where(_disclosure(total, F.col("least"), min_texts) >= generalise).drop("least")
+    pairs = pairs.where(_hidden(F.col("joint"), F.col("joint")) <= generalise)
+    pairs = pairs.join(least, "term").where(_hidden(F.col("joint"), F.col("least")) <= generalise).drop("least")
     pairs = written(pairs, "pii-pairs")
-    wanted = written(pairs.select("term").distinct(), "pii-terms")
-    seen = (docs.select(F.xxhash64(whole(F.col("text"))).alias("text_hash"), F.explode(_terms(F.col("text"))).alias("term"))
-            .join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df_term")))
-    scored = pairs.join(seen, "term").withColumn("disclosure", _disclosure(total, F.col("df_term"), min_texts))
-    return (scored.where(F.col("disclosure") >= generalise)
-            .select("entity", "term", (F.col("disclosure") >= remove).alias("removed")))
+    # One row of each text, then counts that combine in the tasks before they meet the pairs.
+    texts = docs.join(single.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    seen = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    hidden = _hidden(F.col("joint"), F.col("df_term"))
+    return (pairs.join(seen, "term").where(hidden <= generalise)
+            .select("entity", "term", (hidden <= remove).alias("removed")))
 
 
-def scan(docs: DataFrame, min_texts: int = MIN_TEXTS, generalise: float = GENERALISE,
-         remove: float = REMOVE) -> DataFrame:
+def scan(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``(doc_id, key, base, general, removed)``: the spans of every document row."""
     keyed = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
     some = F.exists(F.array(*[F.size(F.col("base")[kind]) for kind in KINDS]), lambda n: n > 0)
     found = written(once(keyed, "base", base_spans(F.col("text"))).select(
         "doc_id", "key", F.xxhash64(whole(F.col("text"))).alias("text_hash"), "base",
         F.when(some, _terms(F.col("text"))).alias("terms")), "pii-base")
-    telling = written(disclosing_terms(keyed, found, min_texts, generalise, remove), "pii-disclosing")
+    telling = written(disclosing_terms(keyed.select("key", "text"), found, generalise, remove), "pii-disclosing")
     told = (found.select("key", F.explode(_entities()).alias("entity")).join(telling, "entity")
             .groupBy("key", "term").agg(F.max("removed").alias("removed"))
             .groupBy("key").agg(F.collect_list(F.struct("term", "removed")).alias("told")))
