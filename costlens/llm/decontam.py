@@ -2,8 +2,10 @@
 
 Containment search with size-partitioned bottom-s MinHash signatures:
 
-* a text is a set of five-word shingles (lower-cased letters and digits; a
-  text of fewer words is one shingle of all of them), each with one hash;
+* a text is a set of five-word shingles (lower-cased letters and digits), each
+  with one hash.  An item of fewer words is one shingle of all of them; for the
+  lengths that such items have (at most four) documents have shingles as well,
+  so that a short item is found inside any text;
 * items are partitioned by size (powers of two of their shingle count).  An
   item of ``x`` shingles that is contained to a share ``c`` misses at most
   ``x - ceil(c * x)`` of them, so of its ``s = x - ceil(c * x) + 1`` smallest
@@ -21,8 +23,10 @@ shingles in a document of 20,000 has a Jaccard similarity near 0.001, where
 banding loses items.
 
 Defined cases: null, empty or wordless texts and items match nothing; an item
-of fewer than five words matches a document only as that document's whole
-text; equal rows and equal items each get their pairs once per
+of fewer than five words matches every document in which its words stand in a
+row; texts of any length are searched whole; other columns than those named are
+not read or only carried, so their names cannot clash; empty tables give an
+empty result, and the stage then keeps every row; equal rows and equal items each get their pairs once per
 ``(doc_id, item_id)``, with the largest containment where an id repeats; rows
 with a null id are searched too and reported under null.
 """
@@ -33,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .text import indices, let, once, shingles, text_key, whole
+from .text import indices, let, once, text_key, whole
 
 SHINGLE_WORDS, CONTAINMENT_PERCENT = 5, 80
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -43,27 +47,47 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(whole(text)), NOT_WORD, -1), lambda w: w != "")
 
 
-def _shingle_hashes(ws: Column, k: int) -> Column:
-    """Hash of each shingle, repeats included, made from the hashes of its words."""
-    n = F.size(ws)
-    full = let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.transform(
-        indices(n - (k - 1)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])))
-    short = F.transform(F.array(F.concat_ws(" ", ws)), lambda s: F.xxhash64(s))
-    return F.when(n >= k, full).when(n > 0, short).otherwise(F.array().cast("array<bigint>"))
+def _shingle_hashes(ws: Column, lengths: list[int]) -> Column:
+    """Hash of each shingle of these lengths, repeats included, made from the hashes of its words."""
+    def of(h: Column, k: int) -> Column:
+        return F.transform(indices(F.size(ws) - (k - 1)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+
+    return let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of(h, k) for k in lengths]))
+
+
+def _shingles(ws: Column, lengths: list[int]) -> Column:
+    """The shingles of these lengths, each once."""
+    def of(k: int) -> Column:
+        return F.transform(indices(F.size(ws) - (k - 1)), lambda i: F.concat_ws(" ", *[F.get(ws, i + j) for j in range(k)]))
+
+    return F.array_distinct(F.concat(*[of(k) for k in lengths]))
 
 
 def items(benchmark: DataFrame, k: int = SHINGLE_WORDS, percent: int = CONTAINMENT_PERCENT) -> DataFrame:
-    """One row per distinct item: its shingles, how many are needed, size class and signature."""
+    """One row per distinct item: its shingles and their length, how many are needed, size class and signature."""
     rows = once(benchmark.select("item_id", "text").distinct(), "ws", _words(F.col("text"))).where(F.size("ws") > 0)
-    rows = rows.select("item_id", F.array_distinct(shingles(F.col("ws"), k)).alias("shingles"),
-                       F.array_sort(F.array_distinct(_shingle_hashes(F.col("ws"), k))).alias("hashes"))
+
+    def by_length(of) -> Column:
+        """``of`` the words and the length of the item's shingles."""
+        n, out = F.size("ws"), of(F.col("ws"), [k])
+        for short in range(1, k):
+            out = F.when(n == short, of(F.col("ws"), [short])).otherwise(out)
+        return out
+
+    rows = rows.select("item_id", F.least(F.size("ws"), F.lit(k)).alias("length"), by_length(_shingles).alias("shingles"),
+                       F.array_sort(F.array_distinct(by_length(_shingle_hashes))).alias("hashes"))
     x = F.size("shingles")
     rows = rows.withColumn("needed", ((x * percent + 99) / 100).cast("int"))
-    return rows.select("item_id", "shingles", "needed", F.floor(F.log2(x)).cast("int").alias("size_class"),
+    return rows.select("item_id", "length", "shingles", "needed", F.floor(F.log2(x)).cast("int").alias("size_class"),
                        F.slice("hashes", F.lit(1), x - F.col("needed") + 1).alias("signature"))
 
 
-def candidates(docs: DataFrame, found: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
+def lengths_of(found: DataFrame, k: int) -> list[int]:
+    """Shingle lengths of the items, ``k`` among them; at most ``k`` rows reach the driver."""
+    return sorted({k, *(r["length"] for r in found.select("length").distinct().collect())})
+
+
+def candidates(docs: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
     """``(key, item_id)`` of documents that share a signature hash with an item."""
     # At most 31 rows reach the driver: one for each power of two of an int.
     cuts = (found.groupBy("size_class")
@@ -72,7 +96,7 @@ def candidates(docs: DataFrame, found: DataFrame, k: int = SHINGLE_WORDS) -> Dat
         return docs.join(found, F.lit(False)).select("key", "item_id")
     partitions = F.array(*[F.struct(F.lit(r["needed"]).alias("needed"), F.lit(r["cut"]).alias("cut")) for r in cuts])
     worded = once(docs.select("text", "key"), "ws", _words(F.col("text"))).drop("text")
-    hashed = once(worded, "h", _shingle_hashes(F.col("ws"), k)).drop("ws")
+    hashed = once(worded, "h", _shingle_hashes(F.col("ws"), lengths)).drop("ws")
     n = F.size("h")
     cut = F.array_max(F.transform(F.filter(partitions, lambda c: c["needed"] <= n), lambda c: c["cut"]))
     sketch = (hashed.withColumn("cut", cut).where("cut is not null")
@@ -87,11 +111,12 @@ def contained(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS,
     """``(doc_id, key, item_id, item_shingles, shared)`` where an item is contained to the wanted share."""
     found = written(items(benchmark, k, percent), "benchmark-items")
     keyed = docs.select("doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    pairs = written(candidates(keyed, found, k), "contained-candidates")
+    lengths = lengths_of(found, k)
+    pairs = written(candidates(keyed, found, lengths), "contained-candidates")
     # The same join at every size: the candidates grow with the corpus.
     texts = keyed.join(pairs.select("key").distinct().hint("merge"), "key", "left_semi")
     texts = once(once(texts, "ws", _words(F.col("text"))).drop("text"), "own",
-                 F.array_distinct(shingles(F.col("ws"), k))).drop("ws")
+                 _shingles(F.col("ws"), lengths)).drop("ws")
     wanted = found.select(F.col("item_id").alias("wanted"), "shingles", "needed")
     checked = texts.join(pairs, "key").join(wanted, F.col("item_id").eqNullSafe(F.col("wanted")))
     return once(checked, "shared", F.size(F.array_intersect("own", "shingles"))).where("shared >= needed").select(

@@ -10,17 +10,21 @@ from costlens.llm import decontam as D
 SCHEMA, ITEMS = "doc_id long, text string, ITEM_ID string", "item_id long, text string"
 
 
-def shingles(text):
-    w = re.findall(r"[^\W_]+", (text or "").lower())
-    return {" ".join(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({" ".join(w)} if w else set())
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def shingles(text, k):
+    w = words(text)
+    return {" ".join(w[i:i + k]) for i in range(len(w) - k + 1)}
 
 
 def brute(docs, items):
     best = {}
     for d, t, _ in docs:
-        s = shingles(t)
         for i, u in items:
-            b = shingles(u)
+            k = min(5, len(words(u)))
+            s, b = shingles(t, k) if k else set(), shingles(u, k) if k else set()
             if b and 100 * len(s & b) >= 80 * len(b):
                 best[d, i] = max(best.get((d, i), (0,)), (len(s & b) / len(b), len(b), len(s & b)))
     return sorted(((d, i, n, k, c) for (d, i), (c, n, k) in best.items()), key=repr)
@@ -48,6 +52,15 @@ def test_matches_brute_force(spark, seed):
     assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(docs, items)
 
 
+def test_short_items_are_found_inside_long_texts(spark):
+    items = [(1, "alpha beta gamma"), (2, "solo"), (3, "two words"), (4, "one two three four five six")]
+    docs = [(1, "so it was: Alpha, beta gamma " + "word " * 4000, ""), (2, "alpha beta delta gamma", ""), (3, "a solo part", ""), (4, "two", ""),
+            (5, "in two words, here", ""), (6, "alpha beta gamma", "")]
+    out = D.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEMS))
+    assert sorted(tuple(r)[:2] for r in out.collect()) == [(1, 1), (3, 2), (5, 3), (6, 1)]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(docs, items)
+
+
 def test_stage_drops_whole_documents_and_keeps_clean_ones(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, "so " + item + " it is", "a"), (1, "clean under the same id", "b"), (None, item, "c"), (None, "clean", None)]
