@@ -20,7 +20,7 @@ m AS (SELECT doc_id, rid, len(w)::BIGINT AS n_words,
         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-        CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END AS stratum
+        coalesce(lang, 'other') AS stratum
       FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
       LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
@@ -33,7 +33,7 @@ p AS (SELECT *, CASE WHEN k > n * 0.0125 THEN 1.0 ELSE list_sum(list_transform(r
         exp((CASE WHEN j = 0 THEN 0 ELSE lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) END)
             + j * ln(0.0125) + (n - j) * ln(1 - 0.0125)))) END AS tail FROM t),
 c AS (SELECT stratum, rule, cut FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - k DESC, cut DESC) AS r
-      FROM p WHERE n > 0 AND tail <= 0.05 / 20 AND bad > k) WHERE r = 1),
+      FROM p WHERE n > 0 AND bad > k AND tail <= 0.05 / ((SELECT count(DISTINCT stratum) FILTER (stratum <> 'other') + 1 FROM t) * 4)) WHERE r = 1),
 r AS (SELECT DISTINCT rid FROM v JOIN c USING (stratum, rule) WHERE x >= cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND rid NOT IN (SELECT rid FROM r) AS kept, stratum FROM b
@@ -41,16 +41,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 WORDS6 = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
-SHINGLES6 = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"""
+SHINGLES6 = "list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))"
 
 OP6 = f"""
-WITH b AS (SELECT item_id, {SHINGLES6} AS s FROM (SELECT item_id, {WORDS6} AS w FROM benchmark)),
-d AS (SELECT doc_id, {SHINGLES6} AS s FROM (SELECT doc_id, {WORDS6} AS w FROM documents)),
-bs AS (SELECT item_id, len(s) AS item_shingles, unnest(s) AS g FROM b),
-ds AS (SELECT doc_id, unnest(s) AS g FROM d)
+WITH bw AS (SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, {WORDS6} AS w FROM benchmark) WHERE len(w) > 0),
+b AS (SELECT item_id, k, {SHINGLES6} AS s FROM bw),
+d AS (SELECT doc_id, k, {SHINGLES6} AS s FROM (SELECT doc_id, {WORDS6} AS w FROM documents), (SELECT DISTINCT k FROM b) WHERE len(w) >= k),
+bs AS (SELECT item_id, k, len(s) AS item_shingles, unnest(s) AS g FROM b),
+ds AS (SELECT doc_id, k, unnest(s) AS g FROM d)
 SELECT doc_id, item_id, item_shingles::BIGINT AS item_shingles, count(*)::BIGINT AS shared, count(*) / item_shingles AS containment
-FROM ds JOIN bs USING (g) GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= 80 * item_shingles
+FROM ds JOIN bs USING (k, g) GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= 80 * item_shingles
 """
 
 
@@ -66,8 +66,9 @@ FROM p LEFT JOIN f USING (payload_digest)
 OP2 = """
 WITH c AS (SELECT conv_id AS pair_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, coalesce(text, '') AS text FROM conversations),
 s AS (SELECT pair_id, 'chosen' AS side, turn, role, replace(text, '<|', '< |') AS text FROM c
-      UNION ALL SELECT pair_id, 'rejected', turn, role, replace(CASE WHEN role = 'assistant' AND turn >= 2
-                       THEN substr(text, 1, (length(text) // 2)::INT) ELSE text END, '<|', '< |') FROM c),
+      UNION ALL SELECT pair_id, 'rejected', turn, role, replace(text, '<|', '< |') FROM c WHERE turn < pair_id % 5
+      UNION ALL SELECT pair_id - 1, 'rejected', turn, role, replace(text, '<|', '< |') FROM c
+                WHERE turn >= (pair_id - 1) % 5 AND pair_id - 1 IN (SELECT pair_id FROM c)),
 p AS (SELECT pair_id, list(struct_pack(turn, role, text) ORDER BY turn NULLS FIRST, role, text) FILTER (side = 'chosen') AS c,
              list(struct_pack(turn, role, text) ORDER BY turn NULLS FIRST, role, text) FILTER (side = 'rejected') AS r FROM s GROUP BY pair_id),
 k AS (SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i:

@@ -28,13 +28,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preference_turns(conversations: DataFrame) -> DataFrame:
-    """Stand-in preference pairs: each conversation, and itself with the assistant's
-    answers from the third turn on broken off half way."""
-    half = F.col("text").substr(F.lit(1), (F.length("text") / 2).cast("int"))
-    cut = (F.col("role") == "assistant") & (F.col("turn") >= 2)
+    """Stand-in preference pairs: each conversation as chosen; as rejected its first
+    turns, none to four, and from there on the turns of the next conversation."""
     row = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    return row.withColumn("side", F.lit("chosen")).unionByName(
-        row.withColumn("text", F.when(cut, half).otherwise(F.col("text"))).withColumn("side", F.lit("rejected")))
+    own = row.where(F.col("turn") < F.col("pair_id") % 5)
+    pairs = row.select("pair_id").distinct()
+    other = (row.withColumn("pair_id", F.col("pair_id") - 1).join(pairs, "pair_id", "left_semi")
+             .where(F.col("turn") >= F.col("pair_id") % 5))
+    return row.withColumn("side", F.lit("chosen")).unionByName(own.unionByName(other).withColumn("side", F.lit("rejected")))
 
 
 def op2_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
