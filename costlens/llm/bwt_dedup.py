@@ -49,7 +49,7 @@ from .scratch import importable, release, written
 from .text import whole
 
 LENGTH, GRAM = 400, 16
-BUCKET, SHARD = 1 << 20, 1 << 19
+BUCKET, SHARD = 1 << 18, 1 << 17
 #: Bytes of one key above which its segments are dealt into chunks of that size.
 LARGE = 2 << 20
 #: Bytes of text whose windows are cut at once, and bits for a place among them.
