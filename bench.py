@@ -39,7 +39,8 @@ HEADLINE = [
     "admin_key_day_model", "summary_month", "by_model_month", "by_project_month", "daily_month",
     "budget_month", "over_budget_keys", "alias_month_summary", "alias_by_model", "key_auth_valid",
     "identity", "admin_cube", "token_breakdown", "status_text", "idempotent_load", "section_counts",
-    "alias_daily", "refresh_bundle",
+    "alias_daily", "refresh_bundle", "top_spenders", "top_by_model", "team_totals", "spend_in_currencies",
+    "anomalies_month", "cost_allocation",
 ]
 RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 ONE_KEY = "sk-user-7"

@@ -40,6 +40,11 @@ def parse_period(value) -> Period:
         ) from None
 
 
+def valid_period(value: Column) -> Column:
+    """V2 for a column of requested periods; a missing one is not valid."""
+    return F.coalesce(value.isin(*[p.value for p in Period]), F.lit(False))
+
+
 @dataclass(frozen=True)
 class TimeRange:
     """Closed range [start, end] on startTime (both ends inclusive)."""

@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 from costlens.config import DEFAULT_CONFIG, FIXED_AS_OF
 from costlens.functions.models import all_keys_model, per_key_model
 from costlens.operators import (admin, adhoc, allocation, anomalies, auth, breakdowns, budgets, currencies, quality,
-                                reshape, texts, top)
+                                forecast, reshape, texts, top)
 from costlens.functions import display
-from costlens.periods import Period, parse_period
+from costlens.periods import Period, parse_period, valid_period
 from costlens.schemas import SPEND_LOGS_SCHEMA
 from costlens.session import remove, work_dir
 from costlens.sources import load as idempotent
 from costlens.sources.layout import read_log_layout, write_log_layout
 from costlens.sources.log_table import LogTable
-from costlens.sources.sinks import nested, write_parquet
+from costlens.sources.sinks import nested, read_csv, write_csv, write_parquet
 from costlens.sources.tables import Tables
 from costlens.sources.testdata import (faulty_tables, load_auth_attempts, load_rates, load_tables, misdated,
-                                       replayed_batches, spiked, with_teams)
+                                       load_period_requests, replayed_batches, spiked, with_teams)
 from costlens.streaming import bundle
 from costlens.streaming.admission import quarantined
 from costlens.streaming.feed import replay
@@ -222,6 +222,24 @@ def _cost_allocation(spark, sf_dir):
     return out.select("team", "user", "api_key", "spend", *[F.col(c).cast("double").alias(c) for c in shares])
 
 
+def _forecast(t):
+    return forecast.forecast(t, AS_OF)
+
+
+def _csv_export(spark, sf_dir):
+    """The daily report and the all-keys report's names written as CSV and read back."""
+    t = load_tables(spark, sf_dir)
+    report = admin.key_day_model(t, AS_OF)
+    path = work_dir(spark, "csv") + "/all_keys"
+    write_csv(report, path)
+    return read_csv(spark, path, report.schema)
+
+
+def _period_check(spark, sf_dir):
+    asked = load_period_requests(spark, sf_dir)
+    return asked.select("request_id", "period", valid_period(F.col("period")).alias("valid"))
+
+
 def _currencies(spark, sf_dir):
     return currencies.spend_in_currencies(load_tables(spark, sf_dir), load_rates(spark, sf_dir), CURRENCIES, AS_OF)
 
@@ -297,4 +315,8 @@ def registered_queries() -> dict[str, Query]:
     q["team_totals"] = _tables_query(lambda t: allocation.team_totals(with_teams(t), AS_OF))
     q["cost_allocation"] = _cost_allocation
     q["spend_in_currencies"] = _currencies
+    q["forecast"] = _tables_query(_forecast)
+    q["at_risk"] = _tables_query(lambda t: forecast.newly_at_risk(_forecast(t), budgets.budget_report(t, AS_OF)))
+    q["csv_export"] = _csv_export
+    q["period_check"] = _period_check
     return q

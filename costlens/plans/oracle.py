@@ -667,6 +667,35 @@ SELECT a.api_key, a.currency, CAST(CAST(SUM(a.spend * r.rate) AS VARCHAR) AS DOU
 FROM asked a ASOF LEFT JOIN rates r ON r.currency = a.currency AND r.day <= a.day GROUP BY 1, 2"""
 
 
+def forecast() -> str:
+    days = "CASE WHEN spent >= budget THEN 0 WHEN daily_rate > 0 THEN ceil((budget - spent) / daily_rate) END"
+    return _with(f"""sums AS (
+  SELECT s.api_key, CAST(CAST({EXACT_SUM} FILTER (s."startTime" >= TIMESTAMP '2024-01-01') AS VARCHAR) AS DOUBLE) AS spent,
+         CAST(CAST({EXACT_SUM} FILTER (s."startTime" >= TIMESTAMP '2024-01-10') AS VARCHAR) AS DOUBLE) AS recent
+  FROM spend_logs s WHERE s."startTime" < TIMESTAMP '2024-01-17' GROUP BY 1)""", f"""base AS (
+  SELECT k.token AS api_key, COALESCE(spent, 0.0) AS spent, COALESCE(recent, 0.0) / 7 AS daily_rate, {RESOLVED_BUDGET} AS budget
+  FROM virtual_keys k LEFT JOIN sums ON sums.api_key = k.token)""", """proj AS (
+  SELECT *, spent + daily_rate * 15 AS projected FROM base)""") + f"""
+SELECT api_key, spent, daily_rate, projected, budget, projected / budget * 100.0 AS projected_percent,
+       CASE WHEN projected / budget * 100.0 >= 100.0 THEN 'exceeded' WHEN projected / budget * 100.0 >= 80.0 THEN 'warning'
+            ELSE 'normal' END AS projected_state,
+       CASE WHEN {days} <= 15 THEN DATE '2024-01-16' + CAST({days} AS INTEGER) END AS exceeded_on
+FROM proj"""
+
+
+def at_risk() -> str:
+    return f"""SELECT f.api_key, b.state AS state_now, f.projected_state, f.projected, f.budget, f.exceeded_on
+FROM ({forecast()}) f JOIN ({budget_month()}) b USING (api_key)
+WHERE (f.projected_state, b.state) IN (('exceeded', 'normal'), ('exceeded', 'warning'), ('warning', 'normal'))"""
+
+
+def period_check() -> str:
+    return """SELECT request_id, period, COALESCE(period IN ('today', 'week', 'month'), false) AS valid FROM (
+  SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id,
+         CASE event_id % 8 WHEN 0 THEN 'today' WHEN 1 THEN 'week' WHEN 2 THEN 'month' WHEN 3 THEN 'Month' WHEN 4 THEN '' WHEN 5 THEN NULL
+              WHEN 6 THEN 'year ' ELSE 'week' END AS period FROM events) e"""
+
+
 def oracle_queries() -> dict[str, str]:
     q = {"admin_key_day_model": admin_key_day_model()}
     for p in Period:
@@ -724,5 +753,9 @@ def oracle_queries() -> dict[str, str]:
         "team_totals": team_totals(),
         "cost_allocation": cost_allocation(),
         "spend_in_currencies": spend_in_currencies(),
+        "forecast": forecast(),
+        "at_risk": at_risk(),
+        "csv_export": admin_key_day_model(),
+        "period_check": period_check(),
     })
     return q

@@ -145,6 +145,13 @@ def spiked(t: Tables) -> Tables:
     return Tables(t.logs.withColumn("spend", spend), t.keys)
 
 
+def load_period_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(request_id, period)``: the period text of each request, some of them wrong, empty or missing."""
+    texts = F.array(*[F.lit(x) for x in ("today", "week", "month", "Month", "", None, "year ", "week")])
+    return _read(spark, sf_dir, "events").select(F.concat(F.lit("req-"), F.col("event_id").cast("string")).alias("request_id"),
+                                                 F.get(texts, (F.col("event_id") % 8).cast("int")).alias("period"))
+
+
 def load_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(currency, day, rate)``: dated rates made from each day's number of events.
 

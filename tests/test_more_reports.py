@@ -9,9 +9,10 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from costlens.operators import allocation, anomalies, currencies, top
-from costlens.periods import day_range
+from costlens.operators import allocation, anomalies, budgets, currencies, forecast, top
+from costlens.periods import day_range, parse_period, valid_period
 from costlens.session import work_dir
+from costlens.sources.sinks import read_csv, write_csv
 from costlens.sources.tables import Tables
 from tests.conftest import AS_OF, key_row, log_row, make_tables, rows, sha
 from tests.test_layout import _plan
@@ -120,6 +121,42 @@ def test_allocation_adds_up_at_every_level(spark):
     assert sum(r["requests"] for r in totals.collect()) == 120 and totals.count() == 2
 
 
+def test_forecast(spark):
+    logs = [log_row(K[0], f"2024-01-{d:02d} 10:00:00", 2.0) for d in range(10, 17)] + [log_row(K[0], "2024-01-17 09:00:00", 50.0)]
+    logs += [log_row(K[1], "2024-01-02 10:00:00", 30.0), log_row(K[2], "2024-01-16 10:00:00", 7.0)]
+    t = make_tables(spark, logs, [key_row(K[0], 20.0), key_row(K[1], 25.0), key_row(K[2], 10.5), key_row(K[3], 5.0)])
+    got = {r["api_key"]: tuple(r)[1:] for r in forecast.forecast(t, AS_OF).collect()}
+    assert got[K[0]] == (14.0, 2.0, 44.0, 20.0, 44 / 20 * 100, "exceeded", date(2024, 1, 19))       # three more days
+    assert got[K[1]][:3] == (30.0, 0.0, 30.0) and got[K[1]][-1] == date(2024, 1, 16)              # used up already
+    assert got[K[2]][:3] == (7.0, 1.0, 22.0) and got[K[2]][-1] == date(2024, 1, 20)
+    assert got[K[3]] == (0.0, 0.0, 0.0, 5.0, 0.0, "normal", None)
+    at_risk = forecast.newly_at_risk(forecast.forecast(t, AS_OF), budgets.budget_report(t, AS_OF))
+    assert rows(at_risk, "api_key") == [(K[2],)]
+    # on the first of a month the rate comes from the month before
+    first = {r["api_key"]: r["projected"] for r in forecast.forecast(t, datetime(2024, 2, 1, 8)).collect()}
+    assert first == dict.fromkeys(K[:4], 0.0)
+
+
+def test_csv_round_trip(spark):
+    data = [("a,b", 'say "x"', None, 1.5, datetime(2024, 1, 2, 3, 4, 5, 6), date(2024, 1, 2)), ("", "line\nbreak", "é😀", None, None, None), (None, "'", "\\", -0.1, None, None)]
+    df = spark.createDataFrame(data, "a string, b string, c string, x double, t timestamp_ntz, d date")
+    path = work_dir(spark, "t-csv")
+    write_csv(df, path)
+    assert rows(read_csv(spark, path, df.schema)) == rows(df)
+
+
+def test_periods_of_a_column_agree_with_the_parser(spark):
+    texts = ["today", "week", "month", "Month", "", " week", "year", None]
+
+    def parsed(x):
+        try:
+            return bool(parse_period(x))
+        except ValueError:
+            return False
+    got = spark.createDataFrame([(x,) for x in texts], "p string").select("p", valid_period(F.col("p")).alias("ok")).collect()
+    assert {r["p"]: r["ok"] for r in got} == {x: parsed(x) for x in texts}
+
+
 def test_rates_hold_until_the_next_one(spark):
     given = [("USD", date(2023, 12, 20), 2.0), ("USD", date(2024, 1, 10), 3.0), ("USD", date(2024, 1, 10), 2.5), ("GBP", date(2024, 1, 4), 5.0),
              ("GBP", date(2024, 2, 9), 9.0), (None, date(2024, 1, 1), 1.0), ("CHF", None, 1.0), ("CHF", date(2024, 1, 1), None)]
