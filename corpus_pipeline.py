@@ -3,6 +3,13 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps;
 its result is written as Parquet and read again as the next stage's input.
 The last stage returns the token digests of the documents that remain.
+
+Defined cases, for every stage: null ids, languages and texts keep their rows
+unless the stage's rule rejects them (an empty or null text fails the quality
+rules); texts of any length are read whole; equal rows get equal verdicts; of
+near-duplicates the smallest id stays; further columns, whatever their names, are
+carried through to the last stage, which returns the columns of its operator;
+an empty table gives an empty one.  The operators' docstrings say more.
 """
 
 from __future__ import annotations
