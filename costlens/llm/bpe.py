@@ -12,8 +12,9 @@ Texts are cut by the tokenizer's pattern first and every match (pre-token) is
 encoded by itself.  Decoding maps ids to pieces, characters and bytes.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; every
-row gets its own result, repeated rows and null ids included; an empty table
-gives an empty result.
+row gets its own result, repeated rows and null ids included; texts of any length
+are encoded whole; columns other than ``doc_id`` and ``text`` are not read, so
+their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -30,8 +30,10 @@ of chunks gets a bucket, so no group holds more than about ``2 * LARGE`` bytes.
 
 Defined cases: a null or empty text has no bytes; texts shorter than
 ``LENGTH`` lose nothing; matches never cross texts; repeated rows are copies
-of each other like any two equal texts; null ids keep their rows; an empty
-table gives an empty result.
+of each other like any two equal texts; null ids keep their rows; texts of any
+length are cut whole, in overlapping pieces; columns other than ``doc_id`` and
+``text`` are not read, so their names cannot clash; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ Defined cases: a null role or text counts as empty; turns are ordered by
 order and each is rendered; a side without turns has an empty completion;
 equal sides are all prompt; rows of another side are ignored, and a pair with
 no row on either side does not appear; rows with a null ``pair_id`` form one
-pair under null; marks inside a text are broken by a space.  An empty table
-gives an empty result.
+pair under null; marks inside a text are broken by a space; texts of any
+length are rendered whole; columns other than those named are not read, so their
+names cannot clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

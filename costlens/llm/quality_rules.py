@@ -30,7 +30,9 @@ Defined cases: a null or empty text has no words and fails the base rules;
 a null ``lang`` belongs to the stratum ``other``; a label row with a null
 ``doc_id`` or ``quality`` is ignored; a document labelled twice counts as good
 if any label says so; without labels only the base rules reject; repeated
-document rows are judged alike and each counts in the holdout.
+document rows are judged alike and each counts in the holdout; texts of any
+length are measured whole; columns other than those named are only carried, so
+their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

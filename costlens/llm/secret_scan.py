@@ -15,7 +15,9 @@ spans of well-known token formats.
 Defined cases: null and empty texts have no spans; a rule's matches are found
 left to right without overlap, and a match that fails the rule's check is
 dropped without a second try; equal rows get equal results, each its own row;
-null ids keep their rows; an empty table gives an empty result.
+null ids keep their rows; texts of any length are scanned whole; columns other
+than those named are not read, so their names cannot clash; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

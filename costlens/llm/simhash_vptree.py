@@ -26,7 +26,9 @@ Equal fingerprints are one node, so copies never meet in a shard.
 Defined cases: a null, empty or blank text has fingerprint zero and is linked
 like any other; a null ``doc_id`` keeps its row and never names a component;
 a component whose ids are all null has a null id; repeated rows share their
-fingerprint and component; an empty table gives an empty result.
+fingerprint and component; texts of any length are hashed whole; columns other
+than those named are only carried, so their names cannot clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

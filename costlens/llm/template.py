@@ -32,7 +32,9 @@ so a host with a third of all pages sends one row per token and task.
 Defined cases: a null or empty html gives an empty text; a null or odd url
 belongs to the host ``''``; unclosed and stray tags are tolerated (a block
 ends an open paragraph, a closing tag ends what it encloses); null and
-repeated ids keep their rows; an empty table gives an empty result.
+repeated ids keep their rows; pages of any length are read whole; columns other
+than those named are not read, so their names cannot clash; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

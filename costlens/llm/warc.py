@@ -17,7 +17,9 @@ index, so retried and lost tasks leave files that nothing refers to.
 Defined cases: a null html is an empty payload; a null url leaves the header
 out, control characters in a url are percent-encoded; a page without id is
 never referred to, and revisits an equal payload that has an id; equal rows
-with the smallest id are all responses; an empty table writes no bundle.
+with the smallest id are all responses; pages of any length are one record each;
+columns other than those named are not read, so their names cannot clash; an
+empty table writes no bundle.
 """
 
 from __future__ import annotations
