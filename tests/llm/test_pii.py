@@ -147,9 +147,8 @@ def test_planted_names_are_told_from_decoys_at_any_corpus_size(spark):
 
 
 def test_support_grows_from_nothing_to_removal(spark):
-    def words_of(times):
-        return {k for t, k in told(spark, [(i, f"Always n{i} a@b.example", "") for i in range(times)] + [(900, "other words", "")])
-                if t == "always"}
-    assert [words_of(n) for n in (1, 3, 4, 14, 15)] == [set(), set(), {"general_term"}, {"general_term"}, {"removed_term"}]
-    copies = [(i, "Always a@b.example", "") for i in range(30)] + [(900, "other words", "")]
-    assert told(spark, copies) == set()                                # one text, however often
+    texts = [f"Always{n} n{n}x{i} a{n}@b.example" for n in (1, 3, 4, 14, 15) for i in range(n)]
+    rows = [(i, t, "") for i, t in enumerate(texts)] + [(900, "other words", "")]
+    rows += [(1000 + i, "Copied c@b.example", "") for i in range(30)]        # one text, however often
+    assert {x for x in told(spark, rows) if x[0].startswith(("always", "copied"))} == {
+        ("always4", "general_term"), ("always14", "general_term"), ("always15", "removed_term")}
