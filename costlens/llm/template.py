@@ -5,22 +5,27 @@ data from web pages", 2003) over the pages of one host:
 
 * a token is a tag or a text node, told apart by its role: the path of open
   structural tags with the words of class and id that stand on ``SUPPORT`` of
-  the host's pages.  Its occurrence vector is the number of times it occurs on
-  each page of the host; copies of one page count once;
-* tokens with equal vectors form a class.  Classes that occur on
-  ``SUPPORT`` of the host's pages and have ``LEAST_SIZE`` tokens or more are
-  large and frequent; a class is valid if its tags nest, that is the parent
-  path of each tag belongs to a valid class too.  The valid classes, nested by
+  the host's pages, and for containers their place among equal siblings.  Its
+  occurrence vector is the number of times it occurs on each page of the host;
+  copies of one page count once;
+* tokens with equal vectors form a class.  A class is frequent if it occurs on
+  ``SUPPORT`` of the host's pages and on ``LEAST_PAGES`` of them (on fewer
+  pages equal vectors are chance), and valid if it has a tag and its tags nest,
+  that is the parent path of each tag belongs to a valid class too.  A text that
+  repeats with no element of its vector is data.  The valid classes, nested by
   path, are the template;
-* what lies between template tokens are slots.  The slot with the article is
-  the ``article`` element, else ``main``, else an element named as content
-  (the outermost where they nest, each where they do not), else the deepest
-  template element that holds all data text (text that is not itself
-  template), or else the page.  Inside it, menus, headers, footers, sidebars,
-  notices, adverts, forms, scripts, styles and reader comments are cut by
-  element or by name, and everything else is kept.  Template text inside the
-  slot is cut only where the slot was found by its data text: an
-  ``article`` is kept whole, repeated paragraphs included.
+* the text between an element's template tokens is its slot.  A slot is
+  constant if all its text is of valid classes; one repeated line among varying
+  ones is a value of its slot, so it stays.  Else its data decides: a slot is
+  prose if less than half of the data is link text, and it is a heading's or
+  holds ``SHARE`` of such data of the host;
+* the article lies in the smallest container of all prose slots, whatever else
+  varies outside.  Where elements are named as the article (``article``, else
+  ``main``, else by class or id) they are taken instead, the outermost where
+  they nest, each where they do not.  Constant slots are cut inside either, slots
+  of links only inside the first.  Menus, headers, footers, sidebars, notices,
+  adverts, forms, scripts, styles and reader comments are cut by element or by
+  name too; everything else is kept.
 
 A page with an ``article`` or ``main`` of its own is read by it.  A page whose
 host has no frequent class (a single page, say), that lacks the host's element
@@ -51,9 +56,10 @@ from pyspark.sql import functions as F
 
 from .scratch import importable, written
 
-SUPPORT, LEAST_SIZE = 0.5, 2
-#: Pages on which a text node must stand before it may be cut as template text.
-LEAST_PAGES = 4
+#: Share of a host's pages, and number of them, on which a template token stands.
+SUPPORT, LEAST_PAGES = 0.5, 4
+#: Share of a host's data text from which a slot is prose.
+SHARE = 0.05
 
 # HTML element kinds and the names that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,6 +78,9 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fiel
                            "main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("div section table td".split())  # told apart by their place among equal siblings
+BLOCKS = HEADINGS | frozenset("blockquote dd dl dt figcaption figure li ol p pre ul".split())  # parts of an article, never the whole
 SCOPES = frozenset("ul ol dl table select".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -95,19 +104,21 @@ def names(html: str) -> set[str]:
 
 
 def nodes(html: str, kept: frozenset[str] | None = None) -> Iterator[tuple[str, int, str, object]]:
-    """Walk a page: ``("open" | "close", depth, path, (tag, words, role))``, ``("text", depth, path, text)``, ``("break", ..)``.
+    """Walk a page: ``("open" | "close", depth, path, (tag, words, role))``, ``("text", depth, path, text)``, ``("break", ..)``,
+    ``("link", depth, path, whether one opens)``.
 
-    Paths name structural elements only, with those of their classes and ids that are ``kept`` (None: all);
-    inline elements do not deepen them.
+    Paths name structural elements only, with those of their classes and ids that are ``kept`` (None: all)
+    and the place of a container among equal siblings; inline elements do not deepen them.
     """
-    stack: list[tuple[str, str]] = []  # tag, path
+    stack: list[tuple[str, str, dict]] = []  # tag, path, children by label
+    top: dict[str, int] = {}
 
     def path() -> str:
         return stack[-1][1] if stack else ""
 
     def pop_to(i: int):
         while len(stack) > i:
-            tag, where = stack.pop()
+            tag, where, _ = stack.pop()
             yield "close", len(stack), where, tag
 
     at, n = 0, len(html)
@@ -123,6 +134,8 @@ def nodes(html: str, kept: frozenset[str] | None = None) -> Iterator[tuple[str,
                 yield "text", len(stack), path(), entities.escape(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
+        if tag == "a":
+            yield "link", len(stack), path(), not m[1]
         if m[1]:
             if tag in INLINE:
                 continue
@@ -148,14 +161,19 @@ def nodes(html: str, kept: frozenset[str] | None = None) -> Iterator[tuple[str,
                     yield from pop_to(i)
                     break
         named = _named(tag, m[3])
-        where = f"{path()}/{tag}" + "".join(f".{w}" for w in named[1] if kept is None or w in kept)
+        label = tag + "".join(f".{w}" for w in named[1] if kept is None or w in kept)
+        if tag in CONTAINERS:
+            siblings = stack[-1][2] if stack else top
+            siblings[label] = place = siblings.get(label, 0) + 1
+            label += f"[{place}]" if place > 1 else ""
+        where = f"{path()}/{label}"
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
         if m[3].rstrip().endswith("/") and tag in ("path", "use", "g"):
             continue
-        stack.append((tag, where))
+        stack.append((tag, where, {}))
         yield "open", len(stack), where, (tag, named[2], named[3])
     yield from pop_to(0)
 
@@ -203,27 +221,32 @@ def _shown(html: str, kept: frozenset[str] | None = None) -> Iterator[tuple[str,
 
 
 def page_tokens(html: str, kept: frozenset[str] | None = None) -> dict[int, list]:
-    """Tokens of one page: id -> [path of a tag or None, parent path, count, rank, characters of text inside].
+    """Tokens of one page: id -> [path of a tag or None, parent path, count, rank, characters of text inside, of these in links].
 
     The page itself is the tag of path ``""``; text in furniture has no characters.
     """
-    root = ["", "", 1, 0, 0]
+    root = ["", "", 1, 0, 0, 0]
+    link = None  # depth of the open link; it ends with the element around it
     found: dict[int, list] = {_token("tag", ""): root}
     spans: list[list] = [root]
-    for kind, _, path, value, cut, rank in _shown(html, kept):
-        if kind == "open":
-            entry = found.setdefault(_token("tag", path), [path, path.rpartition("/")[0], 0, 0, 0])
+    for kind, depth, path, value, cut, rank in _shown(html, kept):
+        if kind == "link":
+            link = depth if value else None
+        elif kind == "open":
+            entry = found.setdefault(_token("tag", path), [path, path.rpartition("/")[0], 0, 0, 0, 0])
             entry[2] += 1
             entry[3] = 0 if cut else max(entry[3], rank)
             spans.append(entry)
         elif kind == "close":
             spans.pop()
+            link = None if link is not None and depth < link else link
         elif kind == "text" and (text := _clean(value)):
-            entry = found.setdefault(_token("text", path, text), [None, path, 0, 0, 0])
+            entry = found.setdefault(_token("text", path, text), [None, path, 0, 0, 0, 0])
             entry[2] += 1
             if not cut:
                 for s in (entry, *{id(s): s for s in spans}.values()):
                     s[4] += len(text)
+                    s[5] += len(text) if link is not None else 0
     return found
 
 
@@ -237,15 +260,15 @@ def _emit_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _emit_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        host, page, token, path, parent, count, rank, chars = ([] for _ in range(8))
+        host, page, token, path, parent, count, rank, chars, links = ([] for _ in range(9))
         for h, key, text, kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for t, (p, up, n, r, c) in page_tokens(text, frozenset(kept or ())).items():
-                for out, value in zip((host, page, token, path, parent, count, rank, chars), (h, key, t, p, up, n, r, c), strict=True):
+            for t, (p, up, n, r, c, a) in page_tokens(text, frozenset(kept or ())).items():
+                for out, value in zip((host, page, token, path, parent, count, rank, chars, links), (h, key, t, p, up, n, r, c, a), strict=True):
                     out.append(value)
         yield pa.RecordBatch.from_arrays(
             [pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.int64()), pa.array(path, pa.string()),
-             pa.array(parent, pa.string()), pa.array(count, pa.int32()), pa.array(rank, pa.int32()), pa.array(chars, pa.int64())],
-            ["host", "page", "token", "path", "parent", "count", "rank", "chars"])
+             pa.array(parent, pa.string()), pa.array(count, pa.int32()), pa.array(rank, pa.int32()), pa.array(chars, pa.int64()),
+             pa.array(links, pa.int64())], ["host", "page", "token", "path", "parent", "count", "rank", "chars", "links"])
 
 
 def _host():
@@ -270,73 +293,89 @@ def frequent_names(pages: DataFrame) -> DataFrame:
 
 
 def frequent_tokens(pages: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
-    """Tokens of the large and frequent classes of every host (a written table); ``hosts`` are its ``frequent_names``.
+    """Tokens of the frequent classes with a tag of every host (a written table); ``hosts`` are its ``frequent_names``.
 
-    ``(host, token, path, parent, class, support, rank, chars)``; ``path`` is null for a text node.
+    ``(host, token, path, parent, class, support, rank, chars, links)``; ``path`` is null for a text node.
     """
     importable(pages.sparkSession)
     hosts = frequent_names(pages) if hosts is None else hosts
+    # A host with fewer different pages has no template.
+    hosts = hosts.where(F.col("pages") >= LEAST_PAGES)
     rows = _contents(pages).join(hosts, "host").select("host", "page", "html", "kept")
     sizes = hosts.select("host", "pages")
     # Stands for the vector: a sum over pages of a hash of (page, count).
     vector = F.sum(F.pmod(F.xxhash64("page", "count"), F.lit(1 << 40)).cast("decimal(20,0)"))
     tokens = (rows.mapInArrow(_emit_tokens, "host string, page bigint, token bigint, path string, parent string, "
-                              "count int, rank int, chars bigint")
-              .groupBy("host", "token", "page").agg(*[F.first(c).alias(c) for c in ("path", "parent", "count", "rank", "chars")])
+                              "count int, rank int, chars bigint, links bigint")
+              .groupBy("host", "token", "page").agg(*[F.first(c).alias(c) for c in ("path", "parent", "count", "rank", "chars", "links")])
               .groupBy("host", "token").agg(
-                  vector.alias("vector"), F.count("*").alias("support"), F.first("path").alias("path"),
-                  F.first("parent").alias("parent"), F.min("rank").alias("rank"), F.sum("chars").alias("chars")))
-    tokens = tokens.join(sizes, "host").where(F.col("support") >= F.greatest(F.lit(2), F.col("pages") * SUPPORT))
+                  vector.alias("vector"), F.count("*").alias("support"), F.first("path").alias("path"), F.first("parent").alias("parent"),
+                  F.min("rank").alias("rank"), F.sum("chars").alias("chars"), F.sum("links").alias("links")))
+    tokens = tokens.join(sizes, "host").where(F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * SUPPORT))
     tokens = written(tokens.withColumn("class", F.xxhash64("vector", "support")).drop("vector", "pages"), "tokens")
-    # A tag has two tokens, its start and its end.
-    classes = (tokens.groupBy("host", "class")
-               .agg(F.sum(F.when(F.col("path").isNotNull(), 2).otherwise(1)).alias("size"))
-               .where(F.col("size") >= LEAST_SIZE).select("host", "class"))
-    return written(tokens.join(classes, ["host", "class"], "left_semi"), "template-tokens")
+    tagged = tokens.where("path is not null").select("host", "class").distinct()
+    return written(tokens.join(tagged, ["host", "class"], "left_semi"), "template-tokens")
 
 
 def _elements(frequent: DataFrame) -> DataFrame:
-    """``template`` and the page itself, of path ``""``."""
+    """``template`` and the page itself, of path ``""``, with the characters of each element's own slot."""
     tags = frequent.where("path is not null")
-    steps = F.split("parent", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat_ws("/", F.slice(steps, F.lit(1), i)))
-    fixed = (frequent.where(F.col("path").isNull() & (F.col("support") >= LEAST_PAGES)).select("host", "chars", "support", F.explode(above).alias("path"))
-             .groupBy("host", "path").agg(F.sum(F.col("chars")).alias("fixed")))
+    texts = frequent.where("path is null")
     parents = tags.select("host", F.col("path").alias("parent"), F.lit(True).alias("known"))
     nested = tags.join(parents, ["host", "parent"], "left").where(F.col("known") | (F.col("parent") == ""))
-    return nested.join(fixed, ["host", "path"], "left").select(
-        "host", "path", "parent", "class", "rank", (F.col("chars") - F.coalesce("fixed", F.lit(0))).alias("data_chars"))
+    inner = (nested.where("path != ''").groupBy("host", F.col("parent").alias("path"))
+             .agg(F.sum("chars").alias("inner"), F.sum("links").alias("inner_links")))
+    fixed = texts.groupBy("host", F.col("parent").alias("path")).agg(F.sum("chars").alias("fixed"), F.sum("links").alias("fixed_links"))
+
+    def less(whole: str, *parts: str):
+        return F.col(whole) - sum((F.coalesce(F.col(p), F.lit(0)) for p in parts), F.lit(0))
+
+    return nested.join(inner, ["host", "path"], "left").join(fixed, ["host", "path"], "left").select(
+        "host", "path", "parent", "class", "rank", F.coalesce("fixed", F.lit(0)).alias("fixed_chars"),
+        less("chars", "inner", "fixed").alias("data_chars"), less("links", "inner_links", "fixed_links").alias("link_chars"))
 
 
 def template(frequent: DataFrame) -> DataFrame:
-    """``(host, path, parent, class, rank, data_chars)``: the nested template elements of every host.
+    """``(host, path, parent, class, rank, fixed_chars, data_chars, link_chars)``: the nested template elements of every host.
 
-    An element is nested if its parent is a template element too; the root has none.
-    ``data_chars`` counts the text inside it, over all pages, that is not template text.
+    An element is nested if its parent is a template element too; the root has none.  Of the text in an
+    element's slot (itself and parts that are no template, over all pages) ``fixed_chars`` is of valid
+    classes, ``data_chars`` is not, and ``link_chars`` of the latter is in links.
     """
     return _elements(frequent).where("path != ''")
 
 
+def _above(path: str):
+    """The paths of an element and of all around it, the page first."""
+    steps = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat_ws("/", F.slice(steps, F.lit(1), i)))
+
+
 def slots(frequent: DataFrame) -> DataFrame:
-    """``(host, slot, fixed)``: the paths of each host's article elements, and the template text to cut in them.
+    """``(host, slot, cut)``: the paths of each host's article elements, and of the slots to cut in them.
 
-    A host without named elements or data text has no row.
+    A host without template has no row; without named elements or data text its ``slot`` is null.
     """
-    elements = written(_elements(frequent), "template")
-    most = elements.groupBy("host").agg(F.max("data_chars").alias("most"), F.max("rank").alias("top"))
-    # By name every element of the highest rank, by data text the smallest common ancestor.
-    fits = (F.col("rank") == F.col("top")) & ((F.col("top") > 0) | (F.col("data_chars") == F.col("most")) & (F.col("most") > 0))
-    best = (elements.join(most, "host").where(fits)
-            .groupBy("host", "top").agg(F.collect_set("path").alias("named"),
-                                        F.max(F.struct(F.length(F.regexp_replace("path", "[^/]", "")), "path")).alias("deepest"))
-            .select("host", F.col("top").alias("rank"), F.col("deepest.path").alias("deepest"),
-                    F.when(F.col("top") > 0, F.col("named")).otherwise(F.array("deepest.path")).alias("slot")))
-    # Bounded by the text nodes of one page template.
-    texts = (frequent.where(F.col("path").isNull() & (F.col("support") >= LEAST_PAGES))
-             .join(best.where("rank = 0").select("host", "deepest"), "host")
-             .where(F.concat(F.col("parent"), F.lit("/")).startswith(F.concat(F.col("deepest"), F.lit("/"))))
-             .groupBy("host").agg(F.collect_set("token").alias("fixed")))
-    return best.select("host", "slot").join(texts, "host", "left")
+    elements = _elements(frequent)
+    tag = F.regexp_extract("path", r"/([^/.\[]*)[^/]*$", 1)
+    linked = 2 * F.col("link_chars") >= F.col("data_chars")
+    sizes = elements.groupBy("host").agg(F.max("rank").alias("top"), F.sum(F.when(~linked, F.col("data_chars"))).alias("data"))
+    elements = written(elements.join(sizes, "host").withColumn("tag", tag).withColumn(
+        "prose", (F.col("data_chars") > 0) & ~linked & (F.col("tag").isin(*HEADINGS) | (F.col("data_chars") >= SHARE * F.col("data")))), "template")
+    named = elements.where("rank = top and top > 0").groupBy("host").agg(F.collect_set("path").alias("named"))
+    # The container of all prose: each prose slot counts for every element around it.
+    held = (elements.where("prose").select("host", F.explode(_above("path")).alias("path"))
+            .groupBy("host", "path").agg(F.count("*").alias("held")))
+    whole = held.where("path = ''").select("host", F.col("held").alias("all"))
+    depth = F.length(F.regexp_replace("path", "[^/]", ""))
+    around = (held.join(whole, "host").where(F.col("held") == F.col("all")).where(~tag.isin(*BLOCKS))
+              .groupBy("host").agg(F.max(F.struct(depth, "path"))["path"].alias("around")))
+    # Bounded by the elements of one page template.
+    constant = (F.col("data_chars") == 0) & (F.col("fixed_chars") > 0)
+    menu = (F.col("top") == 0) & linked & (F.col("data_chars") > 0)
+    cut = elements.groupBy("host").agg(F.collect_set(F.when(constant | menu, F.col("path"))).alias("cut"))
+    return (cut.join(named, "host", "left").join(around, "host", "left")
+            .select("host", F.coalesce("named", F.when(F.col("around").isNotNull(), F.array("around"))).alias("slot"), "cut"))
 
 
 def _own_slot(html: str) -> tuple[str, int]:
@@ -346,9 +385,12 @@ def _own_slot(html: str) -> tuple[str, int]:
     return max((t[0] for t in tags if t[4] == most > 0), key=lambda p: p.count("/"), default=""), rank
 
 
-def extract(html: str, slot: frozenset[str] = frozenset(), rank: int = 0, fixed: frozenset[int] = frozenset(),
+def extract(html: str, slot: frozenset[str] = frozenset(), rank: int = 0, without: frozenset[str] = frozenset(),
             kept: frozenset[str] | None = None) -> str | None:
-    """Text of the elements of a path in ``slot`` or of rank ``rank``, a line per block; None where the page has none."""
+    """Text of the elements of a path in ``slot`` or of rank ``rank`` but for the slots ``without``, a line per block.
+
+    None where the page has no such element.
+    """
     blocks: list[str] = []
     parts: list[str] = []
     seen = "" in slot  # the page as a whole
@@ -371,28 +413,27 @@ def extract(html: str, slot: frozenset[str] = frozenset(), rank: int = 0, fixed:
                 inside = None
         elif kind == "break":
             flush()
-        elif inside is not None and not cut:
-            if not fixed or _token("text", path, _clean(value)) not in fixed:
-                parts.append(value)
+        elif kind == "text" and inside is not None and not cut and path not in without:
+            parts.append(value)
     flush()
     return "\n".join(blocks) if seen else None
 
 
-def main_text(html: str | None, slot: frozenset[str], fixed: frozenset[int] = frozenset(), kept: frozenset[str] | None = None) -> str:
+def main_text(html: str | None, slot: frozenset[str], without: frozenset[str] = frozenset(), kept: frozenset[str] | None = None) -> str:
     if not html:
         return ""
     lower = html.lower()
-    text = extract(html, rank=3) if "<article" in lower else None
+    text = extract(html, rank=3, without=without, kept=kept) if "<article" in lower else None
     if not text and ("<main" in lower or "role" in lower):
-        text = extract(html, rank=2)
+        text = extract(html, rank=2, without=without, kept=kept)
     if not text and slot and "" not in slot:
-        text = extract(html, slot, fixed=fixed, kept=kept)
+        text = extract(html, slot, without=without, kept=kept)
     if not text:
         path, rank = _own_slot(html)
         if rank:
             text = extract(html, rank=rank)
         elif "" in slot:
-            text = extract(html, slot, fixed=fixed, kept=kept)
+            text = extract(html, slot, without=without, kept=kept)
         text = text or extract(html, frozenset([path]))
     return text or ""
 
@@ -412,6 +453,6 @@ def extracted(pages: DataFrame) -> DataFrame:
     hosts = frequent_names(pages)
     found = written(hosts.join(slots(frequent_tokens(pages, hosts)), "host", "left"), "slots")
     rows = pages.select("page_id", "url", "html", _host().alias("host"))
-    rows = rows.join(found, "host", "left").select("page_id", "url", "html", "slot", "fixed", "kept")
+    rows = rows.join(found, "host", "left").select("page_id", "url", "html", "slot", "cut", "kept")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extracting, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -94,3 +94,62 @@ def test_own_elements_and_copies(spark):
     want += [(20 + i, "Same\ntext") for i in range(6)]
     want += [(30 + i, f"Head {min(i, 4)}\n{'one' if i > 3 else i}") for i in range(10)]
     assert texts(spark, rows) == sorted(want, key=repr)
+
+
+def nameless(i, rng):
+    """A page of bare divs: a menu, a notice and a footer that vary, a story with a line that repeats; and its text."""
+    vocab = "tea mill river stone light paper north field glass road".split()
+    say = lambda n: " ".join(rng.choices(vocab, k=n))
+    paras = [say(rng.randint(20, 40)) + f" {i}." for _ in range(rng.randint(2, 5))]
+    title, kept = say(4) + f" {i}", "All rights to this story are ours."
+    menu = "".join(f"<li><a href=#>{say(1)} {rng.random()}</a></li>" for _ in range(5))
+    page = (f"<html><body><div><ul>{menu}</ul></div><div>{say(3)} {i}</div><div><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paras)
+            + f"<p>{kept}</p><div><b>Tell</b> a friend</div></div><div>Editor {say(1)} {i}</div></body></html>")
+    return page, "\n".join([title, *paras, kept])
+
+
+def test_classes_decide_on_pages_without_names(spark):
+    rng = random.Random(21)
+    made = [nameless(i, rng) for i in range(40)]
+    rows = [(i, f"http://n{i % 2}/{i}", page) for i, (page, _) in enumerate(made)]
+    assert texts(spark, rows) == sorted(((i, text) for i, (_, text) in enumerate(made)), key=repr)
+    # No page's own elements give it.
+    assert all(T.main_text(page, frozenset()) != text for page, text in made)
+
+
+def test_names_choose_among_slots_and_classes_cut_inside(spark):
+    rows = [(i, "http://k/", f"<body><div>poll {i}</div><article><h1>Title {i}</h1><p>text {i}</p><p>ours</p><div><p>Read more here</p></div>"
+             f"</article></body>") for i in range(6)]
+    assert texts(spark, rows) == [(i, f"Title {i}\ntext {i}\nours") for i in range(6)]
+    # On three pages equal vectors are chance.
+    assert texts(spark, rows[:3]) == [(i, f"Title {i}\ntext {i}\nours\nRead more here") for i in range(3)]
+
+
+def test_classes_against_plain_vectors(spark):
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        body = "".join(rng.choice([f"<p>{rng.choice('abc')}</p>", "<div class=c1><i>fixed</i></div>", f"<section>{i}</section>", "<ul><li>x<li>y</ul>"])
+                       for _ in range(rng.randint(0, 6)))
+        rows.append((i, f"http://h{i % 3 if i < 36 else 9 + i}/", f"<body><div class='top n{i}'>{body}</div><div>end</div></body>"))
+    rows += rows[:10]  # copies count once
+    frame = spark.createDataFrame(pages_of(rows), SCHEMA)
+    kept = {r["host"]: frozenset(r["kept"] or ()) for r in T.frequent_names(frame).collect()}
+    want = {}
+    for host in kept:
+        pages = sorted({page for _, url, page in rows if url == f"http://{host}/"})
+        least = max(T.LEAST_PAGES, len(pages) * T.SUPPORT)
+        if len(pages) < T.LEAST_PAGES:
+            continue
+        found = [T.page_tokens(page, kept[host]) for page in pages]
+        vectors = {t: tuple(f[t][2] if t in f else 0 for f in found) for f in found for t in f}
+        vectors = {t: v for t, v in vectors.items() if sum(map(bool, v)) >= least}
+        tagged = {vectors[t] for f in found for t, e in f.items() if e[0] is not None and t in vectors}
+        groups = {}
+        for t, v in vectors.items():
+            if v in tagged:
+                groups.setdefault((host, v), set()).add(t)
+        want |= {(host, frozenset(g)): sum(map(bool, v)) for (_, v), g in groups.items()}
+    got = {}
+    for r in T.frequent_tokens(frame).collect():
+        got.setdefault((r["host"], r["class"], r["support"]), set()).add(r["token"])
+    assert {(h, frozenset(g)): n for (h, _, n), g in got.items()} == want and len(want) > 4
