@@ -51,7 +51,8 @@ from .scratch import importable, release, written
 from .text import whole
 
 LENGTH, GRAM = 400, 16
-BUCKET, SHARD = 1 << 20, 1 << 19
+#: Small enough that sorts and successors of a bucket stay in a core's cache.
+BUCKET, SHARD = 1 << 17, 1 << 16
 #: Bytes of one key above which its segments are dealt into chunks of that size.
 LARGE = 2 << 20
 #: Bytes of text whose windows are cut at once, and bits for a place among them.
@@ -308,7 +309,9 @@ def _bucket(length: int):
         _, keep = np.unique(np.stack([hi, lo], 1), axis=0, return_index=True)
         data, weight = table.column("data").take(pa.array(keep)).to_pylist(), table.column("weight").to_numpy()[keep]
         out: list[tuple[int, int, int, int]] = []
-        for k, flags in zip(keep.tolist(), repeated_windows(data, weight.tolist(), length), strict=True):
+        # A bucket of a large key has larger shards, not more of them.
+        shard = max(SHARD, sum(map(len, data)) // 8)
+        for k, flags in zip(keep.tolist(), repeated_windows(data, weight.tolist(), length, shard), strict=True):
             out += [(int(hi[k]), int(lo[k]), s, e) for s, e in ranges(flags)]
         columns = zip(*out, strict=True) if out else [[]] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)],
