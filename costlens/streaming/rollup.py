@@ -134,7 +134,7 @@ def _writers(spark: SparkSession, source: Input, store: Store, checkpoint: str,
     def publish(batch: DataFrame, batch_id: int) -> None:
         # The query's id is kept in its checkpoint: restarts go on counting, a new checkpoint is a new stream.
         query = json.loads(Files(spark, checkpoint).text("metadata"))["id"]
-        publish_groups(batch.sparkSession, store, batch, keys(batch.sparkSession), cfg, (query, batch_id))
+        publish_groups(spark, store, batch, keys(spark), cfg, (query, batch_id))
 
     rows = admission.admitted(landed(), source.tolerance, source.clock)
     return ((day_groups(rows, source.lateness, cfg).writeStream

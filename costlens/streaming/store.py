@@ -32,6 +32,7 @@ from costlens.files import ATTEMPTS, folder_of
 from costlens.functions.money import percent_of, to_double
 from costlens.operators.budgets import budget_state, resolve_budget
 from costlens.operators.facts import GRAIN, MEASURE_COLS, ROLLUP_SCHEMA, Rollup
+from costlens.session import remove, work_dir
 from costlens.streaming import manifest as M
 
 #: Gives the key table as it is now; the stream calls it in every batch.
@@ -205,8 +206,14 @@ def publish_groups(spark: SparkSession, store: Store, changed: DataFrame, keys:
     ``changed`` holds one row per group with the group's whole total so far.
     ``batch`` names the stream and its micro-batch: one that is in the tables
     already is skipped.  Other groups of the touched parts are carried over.
+
+    A micro-batch's own session plans without AQE and ignores REBALANCE, so
+    that every state partition would write a file into every part.  The groups
+    are written once by it, and the rest is done in ``spark``.
     """
-    changed = changed.select(*GRAIN, *MEASURE_COLS).persist()
+    aside = work_dir(spark, "changed")
+    changed.select(*GRAIN, *MEASURE_COLS).write.parquet(aside)
+    changed = spark.read.schema(ROLLUP_SCHEMA).parquet(aside)
     try:
         hit = [(r["day"], r["bucket"]) for r in changed.select("day", store.bucket().alias("bucket")).distinct().collect()]
         days, buckets = {d for d, _ in hit}, {b for _, b in hit}
@@ -224,7 +231,7 @@ def publish_groups(spark: SparkSession, store: Store, changed: DataFrame, keys:
 
         _commit(spark, store, build)
     finally:
-        changed.unpersist()
+        remove(spark, aside)
 
 
 def mark_complete(spark: SparkSession, store: Store, days: Iterable[date]) -> None:

@@ -181,3 +181,18 @@ def test_the_latest_copy_passes_so_that_a_late_one_cannot_hide_it(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert collapsed(stream_measures(make_tables(spark, copies, []).logs.limit(0))).count() == 0
+
+
+def test_a_batch_of_many_state_partitions_writes_one_file_into_a_part(spark):
+    work = work_dir(spark, "t-parts")
+    store = S.Store(f"{work}/store", buckets=2)
+    made = [log_row(k, f"2024-01-0{d} 10:00:00", 20.0) for d in (2, 3) for k in KEYS for _ in range(3)]
+    t = make_tables(spark, made, [key_row(k, 50.0) for k in KEYS])
+    t.logs.write.parquet(f"{work}/landing")
+    run_once(spark, f"{work}/landing", store, f"{work}/ckpt", lambda s: t.keys, state_partitions=6)
+    assert {x[2] for x in rows(store.rollup(spark), "day", "api_key", "requests")} == {3}
+    assert store.rollup(spark).count() == 24 and store.alerts(spark).count() == 12
+    now, files = M.latest(store.files(spark)), store.files(spark)
+    for table, parts in (("rollup", now.rollup), ("alerts", now.alerts)):
+        assert parts and all(len([n for n in files.names(f"{table}/v={folder}/{part}") if n.startswith("part-")]) == 1
+                             for part, folder in parts.items())
