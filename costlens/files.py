@@ -44,6 +44,11 @@ class Files:
         at = self._path(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
+    def size(self, folder: str) -> int:
+        """Bytes that the folder holds, 0 if it is not there."""
+        at = self._path(folder)
+        return self._fs.getContentSummary(at).getLength() if self._fs.exists(at) else 0
+
     def text(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:

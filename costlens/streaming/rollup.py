@@ -40,6 +40,8 @@ from costlens.schemas import SPEND_LOGS_SCHEMA
 from costlens.streaming import admission
 from costlens.streaming.store import Keys, Store, publish_groups
 
+#: State partitions of a new stream at least, and the landed bytes that one more of them is for.
+STATE_PARTITIONS, STATE_BYTES = 16, 8 << 20
 #: Repeated request ids that a task remembers at a time.
 REMEMBERED = 50_000
 
@@ -104,12 +106,28 @@ def day_groups(stream: DataFrame, lateness: str, cfg: ReportConfig = DEFAULT_CON
                       "spend", "requests", "tokens", "prompt_tokens", "completion_tokens")
 
 
+def state_size(spark: SparkSession, landing: str, checkpoint: str) -> int | None:
+    """State partitions for a query's first start; None later, when the checkpoint has their number.
+
+    Every batch opens, saves and uploads the stores of every partition, however
+    few rows they hold, so their number follows the cores and what has landed,
+    up to the caller's shuffle partitions.
+    """
+    if Files(spark, checkpoint).names("offsets"):
+        return None
+    landed = -(-Files(spark, landing).size("") // STATE_BYTES)
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism, landed))
+
+
 def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """The stream's own session: RocksDB state, the caller's other settings unchanged."""
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.conf.get("spark.sql.shuffle.partitions")))
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Each write would look its key up once more only to count rows.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
     return own
 
 
@@ -126,7 +144,7 @@ class Input:
 def _writers(spark: SparkSession, source: Input, store: Store, checkpoint: str, keys: Keys, cfg: ReportConfig,
              state_partitions: int | None):
     """The rollup query and the quarantine query."""
-    own = stream_session(spark, state_partitions)
+    own = stream_session(spark, state_partitions or state_size(spark, source.landing, checkpoint))
 
     def landed() -> DataFrame:
         return own.readStream.schema(SPEND_LOGS_SCHEMA).parquet(source.landing)
@@ -154,7 +172,7 @@ def run_once(spark: SparkSession, landing: str, store: Store, checkpoint: str,
 
     ``state_partitions`` sets how many state-store partitions the stateful
     operators get on the query's first start (later restarts keep the number
-    recorded in the checkpoint); by default the caller's shuffle partitions.
+    recorded in the checkpoint); by default ``state_size``.
     Size it to the state (request ids of one lateness span plus the open day
     groups), not to the input.  ``tolerance`` and ``clock`` are those of
     ``admission.admitted``.

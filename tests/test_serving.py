@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from costlens.operators.facts import ROLLUP_SCHEMA
 from costlens.session import work_dir
 from costlens.streaming import manifest as M
+from costlens.streaming import rollup as R
 from costlens.streaming import store as S
 from costlens.streaming.admission import quarantined, readmit
 from costlens.streaming.reconcile import reconcile_days, reconcile_mismatched
@@ -196,3 +197,19 @@ def test_a_batch_of_many_state_partitions_writes_one_file_into_a_part(spark):
     for table, parts in (("rollup", now.rollup), ("alerts", now.alerts)):
         assert parts and all(len([n for n in files.names(f"{table}/v={folder}/{part}") if n.startswith("part-")]) == 1
                              for part, folder in parts.items())
+
+
+def test_state_partitions_follow_the_landed_rows_and_not_the_shuffle(spark, monkeypatch):
+    work = work_dir(spark, "t-size")
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "200")
+    t = make_tables(spark, [log_row(KEYS[0], "2024-01-02 10:00:00", 1.0)], [key_row(KEYS[0])])
+    least = max(R.STATE_PARTITIONS, spark.sparkContext.defaultParallelism)
+    assert R.state_size(wide, f"{work}/landing", f"{work}/ckpt") == least          # nothing has landed
+    t.logs.write.parquet(f"{work}/landing")
+    run_once(wide, f"{work}/landing", S.Store(f"{work}/store"), f"{work}/ckpt", lambda s: t.keys)
+    stores = [n for n in S.M.Files(spark, f"{work}/ckpt/state").names("0") if n.isdigit()]
+    assert len(stores) == least
+    assert R.state_size(wide, f"{work}/landing", f"{work}/ckpt") is None           # the checkpoint has it
+    monkeypatch.setattr(R, "STATE_BYTES", 10)
+    assert R.state_size(wide, f"{work}/landing", f"{work}/new") == 200
