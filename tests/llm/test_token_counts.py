@@ -60,6 +60,46 @@ def test_calls_are_balanced_by_bytes():
     assert all(4000 <= s < 4000 + 600 * 2 for s in sizes[:-1]) and sum(sizes) < 1.01 * sum(len(t.encode()) for t in some)
 
 
+def test_equal_pieces_are_encoded_once():
+    for path in (BYTES, PIECES):
+        with open(path, "rb") as f:
+            made = C.Counter(path[path.rindex("."):], f.read())
+        calls, encode, want = [], made.encode, plain(path)
+        made.encode = lambda call: calls.extend(call) or encode(call)
+        some = [" ".join(f"word{i % 50} {n}" for i in range(300)) for n in range(20)]
+        assert made.counts(some) == [want(t) for t in some] and len(calls) <= 100
+        assert made.counts([t[:500] for t in some] + some) and len(calls) <= 140  # remembered from call to call
+
+
+@pytest.mark.parametrize("cache,longest", [(C.CACHE, C.LONGEST), (3, 64), (50, 2)])
+def test_marks_join_and_cache_change_no_count(monkeypatch, cache, longest):
+    monkeypatch.setattr(C, "CACHE", cache)
+    monkeypatch.setattr(C, "LONGEST", longest)
+    rng = random.Random(cache)
+    parts = [*" .,;:!?\n\r\t'", "  ", "...", ". ", "?!", "ab", "Z9", "7", "é", "ß.", "'s", "'ll", "-", "(", "\u00a0", "\u2028", "\x85", "了", "。",
+             "\x1c", "<|endoftext|>", "<|endoftext|>.", "²", "٣", "e\u0301", "😀", "\x00"]
+    some = ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(3000)] + ["x" * 9000 + ".", ".x" * 9000, "\n" * 9000]
+    for t in some:
+        assert C.PIECE.findall(t) == [p for p in C.BEFORE_SPACE.split(t) if p]
+    with open(BYTES, "rb") as f:
+        content = f.read()
+    made, want = C.Counter(".json", content), plain(BYTES)
+    for start in range(0, len(some), 400):
+        assert made.counts(some[start:start + 400], 100) == [want(t) for t in some[start:start + 400]]
+
+
+def test_missing_bytes_are_counted_as_the_library_does(tmp_path):
+    path = tmp_path / "few.json"
+    alphabet = "abcdefgĠ."
+    bpe = tokenizers.models.BPE({c: i for i, c in enumerate([*alphabet, "Ġa"])}, [("Ġ", "a")])
+    few = tokenizers.Tokenizer(bpe)
+    few.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    few.save(str(path))
+    made, want = C.Counter(".json", path.read_bytes()), plain(str(path))
+    some = ["ab ab. zz ac xx a b.c ad", " a a ab bx gg", "zz zz"]
+    assert made.boundary is C.BEFORE_SPACE and made.counts(some) == [want(t) for t in some]
+
+
 @pytest.mark.parametrize("path", [BYTES, PIECES])
 def test_whole_table(spark, path):
     rows = [(i, t, "x") for i, t in enumerate(texts(9))] + [(None, "hello world", None), (9000, None, ""), (9001, "long text here " * 30_000, "")]
